@@ -124,10 +124,9 @@ class ByteBpe:
 
     def pieces(self, text: str) -> list[str]:
         """Parts of a text that the pattern never crosses: cut before a lone space between two other characters."""
-        if text[0].isspace() or text[-1].isspace() or _DOUBLE.search(text):
+        if text[0].isspace() or text[-1].isspace() or "\0" in text or _DOUBLE.search(text):
             return self.words.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.pieces(t) if t else [] for t in texts]
@@ -174,12 +173,22 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Data
 
     def run(batches):
         tokens = model(path, pattern).tokens
-        get = tokens.__getitem__
+        size = np.zeros(max(tokens) + 1, np.int64)
+        size[list(tokens)] = [len(x) for x in tokens.values()]
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join([tokens.get(i, b"") for i in range(len(size))]), np.uint8)
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                decoded = [b"".join(map(get, x)) if x else b"" for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=[*part.schema.names, "decoded"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                lists = part.column(at)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                ends = np.zeros(len(ids) + 1, np.int64)
+                np.cumsum(size[ids], out=ends[1:])
+                raw = flat[np.repeat(begin[ids] - ends[:-1], size[ids]) + np.arange(ends[-1])]
+                bounds = ends[np.append(0, np.cumsum(counts))].astype(np.int32)
+                decoded = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
     return df.mapInArrow(run, schema)
