@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 from .common import steps
 
 #: Entries after which a task's lexicon starts anew.
-LEXICON = 300_000
+LEXICON = 600_000
+#: A character that stands between chunks; one token, and a chunk that holds it is encoded alone.
+MARK = "\x01"
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
@@ -33,13 +35,28 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.lexicon: dict[str, bytes] = {}
+        (self.mark_id,) = self.tok.encode(MARK, add_special_tokens=False).ids
+
+    def learn(self, chunks: set[str]) -> None:
+        """Encode new chunks, a thousand to a call with a mark between them."""
+        new = [c for c in chunks if MARK not in c]
+        groups = [new[i : i + 1000] for i in range(0, len(new), 1000)]
+        odd = [[c] for c in chunks if MARK in c]
+        joined = self.tok.encode_batch_fast([f" {MARK} ".join(g) for g in groups + odd], add_special_tokens=False)
+        for group, e in zip(groups + odd, joined, strict=True):
+            ids = np.array(e.ids, "<u4")
+            if len(group) == 1:
+                self.lexicon[group[0]] = ids.tobytes()
+                continue
+            cuts = np.flatnonzero(ids == self.mark_id)
+            begin, end = np.append(0, cuts + 1), np.append(cuts, len(ids))
+            raw = ids.tobytes()
+            self.lexicon.update((c, raw[4 * a : 4 * b]) for c, a, b in zip(group, begin.tolist(), end.tolist(), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = [c for c in set().union(*cut) if c not in self.lexicon]
-        for c, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self.lexicon[c] = np.array(e.ids, "<u4").tobytes()
+        self.learn(set().union(*cut).difference(self.lexicon))
         get = self.lexicon.__getitem__
         out = [b"".join(map(get, cs)) for cs in cut]
         if len(self.lexicon) > LEXICON:
