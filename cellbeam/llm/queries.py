@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing
+from . import byte_bpe, html_text, licenses, merkle, packing, quality, toxicity, url_filter
 from .common import table
 
 
@@ -23,5 +23,47 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op10_byte_bpe": op10_byte_bpe}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    out = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("hits", lambda h: h["base"])
+    words = F.transform(base, lambda h: h["word"])
+    named = F.array_sort(F.array_distinct(F.transform(base, lambda h: h["label"])))
+    return out.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"), F.array_join(named, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {
+    "op1_pack": op1_pack,
+    "op3_quality": op3_quality,
+    "op4_merkle": op4_merkle,
+    "op5_toxicity": op5_toxicity,
+    "op6_licenses": op6_licenses,
+    "op7_url_filter": op7_url_filter,
+    "op9_html": op9_html,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLES: dict[str, str] = {}
