@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, licenses, merkle, packing, quality, toxicity, url_filter
+from . import byte_bpe, html_text, jaccard_join, licenses, merkle, packing, quality, toxicity, url_filter
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
     "op7_url_filter": op7_url_filter,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
 }
