@@ -1,4 +1,8 @@
 """All registered queries of the grid engine with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import queries_fit, queries_images, queries_tree
+
+QUERIES = {**queries_tree.QUERIES, **queries_images.QUERIES, **queries_fit.QUERIES}
+ORACLES = {**queries_tree.ORACLES, **queries_images.ORACLES, **queries_fit.ORACLES}
