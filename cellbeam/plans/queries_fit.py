@@ -1,2 +1,220 @@
+"""Queries over losses, statistics, splits, gradients and spectra."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import loss_weight, r6
+from ..operators import batches, evolve, fit, metrics, points, rays, spectral, tree
+from .queries_images import IM, grids, rot_sql
+from .queries_tree import _SAMPLES, DEPTH, rnd, samples_of
+from .scenes import SQL, d, images, leaf_sql, tree_sql, view
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+_V = '"value"'
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = " ".join(sql.split())
+        return f
+
+    return add
+
+
+@query("node_loss", f"WITH {_SAMPLES}, s AS (SELECT node_id, sum(power(path - target, 2) * weight) AS loss, sum(weight) AS w FROM samples JOIN (SELECT ray_id, sum(weight) AS path FROM samples GROUP BY 1) USING (ray_id) JOIN (SELECT ray_id, target FROM rays) USING (ray_id) GROUP BY 1) SELECT leaf.node_id, round(coalesce(loss, 0), 4) + {d(0)} AS loss, round(coalesce(w, 0), 4) + {d(0)} AS weight FROM leaf LEFT JOIN s ON leaf.node_id = s.node_id")
+def node_loss(spark, sf):
+    r, s = view(spark, sf, "rays"), samples_of(spark, sf)
+    path = rays.integrate(r, s.withColumn("one", F.lit(1.0)), "one")
+    loss = r.join(path, "ray_id").select("ray_id", F.pow(F.col("integral") - F.col("target"), 2).alias("loss"))
+    nodes = tree.full_tree(spark, DEPTH).where(F.col("depth") == DEPTH)
+    out = metrics.node_loss(s, loss, nodes)
+    return out.select("node_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("loss", "weight")])
+
+
+@query("node_stats", f"WITH {SQL['points']} SELECT {leaf_sql(DEPTH)} AS node_id, round(max(value), 6) AS largest, round(stddev_samp(value), 6) AS spread, round(sum(value), 4) AS total FROM points GROUP BY 1")
+def node_stats(spark, sf):
+    s = metrics.node_stats(view(spark, sf, "points").withColumn("node_id", points.leaf_key(DEPTH)))
+    return s.select("node_id", F.round("max", 6).alias("largest"), F.round("std", 6).alias("spread"), F.round("sum", 4).alias("total"))
+
+
+@query("node_product", f"WITH {IM}, p AS (SELECT label, image_id, avg({_V}) + 1 AS e FROM images GROUP BY 1, 2) SELECT label AS node_id, round(product(e), 5) AS product, round(sum(e), 5) AS total FROM p GROUP BY 1")
+def node_product(spark, sf):
+    e = images(spark, sf).groupBy("label", "image_id").agg((F.avg("value") + 1).alias("value"))
+    s = metrics.node_stats(e, node="label")
+    return s.select(F.col("label").alias("node_id"), F.round("product", 5).alias("product"), F.round("sum", 5).alias("total"))
+
+
+@query("training_loss", f"WITH {_SAMPLES}, p AS (SELECT rays.ray_id, target, coalesce(sum(weight), 0) / 10 AS pred FROM rays LEFT JOIN samples ON rays.ray_id = samples.ray_id GROUP BY 1, 2) SELECT round(avg(power(pred - target, 2)), 6) AS plain, round(avg(power(target + 1e-3, 2) * power(pred - target, 2)) + 0.5 * avg(power(target + 1e-3, 2) * abs(pred - target)), 6) AS square FROM p")
+def training_loss(spark, sf):
+    r, s = view(spark, sf, "rays"), samples_of(spark, sf)
+    p = r.join(rays.integrate(r, s.withColumn("one", F.lit(0.1)), "one"), "ray_id")
+    a = metrics.training_loss(p, "integral", "target").select(r6(F.col("loss")).alias("plain"))
+    b = metrics.training_loss(p, "integral", "target", "square", 1.0, 0.5).select(r6(F.col("loss")).alias("square"))
+    return a.join(b, how="full")
+
+
+@query("running_loss", f"WITH {SQL['rays']}, b AS (SELECT ray_id % 20 AS batch, avg(target) AS loss, count(*) AS n FROM rays GROUP BY 1) SELECT round(sum(loss * n) / sum(n), 6) AS loss FROM b")
+def running_loss(spark, sf):
+    b = view(spark, sf, "rays").groupBy(F.col("ray_id") % 20).agg(F.avg("target").alias("loss"), F.count(F.lit(1)).alias("n"))
+    return metrics.running_loss(b).select(F.round("loss", 6).alias("loss"))
+
+
+@query("loss_weights", f"WITH {SQL['rays']} SELECT ray_id, {rnd('1 / ((target + 1e-3) * (target + 1e-3))', 'inverse', 4)}, {rnd('(target + 1e-3) * (target + 1e-3)', 'square')} FROM rays")
+def loss_weights(spark, sf):
+    t = F.col("target")
+    return view(spark, sf, "rays").select("ray_id", F.round(loss_weight(t, "inverse"), 4).alias("inverse"), r6(loss_weight(t, "square")).alias("square"))
+
+
+@query("cell_density", f"WITH {_SAMPLES}, c AS (SELECT node_id, 1e-4 + sum(weight * target * target) AS density FROM samples JOIN (SELECT ray_id, target FROM rays) USING (ray_id) GROUP BY 1), e AS (SELECT min(density) AS mn, max(density) AS mx FROM c) SELECT node_id, round(density, 5) AS density, round(mn / density * 0.5, 5) AS tv, round(density / mx * 0.5, 5) AS nlm, round((density - mn) / (mx - mn) * 0.9 + 0.1, 5) AS scaled FROM c, e")
+def cell_density(spark, sf):
+    t = view(spark, sf, "rays").select("ray_id", "target")
+    c = samples_of(spark, sf).join(t, "ray_id").groupBy("node_id").agg((F.sum(F.col("weight") * F.col("target") * F.col("target")) + 1e-4).alias("density"))
+    m = metrics.weight_maps(c, 0.5, 0.1, 1.0)
+    return c.join(m, "node_id").select("node_id", *[F.round(x, 5).alias(x) for x in ("density", "tv", "nlm", "scaled")])
+
+
+_IDS = "n AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, count(*) OVER () AS total FROM orders)"
+
+
+def ids(spark, sf):
+    return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+
+
+@query("split_uniform", f"WITH {_IDS} SELECT id, CASE WHEN round(round(n / (total / {d(128)})) * (total / {d(128)})) = n AND round(n / (total / {d(128)})) < 128 THEN 'test' ELSE 'train' END AS split FROM n")
+def split_uniform(spark, sf):
+    return batches.split_uniform(ids(spark, sf), "id", 128)
+
+
+@query("split_last", f"WITH {_IDS} SELECT id, CASE WHEN n >= total - 100 THEN 'test' ELSE 'train' END AS split FROM n")
+def split_last(spark, sf):
+    return batches.split_last(ids(spark, sf), "id", 100)
+
+
+@query("split_prefix", f"WITH {_IDS} SELECT id, CASE WHEN n < round(total * 0.8) THEN 'train' ELSE 'test' END AS split FROM n")
+def split_prefix(spark, sf):
+    return batches.split_prefix(ids(spark, sf), "id", 0.8)
+
+
+@query("reduce_uniform", f"WITH {_IDS} SELECT id FROM n WHERE round(round(n / (total / {d(64)})) * (total / {d(64)})) = n AND round(n / (total / {d(64)})) < 64")
+def reduce_uniform(spark, sf):
+    return batches.reduce_uniform(ids(spark, sf), "id", 64)
+
+
+@query("neighbor_anti", "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 50 = 0 AND abs(o_orderkey - c_custkey * 10) <= 2)")
+def neighbor_anti(spark, sf):
+    others = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 50 = 0").select((F.col("c_custkey") * 10).alias("id"))
+    return batches.drop_near(ids(spark, sf), others, "id", 2)
+
+
+@query("union_pixels", f"WITH {SQL['pixels']} SELECT pixel_id, px, NULL AS defocus FROM pixels UNION ALL SELECT pixel_id, py, px / 10 FROM pixels")
+def union_pixels(spark, sf):
+    p = view(spark, sf, "pixels")
+    return batches.concatenate([p.select("pixel_id", "px"), p.select("pixel_id", F.col("py").alias("px"), (F.col("px") / 10).alias("defocus"))])
+
+
+@query("image_ray_counts", f"WITH {SQL['pixels']} SELECT image_id, count(*) AS rays, count(DISTINCT camera_id) AS cameras FROM pixels GROUP BY 1")
+def image_ray_counts(spark, sf):
+    return view(spark, sf, "pixels").groupBy("image_id").agg(F.count(F.lit(1)).alias("rays"), F.countDistinct("camera_id").alias("cameras"))
+
+
+_GRAD = f"g AS (SELECT node_id, CAST(floor(least(greatest((x + 1) * {d(31.5)}, 0), 63)) AS INT) AS ix, sum(y) AS gradient FROM points GROUP BY 1, 2)"
+_LINE = f'line AS (SELECT image_id AS node_id, "row" * 8 + col AS ix, {_V} AS v FROM images)'
+
+
+def gradient(spark, sf):
+    cell = F.floor(F.least(F.greatest((F.col("x") + 1) * 31.5, F.lit(0.0)), F.lit(63.0))).cast("int")
+    return view(spark, sf, "points").groupBy("node_id", cell.alias("ix")).agg(F.sum("y").alias("gradient"))
+
+
+@query("sgd_step", f"WITH {SQL['points']}, {IM}, {_GRAD}, {_LINE} SELECT line.node_id, line.ix, round(v - 0.1 * coalesce(gradient, 0), 5) + {d(0)} AS v FROM line LEFT JOIN g ON line.node_id = g.node_id AND line.ix = g.ix")
+def sgd_step(spark, sf):
+    return fit.sgd_step(grids(spark, sf, "line"), gradient(spark, sf), ["node_id", "ix"], 0.1).select("node_id", "ix", (F.round("value", 5) + F.lit(0.0)).alias("v"))
+
+
+@query("adam_step", f"WITH {SQL['points']}, {IM}, {_GRAD}, {_LINE}, a AS (SELECT line.node_id, line.ix, v, coalesce(gradient, 0) AS gr FROM line LEFT JOIN g ON line.node_id = g.node_id AND line.ix = g.ix) SELECT node_id, ix, round(v - 0.01 * ((0.1 * gr) / (1 - {d(0.9)})) / (sqrt(0.001 * gr * gr / (1 - {d(0.999)})) + 1e-8), 5) + {d(0)} AS v FROM a")
+def adam_step(spark, sf):
+    start = grids(spark, sf, "line").withColumn("m", F.lit(0.0)).withColumn("v", F.lit(0.0))
+    return fit.adam_step(start, gradient(spark, sf), ["node_id", "ix"], 1).select("node_id", "ix", (F.round("value", 5) + F.lit(0.0)).alias("v"))
+
+
+@query("rmsprop_step", f"WITH {SQL['points']}, {IM}, {_GRAD}, {_LINE}, a AS (SELECT line.node_id, line.ix, v, coalesce(gradient, 0) AS gr FROM line LEFT JOIN g ON line.node_id = g.node_id AND line.ix = g.ix) SELECT node_id, ix, round(v - 0.01 * gr / (sqrt(0.01 * gr * gr) + 1e-8), 5) + {d(0)} AS v FROM a")
+def rmsprop_step(spark, sf):
+    start = grids(spark, sf, "line").withColumn("v", F.lit(0.0))
+    return fit.rmsprop_step(start, gradient(spark, sf), ["node_id", "ix"]).select("node_id", "ix", (F.round("value", 5) + F.lit(0.0)).alias("v"))
+
+
+@query("gradient_correction", f"WITH {SQL['rays']} SELECT ray_id, {', '.join(rnd(f'o{a} - (ox * dx + oy * dy + oz * dz) * d{a}', f'g{a}') for a in 'xyz')} FROM rays")
+def gradient_correction(spark, sf):
+    g = fit.remove_along(tuple(F.col(f"o{a}") for a in "xyz"), tuple(F.col(f"d{a}") for a in "xyz"))
+    return view(spark, sf, "rays").select("ray_id", *[r6(x).alias(f"g{a}") for x, a in zip(g, "xyz", strict=True)])
+
+
+_RI = rot_sql("sx", "sy", "sz", True)
+
+
+@query("rotation_gradient", f"WITH {SQL['points']}, {SQL['poses']}, s AS (SELECT point_id % 10 + 1 AS image_id, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz FROM points GROUP BY 1) SELECT s.image_id, {', '.join(rnd(r, f'g{a}', 4) for r, a in zip(_RI, 'xyz', strict=True))} FROM s JOIN poses ON s.image_id = poses.image_id")
+def rotation_gradient(spark, sf):
+    """Gradients of rotated points, summed per image and turned back: the sum is linear, so it is made first."""
+    from ..operators import camera
+
+    s = view(spark, sf, "points").groupBy((F.col("point_id") % 10 + 1).alias("image_id")).agg(*[F.sum(a).alias(a) for a in "xyz"])
+    out = camera.rotate_points(s, view(spark, sf, "poses"), inverse=True)
+    return out.select("image_id", *[(F.round(a, 4) + F.lit(0.0)).alias(f"g{a}") for a in "xyz"])
+
+
+@query("moment_update", f'WITH {IM} SELECT image_id, "row", col, round({_V} * {d(0.75)} + {d(0.25)} * ("row" + col) / 14, 6) + {d(0)} AS blended FROM images')
+def moment_update(spark, sf):
+    i = images(spark, sf)
+    new = i.select("image_id", "row", "col", ((F.col("row") + F.col("col")) / 14).alias("value"))
+    return evolve.blend_moments(i, new, ["image_id", "row", "col"], 4).select("image_id", "row", "col", r6(F.col("value")).alias("blended"))
+
+
+@query("lattice", f"WITH {SQL['points']}, {tree_sql('leaf', DEPTH)}, used AS (SELECT {leaf_sql(DEPTH)} AS node_id, avg(value) AS v FROM points GROUP BY 1), g AS (SELECT leaf.*, v, unnest(range(64)) AS c FROM leaf JOIN used ON leaf.node_id = used.node_id) SELECT node_id, CAST(c AS INT) AS c, round(x0 + (c % 4) / {d(3)} * (x1 - x0), 6) + {d(0)} AS x, round(y0 + ((c // 4) % 4) / {d(3)} * (y1 - y0), 6) + {d(0)} AS y, round(z0 + (c // 16) / {d(3)} * (z1 - z0), 6) + {d(0)} AS z FROM g")
+def lattice(spark, sf):
+    used = view(spark, sf, "points").select(points.leaf_key(DEPTH).alias("node_id")).distinct()
+    g = batches.lattice(tree.full_tree(spark, DEPTH).join(used.where("node_id is not null"), "node_id"), 4)
+    return g.select("node_id", "c", *[r6(F.col(a)).alias(a) for a in "xyz"])
+
+
+@query("sampled_volume", f"WITH {SQL['points']}, {IM}, v AS (SELECT {leaf_sql(DEPTH)} AS node_id, avg(value) AS v FROM points GROUP BY 1) SELECT CAST((node_id - 9) % 4 AS INT) AS ix, CAST(((node_id - 9) // 4) % 4 AS INT) AS iy, CAST((node_id - 9) // 16 AS INT) AS iz, round(v, 5) AS v, node_id FROM v WHERE node_id IS NOT NULL")
+def sampled_volume(spark, sf):
+    from ..sources.arrays import volume
+
+    v = view(spark, sf, "points").groupBy(points.leaf_key(DEPTH).alias("node_id")).agg(F.avg("value").alias("value")).where("node_id is not null")
+    out = volume(v.withColumn("i", F.col("node_id") - 9).withColumn("valid", F.lit(True)), (4, 4, 4))
+    return out.select("ix", "iy", "iz", F.round("value", 5).alias("v"), "node_id")
+
+
+@query("network_decode")
+def network_decode(spark, sf):
+    """A small network over whole images, in Arrow batches (tests hold it against numpy)."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return e.select("vec_id", r6(fit.decode(F.col("embedding"), fit.init_network([64, 16, 1], 7))).alias("density"))
+
+
+@query("radial_spectrum")
+def radial_spectrum(spark, sf):
+    return spectral.radial_spectrum(images(spark, sf)).select("image_id", "radius", r6(F.col("magnitude")).alias("magnitude"))
+
+
+@query("random_batch")
+def random_batch(spark, sf):
+    """A sampling operator: about a tenth of the pixels by a seed."""
+    return batches.random_batch(view(spark, sf, "pixels"), 10, 0.1, 3).select("pixel_id", "image_id", "u", "v")
+
+
+@query("random_in_nodes")
+def random_in_nodes(spark, sf):
+    used = view(spark, sf, "points").select(points.leaf_key(DEPTH).alias("node_id")).distinct()
+    return batches.random_in_nodes(tree.full_tree(spark, DEPTH).join(used, "node_id"), 16, 5)
+
+
+@query("explicit_grid", f"WITH {SQL['points']}, {IM}, {_LINE} SELECT point_id, ix, round(v * {d(2)} + {d(0.5)}, 6) AS feature FROM points JOIN line ON points.node_id = line.node_id WHERE ix < 4")
+def explicit_grid(spark, sf):
+    """All features of a point's node, with the affine bias of that node."""
+    g = grids(spark, sf, "line").where("ix < 4").select("node_id", "ix", F.col("value").alias("v"))
+    return view(spark, sf, "points").join(g, "node_id").select("point_id", "ix", r6(F.col("v") * 2 + 0.5).alias("feature"))

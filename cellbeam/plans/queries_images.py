@@ -30,6 +30,21 @@ _V = '"value"'
 _POS = f"({_V} + {d(0.6)})"
 
 
+def lerp_sql(axes: dict[str, int], grid: str, points: str, key: str) -> str:
+    """Multilinear look-up for DuckDB: floor cells, all corners by union, weighted sum."""
+    pre = ", ".join(f"least(greatest(c_{a}, 0), {n - 1}) AS q_{a}, least(CAST(floor(least(greatest(c_{a}, 0), {n - 1})) AS BIGINT), {n - 1}) AS l_{a}" for a, n in axes.items())
+    corner = []
+    for bits in range(1 << len(axes)):
+        cells, w = [], []
+        for k, (a, n) in enumerate(axes.items()):
+            hi = bits >> k & 1
+            cells.append(f"least(l_{a} + {hi}, {n - 1}) AS i{a}")
+            w.append(f"(q_{a} - l_{a})" if hi else f"(1 - (q_{a} - l_{a}))")
+        corner.append(f"SELECT {key}, node_id, {', '.join(cells)}, {' * '.join(w)} AS w FROM pre")
+    on = " AND ".join(["c.node_id = g.node_id", *[f"c.i{a} = g.i{a}" for a in axes]])
+    return f"pre AS (SELECT *, {pre} FROM {points}), corners AS ({' UNION ALL '.join(corner)}), sampled AS (SELECT {key}, sum(w * g.v) AS s FROM corners c JOIN {grid} g ON {on} GROUP BY {key})"
+
+
 def positive(spark, sf):
     return images(spark, sf).withColumn("value", F.col("value") + 0.6)
 
@@ -138,31 +153,30 @@ def exposure(spark, sf):
     return images(spark, sf).join(bias, "image_id", "left").select("image_id", "row", "col", r6(F.col("value") + F.coalesce("b", F.lit(0.0))).alias("exposed"))
 
 
+_SB = 'bias AS (SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS iy, p_partkey % 8 AS ix, 0 AS node_id, p_retailprice / 10000 AS v FROM part WHERE p_partkey < 64)'
+
+
+@query("sensor_bias", f'WITH {IM}, {_SB}, p AS (SELECT image_id * 64 + "row" * 8 + col AS point_id, image_id, 0 AS node_id, {_V}, (("row" + {d(0.3)}) / 7 * 8 - 0.5) AS c_y, ((col + {d(0.3)}) / 7 * 8 - 0.5) AS c_x FROM images), {lerp_sql({'y': 8, 'x': 8}, 'bias', 'p', 'point_id')} SELECT p.point_id, round({_V} + s, 6) + {d(0)} AS corrected FROM p JOIN sampled ON p.point_id = sampled.point_id')
+def sensor_bias(spark, sf):
+    """A bias image looked up between pixel centres, clamped at the border, is added to all images."""
+    part = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey < 64")
+    bias = part.select(F.lit(0).alias("node_id"), F.floor(F.col("p_partkey") / 8).cast("int").alias("iy"), (F.col("p_partkey") % 8).cast("int").alias("ix"), (F.col("p_retailprice") / 10000).alias("value"))
+    i = images(spark, sf).withColumn("point_id", F.col("image_id") * 64 + F.col("row") * 8 + F.col("col")).withColumn("node_id", F.lit(0))
+    at = {a: uv_to_pixel((F.col(c) + 0.3) / 7, 8, False) for a, c in (("y", "row"), ("x", "col"))}
+    s = interp.sample_grid(i.drop("value"), bias, at, {"y": 8, "x": 8}, out="s")
+    return i.join(s, "point_id").select("point_id", r6(F.col("value") + F.col("s")).alias("corrected"))
+
+
 @query("response_lut", f'WITH {IM}, k AS (SELECT *, least(greatest({_POS}, 0), 1.2) / 1.2 * 24 AS p FROM images), i AS (SELECT *, CAST(floor(p) AS BIGINT) AS lo FROM k) SELECT image_id, "row", col, round(sqrt(lo / {d(24)}) * (1 - (p - lo)) + sqrt(least(lo + 1, 24) / {d(24)}) * (p - lo) + CASE WHEN {_POS} > 1.2 THEN ({_POS} - 1.2) * 0.01 ELSE 0 END, 6) + {d(0)} AS response FROM i')
 def response_lut(spark, sf):
     """A 25-knot curve, one per label, looked up linearly, with a small leak above its range."""
     i = positive(spark, sf).withColumn("point_id", F.col("image_id") * 64 + F.col("row") * 8 + F.col("col")).withColumn("node_id", F.col("label"))
     knots = i.select("node_id").distinct().withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("value", F.sqrt(F.col("ix") / 24))
-    v = interp.sample_grid(i.drop("value").withColumn("p", i["value"] / 1.2 * 24), knots, {"x": F.col("p")}, {"x": 25}, out="r")
+    v = interp.sample_grid(i.withColumn("p", F.col("value") / 1.2 * 24).drop("value"), knots, {"x": F.col("p")}, {"x": 25}, out="r")
     leak = F.when(F.col("value") > 1.2, (F.col("value") - 1.2) * 0.01).otherwise(0.0)
     return i.join(v, "point_id").select("image_id", "row", "col", r6(F.col("r") + leak).alias("response"))
 
 
-def lerp_sql(axes: dict[str, int], grid: str, points: str, key: str) -> str:
-    """Multilinear look-up for DuckDB: floor cells, all corners by union, weighted sum."""
-    pre = ", ".join(f"least(greatest(c_{a}, 0), {n - 1}) AS q_{a}, least(CAST(floor(least(greatest(c_{a}, 0), {n - 1})) AS BIGINT), {n - 1}) AS l_{a}" for a, n in axes.items())
-    corner = []
-    for bits in range(1 << len(axes)):
-        cells, w = [], []
-        for k, (a, n) in enumerate(axes.items()):
-            hi = bits >> k & 1
-            cells.append(f"least(l_{a} + {hi}, {n - 1}) AS i{a}")
-            w.append(f"(q_{a} - l_{a})" if hi else f"(1 - (q_{a} - l_{a}))")
-        corner.append(f"SELECT {key}, node_id, {', '.join(cells)}, {' * '.join(w)} AS w FROM pre")
-    on = " AND ".join(["c.node_id = g.node_id", *[f"c.i{a} = g.i{a}" for a in axes]])
-    return f"pre AS (SELECT *, {pre} FROM {points}), corners AS ({' UNION ALL '.join(corner)}), sampled AS (SELECT {key}, sum(w * g.v) AS s FROM corners c JOIN {grid} g ON {on} GROUP BY {key})"
-
-
 _PLANE = f'plane AS (SELECT image_id AS node_id, "row" AS iy, col AS ix, {_V} AS v FROM images)'
 _LINE = f'line AS (SELECT image_id AS node_id, "row" * 8 + col AS ix, {_V} AS v FROM images)'
 _CUBE = f'cube AS (SELECT image_id AS node_id, ("row" * 8 + col) // 16 AS iz, (("row" * 8 + col) // 4) % 4 AS iy, ("row" * 8 + col) % 4 AS ix, {_V} AS v FROM images)'
