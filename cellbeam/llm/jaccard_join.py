@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,22 +217,31 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     total = some.agg(F.sum(F.expr(f"n_shingles - (({percent} * n_shingles + 99) div 100) + 1"))).first()[0] or 0
     classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = keep(shared_entries(classes, max(parts, total // FRAGMENT + 1)))
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    # first every class with the least one that shares a shingle: this joins groups of near copies
-    leader = entries.groupBy("shingle").agg(F.min(F.struct("id", "n")).alias("l"))
-    stars = entries.join(leader, "shingle").where(F.col("l.id") < F.col("id")).where(near(F.col("l.n"), F.col("n"))).groupBy(F.col("l.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("c")).select("a", "b")
+    entries = shared_entries(classes, max(parts, total // FRAGMENT + 1))
+    # what of a prefix no other class has is missing in every partner
+    own = F.expr(f"n - (({percent} * n + 99) div 100) + 1") - F.count(F.lit(1)).over(W.partitionBy("id"))
+    entries = keep(entries.withColumn("own", own))
+    need = lambda x, y: F.floor((percent * (x + y) + (99 + percent)) / (100 + percent)).cast("long")
+
+    def possible(x, ox, y, oy):
+        """Lengths that allow a link, and enough entries on both sides that the other one may have."""
+        return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.least(x - ox, y - oy) >= need(x, y))
+
+    # first every class with the one of a shingle that has the least of its own: this joins groups of near copies
+    leader = entries.groupBy("shingle").agg(F.min(F.struct("own", "id", "n")).alias("l"))
+    stars = entries.join(leader, "shingle").where(F.col("l.id") != F.col("id")).where(possible(F.col("l.n"), F.col("l.own"), F.col("n"), F.col("own")))
+    stars = stars.select(F.least("l.id", "id").alias("a"), F.greatest("l.id", "id").alias("b")).distinct()
     first = keep(verified(keep(stars), docs, size, percent, id_col, text_col))
     group = keep(components(first))
     # then all pairs that are not in one group yet, by the sum of what they share in all fragments
-    tagged = entries.join(group, entries["id"] == group["node"], "left").select("shingle", "id", "n", F.coalesce("component", "id").alias("g"))
+    tagged = entries.join(group, entries["id"] == group["node"], "left").select("shingle", "id", "n", "own", F.coalesce("component", "id").alias("g"))
     mixed = tagged.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
     tagged = keep(tagged.join(mixed, "shingle", "left_semi"))
-    x, y = [tagged.select("shingle", *[F.col(c).alias(c + s) for c in ("id", "n", "g")]) for s in ("x", "y")]
-    pairs = x.join(y, "shingle").where("idx < idy and gx <> gy").where(near(F.col("nx"), F.col("ny"))).groupBy("idx", "idy").agg(F.count(F.lit(1)).alias("common"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    x, y = [tagged.select("shingle", *[F.col(c).alias(c + s) for c in ("id", "n", "own", "g")]) for s in ("x", "y")]
+    pairs = x.join(y, "shingle").where("idx < idy and gx <> gy").where(possible(F.col("nx"), F.col("ownx"), F.col("ny"), F.col("owny"))).groupBy("idx", "idy").agg(F.count(F.lit(1)).alias("common"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
     # of equal limits: overlap >= need; of a prefix of n - ceil(p n) + 1 entries at most n - need are missing in the partner
-    need = F.expr(f"({percent} * (nx + ny) + {100 + percent - 1}) div {100 + percent}")
-    bound = F.least(*[need - F.expr(f"(({percent} * {n} + 99) div 100)") + 1 for n in ("nx", "ny")])
+    least_common = need(F.col("nx"), F.col("ny"))
+    bound = F.least(*[least_common - F.expr(f"(({percent} * {n} + 99) div 100)") + 1 for n in ("nx", "ny")])
     second = verified(keep(pairs.where(F.col("common") >= bound).select(F.col("idx").alias("a"), F.col("idy").alias("b"))), docs, size, percent, id_col, text_col)
     final = keep(components(first.unionByName(second)))
     least = classes.select("k1", "k2", "n_shingles", F.col("id").alias("least"))
