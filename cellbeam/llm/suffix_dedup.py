@@ -176,7 +176,7 @@ def _find(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", 1 << 20):
                 row, at, hashes, lo, hi = anchors(*text_buffer(part.column(1)), length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column(0).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in (at, lo, hi)]], names=schema.names)
 
@@ -194,7 +194,7 @@ def _contexts(found: DataFrame, length: int, fragments: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "text", 8 << 20):
+            for part in steps(batch, "text"):
                 raw, bounds = text_buffer(part.column(1))
                 data = raw.tobytes()
                 marks = part.column(2)
@@ -316,7 +316,7 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str
     docs = df.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), text.alias("text"), F.col(id_col).alias("__id"))
     every = stash(_find(docs.select("key", "text"), length, gram), shared_dir(spark))
     common = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    some = every.join(common, "gram").groupBy("key").agg(F.array_distinct(F.collect_list(F.struct("gram", "at", "lo", "hi"))).alias("marks"), F.count(F.lit(1)).alias("n"))
+    some = every.join(common, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "at", "lo", "hi")).alias("marks"), F.count(F.lit(1)).alias("n"))
     some = stash(some, shared_dir(spark))
     total = some.agg(F.sum("n")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
