@@ -288,12 +288,26 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int
     root = vector @ np.diag(value**-0.5) @ vector.T
     z = x @ root
     _, doc = np.unique(ids, return_inverse=True)
-    # the two labels weigh the same in all
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, bias = fit_svm(z, np.where(y == 1, 1.0, -1.0), weight, cost)
+    signs = np.where(y == 1, 1.0, -1.0)
     label = np.zeros(doc.max() + 1)
     label[doc] = y
-    layer = fit_logistic(document_features(doc, z @ w + bias, bias, len(label)), label)
+    n = len(label)
+
+    def machine(use):
+        """The two labels weigh the same in all."""
+        weight = np.where(y == 1, 0.5 / max(1, (use & (y == 1)).sum()), 0.5 / max(1, (use & (y == 0)).sum()))
+        return fit_svm(z[use], signs[use], weight[use], cost)
+
+    # the layer learns from margins of machines that have not seen the document
+    seen = np.zeros((n, 3))
+    for fold in range(4):
+        out = doc % 4 == fold
+        if (y[~out] == 1).any() and (y[~out] == 0).any():
+            w, bias = machine(~out)
+            here = np.arange(n) % 4 == fold
+            seen[here] = document_features(doc[out], z[out] @ w + bias, bias, n)[here]
+    layer = fit_logistic(seen, label)
+    w, bias = machine(np.ones(len(y), bool))
     return ToxicityModel(marks, root @ w, bias, layer)
 
 
