@@ -114,10 +114,19 @@ def likeness(a: str, b: str) -> float:
 
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) numbers in ``a`` whose branches do not occur in ``b``."""
-    sections = {s[0] for s in _branches(b)}
-    paragraphs = {p[0] for s in _branches(b) for p in s[1]}
-    return [(i, j) for i, s in enumerate(_branches(a)) if s[0] not in sections for j, p in enumerate(s[1]) if p[0] not in paragraphs]
+    """(section, paragraph) numbers of ``a`` between the first and the last branch that differs from ``b``."""
+
+    def middle(x: list[str], y: list[str]) -> tuple[int, int, int]:
+        head = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        most = min(len(x), len(y)) - head
+        tail = next((i for i in range(most) if x[-1 - i] != y[-1 - i]), most)
+        return head, len(x) - tail, len(y) - tail
+
+    left, right = _branches(a), _branches(b)
+    head, end_a, end_b = middle([s[0] for s in left], [s[0] for s in right])
+    at = [(i, j) for i in range(head, end_a) for j in range(len(left[i][1]))]
+    first, last, _ = middle([left[i][1][j][0] for i, j in at], [p[0] for s in right[head:end_b] for p in s[1]])
+    return at[first:last]
 
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
