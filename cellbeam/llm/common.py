@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -48,6 +50,13 @@ def drop_stash(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES):
     """Cut a batch into row ranges of about ``limit`` bytes of ``column``; rows stay whole."""
     arr = batch.column(batch.schema.get_field_index(column))
@@ -57,6 +66,7 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
         yield batch.slice(at, min(to, len(arr)) - at)
         at = min(to, len(arr))
+    give_back()
 
 
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import steps
 
 #: Entries after which a task's lexicon starts anew.
-LEXICON = 1_500_000
+LEXICON = 1_000_000
 #: A character that stands between chunks; one token, and a chunk that holds it is encoded alone.
 MARK = "\x01"
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}

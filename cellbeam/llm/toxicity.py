@@ -319,7 +319,7 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "__text"):
+            for part in steps(batch, "__text", 1 << 20):
                 s = model.score(*text_buffer(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
