@@ -1,4 +1,4 @@
-"""Rays against boxes: hits by descent, sample generation, weights and integration."""
+"""Rays against boxes: hits by plane crossings, sample generation, weights and integration."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import slab
-from .tree import boxes, level_start
+from .tree import level_start, morton_of
 
 RAY = ("ray_id", "ox", "oy", "oz", "dx", "dy", "dz")
 
@@ -15,18 +15,28 @@ RAY = ("ray_id", "ox", "oy", "oz", "dx", "dy", "dz")
 def ray_node_hits(rays: DataFrame, depth: int, quad: bool = False, y=(-1.0, 1.0), min_length: float = 1e-5) -> DataFrame:
     """``ray_id.., node_id, tmin, tmax`` of every ray and every node of a level that it crosses.
 
-    Walks down the tree: each step makes the children of the nodes that were hit and tests them, so a ray costs
-    what it crosses. There is no join, no shuffle and nothing to broadcast, whatever the number of nodes.
+    A ray's crossings with all planes of the level are sorted; between two of them it is in one node, whose
+    Morton id follows from the middle. A ray costs what it crosses: there is no test against nodes, no join, no
+    shuffle and nothing to broadcast, whatever the number of nodes. A zero direction component stays in the
+    half-open cell of its origin; parts shorter than ``min_length`` or wholly behind the origin are left out.
     """
-    fan = 4 if quad else 8
-    at = rays.select(*RAY, F.lit(0).cast("long").alias("m"))
-    for d in range(depth + 1):
-        if d:
-            at = at.select(*RAY, F.explode(F.sequence(F.col("m") * fan, F.col("m") * fan + fan - 1)).alias("m"))
-        at = at.select(*RAY, "m", *boxes(F.col("m"), d, quad, y))
-        tmin, tmax, hit = slab()
-        at = at.select(*RAY, "m", tmin.alias("tmin"), tmax.alias("tmax"), hit.alias("hit")).where("hit")
-    return at.where(F.col("tmax") - F.col("tmin") >= min_length).select(*RAY, (F.col("m") + level_start(depth, fan)).alias("node_id"), "tmin", "tmax")
+    n = 1 << depth
+    split = {a: (y[0], y[1], 1) if quad and a == "y" else (-1.0, 1.0, n) for a in "xyz"}
+    planes = []
+    for a, (lo, hi, k) in split.items():
+        o, d = F.col(f"o{a}"), F.col(f"d{a}")
+        at = [F.lit(lo + i * ((hi - lo) / k)) for i in range(k + 1)]
+        planes.append(F.when(d != 0, F.array(*[(p - o) / d for p in at])).otherwise(F.array().cast("array<double>")))
+    t = rays.select(*RAY, F.sort_array(F.concat(*planes)).alias("t"))
+    pairs = F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))).alias("tmin"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("tmax"))
+    part = t.select(*RAY, F.explode(pairs).alias("p")).select(*RAY, "p.tmin", "p.tmax").where((F.col("tmax") - F.col("tmin") >= min_length) & (F.col("tmax") >= 0))
+    middle = (F.col("tmin") + F.col("tmax")) / 2
+    cell = {a: F.floor((F.col(f"o{a}") + F.col(f"d{a}") * middle - lo) / ((hi - lo) / k)) for a, (lo, hi, k) in split.items()}
+    part = part.select(*RAY, "tmin", "tmax", *[c.alias(f"c{a}") for a, c in cell.items()])
+    for a, (_, _, k) in split.items():
+        part = part.where(F.col(f"c{a}").between(0, k - 1))
+    node = morton_of({a: F.col(f"c{a}") for a in "xyz"}, depth, quad) + level_start(depth, 4 if quad else 8)
+    return part.select(*RAY, node.alias("node_id"), "tmin", "tmax")
 
 
 def ray_box_hits(rays: DataFrame, lo, hi, min_length: float = 1e-5) -> DataFrame:
