@@ -110,16 +110,16 @@ def describe(docs: DataFrame, frequent: np.ndarray, size: int, percent: int, id_
     return src.mapInArrow(run, schema)
 
 
-_ENTRY = np.dtype([("shingle", "<u8"), ("id", "<i8"), ("n", "<i4")])
+_ENTRY = np.dtype([("shingle", "<u8"), ("id", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
 def shared_entries(classes: DataFrame, fragments: int) -> DataFrame:
-    """``shingle, id, n`` of the prefix entries whose shingle occurs in several classes.
+    """``shingle, id, n, at`` (place in the order) of the prefix entries whose shingle occurs in several classes.
 
     Entries travel as one block per batch and fragment (a range of the hash order); a task holds one fragment.
     """
     dealt = T.StructType([T.StructField("fragment", T.IntegerType()), T.StructField("block", T.BinaryType())])
-    schema = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("shingle", T.LongType()), *[T.StructField(x, T.LongType()) for x in ("id", "n", "at")]])
     width = (1 << 64) // fragments + 1
 
     def deal(batches):
@@ -130,6 +130,7 @@ def shared_entries(classes: DataFrame, fragments: int) -> DataFrame:
             entries["shingle"] = np.frombuffer(b"".join(prefixes), "<u8")
             entries["id"] = np.repeat(batch.column(0).to_numpy(), sizes)
             entries["n"] = np.repeat(batch.column(1).to_numpy(), sizes)
+            entries["at"] = np.arange(len(entries)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             entries = entries[np.argsort(entries["shingle"])]
             part = (entries["shingle"] // np.uint64(width)).astype(np.int64)
             cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
@@ -145,7 +146,7 @@ def shared_entries(classes: DataFrame, fragments: int) -> DataFrame:
             e = e[keep] if len(e) > 1 else e[:0]
             for lo in range(0, len(e), 1 << 17):
                 x = e[lo : lo + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["shingle"]).view(np.int64)), pa.array(np.ascontiguousarray(x["id"])), pa.array(x["n"].astype(np.int64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["shingle"]).view(np.int64)), pa.array(np.ascontiguousarray(x["id"])), *[pa.array(x[c].astype(np.int64)) for c in ("n", "at")]], names=schema.names)
 
         now, held = None, []
         for batch in batches:
@@ -223,22 +224,31 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     entries = keep(entries.withColumn("own", own))
     need = lambda x, y: F.floor((percent * (x + y) + (99 + percent)) / (100 + percent)).cast("long")
 
-    def possible(x, ox, y, oy):
-        """Lengths that allow a link, and enough entries on both sides that the other one may have."""
-        return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.least(x - ox, y - oy) >= need(x, y))
+    def possible(x: str, y: str):
+        """Whether the entries x and y of one shingle can be the first that a linked pair has in common.
+
+        The lengths must allow a link, each side must have enough entries that the other may have, and less
+        must stand before the first common one than may be missing in the partner.
+        """
+        (n, own, at), (m, has, on) = ([F.col(p.format(c)) for c in ("n", "own", "at")] for p in (x, y))
+        common = need(n, m)
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - own, m - has) >= common) & (at <= n - common) & (on <= m - common)
 
     # first every class with the one of a shingle that has the least of its own: this joins groups of near copies
-    leader = entries.groupBy("shingle").agg(F.min(F.struct("own", "id", "n")).alias("l"))
-    stars = entries.join(leader, "shingle").where(F.col("l.id") != F.col("id")).where(possible(F.col("l.n"), F.col("l.own"), F.col("n"), F.col("own")))
+    leader = entries.groupBy("shingle").agg(F.min(F.struct("own", "id", "n", "at")).alias("l"))
+    stars = entries.join(leader, "shingle").where(F.col("l.id") != F.col("id")).where(possible("l.{}", "{}"))
     stars = stars.select(F.least("l.id", "id").alias("a"), F.greatest("l.id", "id").alias("b")).distinct()
     first = keep(verified(keep(stars), docs, size, percent, id_col, text_col))
     group = keep(components(first))
-    # then all pairs that are not in one group yet, by the sum of what they share in all fragments
-    tagged = entries.join(group, entries["id"] == group["node"], "left").select("shingle", "id", "n", "own", F.coalesce("component", "id").alias("g"))
+    # then all pairs that are not in one group yet, by what they share in all fragments
+    tagged = entries.join(group, entries["id"] == group["node"], "left").select("shingle", "id", "n", "own", "at", F.coalesce("component", "id").alias("g"))
     mixed = tagged.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
     tagged = keep(tagged.join(mixed, "shingle", "left_semi"))
-    x, y = [tagged.select("shingle", *[F.col(c).alias(c + s) for c in ("id", "n", "own", "g")]) for s in ("x", "y")]
-    pairs = x.join(y, "shingle").where("idx < idy and gx <> gy").where(possible(F.col("nx"), F.col("ownx"), F.col("ny"), F.col("owny"))).groupBy("idx", "idy").agg(F.count(F.lit(1)).alias("common"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    x, y = [tagged.select("shingle", *[F.col(c).alias(c + s) for c in ("id", "n", "own", "at", "g")]) for s in ("x", "y")]
+    pairs = keep(x.join(y, "shingle").where("idx < idy and gx <> gy").where(possible("{}x", "{}y")).select("idx", "idy", "nx", "ny").distinct())
+    prefixes = entries.groupBy("id").agg(F.collect_list("shingle").alias("s"))
+    both = pairs.join(prefixes.select(F.col("id").alias("idx"), F.col("s").alias("sx")), "idx").join(prefixes.select(F.col("id").alias("idy"), F.col("s").alias("sy")), "idy")
+    pairs = both.withColumn("common", F.size(F.array_intersect("sx", "sy"))).drop("sx", "sy")
     # of equal limits: overlap >= need; of a prefix of n - ceil(p n) + 1 entries at most n - need are missing in the partner
     least_common = need(F.col("nx"), F.col("ny"))
     bound = F.least(*[least_common - F.expr(f"(({percent} * {n} + 99) div 100)") + 1 for n in ("nx", "ny")])
