@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, span_hashes, stash, steps, text_buffer
+from .common import mix, shared_dir, span_hashes, stash, steps, text_buffer
 
 #: Document keys that are broadcast at most (8 MB); more are joined by a shuffle.
 BROADCAST_KEYS = 1 << 20
@@ -131,40 +131,64 @@ def merge_runs(runs: list[tuple[list[int], list[bytes]]]):
         champion = c
 
 
-def repeated(group: list[tuple[bytes, bytes, int, int, int]], lcps: list[int], length: int) -> list[list[tuple[int, int]]]:
+def common_suffix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    x = int.from_bytes(a[-n:], "big") ^ int.from_bytes(b[-n:], "big")
+    return n if not x else ((x & -x).bit_length() - 1) // 8
+
+
+#: Groups up to this size are compared pair by pair.
+PAIRS = 16
+
+
+def repeated(group: list[tuple[bytes, bytes, int, int, int]], lcps: list[int], length: int) -> list[tuple[int, int] | None]:
     """For suffixes in order, each with the bytes left of it, its least and largest distance and its number:
-    the ranges (from, to), relative to the anchor, of bytes that repeated windows cover.
+    the range (from, to), relative to the anchor, of bytes that repeated windows cover, or None.
 
-    ``lcps``: common prefix of each with the one before. Windows are compared distance by distance, only where
-    a neighbour shares enough bytes on the right.
+    All windows of an anchor cover it, so their union is one range and only the least and the largest distance
+    of a repeated window count. ``lcps``: common prefix of each with the one before. Two suffixes share the
+    windows that their common prefix and the common bytes on the left reach together: small groups and all
+    neighbours are compared that way. In large groups the windows that are still open are then counted distance
+    by distance, only where a neighbour shares enough on the right.
     """
     m = len(group)
-    hit: list[set[int]] = [set() for _ in group]
-    reach = [max(lcps[i] if i else 0, lcps[i + 1] if i + 1 < m else 0) for i in range(m)]
-    open_at: dict[int, list[int]] = {}
+    least, most = [1 << 30] * m, [-1] * m
     for i, (_, _, lo, hi, number) in enumerate(group):
         if number > 1:
-            hit[i].update(range(lo, hi + 1))
-        for d in range(max(lo, length - reach[i]), hi + 1):
-            open_at.setdefault(d, []).append(i)
-    for d, members in open_at.items():
-        if len(members) < 2:
-            continue
-        windows = [group[i][1][len(group[i][1]) - d :] + group[i][0][: length - d] for i in members]
-        often = Counter(windows)
-        for i, w in zip(members, windows, strict=True):
-            if often[w] > 1:
-                hit[i].add(d)
-    out = []
-    for distances in hit:
-        ranges: list[tuple[int, int]] = []
-        for d in sorted(distances, reverse=True):
-            if ranges and ranges[-1][1] >= -d:
-                ranges[-1] = (ranges[-1][0], length - d)
-            else:
-                ranges.append((-d, length - d))
-        out.append(ranges)
-    return out
+            least[i], most[i] = lo, hi
+    for i in range(m):
+        right = length
+        for j in range(i + 1, m if m <= PAIRS else min(m, i + 2)):
+            right = min(right, lcps[j])
+            a, b = length - right, max(group[i][3], group[j][3])
+            if a > b:
+                break
+            left = common_suffix(group[i][1], group[j][1])
+            for k in (i, j):
+                lo, hi = max(a, group[k][2]), min(left, group[k][3])
+                if lo <= hi:
+                    least[k], most[k] = min(least[k], lo), max(most[k], hi)
+    if m > PAIRS:
+        open_at: dict[int, list[int]] = {}
+        wanted = set()
+        for i, (_, _, lo, hi, _) in enumerate(group):
+            reach = max(lcps[i] if i else 0, lcps[i + 1] if i + 1 < m else 0)
+            for d in range(max(lo, length - reach), hi + 1):
+                open_at.setdefault(d, []).append(i)
+                if not least[i] <= d <= most[i]:
+                    wanted.add(d)
+        for d in wanted:
+            members = open_at[d]
+            if len(members) < 2:
+                continue
+            windows = [group[i][1][len(group[i][1]) - d :] + group[i][0][: length - d] for i in members]
+            often = Counter(windows)
+            for i, w in zip(members, windows, strict=True):
+                if often[w] > 1:
+                    least[i], most[i] = min(least[i], d), max(most[i], d)
+    return [(-b, length - a) if b >= 0 else None for a, b in zip(least, most, strict=True)]
 
 
 _HEAD = np.dtype([("gram", "<i8"), ("mark", "<i8"), ("shared", "<i4"), ("rest", "<i4"), ("left", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("number", "<i4")])
@@ -210,7 +234,7 @@ def _contexts(found: DataFrame, length: int, fragments: int) -> DataFrame:
                 both = np.empty(len(g), [("g", "<i8"), ("m", "<i8")])
                 both["g"], both["m"] = g, mark
                 _, first, number = np.unique(both, return_index=True, return_counts=True)
-                fragment = g.view(np.uint64)[first] // np.uint64(width)
+                fragment = mix(np.ascontiguousarray(g).view(np.uint64)[first]) // np.uint64(width)  # anchors' own hashes are small
                 blocks = {}
                 for f in np.unique(fragment).tolist():
                     mine = first[fragment == f]
@@ -243,21 +267,22 @@ def _read_run(block: bytes):
 
 
 def _verdicts(runs: DataFrame, length: int, gram: int, fragments: int) -> DataFrame:
-    """``gram, mark, spans`` of the suffixes whose windows repeat; spans: int16 pairs relative to the anchor."""
-    schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("spans", T.BinaryType())])
+    """``gram, mark, start, end`` of the suffixes whose windows repeat; the range is relative to the anchor."""
+    schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
     def judge(blocks):
         runs_in = [_read_run(b) for b in blocks]
         group: list = []
         marks: list = []
         lcps: list[int] = []
-        out: dict[tuple[int, int], bytes] = {}
+        out: dict[tuple[int, int], tuple[int, int]] = {}
 
         def close():
             if len(group) > 1 or group and group[0][4] > 1:
-                for mark, ranges in zip(marks, repeated(group, lcps, length), strict=True):
-                    if ranges:
-                        out[mark] = np.array(ranges, "<i2").tobytes()
+                for mark, covered in zip(marks, repeated(group, lcps, length), strict=True):
+                    if covered:
+                        was = out.get(mark, covered)
+                        out[mark] = (min(was[0], covered[0]), max(was[1], covered[1]))
             group.clear()
             marks.clear()
             lcps.clear()
@@ -272,7 +297,7 @@ def _verdicts(runs: DataFrame, length: int, gram: int, fragments: int) -> DataFr
             lcps.append(lcp)
         close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array(list(out.values()), pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), *[pa.array([v[i] for v in out.values()], pa.int32()) for i in (0, 1)]], names=schema.names)
 
     def run(batches):
         now, held = None, []
@@ -324,7 +349,7 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str
     contexts = stash(_contexts(_with_marks(docs.select("key", "text"), some.drop("n"), "inner"), length, fragments), shared_dir(spark))
     verdicts = _verdicts(contexts.where("run is not null").select("fragment", "run"), length, gram, fragments)
     hits = contexts.where("mark is not null").select("gram", "mark", "key", "at").join(verdicts, ["gram", "mark"])
-    cover = stash(hits.groupBy("key").agg(F.collect_list(F.struct("at", "spans")).alias("marks")), shared_dir(spark))
+    cover = stash(hits.groupBy("key").agg(F.collect_list(F.struct((F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))).alias("marks")), shared_dir(spark))
     kind = df.schema[id_col]
     run_type = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(id_col, kind.dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(run_type)), T.StructField("kept", T.BinaryType())])
@@ -341,9 +366,7 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str
                     runs_here: list[list[int]] = []
                     if marks.is_valid:
                         values = marks.values
-                        at, pairs = values.field(0).to_pylist(), values.field(1).to_pylist()
-                        ranges = [(a + s, a + e) for a, x in zip(at, pairs, strict=True) for s, e in np.frombuffer(x, "<i2").reshape(-1, 2).tolist()]
-                        for s, e in sorted(ranges):
+                        for s, e in sorted(zip(values.field(0).to_pylist(), values.field(1).to_pylist(), strict=True)):
                             if runs_here and s <= runs_here[-1][1]:
                                 runs_here[-1][1] = max(e, runs_here[-1][1])
                             else:
