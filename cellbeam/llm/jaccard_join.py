@@ -116,7 +116,7 @@ _ENTRY = np.dtype([("shingle", "<u8"), ("id", "<i8"), ("n", "<i4"), ("at", "<i4"
 def shared_entries(classes: DataFrame, fragments: int) -> DataFrame:
     """``shingle, id, n, at`` (place in the order) of the prefix entries whose shingle occurs in several classes.
 
-    Entries travel as one block per batch and fragment (a range of the hash order); a task holds one fragment.
+    Entries travel as one block per batch and fragment (a range of a hash of the order's keys); a task holds one fragment.
     """
     dealt = T.StructType([T.StructField("fragment", T.IntegerType()), T.StructField("block", T.BinaryType())])
     schema = T.StructType([T.StructField("shingle", T.LongType()), *[T.StructField(x, T.LongType()) for x in ("id", "n", "at")]])
@@ -131,8 +131,9 @@ def shared_entries(classes: DataFrame, fragments: int) -> DataFrame:
             entries["id"] = np.repeat(batch.column(0).to_numpy(), sizes)
             entries["n"] = np.repeat(batch.column(1).to_numpy(), sizes)
             entries["at"] = np.arange(len(entries)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            entries = entries[np.argsort(entries["shingle"])]
-            part = (entries["shingle"] // np.uint64(width)).astype(np.int64)
+            part = (mix(entries["shingle"]) // np.uint64(width)).astype(np.int64)  # a prefix has the small hashes
+            order = np.argsort(part, kind="stable")
+            entries, part = entries[order], part[order]
             cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
             blocks = [entries[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(blocks, pa.binary())], names=dealt.names)
