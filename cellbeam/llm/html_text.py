@@ -165,8 +165,7 @@ def blocks(node: Node) -> list[str]:
 
     def flush():
         if line:
-            text = "".join(line)
-            text = " ".join((html.unescape(text) if "&" in text else text).split())
+            text = " ".join("".join(line).split())
             if text:
                 out.append(text)
             line.clear()
@@ -175,7 +174,7 @@ def blocks(node: Node) -> list[str]:
     while todo:
         x = todo.pop()
         if type(x) is str:
-            line.append(x)
+            line.append(html.unescape(x) if "&" in x else x)
         elif x is None:
             flush()
         elif not x.boiler:
