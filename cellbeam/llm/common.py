@@ -20,8 +20,17 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 STEP_BYTES = 2 << 20
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound the bytes of an Arrow batch in this session: texts are long, and both sides hold a batch."""
+    for name, value in (("maxBytesPerBatch", size), ("maxRecordsPerBatch", 2000)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if int(spark.conf.get(key, str(value + 1))) > value or int(spark.conf.get(key, "0")) <= 0:
+            spark.conf.set(key, str(value))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read through Spark."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellbeam.llm import jaccard_join, packing, quality, suffix_dedup, toxicity
-from cellbeam.llm.common import shared_dir, stash, table
+from cellbeam.llm.common import shared_dir, small_batches, stash, table
 
 
 def _whole(docs: DataFrame) -> DataFrame:
     """Each document as one struct beside its text, so that an operator carries all its columns along."""
+    small_batches(docs.sparkSession)
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
 
 
@@ -33,6 +34,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group; rows of one id are one document; null ids stay."""
+    small_batches(spark)
     groups = stash(jaccard_join.similar_groups(docs).groupBy("doc_id").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("doc_id is not null and (n > 1 or doc_id <> component_id)"), shared_dir(spark))
     # few documents are copies: only their ids are looked up, so the texts need no shuffle while those are few
     ids = groups.select("doc_id")
@@ -55,6 +57,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs every document that is left."""
+    small_batches(spark)
     out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
