@@ -220,7 +220,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = shared_entries(classes, max(parts, total // FRAGMENT + 1))
-    # what of a prefix no other class has is missing in every partner
+    # what of a prefix no other class has in its own is missing in every partner whose prefix ends later in the order
     own = F.expr(f"n - (({percent} * n + 99) div 100) + 1") - F.count(F.lit(1)).over(W.partitionBy("id"))
     entries = keep(entries.withColumn("own", own))
     need = lambda x, y: F.floor((percent * (x + y) + (99 + percent)) / (100 + percent)).cast("long")
@@ -228,12 +228,13 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     def possible(x: str, y: str):
         """Whether the entries x and y of one shingle can be the first that a linked pair has in common.
 
-        The lengths must allow a link, each side must have enough entries that the other may have, and less
-        must stand before the first common one than may be missing in the partner.
+        The lengths must allow a link, the side whose prefix ends first in the order (either may be it) must have
+        enough entries that the other may have, and less must stand before the first common one than may be
+        missing in the partner.
         """
         (n, own, at), (m, has, on) = ([F.col(p.format(c)) for c in ("n", "own", "at")] for p in (x, y))
         common = need(n, m)
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - own, m - has) >= common) & (at <= n - common) & (on <= m - common)
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.greatest(n - own, m - has) >= common) & (at <= n - common) & (on <= m - common)
 
     # first every class with the one of a shingle that has the least of its own: this joins groups of near copies
     leader = entries.groupBy("shingle").agg(F.min(F.struct("own", "id", "n", "at")).alias("l"))

@@ -276,6 +276,23 @@ def test_jaccard_join(spark):
     assert jaccard_join.similar_groups(docs(spark, ["a"]).where("false")).count() == 0
 
 
+def test_jaccard_join_of_contained_texts(spark):
+    """One text of a pair is the other with a fifth to a quarter appended, or cut from its start or end."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(60):
+        n = int(rng.integers(40, 120))
+        more = n * int(rng.integers(20, 26)) // 100
+        w = [f"w{k}_{j}" for j in range(n + more)]
+        texts += [" ".join(w), " ".join(w[more:] if k % 3 == 0 else w[:n])]
+    w = [f"v{j}" for j in range(104)]
+    for _ in range(20):  # 80 of 100 shingles: exactly the limit
+        w = [f"{x}v" for x in w]
+        texts += [" ".join(w[:84]), " ".join(w)]
+    out = by_id(jaccard_join.similar_groups(docs(spark, texts)))
+    assert [(out[i]["n_shingles"], out[i]["component_id"]) for i in range(len(texts))] == brute_groups(texts)
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(205, 203), (203, 209), (7, 7)]
     out = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
