@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import ahocorasick
@@ -143,8 +144,8 @@ def scan_text(text: str) -> tuple[int, list[tuple[str, str, int, bool]], list[st
             hits.append((phrase, BASE.get(phrase) or NOTICES[phrase], last_word, phrase in BASE))
     labels = {h[1] for h in hits}
     score = 0.0
-    if hits:
-        granted = any(0 < h[2] - g <= 8 for h in hits for g in grants[:1000])
+    if hits:  # the last grant before a hit is the nearest; grants are in order
+        granted = any(k and h[2] - grants[k - 1] <= 8 for h in hits for k in [bisect.bisect_left(grants, h[2])])
         score = 0.9 if granted else 0.6
     if tagged:
         for m in _EXPRESSION.finditer(text):

@@ -213,6 +213,15 @@ def test_licenses(spark):
     assert licenses.evaluate(licenses.parse_expression("A OR B AND C")[0]) == {frozenset("a"), frozenset("bc")}
 
 
+def test_licenses_after_many_grants():
+    for n in (999, 1000, 1001, 3000):
+        text = "mit license " + "licensed under " + "some other terms that follow at length here and on " * 2 + "released under some other terms " * n
+        assert licenses.scan_text(text)[3] == 0.6
+        assert licenses.scan_text(text + "licensed under the mit license")[3] == 0.9
+        assert licenses.scan_text(text + "licensed under " + "x " * 6 + "mit license")[3] == 0.9
+        assert licenses.scan_text(text + "licensed under " + "x " * 7 + "mit license")[3] == 0.6
+
+
 def test_urls(spark):
     urls = ["https://www.Example.NET/en/1?x", "http://example.net/de/", "ftp://a.net", "http://shop.example.com/de/x", "http://x.org/fr/", "http://x.org/en/", "nourl", None, "http://bad.com/#://", "http://example.com/de/"]
     link = '<a href="http://shop.example.com/">x</a>'
