@@ -133,8 +133,11 @@ def measure(root: Node) -> None:
         node.total = sum(k.density for k in node.kids if type(k) is Node and not k.boiler)
 
 
-def main_node(root: Node) -> Node | None:
-    """The subtree of largest density sum, widened to whole articles and to siblings over the threshold."""
+def main_nodes(root: Node) -> list[Node]:
+    """The subtree of largest density sum, widened to whole articles and to siblings over the threshold.
+
+    Of the page itself (body) only the siblings over the threshold are taken along, in page order.
+    """
     best, todo = root, [root]
     while todo:
         node = todo.pop()
@@ -142,7 +145,7 @@ def main_node(root: Node) -> Node | None:
             best = node
         todo.extend(k for k in node.kids if type(k) is Node and not k.boiler)
     if not root.chars:
-        return None
+        return []
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
@@ -155,7 +158,10 @@ def main_node(root: Node) -> Node | None:
     for node in path:
         if node.tag in ("article", "main") and path.index(node) > path.index(chosen):
             chosen = node
-    return chosen
+    if chosen is root:
+        return [root]
+    branch = path[-2]
+    return [chosen if k is branch else k for k in root.kids if type(k) is Node and (k is branch or not k.boiler and k.density >= threshold)]
 
 
 def blocks(node: Node) -> list[str]:
@@ -193,8 +199,7 @@ def blocks(node: Node) -> list[str]:
 def extract_text(page: str) -> str:
     root = parse(page)
     measure(root)
-    node = main_node(root)
-    return "\n".join(blocks(node)) if node is not None else ""
+    return "\n".join(line for node in main_nodes(root) for line in blocks(node))
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -323,6 +323,19 @@ def test_html(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+def test_html_split_bodies():
+    """No article or main: parts that stand side by side in the body are taken along if they are dense enough."""
+    p = [f"<p>{c * 4} ".ljust(300, c) + "</p>" for c in "abcdef"]
+    text = ["\n".join(" ".join(x[3:-4].split()) for x in p[k : k + 3]) for k in (0, 3)]
+    nav = '<div><a href="/1">one</a> <a href="/2">two</a> <a href="/3">three</a></div>'
+    first, second = [f"<div>{''.join(p[k : k + 3])}</div>" for k in (0, 3)]
+    for page in (first + second, first + nav + second, nav + first + '<div class="ads">' + p[0] + "</div>" + second + nav):
+        assert html_text.extract_text(f"<html><body>{page}</body></html>") == "\n".join(text)
+    assert html_text.extract_text(f"<body>{nav}<section>{first}{nav}</section>{nav}</body>") == text[0]
+    head = "A heading of the page " * 12
+    assert html_text.extract_text(f"<body><h1>{head}</h1>{nav}{first}</body>") == f"{head.strip()}\n{text[0]}"
+
+
 def test_empty_tables(spark):
     none = docs(spark, ["a"]).where("false")
     assert byte_bpe.encode(none, BPE, public_tokenizers.PATTERN).count() == 0
