@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import normalise, rotate
 
 QUAT, SHIFT = ("qx", "qy", "qz", "qw"), ("tx", "ty", "tz")
+#: Poses of a block about, and poses that are broadcast at most.
+POSES, BROADCAST_POSES = 1_000, 10_000
 
 
 def with_pose(points: DataFrame, poses: DataFrame, image: str = "image_id") -> DataFrame:
@@ -48,18 +50,18 @@ def orthographic_rays(pixels: DataFrame, poses: DataFrame, key: str = "pixel_id"
 def visible(points: DataFrame, poses: DataFrame, camera: dict[str, float], key: str = "point_id") -> DataFrame:
     """Points that project into the image of any pose (no shear, no test of what lies behind the camera).
 
-    ``poses`` is the small side of a nested loop: it is broadcast only while Spark knows it is small, and points
-    stay where they are.
+    Every point meets every pose: poses travel in blocks, and points stay where they are while the blocks are
+    few enough to be broadcast.
     """
     q = tuple(F.col(c) * (-1.0 if c != "qw" else 1.0) for c in QUAT)
     x, y, z = rotate(q, tuple(F.col(a) - F.col(s) for a, s in zip("xyz", SHIFT, strict=True)))
-    u, v = F.round(x / z * camera["fx"] + camera["cx"]), F.round(y / z * camera["fy"] + camera["cy"])
-    seen = (u >= 0) & (u < camera["w"]) & (v >= 0) & (v < camera["h"]) & (z != 0)
+    u, v = F.round(F.try_divide(x, z) * camera["fx"] + camera["cx"]), F.round(F.try_divide(y, z) * camera["fy"] + camera["cy"])
+    seen = (u >= 0) & (u < camera["w"]) & (v >= 0) & (v < camera["h"])  # nothing is seen at depth 0
     pose = poses.select("image_id", F.struct(*QUAT, *SHIFT).alias("pose"))
-    few = pose.agg(F.collect_list("pose").alias("poses")) if pose.count() <= 10_000 else None
-    if few is None:
-        raise ValueError("visibility against more than 10,000 poses needs them cut in blocks")
-    spread = points.crossJoin(F.broadcast(few)).select(*points.columns, F.explode("poses").alias("pose")).select(*points.columns, "pose.*")
+    n = pose.count()
+    blocks = pose.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(n // POSES + 1)).alias("block")).agg(F.collect_list("pose").alias("poses")).select("poses")
+    blocks = F.broadcast(blocks) if n <= BROADCAST_POSES else blocks
+    spread = points.crossJoin(blocks).select(*points.columns, F.explode("poses").alias("pose")).select(*points.columns, "pose.*")
     return spread.groupBy(key).agg(F.count_if(seen).alias("images")).where("images > 0")
 
 

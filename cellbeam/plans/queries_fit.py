@@ -110,6 +110,13 @@ def neighbor_anti(spark, sf):
     return batches.drop_near(ids(spark, sf), others, "id", 2)
 
 
+@query("neighbor_anti_all")
+def neighbor_anti_all(spark, sf):
+    """Orders that are near no customer at all."""
+    others = spark.read.parquet(f"{sf}/customer.parquet").select((F.col("c_custkey") * 10).alias("id"))
+    return batches.drop_near(ids(spark, sf), others, "id", 2)
+
+
 @query("union_pixels", f"WITH {SQL['pixels']} SELECT pixel_id, px, NULL AS defocus FROM pixels UNION ALL SELECT pixel_id, py, px / 10 FROM pixels")
 def union_pixels(spark, sf):
     p = view(spark, sf, "pixels")
@@ -215,6 +222,13 @@ def random_in_nodes(spark, sf):
 
 @query("explicit_grid", f"WITH {SQL['points']}, {IM}, {_LINE} SELECT point_id, ix, round(v * {d(2)} + {d(0.5)}, 6) AS feature FROM points JOIN line ON points.node_id = line.node_id WHERE ix < 4")
 def explicit_grid(spark, sf):
-    """All features of a point's node, with the affine bias of that node."""
+    """The first four features of a point's node, with the affine bias of that node."""
     g = grids(spark, sf, "line").where("ix < 4").select("node_id", "ix", F.col("value").alias("v"))
     return view(spark, sf, "points").join(g, "node_id").select("point_id", "ix", r6(F.col("v") * 2 + 0.5).alias("feature"))
+
+
+@query("explicit_grid_all", f"WITH {SQL['points']}, {IM}, {_LINE} SELECT point_id, ix, round(v * {d(2)} + {d(0.5)}, 6) AS feature FROM points JOIN line ON points.node_id = line.node_id")
+def explicit_grid_all(spark, sf):
+    """All features of a point's node, with the affine bias of that node."""
+    g = grids(spark, sf, "line").select("node_id", "ix", F.col("value").alias("v"))
+    return view(spark, sf, "points").join(g, "node_id").select("point_id", "ix", r6(F.col("v") * 2 + 0.5).alias("feature"))

@@ -131,6 +131,12 @@ def visible_points(spark, sf):
     return camera.visible(view(spark, sf, "points"), poses, {"fx": 300, "fy": 300, "cx": 320, "cy": 240, "w": 640, "h": 480}).select("point_id", "images")
 
 
+@query("visible_points_all")
+def visible_points_all(spark, sf):
+    """Every point against every pose."""
+    return camera.visible(view(spark, sf, "points"), view(spark, sf, "poses"), {"fx": 300, "fy": 300, "cx": 320, "cy": 240, "w": 640, "h": 480}).select("point_id", "images")
+
+
 @query("pose_stats", f"WITH {SQL['poses']} SELECT round(avg(sqrt(tx * tx + ty * ty + tz * tz)), 6) AS mean_distance, round(max(sqrt(tx * tx + ty * ty + tz * tz)), 6) AS max_radius FROM poses")
 def pose_stats(spark, sf):
     return camera.pose_stats(view(spark, sf, "poses")).select(r6(F.col("mean_distance")).alias("mean_distance"), r6(F.col("max_radius")).alias("max_radius"))
@@ -307,6 +313,13 @@ def background(spark, sf):
     return metrics.background(i.where("image_id % 5 <> 0"), 4, i.select("image_id").distinct()).select("image_id", r6(F.col("background")).alias("background"))
 
 
+@query("background_all", f'WITH {IM} SELECT image_id, round(quantile_disc({_V}, 0.5), 6) + {d(0)} AS background FROM images WHERE "row" < 4 AND col < 4 GROUP BY 1')
+def background_all(spark, sf):
+    """The median of every image's crop; all given images have one."""
+    i = images(spark, sf)
+    return metrics.background(i, 4, i.select("image_id").distinct()).select("image_id", r6(F.col("background")).alias("background"))
+
+
 @query("curve_smoothness", f'WITH {IM}, k AS (SELECT image_id, "row" * 8 + col AS knot, {_V} AS v FROM images), w AS (SELECT image_id, v, lag(v) OVER o AS p, lead(v) OVER o AS n FROM k WINDOW o AS (PARTITION BY image_id ORDER BY knot)) SELECT image_id AS curve_id, round(avg(power(v - CASE WHEN p IS NULL THEN 0 WHEN n IS NULL THEN 1 ELSE (p + n) / 2 END, 2)), 6) AS smoothness FROM w GROUP BY 1')
 def curve_smoothness(spark, sf):
     c = images(spark, sf).select(F.col("image_id").alias("curve_id"), (F.col("row") * 8 + F.col("col")).alias("knot"), "value")

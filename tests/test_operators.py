@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cellbeam.functions.columns import activation, finite
-from cellbeam.operators import evolve, fit, interp, metrics, points, rays, spectral, tree
+from cellbeam.operators import camera, evolve, fit, interp, metrics, points, rays, spectral, tree
 from cellbeam.sources import arrays, scene
 
 RAYS = "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double"
@@ -122,6 +122,57 @@ def test_interpolation_and_gradients(spark):
     assert abs(total - 50) < 1e-9
 
 
+def seen_by(points, poses):
+    """Poses that see each point, by rotation matrices."""
+    n = np.zeros(len(points), int)
+    for x, y, z, w, *t in poses:
+        r = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+        a, b, c = ((points - np.array(t)) @ r).T
+        u, v = np.round(a / c * 300 + 320), np.round(b / c * 300 + 240)
+        n += (u >= 0) & (u < 640) & (v >= 0) & (v < 480)
+    return n
+
+
+@pytest.mark.parametrize("count", [0, 300, 10_001])
+def test_visible_from_all_poses(spark, count, monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(camera, "POSES", 70, raising=False)
+    q = rng.normal(size=(count, 4))
+    poses = np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), rng.uniform(-1, 1, (count, 3))])
+    pts = rng.uniform(-1, 1, (12, 3))
+    a = spark.createDataFrame([(i, *p) for i, p in enumerate(pts.tolist())], "point_id long, x double, y double, z double")
+    b = spark.createDataFrame([(i, *p) for i, p in enumerate(poses.tolist())], "image_id long, " + ", ".join(f"{c} double" for c in camera.QUAT + camera.SHIFT))
+    out = {r["point_id"]: r["images"] for r in camera.visible(a, b, {"fx": 300, "fy": 300, "cx": 320, "cy": 240, "w": 640, "h": 480}).collect()}
+    assert out == {i: n for i, n in enumerate(seen_by(pts, poses).tolist()) if n}
+
+
+def test_visible_at_depth_zero(spark):
+    a = spark.createDataFrame([(1, 0.5, 0.0, 0.0), (2, 0.0, 0.0, 1.0)], "point_id long, x double, y double, z double")
+    b = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0)], "image_id long, " + ", ".join(f"{c} double" for c in camera.QUAT + camera.SHIFT))
+    out = {r["point_id"]: r["images"] for r in camera.visible(a, b, {"fx": 300, "fy": 300, "cx": 320, "cy": 240, "w": 640, "h": 480}).collect()}
+    assert out == {1: 1, 2: 1}
+
+
+def test_background_of_missing_crops(spark):
+    i = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 2.0), (1, 9, 9, 8.0), (5, 1, 1, 4.0), (10, 9, 0, 7.0)], "image_id long, row int, col int, value double")
+    out = {r[0]: r[1] for r in metrics.background(i, 4, i.select("image_id").distinct()).collect()}
+    assert out == {1: 1.0, 5: 4.0, 10: 2.5}
+
+
+def test_queries_read_whole_inputs(spark, sf_dir):
+    from cellbeam.plans.registry import QUERIES
+    from cellbeam.plans.scenes import view
+
+    orders, customers = [[r[0] for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(k).collect()] for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"))]
+    near = {c * 10 + k for c in customers for k in range(-2, 3)}
+    assert sorted(r[0] for r in QUERIES["neighbor_anti_all"](spark, sf_dir).collect()) == sorted(o for o in orders if o not in near)
+    p, q = view(spark, sf_dir, "points").toPandas(), view(spark, sf_dir, "poses").toPandas()
+    n = seen_by(p[list("xyz")].to_numpy(), q[list(camera.QUAT + camera.SHIFT)].to_numpy())
+    out = {r[0]: r[1] for r in QUERIES["visible_points_all"](spark, sf_dir).collect()}
+    differ = sum(out.get(k, 0) != m for k, m in zip(p["point_id"].tolist(), n.tolist(), strict=True))
+    assert differ <= len(p) // 1000  # places on a half pixel round either way
+
+
 def test_network_matches_numpy(spark):
     layers = fit.init_network([3, 5, 1], 3)
     x = [[0.1, -0.2, 0.3], [1.0, 2.0, 3.0]]
