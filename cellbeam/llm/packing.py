@@ -26,7 +26,11 @@ _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
-    """A tokenizer whose pre-tokens never cross white space, with a lexicon of space-free chunks."""
+    """A tokenizer whose pre-tokens never cross white space, with a lexicon of space-free chunks.
+
+    A literal ``<|startoftext|>`` or ``<|endoftext|>`` in a text is text: ordinary tokens, never the control
+    ids 49406 and 49407 that the library's plain call would give.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -73,6 +73,17 @@ def test_pack(spark):
     assert packing.binary_pieces(4096 + 5, 2048) == [(0, 2048), (2048, 2048), (4096, 4), (4100, 1)]
 
 
+def test_pack_reads_control_strings_as_text():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS)
+    for mark, control in (("<|startoftext|>", 49406), ("<|endoftext|>", 49407)):
+        ids = np.frombuffer(own.encode([f"a {mark} b"])[0], "<u4").tolist()
+        a, *inside, b = ids
+        assert plain.encode(f"a {mark} b", add_special_tokens=False).ids == [a, control, b]
+        assert len(inside) > 1 and control not in inside
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[k : k + length] for b in data for k in range(len(b) - length + 1))
