@@ -1,14 +1,14 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All shingles stand in one global order: rare ones by hash, then the most frequent
-by number. The order is cut into fragments; a document's prefix (as much of it as
-any partner must share) is dealt out to them, every fragment finds the shingles
-that several documents share, and the common shingles of a pair are counted in
-each fragment and summed. A pair can only reach the limit if its sum reaches a
-bound that follows from both lengths; those pairs are compared in full.
-
-Documents with equal sets are one class from the start. Classes that already hang
-together through a common least partner are not paired again, so a large group of
+All shingles stand in one global order, by the number of classes that hold them and
+then by hash. The order is cut into fragments; every fragment counts for itself what
+pairs of documents have in common in it, and the partial counts of a pair are summed.
+A pair can only reach the limit if its sum over the beginnings of both sets reaches a
+bound that follows from both sizes; those pairs are compared in full.
+
+Documents with equal sets are one class from the start, and a class takes part only if
+other classes hold enough of its shingles for any link at all. Classes that already
+hang together through a common partner are not paired again, so a large group of
 near copies costs its size, not its square, and no link between groups is lost.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ from pyspark.sql import types as T
 from .common import LOWER, drop_stash, mix, shared_dir, span_hashes, stash, steps, text_buffer, words_of
 from .components import components
 
-#: Shingles known as frequent at most (they only set the order), and prefix entries of a fragment about.
-FREQUENT, FRAGMENT = 1 << 17, 1 << 20
+#: Shingles that one task of the first count holds about, and bytes of text that a shingle stands for about.
+FRAGMENT, SHINGLE_BYTES = 1 << 22, 6
 #: Document ids that are broadcast at most (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Common shingles at the beginnings of two sets that a pair must show (where the limit asks for that many).
+COMMON = 3
 _LOWER = np.frombuffer(LOWER, np.uint8)
 
 
@@ -60,130 +63,170 @@ def shingle_sets(raw: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.nda
     return grams[new], np.searchsorted(row[new], np.arange(rows + 1))
 
 
-def frequent_shingles(docs: DataFrame, size: int, text_col: str, least: int = 4) -> np.ndarray:
-    """(hash, number) of the most frequent shingles, FREQUENT at most, by number and hash.
-
-    All documents are read; a shingle is counted where one batch holds it ``least`` times. The numbers only
-    order the shingles: any order gives the same links.
-    """
-    schema = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("n", T.LongType())])
-
-    def run(batches):
-        for batch in batches:
-            parts = [shingle_sets(*text_buffer(p.column(0)), size)[0] for p in steps(batch, "__text")]
-            keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64),) * 2
-            often = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["shingle", "n"])
-
-    counts = docs.select(F.col(text_col).alias("__text")).mapInArrow(run, schema).groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    keys, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    order = np.argsort(keys)
-    return np.stack([keys[order], n[order].astype(np.uint64)])
-
-
-def describe(docs: DataFrame, frequent: np.ndarray, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_shingles, k1, k2, prefix``: the set's size and 128-bit key, and its prefix in the global order."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
-    schema = T.StructType([*[T.StructField(x, T.LongType()) for x in ("id", "n_shingles", "k1", "k2")], T.StructField("prefix", T.BinaryType())])
+def keys_of(grams: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums of each set; together with the size they name a class of equal sets."""
+    with np.errstate(over="ignore"):
+        sums = [np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64)) for x in (grams, mix(grams ^ np.uint64(0x5851F42D4C957F2D)))]
+        k1, k2 = [(s[cut[1:]] - s[cut[:-1]]).view(np.int64) for s in sums]
+    return k1, k2
 
-    def run(batches):
-        keys, numbers = frequent
-        for batch in batches:
-            for part in steps(batch, "__text"):
-                grams, cut = shingle_sets(*text_buffer(part.column(1)), size)
-                weight = np.zeros(len(grams), np.uint64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-                    weight = np.where(keys[at] == grams, numbers[at], np.uint64(0))
-                n = np.diff(cut)
-                row = np.repeat(np.arange(len(n)), n)
-                ranked = grams[np.lexsort((grams, weight, row))]
-                keep = n - (percent * n + 99) // 100 + 1
-                with np.errstate(over="ignore"):
-                    other = mix(grams ^ np.uint64(0x5851F42D4C957F2D))
-                    sums = [np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64)) for x in (grams, other)]
-                    k1, k2 = [(s[cut[1:]] - s[cut[:-1]]).view(np.int64) for s in sums]
-                prefix = [ranked[a : a + k].tobytes() if m else b"" for a, k, m in zip(cut[:-1].tolist(), keep.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), pa.array(prefix, pa.binary())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+def _block(step: int, many: np.ndarray, keys: np.ndarray, counts: np.ndarray, single: np.ndarray) -> bytes:
+    """What one step sends to one fragment: shingles that several of its classes hold, and those that one holds, class by class."""
+    return b"".join([np.array([step, len(many), len(keys)], "<i8").tobytes(), keys.tobytes(), counts.astype("<i8").tobytes(), many.astype("<u4").tobytes(), single.astype("<u4").tobytes()])
 
 
-_ENTRY = np.dtype([("shingle", "<u8"), ("id", "<i8"), ("n", "<i4"), ("at", "<i4")])
+def _read_block(b: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    step, many, classes = np.frombuffer(b, "<i8", 3).tolist()
+    keys, counts = np.frombuffer(b, "<i8", 2 * classes, 24).reshape(2, classes)
+    low = np.frombuffer(b, "<u4", offset=24 + 16 * classes)
+    return step, low[:many], keys, counts, low[many:]
 
 
-def shared_entries(classes: DataFrame, fragments: int) -> DataFrame:
-    """``shingle, id, n, at`` (place in the order) of the prefix entries whose shingle occurs in several classes.
+def shared_counts(docs: DataFrame, size: int, id_col: str, text_col: str, fragments: int) -> DataFrame:
+    """``id, n_shingles, k1, k2, step, shared`` of every document, and counts with ``n_shingles`` null to be added.
 
-    Entries travel as one block per batch and fragment (a range of a hash of the order's keys); a task holds one fragment.
+    The counts of (k1, step) sum up to the shingles of a set that another class holds as well. Each step (a few
+    hundred documents) sends every distinct shingle once, so one that all documents hold arrives once per step.
+    Shingles travel as the low half of their hash: a collision raises a count, so it is an upper bound.
     """
-    dealt = T.StructType([T.StructField("fragment", T.IntegerType()), T.StructField("block", T.BinaryType())])
-    schema = T.StructType([T.StructField("shingle", T.LongType()), *[T.StructField(x, T.LongType()) for x in ("id", "n", "at")]])
-    width = (1 << 64) // fragments + 1
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
+    names = ("id", "n_shingles", "k1", "k2", "step", "shared")
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in names])
+    dealt = T.StructType([T.StructField("fragment", T.IntegerType()), *schema.fields, T.StructField("block", T.BinaryType())])
+    width = np.uint64((1 << 64) // fragments + 1)
 
     def deal(batches):
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            prefixes = batch.column(2).to_pylist()
-            sizes = [len(x) // 8 for x in prefixes]
-            entries = np.empty(sum(sizes), _ENTRY)
-            entries["shingle"] = np.frombuffer(b"".join(prefixes), "<u8")
-            entries["id"] = np.repeat(batch.column(0).to_numpy(), sizes)
-            entries["n"] = np.repeat(batch.column(1).to_numpy(), sizes)
-            entries["at"] = np.arange(len(entries)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            part = (mix(entries["shingle"]) // np.uint64(width)).astype(np.int64)  # a prefix has the small hashes
-            order = np.argsort(part, kind="stable")
-            entries, part = entries[order], part[order]
-            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
-            blocks = [entries[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(blocks, pa.binary())], names=dealt.names)
-
-    def share(batches):
-        def emit(blocks):
-            e = np.frombuffer(b"".join(blocks), _ENTRY)
-            e = e[np.argsort(e["shingle"], kind="stable")]
-            same = e["shingle"][1:] == e["shingle"][:-1]
-            keep = np.append(False, same) | np.append(same, False)
-            e = e[keep] if len(e) > 1 else e[:0]
-            for lo in range(0, len(e), 1 << 17):
-                x = e[lo : lo + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["shingle"]).view(np.int64)), pa.array(np.ascontiguousarray(x["id"])), *[pa.array(x[c].astype(np.int64)) for c in ("n", "at")]], names=schema.names)
+            for part in steps(batch, "__text"):
+                number += 1
+                ids, rows = part.column(0), part.num_rows
+                grams, cut = shingle_sets(*text_buffer(part.column(1)), size)
+                n = np.diff(cut)
+                k1, k2 = keys_of(grams, cut)
+                _, first, back = np.unique(np.where(ids.is_valid().to_numpy(zero_copy_only=False), k1, 0), return_index=True, return_inverse=True)
+                one = np.zeros(rows, bool)
+                one[first] = True
+                one &= ids.is_valid().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(rows), n)
+                mine = one[owner]
+                g, owner = grams[mine], owner[mine]
+                order = np.argsort(g)
+                g, owner = g[order], owner[order]
+                same = g[1:] == g[:-1]
+                again = np.append(False, same)
+                several = again | np.append(same, False) if len(g) else again[:0]
+                local = np.bincount(owner[several], minlength=rows)[first[back]]
+                many, single, owner = g[several & ~again[: len(g)]], g[~several], owner[~several]
+                at = (single // width).astype(np.int64)
+                order = np.argsort(at * rows + owner, kind="stable")
+                single, owner, at = single[order], owner[order], at[order]
+                many_cut = np.searchsorted((many // width).astype(np.int64), np.arange(fragments + 1))
+                cuts = np.searchsorted(at, np.arange(fragments + 1))
+                named, blocks = [], []
+                for f in range(fragments):
+                    a, b, c, d = cuts[f], cuts[f + 1], many_cut[f], many_cut[f + 1]
+                    if a < b or c < d:
+                        who, counts = np.unique(owner[a:b], return_counts=True)
+                        named.append(f)
+                        blocks.append(_block(number, many[c:d], k1[who], counts, single[a:b]))
+                m = len(blocks)
+                empty = pa.nulls(m, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), *[empty] * 6, pa.array(blocks, pa.binary())], names=dealt.names)
+                spread = pa.array((np.arange(rows) % fragments).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([spread, ids, *[pa.array(x) for x in (n, k1, k2, np.full(rows, number), local)], pa.nulls(rows, pa.binary())], names=dealt.names)
+
+    def judge(blocks):
+        got = [_read_block(b) for b in blocks]
+        keys = np.concatenate([b[2] for b in got])
+        step = np.repeat([b[0] for b in got], [len(b[2]) for b in got])
+        owner = np.repeat(np.arange(len(keys)), np.concatenate([b[3] for b in got]))
+        low = np.concatenate([*[b[4] for b in got], *[b[1] for b in got]])
+        order = np.argsort(low, kind="stable")
+        low = low[order]
+        new = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.zeros(0, np.int64)
+        if not len(new):
+            return
+        group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(low))))
+        whose = np.append(owner, np.full(len(low) - len(owner), -1))[order]
+        of = np.append(keys, 0)[whose]
+        shared = (np.minimum.reduceat(of, new) != np.maximum.reduceat(of, new)) | (np.minimum.reduceat(whose, new) < 0)
+        counts = np.bincount(whose[shared[group] & (whose >= 0)], minlength=len(keys))
+        some = np.flatnonzero(counts)
+        empty = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([empty, empty, pa.array(keys[some]), empty, pa.array(step[some]), pa.array(counts[some])], names=names)
 
+    def run(batches):
         now, held = None, []
         for batch in batches:
-            for f, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            block = batch.column(7)
+            rows = batch.filter(block.is_null())
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays(rows.columns[1:7], names=names)
+            for f, b in zip(batch.column(0).filter(block.is_valid()).to_pylist(), block.drop_null().to_pylist(), strict=True):
                 if f != now:
                     if held:
-                        yield from emit(held)
+                        yield from judge(held)
                     now, held = f, []
-                held.append(block)
+                held.append(b)
         if held:
-            yield from emit(held)
+            yield from judge(held)
 
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = classes.select("id", "n_shingles", "prefix").mapInArrow(deal, dealt)
-    return blocks.repartition(min(parts, fragments), "fragment").sortWithinPartitions("fragment").mapInArrow(share, schema)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return src.mapInArrow(deal, dealt).repartition(min(parts, fragments), "fragment").sortWithinPartitions("fragment").mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the limit."""
-    spark = pairs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    at = shared_dir(spark)
-    ids = stash(ids, at)
+def whole_sets(docs: DataFrame, live: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, n, grams`` (sorted 64-bit hashes) of the classes ``live`` (id, k1, k2, n_shingles), each once."""
+    ids = live.select("id")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("grams", T.BinaryType())])
+    schema = T.StructType([*[T.StructField(x, T.LongType()) for x in ("id", "n", "k1", "k2")], T.StructField("grams", T.BinaryType())])
 
     def whole(batches):
         for batch in batches:
             for part in steps(batch, "__text"):
                 grams, cut = shingle_sets(*text_buffer(part.column(1)), size)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([grams[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=schema.names)
+                k1, k2 = keys_of(grams, cut)
+                sets = [grams[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in (np.diff(cut), k1, k2)], pa.array(sets, pa.binary())], names=schema.names)
 
-    sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text")).join(ids, "id", "left_semi").mapInArrow(whole, schema)
-    at = shared_dir(spark)
-    sets = stash(sets, at)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text")).join(ids, "id", "left_semi")
+    found = texts.mapInArrow(whole, schema).groupBy("id", "n", "k1", "k2").agg(F.first("grams").alias("grams"))
+    return found.join(live.select("id", F.col("n_shingles").alias("n"), "k1", "k2"), ["id", "n", "k1", "k2"]).select("id", "n", "grams")
+
+
+def beginnings(sets: DataFrame, percent: int, keep) -> DataFrame:
+    """``fragment, df, shingle, id, n, own, at``: where each set begins in the global order.
+
+    The order is by ``df``, the number of sets that hold a shingle, then by hash; a fragment is a range of it.
+    ``own``: shingles that no other set holds; they come first and are left out. ``at``: place in the order.
+    """
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("shingle", "id", "n")])
+
+    def entries(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                n = part.column(1).to_numpy()
+                flat = np.frombuffer(b"".join(part.column(2).to_pylist()), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(flat), *[pa.array(np.repeat(x, n)) for x in (part.column(0).to_numpy(), n)]], names=schema.names)
+
+    every = sets.select("id", "n", "grams").mapInArrow(entries, schema)
+    # written, so that the join below is one of two plain exchanges, whose hot shingles Spark can split
+    df = keep(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    held = every.join(df, "shingle")
+    by_id = W.partitionBy("id")
+    placed = held.withColumn("own", F.col("n") - F.count(F.lit(1)).over(by_id)).withColumn("at", F.col("own") + F.row_number().over(by_id.orderBy("df", "shingle")) - 1)
+    least = F.expr(f"({percent} * n + 99) div 100")
+    placed = placed.where((F.col("n") - F.col("own") >= least) & (F.col("at") < F.col("n") - least + COMMON))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(parts, "df", "shingle").withColumn("fragment", F.spark_partition_id())
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets reach the limit."""
     two = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
     linked = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -204,8 +247,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles
     (A-Z lower-cased). A null text, or one without words, has an empty set and links with nothing. A null id
-    keeps its row with itself (null) as component and links with nothing; rows of one id count as one document. ``component_id``:
-    the least id that links reach.
+    keeps its row with itself (null) as component and links with nothing; rows that repeat an id and its text
+    count as one document, and of several texts of one id only one is compared. ``component_id``: the least id
+    that links reach.
     """
     spark = docs.sparkSession
     paths: list[str] = []
@@ -214,49 +258,50 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
         paths.append(shared_dir(spark))
         return stash(df, paths[-1])
 
-    every = keep(describe(docs, frequent_shingles(docs, size, text_col), size, percent, id_col, text_col))
-    some = every.where("n_shingles > 0 and id is not null")
-    total = some.agg(F.sum(F.expr(f"n_shingles - (({percent} * n_shingles + 99) div 100) + 1"))).first()[0] or 0
-    classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = shared_entries(classes, max(parts, total // FRAGMENT + 1))
-    # what of a prefix no other class has in its own is missing in every partner whose prefix ends later in the order
-    own = F.expr(f"n - (({percent} * n + 99) div 100) + 1") - F.count(F.lit(1)).over(W.partitionBy("id"))
-    entries = keep(entries.withColumn("own", own))
+    size_of = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    every = keep(shared_counts(docs, size, id_col, text_col, max(parts, size_of // (SHINGLE_BYTES * FRAGMENT) + 1)))
+    rows, more = every.where("n_shingles is not null"), every.where("n_shingles is null").groupBy("k1", "step").agg(F.sum("shared").alias("more"))
+    some = rows.where("n_shingles > 0 and id is not null").join(more, ["k1", "step"], "left")
+    classes = keep(some.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("id"), F.max(F.col("shared") + F.coalesce("more", F.lit(0))).alias("shared")))
+    able = classes.where(f"100 * shared >= {percent} * n_shingles").groupBy("id").agg(F.min(F.struct("k1", "k2", "n_shingles")).alias("c"))
+    sets = keep(whole_sets(docs, keep(able.select("id", "c.*")), size, id_col, text_col))
+    entries = keep(beginnings(sets, percent, keep))
     need = lambda x, y: F.floor((percent * (x + y) + (99 + percent)) / (100 + percent)).cast("long")
 
     def possible(x: str, y: str):
-        """Whether the entries x and y of one shingle can be the first that a linked pair has in common.
+        """Whether the entries x and y of one shingle can be among the first COMMON that a linked pair has in common.
 
-        The lengths must allow a link, the side whose prefix ends first in the order (either may be it) must have
-        enough entries that the other may have, and less must stand before the first common one than may be
-        missing in the partner.
+        The lengths must allow a link, both sides must have enough shingles that other sets hold, and less must
+        stand before the entries than may be missing in the partner.
         """
         (n, own, at), (m, has, on) = ([F.col(p.format(c)) for c in ("n", "own", "at")] for p in (x, y))
         common = need(n, m)
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.greatest(n - own, m - has) >= common) & (at <= n - common) & (on <= m - common)
+        reach = F.least(F.lit(COMMON), common) - 1
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - own, m - has) >= common) & (at <= n - common + reach) & (on <= m - common + reach)
 
     # first every class with the one of a shingle that has the least of its own: this joins groups of near copies
     leader = entries.groupBy("shingle").agg(F.min(F.struct("own", "id", "n", "at")).alias("l"))
     stars = entries.join(leader, "shingle").where(F.col("l.id") != F.col("id")).where(possible("l.{}", "{}"))
     stars = stars.select(F.least("l.id", "id").alias("a"), F.greatest("l.id", "id").alias("b")).distinct()
-    first = keep(verified(keep(stars), docs, size, percent, id_col, text_col))
+    first = keep(verified(keep(stars), sets, percent))
     group = keep(components(first))
-    # then all pairs that are not in one group yet, by what they share in all fragments
-    tagged = entries.join(group, entries["id"] == group["node"], "left").select("shingle", "id", "n", "own", "at", F.coalesce("component", "id").alias("g"))
+    # then all pairs that are not in one group yet: what they have in common is counted by fragment and summed
+    tagged = entries.join(group, entries["id"] == group["node"], "left").select("fragment", "shingle", "id", "n", "own", "at", F.coalesce("component", "id").alias("g"))
     mixed = tagged.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
     tagged = keep(tagged.join(mixed, "shingle", "left_semi"))
-    x, y = [tagged.select("shingle", *[F.col(c).alias(c + s) for c in ("id", "n", "own", "at", "g")]) for s in ("x", "y")]
-    pairs = keep(x.join(y, "shingle").where("idx < idy and gx <> gy").where(possible("{}x", "{}y")).select("idx", "idy", "nx", "ny").distinct())
-    prefixes = entries.groupBy("id").agg(F.collect_list("shingle").alias("s"))
-    both = pairs.join(prefixes.select(F.col("id").alias("idx"), F.col("s").alias("sx")), "idx").join(prefixes.select(F.col("id").alias("idy"), F.col("s").alias("sy")), "idy")
-    pairs = both.withColumn("common", F.size(F.array_intersect("sx", "sy"))).drop("sx", "sy")
-    # of equal limits: overlap >= need; of a prefix of n - ceil(p n) + 1 entries at most n - need are missing in the partner
-    least_common = need(F.col("nx"), F.col("ny"))
-    bound = F.least(*[least_common - F.expr(f"(({percent} * {n} + 99) div 100)") + 1 for n in ("nx", "ny")])
-    second = verified(keep(pairs.where(F.col("common") >= bound).select(F.col("idx").alias("a"), F.col("idy").alias("b"))), docs, size, percent, id_col, text_col)
-    final = keep(components(first.unionByName(second)))
+    x, y = [tagged.select("fragment", "shingle", *[F.col(c).alias(c + s) for c in ("id", "n", "own", "at", "g")]) for s in ("x", "y")]
+    met = x.join(y, ["fragment", "shingle"]).where("idx < idy and gx <> gy").where(possible("{}x", "{}y"))
+    partial = met.groupBy("fragment", "idx", "idy").agg(F.count(F.lit(1)).alias("common"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    pairs = partial.groupBy("idx", "idy").agg(F.sum("common").alias("common"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    pairs = pairs.where(F.col("common") >= F.least(F.lit(COMMON), need(F.col("nx"), F.col("ny"))))
+    second = verified(keep(pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b"))), sets, percent)
+    final = components(keep(first.unionByName(second)))
     least = classes.select("k1", "k2", "n_shingles", F.col("id").alias("least"))
-    out = every.drop("prefix").join(least, ["k1", "k2", "n_shingles"], "left").join(final, F.col("least") == final["node"], "left")
+    out = rows.join(least, ["k1", "k2", "n_shingles"], "left").join(final, F.col("least") == final["node"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.coalesce("component", "least")).alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.coalesce("component", "least")).alias("component_id"))
+    out = stash(out, shared_dir(spark))
+    for path in paths:
+        drop_stash(spark, path)
+    return out
