@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -71,29 +72,48 @@ def keys_of(grams: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return k1, k2
 
 
-def _block(step: int, many: np.ndarray, keys: np.ndarray, counts: np.ndarray, single: np.ndarray) -> bytes:
-    """What one step sends to one fragment: shingles that several of its classes hold, and those that one holds, class by class."""
-    return b"".join([np.array([step, len(many), len(keys)], "<i8").tobytes(), keys.tobytes(), counts.astype("<i8").tobytes(), many.astype("<u4").tobytes(), single.astype("<u4").tobytes()])
+def _block(step: int, many: np.ndarray, rows: np.ndarray, keys: np.ndarray, counts: np.ndarray, single: np.ndarray) -> bytes:
+    """What one step sends to one fragment: shingles that several of its classes hold, and those that one holds,
+    class by class (its row in the step, its key, their number)."""
+    return b"".join([np.array([step, len(many), len(keys)], "<i8").tobytes(), *[x.astype("<i8").tobytes() for x in (rows, keys, counts)], many.astype("<u4").tobytes(), single.astype("<u4").tobytes()])
 
 
-def _read_block(b: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _read_block(b: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     step, many, classes = np.frombuffer(b, "<i8", 3).tolist()
-    keys, counts = np.frombuffer(b, "<i8", 2 * classes, 24).reshape(2, classes)
-    low = np.frombuffer(b, "<u4", offset=24 + 16 * classes)
-    return step, low[:many], keys, counts, low[many:]
+    rows, keys, counts = np.frombuffer(b, "<i8", 3 * classes, 24).reshape(3, classes)
+    low = np.frombuffer(b, "<u4", offset=24 + 24 * classes)
+    return step, low[:many], rows, keys, counts, low[many:]
+
+
+def _runs(batches, key: int, value: int):
+    """(key, values) of each run of equal keys over batches that are sorted by the key."""
+    now, held = None, []
+    for batch in batches:
+        for k, v in zip(batch.column(key).to_pylist(), batch.column(value), strict=True):
+            if k != now:
+                if held:
+                    yield now, held
+                now, held = k, []
+            held.append(v.as_py())
+    if held:
+        yield now, held
+
+
+_ANSWER = np.dtype([("row", "<u4"), ("shared", "<u4")])
+_ROW = np.dtype([("id", "<i8"), ("valid", "<i8"), ("n", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("lead", "<i8"), ("shared", "<i8")])
 
 
 def shared_counts(docs: DataFrame, size: int, id_col: str, text_col: str, fragments: int) -> DataFrame:
-    """``id, n_shingles, k1, k2, step, shared`` of every document, and counts with ``n_shingles`` null to be added.
+    """``id, n_shingles, k1, k2, shared`` of every document; ``shared``: shingles that another class holds as well.
 
-    The counts of (k1, step) sum up to the shingles of a set that another class holds as well. Each step (a few
-    hundred documents) sends every distinct shingle once, so one that all documents hold arrives once per step.
-    Shingles travel as the low half of their hash: a collision raises a count, so it is an upper bound.
+    Each step (a few hundred documents) sends every distinct shingle once, so one that all documents hold arrives
+    once per step, and gets one block of counts back from each fragment. Shingles travel as the low half of their
+    hash: a collision raises a count, so ``shared`` is an upper bound.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
-    names = ("id", "n_shingles", "k1", "k2", "step", "shared")
+    sent = T.StructType([T.StructField("to", T.LongType()), T.StructField("own", T.BooleanType()), T.StructField("block", T.BinaryType())])
+    names = ("id", "n_shingles", "k1", "k2", "shared")
     schema = T.StructType([T.StructField(x, T.LongType()) for x in names])
-    dealt = T.StructType([T.StructField("fragment", T.IntegerType()), *schema.fields, T.StructField("block", T.BinaryType())])
     width = np.uint64((1 << 64) // fragments + 1)
 
     def deal(batches):
@@ -101,80 +121,97 @@ def shared_counts(docs: DataFrame, size: int, id_col: str, text_col: str, fragme
         for batch in batches:
             for part in steps(batch, "__text"):
                 number += 1
-                ids, rows = part.column(0), part.num_rows
+                count, valid = part.num_rows, part.column(0).is_valid().to_numpy(zero_copy_only=False)
                 grams, cut = shingle_sets(*text_buffer(part.column(1)), size)
                 n = np.diff(cut)
                 k1, k2 = keys_of(grams, cut)
-                _, first, back = np.unique(np.where(ids.is_valid().to_numpy(zero_copy_only=False), k1, 0), return_index=True, return_inverse=True)
-                one = np.zeros(rows, bool)
+                _, first, back = np.unique(np.where(valid, k1, 0), return_index=True, return_inverse=True)
+                one = np.zeros(count, bool)
                 one[first] = True
-                one &= ids.is_valid().to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(rows), n)
-                mine = one[owner]
+                owner = np.repeat(np.arange(count), n)
+                mine = (one & valid)[owner]
                 g, owner = grams[mine], owner[mine]
                 order = np.argsort(g)
                 g, owner = g[order], owner[order]
-                same = g[1:] == g[:-1]
-                again = np.append(False, same)
-                several = again | np.append(same, False) if len(g) else again[:0]
-                local = np.bincount(owner[several], minlength=rows)[first[back]]
-                many, single, owner = g[several & ~again[: len(g)]], g[~several], owner[~several]
+                again, last = np.zeros(len(g), bool), np.zeros(len(g), bool)
+                again[1:], last[:-1] = g[1:] == g[:-1], g[1:] == g[:-1]
+                several = again | last
+                local = np.bincount(owner[several], minlength=count)
+                many, single, owner = g[several & ~again], g[~several], owner[~several]
                 at = (single // width).astype(np.int64)
-                order = np.argsort(at * rows + owner, kind="stable")
+                order = np.argsort(at * count + owner, kind="stable")
                 single, owner, at = single[order], owner[order], at[order]
-                many_cut = np.searchsorted((many // width).astype(np.int64), np.arange(fragments + 1))
-                cuts = np.searchsorted(at, np.arange(fragments + 1))
-                named, blocks = [], []
-                for f in range(fragments):
-                    a, b, c, d = cuts[f], cuts[f + 1], many_cut[f], many_cut[f + 1]
-                    if a < b or c < d:
-                        who, counts = np.unique(owner[a:b], return_counts=True)
-                        named.append(f)
-                        blocks.append(_block(number, many[c:d], k1[who], counts, single[a:b]))
-                m = len(blocks)
-                empty = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), *[empty] * 6, pa.array(blocks, pa.binary())], names=dealt.names)
-                spread = pa.array((np.arange(rows) % fragments).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([spread, ids, *[pa.array(x) for x in (n, k1, k2, np.full(rows, number), local)], pa.nulls(rows, pa.binary())], names=dealt.names)
+                edges = np.arange(fragments + 1)
+                many_cut, cuts = np.searchsorted((many // width).astype(np.int64), edges), np.searchsorted(at, edges)
+                to, blocks = [], []
+                for f in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(many_cut) > 0)).tolist():
+                    a, b = cuts[f], cuts[f + 1]
+                    who, counts = np.unique(owner[a:b], return_counts=True)
+                    to.append(f)
+                    blocks.append(_block(number, many[many_cut[f] : many_cut[f + 1]], who, k1[who], counts, single[a:b]))
+                rows = np.zeros(count, _ROW)
+                for name, x in (("id", part.column(0).fill_null(0).to_numpy()), ("valid", valid), ("n", n), ("k1", k1), ("k2", k2), ("lead", first[back]), ("shared", local)):
+                    rows[name] = x
+                yield pa.RecordBatch.from_arrays([pa.array([number % fragments, *to], pa.int64()), pa.array([True] + [False] * len(to)), pa.array([number.to_bytes(8, "little") + rows.tobytes(), *blocks], pa.binary())], names=sent.names)
 
     def judge(blocks):
         got = [_read_block(b) for b in blocks]
-        keys = np.concatenate([b[2] for b in got])
-        step = np.repeat([b[0] for b in got], [len(b[2]) for b in got])
-        owner = np.repeat(np.arange(len(keys)), np.concatenate([b[3] for b in got]))
-        low = np.concatenate([*[b[4] for b in got], *[b[1] for b in got]])
+        keys, row = np.concatenate([b[3] for b in got]), np.concatenate([b[2] for b in got])
+        source = np.repeat(np.arange(len(got)), [len(b[3]) for b in got])
+        owner = np.repeat(np.arange(len(keys)), np.concatenate([b[4] for b in got]))
+        low = np.concatenate([*[b[5] for b in got], *[b[1] for b in got]])
         order = np.argsort(low, kind="stable")
         low = low[order]
-        new = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.zeros(0, np.int64)
-        if not len(new):
-            return
+        new = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
         group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(low))))
         whose = np.append(owner, np.full(len(low) - len(owner), -1))[order]
         of = np.append(keys, 0)[whose]
         shared = (np.minimum.reduceat(of, new) != np.maximum.reduceat(of, new)) | (np.minimum.reduceat(whose, new) < 0)
         counts = np.bincount(whose[shared[group] & (whose >= 0)], minlength=len(keys))
         some = np.flatnonzero(counts)
-        empty = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, pa.array(keys[some]), empty, pa.array(step[some]), pa.array(counts[some])], names=names)
-
-    def run(batches):
-        now, held = None, []
-        for batch in batches:
-            block = batch.column(7)
-            rows = batch.filter(block.is_null())
-            if rows.num_rows:
-                yield pa.RecordBatch.from_arrays(rows.columns[1:7], names=names)
-            for f, b in zip(batch.column(0).filter(block.is_valid()).to_pylist(), block.drop_null().to_pylist(), strict=True):
-                if f != now:
-                    if held:
-                        yield from judge(held)
-                    now, held = f, []
-                held.append(b)
-        if held:
+        out = np.empty(len(some), _ANSWER)
+        out["row"], out["shared"] = row[some], counts[some]
+        cuts = np.searchsorted(source[some], np.arange(len(got) + 1))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([got[i][0] for i in full], pa.int64()), pa.array([False] * len(full), pa.bool_()), pa.array([out[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], names=sent.names)
+
+    def answer(batches):
+        """Counts go back to the steps that asked; a step's own rows pass through."""
+
+        def asked():
+            for batch in batches:
+                own = batch.column(1)
+                for b in batch.column(2).filter(own).to_pylist():
+                    passed.append(pa.RecordBatch.from_arrays([pa.array([int.from_bytes(b[:8], "little")]), pa.array([True]), pa.array([b[8:]], pa.binary())], names=sent.names))
+                yield batch.filter(pc.invert(own))
+
+        passed: list[pa.RecordBatch] = []
+        for _, held in _runs(asked(), 0, 2):
             yield from judge(held)
+            while passed:
+                yield passed.pop()
+        yield from passed
+
+    def total(batches):
+        def both():
+            for batch in batches:
+                kinds = batch.column(1).to_pylist()
+                tagged = [(b"r" if own else b"a") + b for own, b in zip(kinds, batch.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tagged, pa.binary())], names=["to", "block"])
+
+        for _, held in _runs(both(), 0, 1):
+            rows = np.frombuffer(b"".join(b[1:] for b in held if b[:1] == b"r"), _ROW)
+            more = np.frombuffer(b"".join(b[1:] for b in held if b[:1] == b"a"), _ANSWER)
+            shared = rows["shared"] + np.bincount(more["row"], more["shared"], len(rows)).astype(np.int64)
+            ids = pa.array(np.ascontiguousarray(rows["id"]), mask=rows["valid"] == 0)
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(rows[x])) for x in ("n", "k1", "k2")], pa.array(shared[rows["lead"]])], names=names)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return src.mapInArrow(deal, dealt).repartition(min(parts, fragments), "fragment").sortWithinPartitions("fragment").mapInArrow(run, schema)
+
+    def gathered(df: DataFrame, n: int) -> DataFrame:
+        return df.repartition(n, "to").sortWithinPartitions("to")
+
+    return gathered(gathered(src.mapInArrow(deal, sent), min(parts, fragments)).mapInArrow(answer, sent), parts).mapInArrow(total, schema)
 
 
 def whole_sets(docs: DataFrame, live: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -261,9 +298,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size_of = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     every = keep(shared_counts(docs, size, id_col, text_col, max(parts, size_of // (SHINGLE_BYTES * FRAGMENT) + 1)))
-    rows, more = every.where("n_shingles is not null"), every.where("n_shingles is null").groupBy("k1", "step").agg(F.sum("shared").alias("more"))
-    some = rows.where("n_shingles > 0 and id is not null").join(more, ["k1", "step"], "left")
-    classes = keep(some.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("id"), F.max(F.col("shared") + F.coalesce("more", F.lit(0))).alias("shared")))
+    some = every.where("n_shingles > 0 and id is not null")
+    classes = keep(some.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("id"), F.max("shared").alias("shared")))
     able = classes.where(f"100 * shared >= {percent} * n_shingles").groupBy("id").agg(F.min(F.struct("k1", "k2", "n_shingles")).alias("c"))
     sets = keep(whole_sets(docs, keep(able.select("id", "c.*")), size, id_col, text_col))
     entries = keep(beginnings(sets, percent, keep))
@@ -298,7 +334,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     second = verified(keep(pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b"))), sets, percent)
     final = components(keep(first.unionByName(second)))
     least = classes.select("k1", "k2", "n_shingles", F.col("id").alias("least"))
-    out = rows.join(least, ["k1", "k2", "n_shingles"], "left").join(final, F.col("least") == final["node"], "left")
+    out = every.join(least, ["k1", "k2", "n_shingles"], "left").join(final, F.col("least") == final["node"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.coalesce("component", "least")).alias("component_id"))
     out = stash(out, shared_dir(spark))
