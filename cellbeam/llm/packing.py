@@ -16,29 +16,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps
+from .common import give_back, steps
 
-#: Entries after which a task's lexicon starts anew.
-LEXICON = 1_000_000
+#: Bytes of a worker's lexicon, and what an entry takes beside its characters and ids.
+LEXICON, ENTRY = 96 << 20, 190
 #: A character that stands between chunks; one token, and a chunk that holds it is encoded alone.
 MARK = "\x01"
-_TOKENIZERS: dict[str, "WordTokenizer"] = {}
+_TOKENIZERS: dict[tuple[str, bool], "WordTokenizer"] = {}
 
 
 class WordTokenizer:
     """A tokenizer whose pre-tokens never cross white space, with a lexicon of space-free chunks.
 
-    A literal ``<|startoftext|>`` or ``<|endoftext|>`` in a text is text: ordinary tokens, never the control
-    ids 49406 and 49407 that the library's plain call would give.
+    A control string in a text, such as ``<|endoftext|>``, gives its control id, as the library's plain call
+    does; with ``control_as_text`` it is text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, control_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = control_as_text
         self.lexicon: dict[str, bytes] = {}
+        self.held = 0
         (self.mark_id,) = self.tok.encode(MARK, add_special_tokens=False).ids
 
     def learn(self, chunks: set[str]) -> None:
@@ -46,9 +47,10 @@ class WordTokenizer:
         new = [c for c in chunks if MARK not in c]
         groups = [new[i : i + 1000] for i in range(0, len(new), 1000)]
         odd = [[c] for c in chunks if MARK in c]
-        joined = self.tok.encode_batch_fast([f" {MARK} ".join(g) for g in groups + odd], add_special_tokens=False)
-        for group, e in zip(groups + odd, joined, strict=True):
+        for group in groups + odd:
+            (e,) = self.tok.encode_batch_fast([f" {MARK} ".join(group)], add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
+            self.held += sum(map(len, group)) + 4 * len(ids) + ENTRY * len(group)
             if len(group) == 1:
                 self.lexicon[group[0]] = ids.tobytes()
                 continue
@@ -60,18 +62,25 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self.learn(set().union(*cut).difference(self.lexicon))
+        seen = set().union(*cut)
+        self.learn(seen.difference(self.lexicon))
         get = self.lexicon.__getitem__
         out = [b"".join(map(get, cs)) for cs in cut]
-        if len(self.lexicon) > LEXICON:
-            self.lexicon.clear()
+        if self.held > LEXICON:  # what the last texts needed is needed most
+            self.lexicon = {c: get(c) for c in seen} if len(seen) * ENTRY < LEXICON // 2 else {}
+            self.held = sum(len(c) + len(x) + ENTRY for c, x in self.lexicon.items())
         return out
 
+    def forget(self) -> None:
+        """Empty the lexicon: its worker lives on."""
+        self.lexicon, self.held = {}, 0
+        give_back()
 
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+
+def tokenizer(path: str, control_as_text: bool = False) -> WordTokenizer:
+    if (path, control_as_text) not in _TOKENIZERS:
+        _TOKENIZERS[path, control_as_text] = WordTokenizer(path, control_as_text)
+    return _TOKENIZERS[path, control_as_text]
 
 
 def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
@@ -85,7 +94,7 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text", control_as_text: bool = False) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids binary, doc_tokens, bucket, sequence_id, offset``.
 
     ``ids`` holds little-endian unsigned 32-bit token ids; ``end_id`` closes each document, so a null or
@@ -101,7 +110,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 204
     close = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tok = tokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path, control_as_text)
         for batch in batches:
             for part in steps(batch, "__text"):
                 row, start, length, total, ids = [], [], [], [], []
@@ -114,6 +123,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 204
                         total.append(len(x) // 4)
                         ids.append(x[4 * s : 4 * (s + k)])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, total)], pa.array(ids, pa.binary())], names=[id_col, "start", "length", "doc_tokens", "ids"])
+        tok.forget()
 
     return src.mapInArrow(run, schema).select("*", F.col("length").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 

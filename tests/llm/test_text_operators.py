@@ -62,7 +62,6 @@ def test_pack(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     out = packing.pack(docs(spark, ODD), WORDS).collect()
     assert len({r["sequence_id"] for r in out}) == len(out)
     for i, t in enumerate(ODD):
@@ -73,15 +72,28 @@ def test_pack(spark):
     assert packing.binary_pieces(4096 + 5, 2048) == [(0, 2048), (2048, 2048), (4096, 4), (4100, 1)]
 
 
-def test_pack_reads_control_strings_as_text():
+def test_pack_control_strings():
+    """As the library's plain call by default, as text on demand; a small lexicon gives the same ids."""
     from tokenizers import Tokenizer
 
-    plain, own = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS)
-    for mark, control in (("<|startoftext|>", 49406), ("<|endoftext|>", 49407)):
-        ids = np.frombuffer(own.encode([f"a {mark} b"])[0], "<u4").tolist()
-        a, *inside, b = ids
-        assert plain.encode(f"a {mark} b", add_special_tokens=False).ids == [a, control, b]
-        assert len(inside) > 1 and control not in inside
+    plain, text = Tokenizer.from_file(WORDS), Tokenizer.from_file(WORDS)
+    text.encode_special_tokens = True
+    cases = [f"a {x} b{x}c\n{x}{x} \x01{x}" for x in ("<|startoftext|>", "<|endoftext|>", "<|endof text|>")]
+    for as_text, tok in ((False, plain), (True, text)):
+        own = packing.WordTokenizer(WORDS, as_text)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(cases)] == [tok.encode(c, add_special_tokens=False).ids for c in cases]
+    assert 49407 in plain.encode(cases[1], add_special_tokens=False).ids and 49407 not in text.encode(cases[1], add_special_tokens=False).ids
+
+
+def test_pack_lexicon_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "LEXICON", 20_000)
+    own, fresh = packing.WordTokenizer(WORDS), packing.WordTokenizer(WORDS)
+    for k in range(40):
+        text = " ".join(f"word{k}x{i} common{i}" for i in range(50))
+        assert own.encode([text]) == fresh.encode([text])
+        assert own.held <= 20_000
+        fresh.forget()
+    assert fresh.held == 0 and not fresh.lexicon
 
 
 def brute_repeats(texts, length):
@@ -221,7 +233,11 @@ def test_licenses(spark):
     assert out[2]["labels"] == ["apache-2.0", "gpl-2.0-only-with-classpath-exception-2.0", "mit"] and out[2]["score"] == 1.0
     assert out[4]["n_words"] == 0 and out[4]["labels"] == [] and out[6]["hits"][0]["word"] == 15000
     assert licenses.parse_expression("MIT OR")[0] == ["MIT"] and licenses.parse_expression("OR MIT")[0] == []
-    assert licenses.evaluate(licenses.parse_expression("A OR B AND C")[0]) == {frozenset("a"), frozenset("bc")}
+    postfix = licenses.parse_expression("A OR B AND C")[0]
+    assert [licenses.evaluate(postfix, frozenset(x)) for x in ("a", "b", "bc", "c", "")] == [True, False, True, False, False]
+    assert licenses.licences_of(postfix) == {"a", "b", "c"}
+    assert licenses.parse_expression("(A OR B) WITH C")[0] == ["A", "B", "OR".lower()] and licenses.parse_expression("A WITH (B)")[0] == ["A"]
+    assert out[2]["met"] is False and out[3]["met"] is None
 
 
 def test_licenses_after_many_grants():
