@@ -7,6 +7,8 @@ by a join. The others are sorted where they are read, exchanged as front-coded
 runs by ranges of the gram's hash, and combined with a loser tree that carries the
 known common prefixes and compares only what lies behind them. The common prefix
 of neighbours and the bytes left of the anchor then tell which windows repeat.
+Equal texts are taken once (all of them repeats), and a gram that very many texts
+hold is dealt out by a longer prefix and a longer left part in its place.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, shared_dir, span_hashes, stash, steps, text_buffer
+from .common import drop_stash, mix, shared_dir, span_hashes, stash, steps, text_buffer
 
 #: Document keys that are broadcast at most (8 MB); more are joined by a shuffle.
 BROADCAST_KEYS = 1 << 20
 #: Suffixes that one fragment of the exchange holds about.
 FRAGMENT = 1 << 17
+#: Occurrences above which a gram is dealt out by more than its own bytes.
+HOT = 1 << 11
+#: What names a text: a hash and its number of bytes.
+NAME = ["key", "size"]
 _POS = np.uint64(30)
 
 
@@ -195,42 +201,59 @@ _HEAD = np.dtype([("gram", "<i8"), ("mark", "<i8"), ("shared", "<i4"), ("rest",
 
 
 def _find(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``gram, key, at, lo, hi`` of all anchors; ``docs``: key, text."""
-    schema = T.StructType([*[T.StructField(x, T.LongType()) for x in ("gram", "key")], *[T.StructField(x, T.IntegerType()) for x in ("at", "lo", "hi")]])
+    """``gram, key, size, at, lo, hi`` of all anchors; ``docs``: key, size, text."""
+    schema = T.StructType([*[T.StructField(x, T.LongType()) for x in ("gram", "key")], *[T.StructField(x, T.IntegerType()) for x in ("size", "at", "lo", "hi")]])
 
     def run(batches):
         for batch in batches:
             for part in steps(batch, "text", 1 << 20):
-                row, at, hashes, lo, hi = anchors(*text_buffer(part.column(1)), length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column(0).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in (at, lo, hi)]], names=schema.names)
+                row, at, hashes, lo, hi = anchors(*text_buffer(part.column(2)), length, gram)
+                named = [part.column(i).take(pa.array(row)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *named, *[pa.array(x.astype(np.int32)) for x in (at, lo, hi)]], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _contexts(found: DataFrame, length: int, fragments: int) -> DataFrame:
+def _halves(raw, row, p, g, lo, hi, hot, length: int, gram: int):
+    """Anchors with those of hot grams replaced by up to two: one whose windows reach far to the right, named by
+    the longer prefix that they share, and one further left, named by the longer string from there."""
+    half = (length - gram) // 2
+    back = half + 1
+    right, left = np.flatnonzero(hot & (lo <= half)), np.flatnonzero(hot & (hi > half))
+    a, b = p[right], p[left] - back
+    parts = [
+        [x[~hot] for x in (row, p, g, lo, hi)],
+        [row[right], a, span_hashes(raw, a, a + length - half).view(np.int64), lo[right], np.minimum(hi[right], half)],
+        [row[left], b, span_hashes(raw, b, b + back + gram).view(np.int64), np.maximum(lo[left] - back, 0), hi[left] - back],
+    ]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _contexts(found: DataFrame, length: int, gram: int, fragments: int) -> DataFrame:
     """Sorted front-coded runs and the occurrences they stand for, by fragment of the gram's hash.
 
-    ``found``: key, text, marks (array of gram, at, lo, hi). Rows with a ``run`` hold one run; rows with a
-    ``mark`` say that the suffix ``mark`` of ``gram`` stands at ``at`` of document ``key``.
+    ``found``: key, size, text, marks (array of gram, at, lo, hi, hot). Rows with a ``run`` hold one run; rows
+    with a ``mark`` say that the suffix ``mark`` of ``gram`` stands at ``at`` of the text that key and size name.
     """
-    schema = T.StructType([T.StructField("fragment", T.IntegerType()), T.StructField("run", T.BinaryType()), *[T.StructField(x, T.LongType()) for x in ("gram", "mark", "key")], T.StructField("at", T.IntegerType())])
+    schema = T.StructType([T.StructField("fragment", T.IntegerType()), T.StructField("run", T.BinaryType()), *[T.StructField(x, T.LongType()) for x in ("gram", "mark", "key")], *[T.StructField(x, T.IntegerType()) for x in ("size", "at")]])
     width = (1 << 64) // fragments + 1
 
     def run(batches):
         for batch in batches:
             for part in steps(batch, "text"):
-                raw, bounds = text_buffer(part.column(1))
+                raw, bounds = text_buffer(part.column(2))
                 data = raw.tobytes()
-                marks = part.column(2)
+                marks = part.column(3)
                 counts = marks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 row = np.repeat(np.arange(len(counts)), counts)
                 flat = marks.flatten()
-                g, at, lo, hi = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                p = bounds[row] + at
+                g, at, lo, hi, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                row, p, g, lo, hi = _halves(raw, row, bounds[row] + at, g, lo, hi, hot, length, gram)
+                at = (p - bounds[row]).astype(np.int32)
                 mark = span_hashes(raw, p - hi, p + length - lo).view(np.int64) ^ (lo.astype(np.int64) << 8) ^ hi
-                keys = part.column(0).take(pa.array(row))
+                named = [part.column(i).take(pa.array(row)) for i in (0, 1)]
                 none = pa.nulls(len(row), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(row), pa.int32()), none, pa.array(g), pa.array(mark), keys, pa.array(at)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(row), pa.int32()), none, pa.array(g), pa.array(mark), *named, pa.array(at)], names=schema.names)
                 both = np.empty(len(g), [("g", "<i8"), ("m", "<i8")])
                 both["g"], both["m"] = g, mark
                 _, first, number = np.unique(both, return_index=True, return_counts=True)
@@ -249,7 +272,7 @@ def _contexts(found: DataFrame, length: int, fragments: int) -> DataFrame:
                         head[name] = values
                     blocks[f] = len(head).to_bytes(8, "little") + head.tobytes() + b"".join(rest) + b"".join(left)
                 n = len(blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary()), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.int32())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary()), *[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.int32())] * 2], names=schema.names)
 
     return found.mapInArrow(run, schema)
 
@@ -315,17 +338,10 @@ def _verdicts(runs: DataFrame, length: int, gram: int, fragments: int) -> DataFr
     return runs.repartition(min(parts, fragments), "fragment").sortWithinPartitions("fragment").mapInArrow(run, schema)
 
 
-def _with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """``docs`` with ``marks`` (key, marks). Only documents that have some are shuffled, if their keys are few enough."""
-    known = marks.select("key")
-    if known.count() > BROADCAST_KEYS:
-        return docs.join(marks, "key", how)
-    few = F.broadcast(known)
-    joined = docs.join(few, "key", "left_semi").join(marks, "key")
-    if how == "inner":
-        return joined
-    rest = docs.join(few, "key", "left_anti").withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType))
-    return joined.unionByName(rest.select(*joined.columns))
+def _split(docs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts that are among ``names`` and the others. Names are broadcast only if they are few enough."""
+    known = F.broadcast(names) if names.count() <= BROADCAST_KEYS else names
+    return docs.join(known, NAME, "left_semi"), docs.join(known, NAME, "left_anti")
 
 
 def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,22 +350,37 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in this text or
     another; strings never cross texts and are judged on the input. ``spans``: the maximal removed runs
     (start, end); ``kept``: the other bytes. Null counts as empty; texts shorter than ``length`` keep all;
-    repeated rows count as different documents, so they lose what is long enough.
+    repeated rows count as different documents, so they lose everything if they are long enough.
     """
     spark = df.sparkSession
+    paths: list[str] = []
+
+    def keep(x: DataFrame) -> DataFrame:
+        paths.append(shared_dir(spark))
+        return stash(x, paths[-1])
+
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), text.alias("text"), F.col(id_col).alias("__id"))
-    every = stash(_find(docs.select("key", "text"), length, gram), shared_dir(spark))
-    common = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    some = every.join(common, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "at", "lo", "hi")).alias("marks"), F.count(F.lit(1)).alias("n"))
-    some = stash(some, shared_dir(spark))
+    docs = df.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"), text.alias("text"), F.col(id_col).alias("__id"))
+    long = docs.where(F.col("size") >= length).select(*NAME, "text")
+    copies = keep(long.groupBy(*NAME).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*NAME))
+    again, single = _split(long, copies)
+    texts = single.unionByName(again.groupBy(*NAME).agg(F.first("text").alias("text")))
+    every = keep(_find(texts, length, gram))
+    # written, so that the join below is one of two plain exchanges, whose hot grams Spark can split
+    common = keep(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    held = every.join(common, "gram").select(*NAME, F.struct("gram", "at", "lo", "hi", (F.col("n") > HOT).alias("hot")).alias("mark"))
+    some = keep(held.groupBy(*NAME).agg(F.collect_list("mark").alias("marks"), F.count(F.lit(1)).alias("n")))
     total = some.agg(F.sum("n")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fragments = max(parts, total // FRAGMENT + 1)
-    contexts = stash(_contexts(_with_marks(docs.select("key", "text"), some.drop("n"), "inner"), length, fragments), shared_dir(spark))
+    within, _ = _split(texts, some.select(*NAME))
+    contexts = keep(_contexts(within.join(some, NAME).select(*NAME, "text", "marks"), length, gram, fragments))
+    drop_stash(spark, paths[1])
     verdicts = _verdicts(contexts.where("run is not null").select("fragment", "run"), length, gram, fragments)
-    hits = contexts.where("mark is not null").select("gram", "mark", "key", "at").join(verdicts, ["gram", "mark"])
-    cover = stash(hits.groupBy("key").agg(F.collect_list(F.struct((F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))).alias("marks")), shared_dir(spark))
+    hits = contexts.where("mark is not null").select("gram", "mark", *NAME, "at").join(verdicts, ["gram", "mark"])
+    cover = keep(hits.groupBy(*NAME).agg(F.collect_list(F.struct((F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))).alias("marks")))
+    for path in paths[2:5]:
+        drop_stash(spark, path)
     kind = df.schema[id_col]
     run_type = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(id_col, kind.dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(run_type)), T.StructField("kept", T.BinaryType())])
@@ -377,4 +408,12 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str
                     spans.append([{"start": s, "end": e} for s, e in runs_here])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(gone, pa.int64()), pa.array(spans, arrow_runs), pa.array(kept, pa.binary())], names=schema.names)
 
-    return _with_marks(docs, cover, "left").select("__id", "text", "marks").mapInArrow(cut, schema)
+    copied, once = _split(docs, copies)
+    covered, clean = _split(once, cover.select(*NAME))
+    kind = cover.schema["marks"].dataType
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).cast(kind)
+    marked = covered.join(cover, NAME), copied.withColumn("marks", whole), clean.withColumn("marks", F.lit(None).cast(kind))
+    first, *others = [x.select("__id", "text", "marks") for x in marked]
+    for x in others:
+        first = first.unionByName(x)
+    return first.mapInArrow(cut, schema)
