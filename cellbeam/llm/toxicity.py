@@ -2,11 +2,13 @@
 
 The kernel counts common subsequences of three letters, each weighted by ``decay``
 to the power of the span it takes in either word (spans up to ``SPAN``), so an
-insult with gaps or inserted characters stays close to the plain one. A sentence
-is compared with each landmark by its best word. Landmark words come from the
-labelled sample; the machine is trained on sentences that carry their document's
-label; a small logistic layer turns a document's
-sentence margins into a score.
+insult with gaps or inserted characters stays close to the plain one. Landmark words
+come from the labelled sample, and only such as keep their own kernel matrix K
+positive definite: K to the power -1/2 turns kernel values with the landmarks into
+coordinates whose inner products are K again for the landmarks, and a kernel for all
+sentences. A sentence is compared with each landmark by its best word. The machine is
+trained on sentences that carry their document's label; a small logistic layer turns
+the margins of all sentences of a document into a score.
 """
 
 from __future__ import annotations
@@ -19,13 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, span_hashes, steps, text_buffer, words_of
+from .common import drop_stash, shared_dir, span_hashes, stash, steps, text_buffer, words_of
 from .labelled import labelled_sample
 
 #: Longest span of a subsequence of three letters, and the weight of one position of it.
 SPAN, DECAY = 6, 0.6
-#: Kernel values below this count as none; the others are taken to this power, a kernel as well.
+#: Kernel values below this count as none, those of two landmarks as well; the others are taken to this power.
 FLOOR, POWER = 0.4, 3
+#: Least eigenvalue that the landmarks' own kernel matrix keeps.
+DEFINITE = 0.02
+#: Parts of the sample; the layer learns from each by a machine fitted on the others.
+FOLDS = 4
+#: Far words that a worker remembers (8 bytes each) before it starts anew.
+FAR = 1 << 20
 _CLASS = np.zeros(256, np.int64)  # 0: dropped; letters 1-26 without case; digits 27; other bytes 28-31
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
@@ -94,6 +102,10 @@ def sparse_map(letters: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys >> 15, keys & 32767, np.bincount(back, w, len(keys))
 
 
+#: Sorted keys of words known to be far from all landmarks, by the landmarks' words; of the last model only.
+_FAR: dict[tuple[str, ...], np.ndarray] = {}
+
+
 @dataclass
 class Landmarks:
     """Landmark words with unit length in the kernel's space: ``table`` leads from a code to its row of ``weights``."""
@@ -101,6 +113,7 @@ class Landmarks:
     words: list[str]
     table: np.ndarray
     weights: np.ndarray
+    most: np.ndarray  # the largest weight of each row
 
     @staticmethod
     def of(words: list[str]) -> "Landmarks":
@@ -114,30 +127,48 @@ class Landmarks:
         table[codes] = np.arange(len(codes))
         weights = np.zeros((len(codes), len(words)))
         np.add.at(weights, (at, owner), w / norm[owner])
-        return Landmarks(words, table, weights)
+        return Landmarks(words, table, weights, weights.max(1, initial=0))
+
+    def own(self) -> np.ndarray:
+        """The landmarks' kernel matrix among themselves."""
+        k = self.weights.T @ self.weights
+        return np.where(k < FLOOR, 0, k) ** POWER
+
+    def root(self) -> np.ndarray:
+        """The Nystrom map: from kernel values with the landmarks to coordinates."""
+        value, vector = np.linalg.eigh(self.own())
+        return vector @ np.diag(value**-0.5) @ vector.T
+
+    def pick(self, at: list[int]) -> "Landmarks":
+        return Landmarks([self.words[i] for i in at], self.table, self.weights[:, at], self.weights[:, at].max(1, initial=0))
 
     def kernel(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
         """Unit numbers near any landmark, and their normalised kernel rows; other units have zero rows."""
         n, m = len(units.row), len(self.words)
         if not n or not m:
             return np.zeros(0, np.int64), np.zeros((0, m))
-        _, first, back = np.unique(units.key, return_index=True, return_inverse=True)
+        keys, first, back = np.unique(units.key, return_index=True, return_inverse=True)
+        name = tuple(self.words)
+        if name not in _FAR:
+            _FAR.clear()
+        far = _FAR.get(name, np.zeros(0, np.uint64))
+        known = far[np.minimum(np.searchsorted(far, keys), len(far) - 1)] == keys if len(far) else np.zeros(len(keys), bool)
         chosen = np.zeros(n, bool)
-        chosen[first] = True
+        chosen[first[~known]] = True
         pick = chosen[units.unit]
         letters, unit = units.letters[pick], units.unit[pick]
-        found, length = np.zeros(n), np.bincount(unit, minlength=n)
+        bound, length = np.zeros(n), np.bincount(unit, minlength=n)
         parts = []
         for at, code, w in subsequences(letters, unit):
             row = self.table[code]
             hit = np.flatnonzero(row >= 0)
             parts.append((unit[at[hit]], row[hit], np.full(len(hit), w)))
-            found += np.bincount(unit[at[hit]], minlength=n) * w * w
-        # a unit whose shared subsequences are a small part of its own length cannot reach FLOOR with any landmark
-        own = np.zeros(n)
+            bound += np.bincount(parts[-1][0], w * self.most[row[hit]], n)
+        # a unit's product with any landmark is at most this bound, its own length at least this root: others are under FLOOR
+        least = np.zeros(n)
         for a, b in _GAPS:
-            own += np.maximum(length - a - b, 0) * DECAY ** (2 * (a + b + 1))
-        near = found > 0.7 * FLOOR * FLOOR * own
+            least += np.maximum(length - a - b, 0) * DECAY ** (2 * (a + b + 1))
+        near = (bound >= FLOOR * np.sqrt(least)) & (least > 0)
         u, r, w = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
         keep = near[u]
         u, r, w = u[keep], r[keep], w[keep]
@@ -160,6 +191,8 @@ class Landmarks:
         close = values.any(1)
         place = np.full(n, -1, np.int64)
         place[ids[close]] = np.flatnonzero(close)
+        new = keys[~known & (place[first] < 0)]
+        _FAR[name] = new if len(far) + len(new) > FAR else np.union1d(far, new)
         of_unit = place[first][back]
         active = np.flatnonzero(of_unit >= 0)
         return active, values[of_unit[active]]
@@ -228,8 +261,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
-def landmark_words(sample: DataFrame, n: int, alike: float = 0.85) -> list[str]:
-    """The words and word beginnings of the sample that tell label 1 apart best, none ``alike`` an earlier one."""
+def landmark_words(sample: DataFrame, n: int, alike: float = 0.85) -> Landmarks:
+    """The words and word beginnings of the sample that tell label 1 apart best, none ``alike`` an earlier one or
+    (up to the kernel) a sum of earlier ones."""
     words = F.regexp_extract_all(F.lower("__text"), F.lit(r"(\p{L}{3,24})"), 1)
     stems = [F.expr(f"transform(regexp_extract_all(lower(__text), '(\\\\p{{L}}{{3,24}})', 1), w -> substring(w, 1, {n}))") for n in (5, 6, 7)]
     docs = sample.select("__id", "__label", F.explode(F.array_distinct(F.concat(words, *stems))).alias("word"))
@@ -239,76 +273,82 @@ def landmark_words(sample: DataFrame, n: int, alike: float = 0.85) -> list[str]:
     odds = F.log((F.col("ones") + 0.5) / (ones + 1)) - F.log((F.col("docs") - F.col("ones") + 0.5) / (zeros + 1))
     best = by_word.where("ones >= 3").withColumn("gain", odds * F.sqrt("ones")).where("gain > 0").orderBy(F.desc("gain"), "word").limit(8 * n)
     words = [r[0] for r in best.select("word").collect()]
-    near = Landmarks.of(words).weights
-    near = near.T @ near
+    every = Landmarks.of(words)
+    near, own = every.weights.T @ every.weights, every.own()
     chosen: list[int] = []
     for i in range(len(words)):
-        if len(chosen) < n and all(near[i, j] < alike for j in chosen):
-            chosen.append(i)
-    return [words[i] for i in chosen]
+        more = [*chosen, i]
+        if len(chosen) < n and all(near[i, j] < alike for j in chosen) and np.linalg.eigvalsh(own[np.ix_(more, more)])[0] >= DEFINITE:
+            chosen = more
+    return every.pick(chosen)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int = 8_000, landmarks: int = 64, cost: float = 5_000.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int = 8_000, landmarks: int = 64, cost: float = 5_000.0, per_doc: int = 4) -> ToxicityModel:
     """Fit on about ``bound`` labelled documents at most.
 
-    Only landmark words and the landmark values of each sampled document's nearest sentences come to the
-    driver. Without labels of both kinds every score is the share of label 1.
+    The machine learns from the ``per_doc`` sentences of each sampled document that are nearest to a landmark:
+    only these values and the landmark words come to the driver. The layer learns from all sentences of the
+    sampled documents, by margins of machines that have not seen the document. Without labels of both kinds
+    every score is the share of label 1.
     """
     sample = labelled_sample(docs, labels, label_col, bound).where("__label in (0, 1)")
-    marks = Landmarks.of(landmark_words(sample, landmarks))
+    sample = sample.select("__id", "__label", "__text", F.pmod(F.xxhash64(F.lit("fold"), "__id"), F.lit(FOLDS)).cast("int").alias("__fold"))
+    spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
+    sample = stash(sample, at)
+    marks = landmark_words(sample, landmarks)
     m = len(marks.words)
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
-    per_doc = 4
+    schema = T.StructType([*[T.StructField(x, T.IntegerType()) for x in ("label", "fold")], T.StructField("values", T.ArrayType(T.DoubleType()))])
 
-    def run(batches):
+    def nearest(batches):
         for batch in batches:
-            for part in steps(batch, "__text"):
+            for part in steps(batch, "__text", 1 << 20):
                 rows, _, values = sentence_rows(marks, units_of(*text_buffer(part.column(2))))
-                ids, labs = part.column(0).to_pylist(), part.column(1).to_pylist()
                 order = np.lexsort((-values.max(1), rows)) if len(rows) else rows
                 rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
                 taken = order[rank < per_doc]
-                some = set(rows.tolist())
-                rest = [i for i in range(len(ids)) if i not in some]
+                rest = np.setdiff1d(np.arange(part.num_rows), rows)
+                own = pa.array(np.concatenate([rows[taken], rest]))
                 vals = [*values[taken].tolist(), *([[0.0] * m] * len(rest))]
-                own = [*rows[taken].tolist(), *rest]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.string()), pa.array([labs[i] for i in own], pa.int32()), pa.array(vals, pa.list_(pa.float64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(1).take(own), part.column(3).take(own), pa.array(vals, pa.list_(pa.float64()))], names=schema.names)
 
-    got = sample.select(F.col("__id").cast("string").alias("__id"), "__label", "__text").mapInArrow(run, schema).toArrow()
-    ids, y = np.array(got["id"].to_pylist(), object), got["label"].to_numpy().astype(float)
-    x = np.array(got["values"].to_pylist(), float).reshape(len(ids), m)
+    got = sample.mapInArrow(nearest, schema).toArrow()
+    y, fold = got["label"].to_numpy().astype(float), got["fold"].to_numpy()
+    x = np.array(got["values"].to_pylist(), float).reshape(len(y), m)
     share = (y.sum() + 1) / (len(y) + 2)
     if not m or not len(y) or y.min() == y.max():
+        drop_stash(spark, at)
         return ToxicityModel(marks, np.zeros(m), -1.0, np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
-    order = np.argsort(ids, kind="stable")
-    ids, y, x = ids[order], y[order], x[order]
-    # Nystrom: the landmarks' own kernel matrix to the power -1/2 turns kernel values into coordinates
-    own = (marks.weights.T @ marks.weights) ** POWER
-    value, vector = np.linalg.eigh(own + 1e-3 * np.eye(m))
-    root = vector @ np.diag(value**-0.5) @ vector.T
+    order = np.lexsort((*x.T, fold, y))  # rows arrive in any order; sums of floats then come out alike
+    y, fold, x = y[order], fold[order], x[order]
+    root = marks.root()
     z = x @ root
-    _, doc = np.unique(ids, return_inverse=True)
-    signs = np.where(y == 1, 1.0, -1.0)
-    label = np.zeros(doc.max() + 1)
-    label[doc] = y
-    n = len(label)
 
-    def machine(use):
+    def machine(use: np.ndarray) -> ToxicityModel:
         """The two labels weigh the same in all."""
-        weight = np.where(y == 1, 0.5 / max(1, (use & (y == 1)).sum()), 0.5 / max(1, (use & (y == 0)).sum()))
-        return fit_svm(z[use], signs[use], weight[use], cost)
-
-    # the layer learns from margins of machines that have not seen the document
-    seen = np.zeros((n, 3))
-    for fold in range(4):
-        out = doc % 4 == fold
-        if (y[~out] == 1).any() and (y[~out] == 0).any():
-            w, bias = machine(~out)
-            here = np.arange(n) % 4 == fold
-            seen[here] = document_features(doc[out], z[out] @ w + bias, bias, n)[here]
-    layer = fit_logistic(seen, label)
-    w, bias = machine(np.ones(len(y), bool))
-    return ToxicityModel(marks, root @ w, bias, layer)
+        use = use if (y[use] == 1).any() and (y[use] == 0).any() else np.ones(len(y), bool)
+        weight = np.where(y == 1, 0.5 / (use & (y == 1)).sum(), 0.5 / (use & (y == 0)).sum())
+        w, bias = fit_svm(z[use], np.where(y[use] == 1, 1.0, -1.0), weight[use], cost)
+        return ToxicityModel(marks, root @ w, bias, np.zeros(4))
+
+    unseen = [machine(fold != k) for k in range(FOLDS)]
+    seen = T.StructType([T.StructField("label", T.IntegerType()), *[T.StructField(k, T.DoubleType()) for k in ("best", "many", "total")]])
+
+    def features(batches):
+        for batch in batches:
+            for part in steps(batch, "__text", 1 << 20):
+                units, folds = units_of(*text_buffer(part.column(2))), part.column(3).to_numpy()
+                rows, _, values = sentence_rows(marks, units)
+                of = np.zeros((part.num_rows, 3))
+                for k, model in enumerate(unseen):
+                    here = folds == k
+                    of[here] = document_features(rows, values @ model.weights + model.bias, model.bias, part.num_rows)[here]
+                yield pa.RecordBatch.from_arrays([part.column(1), *[pa.array(of[:, i].copy()) for i in range(3)]], names=seen.names)
+
+    learned = sample.mapInArrow(features, seen).orderBy(*seen.names).toArrow()
+    layer = fit_logistic(np.column_stack([learned[k].to_numpy() for k in seen.names[1:]]), learned["label"].to_numpy().astype(float))
+    drop_stash(spark, at)
+    final = machine(np.ones(len(y), bool))
+    return ToxicityModel(marks, final.weights, final.bias, layer)
 
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
