@@ -48,8 +48,10 @@ TAG = "spdx license identifier"
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _EXPRESSION = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.I)
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9.+:-]+)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
+#: Licences that ask for little more than a notice.
+PERMISSIVE = frozenset("0bsd apache-2.0 bsd-2-clause bsd-3-clause bsl-1.0 cc-by-4.0 cc0-1.0 isc mit unlicense zlib".split())
 _MACHINE: list[ahocorasick.Automaton] = []
 
 
@@ -58,123 +60,136 @@ def machine() -> ahocorasick.Automaton:
     if not _MACHINE:
         a = ahocorasick.Automaton()
         for phrase in {**BASE, **NOTICES, **dict.fromkeys(GRANTS), TAG: None}:
-            a.add_word(f" {phrase} ", phrase)
+            a.add_word(f" {phrase} ", (phrase, phrase.count(" ") + 1))
         a.make_automaton()
         _MACHINE.append(a)
     return _MACHINE[0]
 
 
-def parse_expression(text: str) -> tuple[list, str | None]:
+def parse_expression(text: str) -> tuple[list[str], str | None]:
     """Shunting-yard: the longest leading part of ``text`` that is a whole and/or/with expression.
 
     Returns its postfix tokens and None, or no tokens and the reason. Stops at the first thing that cannot
-    continue the expression, such as a comment's end.
+    continue the expression, such as a comment's end. ``with`` stands between one licence and one exception.
     """
     out: list[str] = []
     stack: list[str] = []
-    want_operand, at, whole = True, 0, None
-
-    def close() -> list[str] | None:
-        return None if "(" in stack else out + stack[::-1]
-
-    while m := _TOKEN.match(text, at + len(text[at:]) - len(text[at:].lstrip(" \t"))):
-        token, low = m[0], m[0].lower()
+    open_brackets, at = 0, 0
+    want_operand, plain, exception = True, False, False
+    whole: tuple[int, list[str]] | None = None
+    while m := _TOKEN.match(text, at):
+        token, low = m[1], m[1].lower()
         if token == "(":
-            if not want_operand:
+            if not want_operand or exception:
                 break
             stack.append(token)
+            open_brackets += 1
         elif token == ")":
-            if want_operand or "(" not in stack:
+            if want_operand or not open_brackets:
                 break
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            open_brackets -= 1
+            plain = False
         elif low in _BINDS:
-            if want_operand:
+            if want_operand or low == "with" and not plain:
                 break
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[low]:
                 out.append(stack.pop())
             stack.append(low)
-            want_operand = True
+            want_operand, exception = True, low == "with"
         else:
             if not want_operand:
                 break
             out.append(token)
-            want_operand = False
+            plain, want_operand, exception = not exception, False, False
         at = m.end()
-        if not want_operand and (done := close()) is not None:
-            whole = done
-    return (whole, None) if whole else ([], "no whole expression")
+        if not want_operand and not open_brackets:
+            whole = len(out), stack[::-1]  # three operators at most: each binds tighter than the one below
+    return (out[: whole[0]] + whole[1], None) if whole else ([], "no whole expression")
+
+
+def licences_of(postfix: list[str]) -> set[str]:
+    """All licences that an expression names, in lower case; an exception goes with the licence before it."""
+    names: list[str] = []
+    for token in postfix:
+        if token == "with":
+            names[-2:] = [f"{names[-2]}-with-{names[-1]}"]
+        elif token not in _BINDS:
+            names.append(token.lower())
+    return set(names)
 
 
-def evaluate(postfix: list[str]) -> frozenset[frozenset[str]]:
-    """The alternatives of an expression: each is a set of licences that hold together."""
-    stack: list[frozenset[frozenset[str]]] = []
+def evaluate(postfix: list[str], accepted: frozenset[str]) -> bool:
+    """Whether an expression can be met with accepted licences alone: one side of an or, both of an and."""
+    stack: list = []
     for token in postfix:
-        if token in _BINDS:
-            b, a = stack.pop(), stack.pop()
-            if token == "or":
-                stack.append(a | b)
-            elif token == "and":
-                stack.append(frozenset(x | y for x in a for y in b))
-            else:  # with: an exception goes with the licence before it
-                stack.append(frozenset(frozenset(f"{p}-with-{q}" for p in x for q in y) for x in a for y in b))
+        if token not in _BINDS:
+            stack.append(token.lower())
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "with":
+            stack.append(f"{a}-with-{b}")
         else:
-            stack.append(frozenset([frozenset([token.lower()])]))
-    return stack[-1] if stack else frozenset()
+            a, b = [x if isinstance(x, bool) else x in accepted for x in (a, b)]
+            stack.append(a or b if token == "or" else a and b)
+    return bool(stack) and (stack[-1] if isinstance(stack[-1], bool) else stack[-1] in accepted)
 
 
-def scan_text(text: str) -> tuple[int, list[tuple[str, str, int, bool]], list[str], float]:
-    """Number of words; hits (phrase, label, word position, is base); labels; score."""
+def scan_text(text: str, accepted: frozenset[str] = PERMISSIVE) -> tuple[int, list[tuple[str, str, int, bool]], list[str], float, bool | None]:
+    """Number of words; hits (phrase, label, word position, is base); labels; score; whether ``accepted`` licences
+    meet all identifier expressions (None without any)."""
     parts = text.encode("utf-8", "replace").translate(_WORDS).split()
     joined = f" {b' '.join(parts).decode('latin-1')} "
     hits, grants, tagged = [], [], False
-    last_at = last_word = 0
-    for end, phrase in machine().iter(joined):
-        start = end + 1 - len(phrase) - 2
-        if start < last_at:
-            last_at = last_word = 0
-        last_word += joined.count(" ", last_at, start)
-        last_at = start
+    seen = spaces = 0
+    for end, (phrase, n) in machine().iter(joined):  # ends never fall
+        spaces += joined.count(" ", seen, end + 1)
+        seen = end + 1
+        word = spaces - 1 - n
         if phrase == TAG:
             tagged = True
         elif phrase in GRANTS:
-            grants.append(last_word)
+            bisect.insort(grants, word)
         else:
-            hits.append((phrase, BASE.get(phrase) or NOTICES[phrase], last_word, phrase in BASE))
+            hits.append((phrase, BASE.get(phrase) or NOTICES[phrase], word, phrase in BASE))
     labels = {h[1] for h in hits}
     score = 0.0
-    if hits:  # the last grant before a hit is the nearest; grants are in order
+    if hits:  # the last grant before a hit is the nearest
         granted = any(k and h[2] - grants[k - 1] <= 8 for h in hits for k in [bisect.bisect_left(grants, h[2])])
         score = 0.9 if granted else 0.6
+    met = None
     if tagged:
         for m in _EXPRESSION.finditer(text):
-            found = {x for alternative in evaluate(parse_expression(m[1])[0]) for x in alternative}
-            if found:
-                labels |= found
+            postfix, _ = parse_expression(m[1])
+            if postfix:
+                labels |= licences_of(postfix)
+                met = met is not False and evaluate(postfix, accepted)
                 score = 1.0
-    return len(parts), sorted(hits, key=lambda h: (h[2], h[0])), sorted(labels), score
+    return len(parts), sorted(hits, key=lambda h: (h[2], h[0])), sorted(labels), score, met
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_words, hits, labels, score`` of every whole text.
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", accepted: frozenset[str] = PERMISSIVE) -> DataFrame:
+    """``id_col, n_words, hits, labels, score, met`` of every whole text.
 
     ``hits``: phrase, label, position in words and whether it is of the base rule, by position. ``labels``:
-    distinct and sorted, those of identifier expressions included. A null or empty text has no words, no
+    distinct and sorted, those of identifier expressions included. ``met``: whether the ``accepted`` licences meet
+    all identifier expressions; null without any. A null or empty text has no words, no
     labels and score 0; repeated rows are scanned alike. No shuffle.
     """
     src = df.select(F.col(id_col), F.col(text_col).alias("__text"))
     hit = T.StructType([T.StructField("phrase", T.StringType()), T.StructField("label", T.StringType()), T.StructField("word", T.LongType()), T.StructField("base", T.BooleanType())])
-    schema = T.StructType([src.schema.fields[0], T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(hit)), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([src.schema.fields[0], T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(hit)), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("score", T.DoubleType()), T.StructField("met", T.BooleanType())])
     kind = pa.list_(pa.struct([("phrase", pa.string()), ("label", pa.string()), ("word", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches):
         names = ("phrase", "label", "word", "base")
         for batch in batches:
             for part in steps(batch, "__text"):
-                got = [scan_text(t or "") for t in part.column(1).to_pylist()]
+                got = [scan_text(t or "", accepted) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([[dict(zip(names, h, strict=True)) for h in g[1]] for g in got], kind), pa.array([g[2] for g in got], pa.list_(pa.string())), pa.array([g[3] for g in got], pa.float64())],
+                    [part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([[dict(zip(names, h, strict=True)) for h in g[1]] for g in got], kind), pa.array([g[2] for g in got], pa.list_(pa.string())), pa.array([g[3] for g in got], pa.float64()), pa.array([g[4] for g in got], pa.bool_())],
                     names=schema.names,
                 )
 
