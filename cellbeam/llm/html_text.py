@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,38 +26,63 @@ BLOCK = frozenset("address article blockquote body center dd details div dl dt f
 BOILER = frozenset("aside button dialog embed footer form head header iframe input menu nav noscript object script select style svg template textarea title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe".split())
+#: Words that say where or how something stands; beside a boilerplate word they do not change a name.
+NEUTRAL_WORDS = frozenset("area bar bottom box block column container group holder inner item items left link links list main outer page panel primary right secondary section site slot small sticky text title top unit widget wrap wrapper".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CONTAINERS = frozenset("ul ol dl table select".split())
+_ITEMS = frozenset(_CLOSES) | _CONTAINERS
 _FENCE = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "boiler", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """An element. ``p`` and ``item``: the nearest open paragraph, and list or table part, that it may close."""
 
-    def __init__(self, tag: str, parent: "Node | None", boiler: bool):
-        self.tag, self.parent, self.boiler = tag, parent, boiler
+    __slots__ = ("tag", "parent", "kids", "boiler", "named", "holds", "p", "item", "chars", "tags", "link_chars", "link_tags", "density", "total")
+
+    def __init__(self, tag: str, parent: "Node | None", boiler: bool, named: bool = False):
+        self.tag, self.parent, self.boiler, self.named, self.holds = tag, parent, boiler or named, named, False
         self.kids: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.p = self if tag == "p" else None if tag in _FENCE or parent is None else parent.p
+        self.item = self if tag in _ITEMS else parent and parent.item
 
 
-def _is_boiler(tag: str, attrs: str) -> bool:
-    if tag in BOILER:
-        return True
-    if attrs and tag not in ("body", "html", "article", "main"):
-        for m in _MARKS.finditer(attrs):
-            if not BOILER_WORDS.isdisjoint(re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())):
+def _is_named(attrs: str) -> bool:
+    """Whether a class, id or role names boilerplate: a whole name, or one that adds only neutral words."""
+    for m in _MARKS.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = {x.strip("0123456789") for x in re.split(r"[_-]+", name)} - {""}
+            if not BOILER_WORDS.isdisjoint(parts) and parts <= BOILER_WORDS | NEUTRAL_WORDS:
                 return True
     return False
 
 
 def parse(page: str) -> Node:
-    """The tree of a page. Unclosed elements end with their parents; stray end tags are skipped."""
+    """The tree of a page. Unclosed elements end with their parents; stray end tags are skipped.
+
+    An element whose name says boilerplate is none if it holds the page's article or main element. Every step
+    looks at open elements by counts and links only, so a page takes time in proportion to its length.
+    """
     root = Node("html", None, False)
     here, at, n = root, 0, len(page)
+    wide: Counter = Counter()  # open elements that an end tag may close from within others
+    scopes = [Counter()]  # the rest, counted anew inside each fence
+
+    def leave(to: Node) -> Node:
+        """Close all open elements below ``to``."""
+        up = here
+        while up is not to:
+            if up.tag in _FENCE:
+                scopes.pop()
+            (wide if up.tag in _FENCE or up.tag in BOILER else scopes[-1])[up.tag] -= 1
+            up = up.parent
+        return to
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -69,30 +95,30 @@ def parse(page: str) -> Node:
         if not tag or tag in ("html", "body"):
             continue  # one tree serves for both
         if m[1] or m[4]:
-            up = here
-            while up is not root and up.tag != tag:
-                if up.tag in _FENCE and tag not in _FENCE and tag not in BOILER:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if (wide if tag in _FENCE or tag in BOILER else scopes[-1])[tag] > 0:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = leave(up.parent)
             continue
         attrs = m[3] or m[6] or ""
-        if tag in BLOCK or tag in BOILER:
-            up = here
-            while up is not root and up.tag not in _FENCE and up.tag != "p":
-                up = up.parent
-            if up.tag == "p" and up is not root:
-                here = up.parent
+        if (tag in BLOCK or tag in BOILER) and here.p:
+            here = leave(here.p.parent)
         if tag in _CLOSES:
+            up = here.item
+            while up and up.tag not in _CLOSES[tag] and up.tag not in _CONTAINERS:
+                up = up.parent.item
+            if up and up.tag in _CLOSES[tag]:
+                here = leave(up.parent)
+        node = Node(tag, here, tag in BOILER, bool(attrs) and tag not in ("article", "main") and _is_named(attrs))
+        here.kids.append(node)
+        if tag in ("article", "main"):
             up = here
-            while up is not root and up.tag not in _CLOSES[tag] and up.tag not in ("ul", "ol", "dl", "table", "select"):
+            while up and not up.holds:
+                up.holds = True
+                if up.named:
+                    up.boiler = up.tag in BOILER
                 up = up.parent
-            if up is not root and up.tag in _CLOSES[tag]:
-                here = up.parent
-        node = Node(tag, here, _is_boiler(tag, attrs))
-        here.kids.append(node)
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
@@ -102,6 +128,9 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue
         here = node
+        (wide if tag in _FENCE or tag in BOILER else scopes[-1])[tag] += 1
+        if tag in _FENCE:
+            scopes.append(Counter())
     return root
 
 
@@ -150,14 +179,12 @@ def main_nodes(root: Node) -> list[Node]:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-    chosen = best
-    for node in path[1:-1]:
-        inside = path[path.index(node) - 1]
-        if any(type(k) is Node and k is not inside and not k.boiler and k.density >= threshold for k in node.kids):
-            chosen = node
-    for node in path:
-        if node.tag in ("article", "main") and path.index(node) > path.index(chosen):
-            chosen = node
+    level = 0
+    for i, node in enumerate(path):
+        wider = 0 < i < len(path) - 1 and any(type(k) is Node and k is not path[i - 1] and not k.boiler and k.density >= threshold for k in node.kids)
+        if wider or node.tag in ("article", "main"):
+            level = i
+    chosen = path[level]
     if chosen is root:
         return [root]
     branch = path[-2]
