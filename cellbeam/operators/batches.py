@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def range_of(rows: DataFrame, key: str) -> Column:
+    """Number of the range of a numeric key that a row is in; as many ranges as shuffle partitions, about equal ones."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = rows.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+    cut = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    return F.size(F.filter(cut, lambda c: c <= F.col(key)))
+
+
 def numbered(ids: DataFrame, key: str) -> DataFrame:
     """``n``: place by key from 0, and ``total``. Places are counted in ranges of the key, then shifted.
 
-    The ranges are cut by the sort's own partitions, so no task holds all ids.
+    The ranges are cut by quantiles, so no task holds all ids.
     """
-    parts = max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = ids.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
-    cut = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    r = ids.withColumn("__range", F.size(F.filter(cut, lambda c: c <= F.col(key))))
+    r = ids.withColumn("__range", range_of(ids, key))
     counts = r.groupBy("__range").agg(F.count(F.lit(1)).alias("c"))
     before = counts.select("__range", (F.sum("c").over(W.orderBy("__range")) - F.col("c")).alias("base"), F.sum("c").over(W.partitionBy()).alias("total"))
     place = r.withColumn("__r", F.row_number().over(W.partitionBy("__range").orderBy(key)) - 1)
@@ -61,6 +66,33 @@ def random_batch(pixels: DataFrame, images: int, share: float, seed: int) -> Dat
     return pixels.sample(False, share, seed).withColumn("image_id", F.floor(F.rand(seed) * images) + 1).withColumn("u", F.rand(seed + 1)).withColumn("v", F.rand(seed + 2))
 
 
+def random_scene_batch(pixels: DataFrame, images: DataFrame, share: float, seed: int) -> DataFrame:
+    """As ``random_batch`` for several scenes: one scene is drawn for the whole batch, then images of that scene.
+
+    ``images``: scene_id, image_id. The scene is drawn by the seed among the distinct ids; the images of one scene
+    are numbered, and every sampled pixel gets one of them.
+    """
+    scene = images.select("scene_id").distinct().orderBy(F.xxhash64(F.lit(seed), "scene_id"), "scene_id").limit(1)
+    here = numbered(images.join(F.broadcast(scene), "scene_id").select("scene_id", "image_id").distinct(), "image_id").select("scene_id", "image_id", "n", "total")
+    drawn = pixels.sample(False, share, seed).drop("image_id", "scene_id").withColumn("__at", F.rand(seed)).withColumn("u", F.rand(seed + 1)).withColumn("v", F.rand(seed + 2))
+    size = here.agg(F.max("total").alias("__total"))
+    drawn = drawn.crossJoin(F.broadcast(size)).withColumn("n", F.floor(F.col("__at") * F.col("__total")))
+    return drawn.join(here.drop("total"), "n").drop("n", "__at", "__total")
+
+
+def row_batches(images: DataFrame, rows: int, height: int, width: int, image: str = "image_id") -> DataFrame:
+    """Sequential batches of whole rows: ``batch`` (image, then row block), the block's first and last row, and u, v.
+
+    An image has ceil(height / rows) blocks; the last may be shorter. Images are numbered by id from 0.
+    """
+    blocks = -(-height // rows)
+    order = numbered(images.select(image).distinct(), image).select(image, "n")
+    block = F.floor(F.col("row") / rows).cast("int")
+    start = block * rows
+    at = images.join(order, image)
+    return at.select((F.col("n") * blocks + block).alias("batch"), image, start.alias("row_start"), F.least(start + rows, F.lit(height)).alias("row_end"), "row", "col", (F.col("col") / (width - 1)).alias("u"), (F.col("row") / (height - 1)).alias("v"), "value")
+
+
 def random_in_nodes(nodes: DataFrame, per_node: int, seed: int) -> DataFrame:
     """``per_node`` random points inside every node."""
     x = nodes.select("*", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("k"))

@@ -25,6 +25,26 @@ def rotate_points(points: DataFrame, poses: DataFrame, inverse: bool = False, tr
     return with_pose(points, poses).select(*[c for c in points.columns if c not in "xyz"], *[m.alias(c) for m, c in zip(moved, "xyz", strict=True)])
 
 
+def apply_tangent(poses: DataFrame, tangents: DataFrame, image: str = "image_id") -> DataFrame:
+    """Poses turned by exp of a rotation vector: q = exp(t) * q. ``tangents``: image, rx, ry, rz; images without one stay.
+
+    exp(t) has the axis t / |t| and the angle |t|; for very small vectors its first terms stand in.
+    """
+    t = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("rx", "ry", "rz")]
+    n = F.sqrt(t[0] * t[0] + t[1] * t[1] + t[2] * t[2])
+    by = F.when(n < 1e-8, 0.5 - n * n / 48).otherwise(F.sin(n / 2) / n)
+    a = (*[c * by for c in t], F.cos(n / 2))
+    b = tuple(F.col(c) for c in QUAT)
+    product = (
+        a[3] * b[0] + a[0] * b[3] + a[1] * b[2] - a[2] * b[1],
+        a[3] * b[1] - a[0] * b[2] + a[1] * b[3] + a[2] * b[0],
+        a[3] * b[2] + a[0] * b[1] - a[1] * b[0] + a[2] * b[3],
+        a[3] * b[3] - a[0] * b[0] - a[1] * b[1] - a[2] * b[2],
+    )
+    j = poses.join(tangents.select(image, "rx", "ry", "rz"), image, "left")
+    return j.select(*[dict(zip(QUAT, product, strict=True)).get(c, F.col(c)).alias(c) for c in poses.columns])
+
+
 def unproject(pixels: DataFrame, cameras: DataFrame, depth: float = 1.0) -> DataFrame:
     """Camera-space x, y, z of pixels at a depth; shear is not used."""
     j = pixels.join(cameras.select("camera_id", "fx", "fy", "cx", "cy"), "camera_id")

@@ -36,17 +36,44 @@ def init_network(sizes: list[int], seed: int = 0) -> list[tuple[np.ndarray, np.n
     return [(rng.uniform(-np.sqrt(6 / a), np.sqrt(6 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
 
 
-def decode(features: Column, layers: list[tuple[np.ndarray, np.ndarray]]) -> Column:
-    """First output of a network with relu between layers over an array column, batch by batch."""
+#: The activations of ``functions.columns.activation`` for arrays.
+ACTIVATIONS = {
+    "relu": lambda x: np.maximum(x, 0),
+    "abs": np.abs,
+    "softplus": lambda x: np.logaddexp(x, 0),
+    "id": lambda x: x,
+    "none": lambda x: x,
+    "sigmoid": lambda x: 1 / (1 + np.exp(-x)),
+    "leaky_relu": lambda x: np.where(x < 0, x * 0.01, x),
+    "sin": np.sin,
+}
+
+
+def apply_network(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], kind: str = "relu", last: str = "id") -> np.ndarray:
+    """All outputs of a network: linear layers with ``kind`` between them and ``last`` at the end."""
+    for i, (w, b) in enumerate(layers):
+        x = ACTIVATIONS[last if i + 1 == len(layers) else kind](x @ w + b)
+    return x
+
+
+def decode(features: Column, layers: list[tuple[np.ndarray, np.ndarray]], kind: str = "relu", last: str = "id") -> Column:
+    """First output of a network over an array column, batch by batch."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
         h = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, len(layers[0][0])))
-        for i, (w, b) in enumerate(layers):
-            h = h @ w + b
-            if i + 1 < len(layers):
-                h = np.maximum(h, 0)
-        return pd.Series(h[:, 0])
+        return pd.Series(apply_network(h, layers, kind, last)[:, 0])
+
+    return run(features)
+
+
+def decode_channels(features: Column, layers: list[tuple[np.ndarray, np.ndarray]], kind: str = "relu", last: str = "id") -> Column:
+    """All outputs of a network over an array column, as an array."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        h = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, len(layers[0][0])))
+        return pd.Series(list(apply_network(h, layers, kind, last)))
 
     return run(features)
 

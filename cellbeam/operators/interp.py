@@ -6,6 +6,7 @@ from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_corner
@@ -26,15 +27,52 @@ def corners(coords: dict[str, Column], size: dict[str, int]) -> Column:
     return F.array(*rows)
 
 
+def gather_cells(grid: DataFrame, size: dict[str, int], grid_key: str = "node_id", values: list[str] | None = None) -> DataFrame:
+    """``grid_key`` and one array ``__<value>`` per value column: all cells of a grid in order, the last axis fastest.
+
+    ``grid`` has one row per cell; cells that are missing stay NULL. A grid is bounded by its size.
+    """
+    index = reduce(lambda p, a: p * size[a] + F.col(f"i{a}"), size, F.lit(0))
+    total = reduce(lambda p, n: p * n, size.values(), 1)
+    values = values or ["value"]
+    rows = grid.groupBy(grid_key).agg(F.array_sort(F.collect_list(F.struct(index.cast("int").alias("i"), *[F.col(v) for v in values]))).alias("__c"))
+
+    def dense(v: str) -> Column:
+        known = F.map_from_entries(F.transform("__c", lambda c: F.struct(c["i"], c[v])))
+        return F.when(F.size("__c") == total, F.transform("__c", lambda c: c[v])).otherwise(F.transform(F.sequence(F.lit(0), F.lit(total - 1)), lambda k: F.try_element_at(known, k)))
+
+    return rows.select(grid_key, *[dense(v).alias(f"__{v}") for v in values])
+
+
+def place(df: DataFrame, coords: dict[str, Column], size: dict[str, int], tag: str = "") -> DataFrame:
+    """Adds the clamped position and its cell along each axis, so that the corners below share them."""
+    at = {f"__q{tag}_{a}": F.least(F.greatest(c, F.lit(0.0)), F.lit(float(size[a] - 1))) for a, c in coords.items()}
+    return df.withColumns(at).withColumns({f"__l{tag}_{a}": F.floor(f"__q{tag}_{a}").cast("int") for a in coords})
+
+
+def interpolate(cells: str, coords: dict[str, Column], size: dict[str, int], tag: str = "") -> Column:
+    """Linear interpolation in an array column from ``gather_cells`` at the positions that ``place`` has added."""
+    parts = []
+    for a in coords:
+        q, lo = F.col(f"__q{tag}_{a}"), F.col(f"__l{tag}_{a}")
+        parts.append((size[a], lo, F.least(lo + 1, F.lit(size[a] - 1)), q - lo))
+    out = None
+    for bits in product((0, 1), repeat=len(parts)):
+        index = reduce(lambda p, x: p * x[0][0] + x[0][1 + x[1]], zip(parts, bits, strict=True), F.lit(0))
+        weight = reduce(lambda p, q: p * q, [x[3] if b else 1.0 - x[3] for x, b in zip(parts, bits, strict=True)])
+        term = weight * F.coalesce(F.get(cells, index), F.lit(0.0))
+        out = term if out is None else out + term
+    return out
+
+
 def sample_grid(points: DataFrame, grid: DataFrame, coords: dict[str, Column], size: dict[str, int], key: str = "point_id", grid_key: str = "node_id", out: str = "value") -> DataFrame:
     """Linear interpolation in 1, 2 or 3 dimensions: ``key`` and the interpolated value.
 
-    ``points``: key, grid_key and coordinates; ``grid``: grid_key, a cell column ``i<axis>`` per axis, value.
-    One join on (grid, cell); the weighted sum is partly made before its shuffle.
+    ``points``: key, grid_key and coordinates; ``grid``: grid_key, a cell column ``i<axis>`` per axis, value; a
+    missing cell counts as 0. One join of points with whole grids: no row per corner, and no sum after it.
     """
-    at = points.select(key, grid_key, F.explode(corners(coords, size)).alias("c")).select(key, grid_key, "c.*")
-    on = [grid_key, *[f"i{a}" for a in coords]]
-    return at.join(grid.select(*on, F.col("value").alias("__v")), on).groupBy(key).agg(F.sum(F.col("w") * F.col("__v")).alias(out))
+    j = place(points, coords, size).join(gather_cells(grid, size, grid_key), grid_key)
+    return j.select(key, interpolate("__value", coords, size).alias(out))
 
 
 def grid_gradient(points: DataFrame, residual: str, coords: dict[str, Column], size: dict[str, int], grid_key: str = "node_id") -> DataFrame:
@@ -47,18 +85,22 @@ def line_gradient(points: DataFrame, grid: DataFrame, coord: Column, size: int,
     """Derivative of a 1-D interpolation by its coordinate, in cell units: the difference of the two cells."""
     c = F.least(F.greatest(coord, F.lit(0.0)), F.lit(float(size - 1)))
     lo = F.least(F.floor(c).cast("int"), F.lit(size - 2))
-    at = points.select(key, grid_key, F.explode(F.array(F.struct(lo.alias("ix"), F.lit(-1.0).alias("s")), F.struct((lo + 1).alias("ix"), F.lit(1.0).alias("s")))).alias("c")).select(key, grid_key, "c.*")
-    return at.join(grid.select(grid_key, "ix", "value"), [grid_key, "ix"]).groupBy(key).agg(F.sum(F.col("s") * F.col("value")).alias("slope"))
+    j = points.withColumn("__l", lo).join(gather_cells(grid, {"x": size}, grid_key), grid_key)
+    return j.select(key, (F.coalesce(F.get("__value", F.col("__l") + 1), F.lit(0.0)) - F.coalesce(F.get("__value", F.col("__l")), F.lit(0.0))).alias("slope"))
 
 
-def hash_encode(points: DataFrame, table: DataFrame, levels: int, base: int, growth: float, size: int, key: str = "point_id", coords: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
-    """Multi-resolution hash encoding: ``key, level, feature``; outside [0, 1] the feature is 0.
+#: Tables of up to this many slots travel as one array to every task.
+SMALL_TABLE = 1 << 16
+
+
+def hash_corners(levels: int, base: int, growth: float, size: int, coords: tuple[str, ...]) -> list[list[tuple[Column, Column]]]:
+    """By level: slot and weight of each corner around a position in [0, 1]; outside all weights are 0.
 
     A level whose lattice fits the table is indexed densely, others by XOR of coordinate and prime.
     """
     #: The primes of the hash.
     primes = (1, 2654435761, 805459861)
-    rows = []
+    out = []
     inside = reduce(lambda a, b: a & b, [F.col(c).between(0.0, 1.0) for c in coords])
     for level in range(levels):
         scale = 2.0 ** (level * growth) * base - 1.0
@@ -66,13 +108,44 @@ def hash_encode(points: DataFrame, table: DataFrame, levels: int, base: int, gro
         dense = res ** len(coords) <= size
         cells = {c: F.floor(F.col(c) * scale).cast("long") for c in coords}
         fracs = {c: F.col(c) * scale - F.floor(F.col(c) * scale) for c in coords}
+        corners_here = []
         for bits in product((0, 1), repeat=len(coords)):
             at = tuple(cells[c] + b for c, b in zip(coords, bits, strict=True))
             index = F.pmod(reduce(lambda p, q: p + q, [a * res**k for k, a in enumerate(at)]), F.lit(size)) if dense else hash_corner(at, primes[: len(coords)], size)
             weight = reduce(lambda p, q: p * q, [fracs[c] if b else 1.0 - fracs[c] for c, b in zip(coords, bits, strict=True)])
-            rows.append(F.struct(F.lit(level).alias("level"), index.cast("long").alias("slot"), F.when(inside, weight).otherwise(0.0).alias("w")))
-    at = points.select(key, F.explode(F.array(*rows)).alias("c")).select(key, "c.*")
-    return at.join(table.select("slot", F.col("value").alias("__v")), "slot").groupBy(key, "level").agg(F.sum(F.col("w") * F.col("__v")).alias("feature"))
+            corners_here.append((index.cast("long"), F.when(inside, weight).otherwise(0.0)))
+        out.append(corners_here)
+    return out
+
+
+def hash_encode(points: DataFrame, table: DataFrame, levels: int, base: int, growth: float, size: int, key: str = "point_id", coords: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
+    """Multi-resolution hash encoding: ``key, level, feature``; outside [0, 1] the feature is 0.
+
+    ``table``: slot, value; a missing slot counts as 0. Small tables are looked up in place, large ones by a join.
+    """
+    at = hash_corners(levels, base, growth, size, coords)
+    if size <= SMALL_TABLE:
+        every = points.sparkSession.range(size).select(F.col("id").alias("slot"), F.lit(0.0).alias("value")).unionByName(table.select("slot", "value"))
+        full = every.groupBy(F.lit(0).alias("__t"), F.col("slot").alias("islot")).agg(F.sum("value").alias("value"))
+        whole = gather_cells(full, {"slot": size}, "__t").select("__value")
+        sums = [reduce(lambda p, q: p + q, [w * F.coalesce(F.get("__value", slot.cast("int")), F.lit(0.0)) for slot, w in level]) for level in at]
+        found = points.crossJoin(F.broadcast(whole)).select(key, F.posexplode(F.array(*sums)).alias("level", "feature"))
+        return found
+    rows = [F.struct(F.lit(level).alias("level"), slot.alias("slot"), w.alias("w")) for level, here in enumerate(at) for slot, w in here]
+    spread = points.select(key, F.explode(F.array(*rows)).alias("c")).select(key, "c.*")
+    return spread.join(table.select("slot", F.col("value").alias("__v")), "slot", "left").groupBy(key, "level").agg(F.sum(F.col("w") * F.coalesce("__v", F.lit(0.0))).alias("feature"))
+
+
+def hash_gradient(points: DataFrame, residual: str, levels: int, base: int, growth: float, size: int, coords: tuple[str, ...] = ("u", "v", "w"), level: str | None = None) -> DataFrame:
+    """``slot, gradient``: scatter-add of weight * residual, the gradient of the table of ``hash_encode``.
+
+    The same residual reaches all levels, or with the column ``level`` only the level that it names.
+    """
+    at = hash_corners(levels, base, growth, size, coords)
+    rows = [F.struct(F.lit(k).alias("level"), slot.alias("slot"), w.alias("w")) for k, here in enumerate(at) for slot, w in here]
+    spread = points.select(residual, *([level] if level else []), F.explode(F.array(*rows)).alias("c"))
+    spread = spread.where(F.col("c.level") == F.col(level)) if level else spread
+    return spread.groupBy(F.col("c.slot").alias("slot")).agg(F.sum(F.col("c.w") * F.col(residual)).alias("gradient"))
 
 
 def convolve(images: DataFrame, kernel: list[list[float]], image: str = "image_id") -> DataFrame:
@@ -89,13 +162,51 @@ def halve(images: DataFrame, image: str = "image_id") -> DataFrame:
     return images.groupBy(image, half("row"), half("col")).agg(F.avg("value").alias("value"))
 
 
-def tensor_feature(samples: DataFrame, planes: DataFrame, lines: DataFrame, size: int, key: str = "point_id") -> DataFrame:
-    """Sum over axes of plane value times line value: ``samples``: key, node_id, u, v, w in [-1, 1]; tables by axis."""
-    total = None
-    for axis, (p, q, r) in enumerate((("v", "w", "u"), ("u", "w", "v"), ("u", "v", "w"))):
-        cell = lambda c: (F.col(c) + 1.0) * ((size - 1) / 2.0)
-        plane = sample_grid(samples, planes.where(F.col("axis") == axis), {"y": cell(q), "x": cell(p)}, {"y": size, "x": size}, key, out="p")
-        line = sample_grid(samples, lines.where(F.col("axis") == axis), {"x": cell(r)}, {"x": size}, key, out="l")
-        part = plane.join(line, key).select(key, (F.col("p") * F.col("l")).alias("value"))
-        total = part if total is None else total.unionByName(part)
-    return total.groupBy(key).agg(F.sum("value").alias("value"))
+def laplacian_band(images: DataFrame, image: str = "image_id") -> DataFrame:
+    """What a pyramid level loses by ``halve``: each pixel less the mean of its 2 x 2 block, as ``band``."""
+    block = W.partitionBy(image, F.floor(F.col("row") / 2), F.floor(F.col("col") / 2))
+    return images.withColumn("band", F.col("value") - F.avg("value").over(block))
+
+
+#: Per axis: the two coordinates of its plane and the coordinate of its line.
+PLANES = (("v", "w", "u"), ("u", "w", "v"), ("u", "v", "w"))
+
+
+def plane_features(samples: DataFrame, planes: DataFrame, size: int, key: str = "point_id", coords: tuple[str, str, str] = ("u", "v", "w")) -> DataFrame:
+    """``key, p0, p1, p2``: the planes of the three axes at each sample, without the lines.
+
+    ``samples``: key, node_id and coordinates in [-1, 1]; ``planes``: node_id, axis, iy, ix, value.
+    """
+    cell = dict(zip("uvw", [(F.col(c) + 1.0) * ((size - 1) / 2.0) for c in coords], strict=True))
+    cells = {"axis": 3, "y": size, "x": size}
+    j = samples.join(gather_cells(planes.withColumn("iaxis", F.col("axis")), cells), "node_id")
+    at = [{"axis": F.lit(float(k)), "y": cell[PLANES[k][1]], "x": cell[PLANES[k][0]]} for k in range(3)]
+    for k in range(3):
+        j = place(j, at[k], cells, str(k))
+    return j.select(key, *[interpolate("__value", at[k], cells, str(k)).alias(f"p{k}") for k in range(3)])
+
+
+def tensor_feature(samples: DataFrame, planes: DataFrame, lines: DataFrame, size: int, key: str = "point_id", how: str = "add", line_coords: tuple[str, str, str] = ("u", "v", "w"), line_key: str = "node_id") -> DataFrame:
+    """Plane times line of the three axes: their sum ``value``, or with ``how='cat'`` an array of the three.
+
+    ``samples``: key, node_id, u, v, w in [-1, 1] inside the node; tables by axis. ``line_coords`` may name other
+    columns, such as ``roi_coordinate`` of the global place, and ``line_key`` another key, where all nodes share lines.
+    """
+    if how not in ("add", "cat"):
+        raise ValueError(f"unknown way {how!r}")
+    cells = {"axis": 3, "x": size}
+    plane = plane_features(samples, planes, size, key)
+    line = gather_cells(lines.withColumn("iaxis", F.col("axis")), cells, line_key)
+    cell = {c: (F.col(n) + 1.0) * ((size - 1) / 2.0) for c, n in zip("uvw", line_coords, strict=True)}
+    at = [{"axis": F.lit(float(k)), "x": cell[PLANES[k][2]]} for k in range(3)]
+    j = samples.join(line, line_key)
+    for k in range(3):
+        j = place(j, at[k], cells, str(k))
+    j = j.select(key, *[interpolate("__value", at[k], cells, str(k)).alias(f"l{k}") for k in range(3)])
+    parts = [F.col(f"p{k}") * F.col(f"l{k}") for k in range(3)]
+    return plane.join(j, key).select(key, (parts[0] + parts[1] + parts[2] if how == "add" else F.array(*parts)).alias("value"))
+
+
+def roi_coordinate(x: Column, lo: float, hi: float) -> Column:
+    """A global coordinate in [-1, 1] over the region of interest."""
+    return 2.0 * (x - lo) / (hi - lo) - 1.0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,10 +29,28 @@ def image_errors(pixels: DataFrame, a: str, b: str, image: str = "image_id") ->
     return per.agg(F.avg("mse").alias("mse"), F.avg("l1").alias("l1")).withColumn("psnr", F.log10(1 / F.col("mse")) * 10)
 
 
-def training_loss(rays: DataFrame, prediction: str, target: str, kind: str = "none", mse: float = 1.0, l1: float = 0.0, scale: float = 1.0) -> DataFrame:
+def volume_psnr(cells: DataFrame, prediction: str, target: str, volume: str = "node_id") -> DataFrame:
+    """``volume, peak, mse, psnr`` of each volume, with the target's largest value as its peak."""
+    d = F.col(prediction) - F.col(target)
+    per = cells.groupBy(volume).agg(F.max(target).alias("peak"), F.avg(d * d).alias("mse"))
+    return per.withColumn("psnr", F.log10(F.col("peak") * F.col("peak") / F.col("mse")) * 10)
+
+
+def loss_of(prediction: str, target: str, kind: str = "none", mse: float = 1.0, l1: float = 0.0, scale: float = 1.0) -> Column:
+    """The weighted squared and absolute error as one aggregate, so that several losses share a pass."""
     d = F.col(prediction) - F.col(target)
     w = loss_weight(F.col(target), kind)
-    return rays.agg(((F.avg(w * d * d) * mse + F.avg(w * F.abs(d)) * l1) * scale).alias("loss"), F.count(F.lit(1)).alias("n"))
+    return (F.avg(w * d * d) * mse + F.avg(w * F.abs(d)) * l1) * scale
+
+
+def training_loss(rays: DataFrame, prediction: str, target: str, **kw) -> DataFrame:
+    return rays.agg(loss_of(prediction, target, **kw).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+def weighted_sum(terms: list[tuple[DataFrame, str, float]]) -> DataFrame:
+    """``loss``: the mean of each table's column times its weight, summed."""
+    means = [df.agg((F.avg(column) * weight).alias("loss")) for df, column, weight in terms]
+    return reduce(DataFrame.unionByName, means).agg(F.sum("loss").alias("loss"))
 
 
 def running_loss(batches: DataFrame) -> DataFrame:
@@ -75,12 +96,15 @@ def edge_map(images: DataFrame, image: str = "image_id") -> DataFrame:
     return images.select(image, "row", "col", F.least(F.abs(gx) + F.abs(gy), F.lit(1.0)).alias("edge"))
 
 
-def ssim(images: DataFrame, a: str, b: str, reach: int = 1, c1: float = 1e-4, c2: float = 9e-4, image: str = "image_id") -> DataFrame:
-    """Mean structural similarity over square windows clipped at the border: each pixel goes to the windows it is in."""
-    offs = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-    to = F.explode(F.array(*[F.struct((F.col("row") + i).alias("r"), (F.col("col") + j).alias("c")) for i, j in offs])).alias("at")
-    w = images.select(image, F.col(a).alias("a"), F.col(b).alias("b"), to).groupBy(image, F.col("at.r").alias("row"), F.col("at.c").alias("col"))
-    m = w.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.avg(F.col("a") * F.col("a")).alias("aa"), F.avg(F.col("b") * F.col("b")).alias("bb"), F.avg(F.col("a") * F.col("b")).alias("ab")).join(images.select(image, "row", "col"), [image, "row", "col"], "left_semi")
+def ssim(images: DataFrame, a: str, b: str, reach: int = 1, c1: float = 1e-4, c2: float = 9e-4, image: str = "image_id", axes: tuple[str, ...] = ("row", "col")) -> DataFrame:
+    """Mean structural similarity over square (or, with three ``axes``, cubic) windows clipped at the border.
+
+    Each cell goes to the windows it is in; the sums of a window are partly made before the shuffle.
+    """
+    offs = product(range(-reach, reach + 1), repeat=len(axes))
+    to = F.explode(F.array(*[F.struct(*[(F.col(x) + i).alias(x) for x, i in zip(axes, o, strict=True)]) for o in offs])).alias("at")
+    w = images.select(image, F.col(a).alias("a"), F.col(b).alias("b"), to).groupBy(image, *[F.col(f"at.{x}").alias(x) for x in axes])
+    m = w.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.avg(F.col("a") * F.col("a")).alias("aa"), F.avg(F.col("b") * F.col("b")).alias("bb"), F.avg(F.col("a") * F.col("b")).alias("ab")).join(images.select(image, *axes), [image, *axes], "left_semi")
     ma, mb = F.col("ma"), F.col("mb")
     s = ((2 * ma * mb + c1) * (2 * (F.col("ab") - ma * mb) + c2)) / ((ma * ma + mb * mb + c1) * (F.col("aa") - ma * ma + F.col("bb") - mb * mb + c2))
     return m.groupBy(image).agg(F.avg(s).alias("ssim"))

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import AXES
-from .tree import level_start, morton_of
+from .batches import range_of
+from .tree import boxes, level_start, morton_of
 
 #: Node tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_NODES = 500_000
@@ -33,12 +34,17 @@ def ancestors(node_id: Column, depth: int, fan: int = 8) -> Column:
 
 
 def locate(points: DataFrame, active: DataFrame, depth: int, key: str = "point_id", **kw) -> DataFrame:
-    """Adds ``active_node``, the active node that holds each point (NULL if none), by equi joins on Morton ids."""
-    small = active.select(F.col("node_id").alias("__n"))
-    small = F.broadcast(small) if small.count() <= BROADCAST_NODES else small
-    up = points.select(key, F.explode(ancestors(leaf_key(depth, **kw), depth, 4 if kw.get("quad") else 8)).alias("__a"))
-    found = up.join(small, up["__a"] == F.col("__n")).groupBy(key).agg(F.max("__n").alias("active_node"))
-    return points.join(found, key, "left")
+    """Adds ``active_node``, the active node that holds each point (NULL if none; the deepest of several).
+
+    The ancestors of a point's leaf are looked up level by level. Node tables are broadcast where they are few
+    enough, so points stay where they are.
+    """
+    ids = active.select("node_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
+    out = points.withColumn("__up", ancestors(leaf_key(depth, **kw), depth, 4 if kw.get("quad") else 8))
+    for k in range(depth + 1):
+        out = out.withColumn(f"__a{k}", F.col("__up")[k]).join(ids.withColumnRenamed("node_id", f"__n{k}"), F.col(f"__a{k}") == F.col(f"__n{k}"), "left")
+    return out.select(*points.columns, F.coalesce(*[F.col(f"__n{k}") for k in range(depth + 1)]).alias("active_node"))
 
 
 def local_coordinates(points: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -58,7 +64,17 @@ def group_offsets(points: DataFrame, group_size: int, node: str = "node_id") ->
 
 
 def row_in_node(points: DataFrame, order: list[str], node: str = "node_id") -> DataFrame:
-    return points.withColumn("place", F.row_number().over(W.partitionBy(node).orderBy(*order)) - 1)
+    """Adds ``place`` from 0 by ``order`` inside each node, counted in ranges of the first (numeric) order column.
+
+    No task sorts a whole node: a node's ranges are counted first, then shifted by the counts before them.
+    """
+    cut = range_of(points, order[0])
+    r = points.withColumn("__range", cut)
+    counts = r.groupBy(node, "__range").agg(F.count(F.lit(1)).alias("__c"))
+    base = counts.select(F.col(node).alias("__node"), F.col("__range").alias("__b"), (F.sum("__c").over(W.partitionBy(node).orderBy("__range")) - F.col("__c")).alias("__base"))
+    placed = r.withColumn("__r", F.row_number().over(W.partitionBy(node, "__range").orderBy(*order)) - 1)
+    j = placed.join(base, placed[node].eqNullSafe(F.col("__node")) & (placed["__range"] == F.col("__b")))
+    return j.select(*points.columns, (F.col("__r") + F.col("__base")).alias("place"))
 
 
 def in_nodes(points: DataFrame, ids: DataFrame, inside: bool = True, node: str = "node_id") -> DataFrame:
@@ -76,10 +92,23 @@ def face_neighbours(points: DataFrame, depth: int, eps: float, axes: tuple[str,
     return out.select(key, "axis", *AXES, F.posexplode(F.array("n0", "n1")).alias("side", "node_id"))
 
 
-def fill_inactive(cells: DataFrame, known: DataFrame) -> DataFrame:
-    """``node_id, cell, value`` of cells whose node has none, from the nearest cell copy in their containing node.
+def fill_inactive(inactive: DataFrame, active: DataFrame, known: DataFrame, depth: int, size: int) -> DataFrame:
+    """``node_id, iz, iy, ix, value`` for all cells of inactive nodes, from the nearest cell of the active node there.
 
-    ``cells``: node_id, cell, source_node, source_cell; ``known``: node_id, cell, value.
+    ``inactive``: node_id, x0..z1; ``active``: node_id, depth (of any level down to ``depth``); ``known``: node_id,
+    iz, iy, ix, value of active nodes' grids of ``size`` cells per axis, ends included. A cell's place is looked up
+    among the active nodes; where none holds it, or its grid lacks the cell, the value is NULL.
     """
-    k = known.select(F.col("node_id").alias("source_node"), F.col("cell").alias("source_cell"), "value")
-    return cells.join(k, ["source_node", "source_cell"], "left").select("node_id", "cell", "value")
+    cells = inactive.select("node_id", *[f"{a}{k}" for a in AXES for k in (0, 1)], F.explode(F.sequence(F.lit(0), F.lit(size**3 - 1))).alias("cell"))
+    number = {"x": F.col("cell") % size, "y": F.floor(F.col("cell") / size).cast("int") % size, "z": F.floor(F.col("cell") / (size * size)).cast("int")}
+    cells = cells.select("node_id", *[n.alias(f"i{a}") for a, n in number.items()], *[(F.col(f"{a}0") + n / (size - 1) * (F.col(f"{a}1") - F.col(f"{a}0"))).alias(a) for a, n in number.items()])
+    found = locate(cells, active, depth, "node_id").join(active.select(F.col("node_id").alias("active_node"), F.col("depth").alias("__d")), "active_node", "left")
+    nearest = {a: None for a in AXES}
+    for d in range(depth + 1):
+        box = boxes(F.col("active_node") - level_start(d), d)
+        for k, a in enumerate(AXES):
+            at = F.round((F.col(a) - box[2 * k]) / (box[2 * k + 1] - box[2 * k]) * (size - 1)).cast("int")
+            nearest[a] = F.when(F.col("__d") == d, at) if nearest[a] is None else nearest[a].when(F.col("__d") == d, at)
+    found = found.select("node_id", "active_node", *[f"i{a}" for a in AXES], *[c.alias(f"s{a}") for a, c in nearest.items()])
+    source = known.select(F.col("node_id").alias("active_node"), *[F.col(f"i{a}").alias(f"s{a}") for a in AXES], "value")
+    return found.join(source, ["active_node", *[f"s{a}" for a in AXES]], "left").select("node_id", "iz", "iy", "ix", "value")

@@ -10,10 +10,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import AXES, in_roi
+from .batches import numbered
 
 
 def level_start(depth: int, fan: int = 8) -> int:
@@ -62,16 +62,9 @@ def set_active(nodes: DataFrame, depth: int) -> DataFrame:
 
 
 def active_rank(nodes: DataFrame) -> DataFrame:
-    """``active_rank``: place among the active nodes by id, NULL elsewhere.
-
-    A node table is bounded by its node budget; ranks are taken per level first and levels are shifted by their
-    counts, so no task sorts more than one level.
-    """
-    per = nodes.where("active").groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
-    before = per.alias("p").join(per.alias("q"), F.col("q.depth") < F.col("p.depth"), "left").groupBy(F.col("p.depth").alias("depth")).agg(F.coalesce(F.sum("q.n"), F.lit(0)).alias("base"))
-    w = W.partitionBy("depth", "active").orderBy("node_id")
-    ranked = nodes.withColumn("__r", F.row_number().over(w) - 1).join(before, "depth", "left")
-    return ranked.withColumn("active_rank", F.when(F.col("active"), F.col("__r") + F.col("base"))).drop("__r", "base")
+    """``active_rank``: place among the active nodes by id, NULL elsewhere; counted in ranges of the ids."""
+    ranks = numbered(nodes.where("active").select("node_id"), "node_id").select(F.col("node_id").alias("__n"), F.col("n").alias("active_rank"))
+    return nodes.join(ranks, nodes["node_id"] == F.col("__n"), "left").drop("__n")
 
 
 def cull_fixpoint(nodes: DataFrame, max_depth: int) -> DataFrame:

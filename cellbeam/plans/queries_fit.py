@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import loss_weight, r6
 from ..operators import batches, evolve, fit, metrics, points, rays, spectral, tree
 from .queries_images import IM, grids, rot_sql
-from .queries_tree import _SAMPLES, DEPTH, rnd, samples_of
+from .queries_tree import _SAMPLES, DEPTH, hits_of, rnd, samples_of
 from .scenes import SQL, d, images, leaf_sql, tree_sql, view
 
 QUERIES: dict = {}
@@ -27,9 +27,10 @@ def query(name: str, sql: str | None = None):
 
 @query("node_loss", f"WITH {_SAMPLES}, s AS (SELECT node_id, sum(power(path - target, 2) * weight) AS loss, sum(weight) AS w FROM samples JOIN (SELECT ray_id, sum(weight) AS path FROM samples GROUP BY 1) USING (ray_id) JOIN (SELECT ray_id, target FROM rays) USING (ray_id) GROUP BY 1) SELECT leaf.node_id, round(coalesce(loss, 0), 4) + {d(0)} AS loss, round(coalesce(w, 0), 4) + {d(0)} AS weight FROM leaf LEFT JOIN s ON leaf.node_id = s.node_id")
 def node_loss(spark, sf):
-    r, s = view(spark, sf, "rays"), samples_of(spark, sf)
-    path = rays.integrate(r, s.withColumn("one", F.lit(1.0)), "one")
-    loss = r.join(path, "ray_id").select("ray_id", F.pow(F.col("integral") - F.col("target"), 2).alias("loss"))
+    """A ray's sample weights in a node sum to its length there, so one row per ray and node stands for the samples."""
+    r, s = view(spark, sf, "rays"), hits_of(spark, sf).select("ray_id", "node_id", (F.col("tmax") - F.col("tmin")).alias("weight"))
+    path = s.groupBy("ray_id").agg(F.sum("weight").alias("path"))
+    loss = r.join(path, "ray_id").select("ray_id", F.pow(F.col("path") - F.col("target"), 2).alias("loss"))
     nodes = tree.full_tree(spark, DEPTH).where(F.col("depth") == DEPTH)
     out = metrics.node_loss(s, loss, nodes)
     return out.select("node_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("loss", "weight")])
@@ -52,9 +53,7 @@ def node_product(spark, sf):
 def training_loss(spark, sf):
     r, s = view(spark, sf, "rays"), samples_of(spark, sf)
     p = r.join(rays.integrate(r, s.withColumn("one", F.lit(0.1)), "one"), "ray_id")
-    a = metrics.training_loss(p, "integral", "target").select(r6(F.col("loss")).alias("plain"))
-    b = metrics.training_loss(p, "integral", "target", "square", 1.0, 0.5).select(r6(F.col("loss")).alias("square"))
-    return a.join(b, how="full")
+    return p.agg(F.round(metrics.loss_of("integral", "target"), 6).alias("plain"), F.round(metrics.loss_of("integral", "target", "square", 1.0, 0.5), 6).alias("square"))
 
 
 @query("running_loss", f"WITH {SQL['rays']}, b AS (SELECT ray_id % 20 AS batch, avg(target) AS loss, count(*) AS n FROM rays GROUP BY 1) SELECT round(sum(loss * n) / sum(n), 6) AS loss FROM b")
@@ -104,14 +103,8 @@ def reduce_uniform(spark, sf):
     return batches.reduce_uniform(ids(spark, sf), "id", 64)
 
 
-@query("neighbor_anti", "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 50 = 0 AND abs(o_orderkey - c_custkey * 10) <= 2)")
+@query("neighbor_anti", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey * 10 + k FROM customer CROSS JOIN (SELECT unnest(range(-2, 3)) AS k))")
 def neighbor_anti(spark, sf):
-    others = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 50 = 0").select((F.col("c_custkey") * 10).alias("id"))
-    return batches.drop_near(ids(spark, sf), others, "id", 2)
-
-
-@query("neighbor_anti_all")
-def neighbor_anti_all(spark, sf):
     """Orders that are near no customer at all."""
     others = spark.read.parquet(f"{sf}/customer.parquet").select((F.col("c_custkey") * 10).alias("id"))
     return batches.drop_near(ids(spark, sf), others, "id", 2)
@@ -187,12 +180,18 @@ def lattice(spark, sf):
     return g.select("node_id", "c", *[r6(F.col(a)).alias(a) for a in "xyz"])
 
 
-@query("sampled_volume", f"WITH {SQL['points']}, {IM}, v AS (SELECT {leaf_sql(DEPTH)} AS node_id, avg(value) AS v FROM points GROUP BY 1) SELECT CAST((node_id - 9) % 4 AS INT) AS ix, CAST(((node_id - 9) // 4) % 4 AS INT) AS iy, CAST((node_id - 9) // 16 AS INT) AS iz, round(v, 5) AS v, node_id FROM v WHERE node_id IS NOT NULL")
+_MORTON = {a: " + ".join(f"(((node_id - 9) >> {3 * b + i}) & 1) * {1 << b}" for b in range(DEPTH)) for i, a in enumerate("xyz")}
+
+
+@query("sampled_volume", f"WITH {SQL['points']}, v AS (SELECT {leaf_sql(DEPTH)} AS node_id, avg(value) AS v FROM points GROUP BY 1) SELECT {', '.join(f'CAST({m} AS INT) AS i{a}' for a, m in _MORTON.items())}, round(v, 5) AS v, node_id FROM v WHERE node_id IS NOT NULL")
 def sampled_volume(spark, sf):
+    """Mean values of the leaves as a voxel table; a leaf's cell follows from its Morton number."""
     from ..sources.arrays import volume
 
     v = view(spark, sf, "points").groupBy(points.leaf_key(DEPTH).alias("node_id")).agg(F.avg("value").alias("value")).where("node_id is not null")
-    out = volume(v.withColumn("i", F.col("node_id") - 9).withColumn("valid", F.lit(True)), (4, 4, 4))
+    n = 1 << DEPTH
+    cell = tree.cell_of(F.col("node_id") - tree.level_start(DEPTH), DEPTH)
+    out = volume(v.withColumn("i", cell["x"] + n * cell["y"] + n * n * cell["z"]).withColumn("valid", F.lit(True)), (n, n, n))
     return out.select("ix", "iy", "iz", F.round("value", 5).alias("v"), "node_id")
 
 
@@ -220,15 +219,8 @@ def random_in_nodes(spark, sf):
     return batches.random_in_nodes(tree.full_tree(spark, DEPTH).join(used, "node_id"), 16, 5)
 
 
-@query("explicit_grid", f"WITH {SQL['points']}, {IM}, {_LINE} SELECT point_id, ix, round(v * {d(2)} + {d(0.5)}, 6) AS feature FROM points JOIN line ON points.node_id = line.node_id WHERE ix < 4")
+@query("explicit_grid", f"WITH {SQL['points']}, {IM}, {_LINE} SELECT point_id, ix, round(v * {d(2)} + {d(0.5)}, 6) AS feature FROM points JOIN line ON points.node_id = line.node_id")
 def explicit_grid(spark, sf):
-    """The first four features of a point's node, with the affine bias of that node."""
-    g = grids(spark, sf, "line").where("ix < 4").select("node_id", "ix", F.col("value").alias("v"))
-    return view(spark, sf, "points").join(g, "node_id").select("point_id", "ix", r6(F.col("v") * 2 + 0.5).alias("feature"))
-
-
-@query("explicit_grid_all", f"WITH {SQL['points']}, {IM}, {_LINE} SELECT point_id, ix, round(v * {d(2)} + {d(0.5)}, 6) AS feature FROM points JOIN line ON points.node_id = line.node_id")
-def explicit_grid_all(spark, sf):
     """All features of a point's node, with the affine bias of that node."""
     g = grids(spark, sf, "line").select("node_id", "ix", F.col("value").alias("v"))
     return view(spark, sf, "points").join(g, "node_id").select("point_id", "ix", r6(F.col("v") * 2 + 0.5).alias("feature"))

@@ -125,14 +125,8 @@ def rays_ortho(spark, sf):
 _S = rot_sql("(x - tx)", "(y - ty)", "(z - tz)", True)
 
 
-@query("visible_points", f"WITH {SQL['points']}, {SQL['poses']}, s AS (SELECT point_id, {_S[0]} AS a, {_S[1]} AS b, {_S[2]} AS c FROM points CROSS JOIN (SELECT * FROM poses WHERE image_id <= 10)), q AS (SELECT point_id, c, round(a / c * 300 + 320) AS u, round(b / c * 300 + 240) AS v FROM s WHERE c <> 0) SELECT point_id, count(*) AS images FROM q WHERE u >= 0 AND u < 640 AND v >= 0 AND v < 480 GROUP BY 1")
+@query("visible_points", f"WITH {SQL['points']}, {SQL['poses']}, s AS (SELECT point_id, {_S[0]} AS a, {_S[1]} AS b, {_S[2]} AS c FROM points CROSS JOIN poses), q AS (SELECT point_id, c, round(a / c * 300 + 320) AS u, round(b / c * 300 + 240) AS v FROM s WHERE c <> 0) SELECT point_id, count(*) AS images FROM q WHERE u >= 0 AND u < 640 AND v >= 0 AND v < 480 GROUP BY 1")
 def visible_points(spark, sf):
-    poses = view(spark, sf, "poses").where("image_id <= 10")
-    return camera.visible(view(spark, sf, "points"), poses, {"fx": 300, "fy": 300, "cx": 320, "cy": 240, "w": 640, "h": 480}).select("point_id", "images")
-
-
-@query("visible_points_all")
-def visible_points_all(spark, sf):
     """Every point against every pose."""
     return camera.visible(view(spark, sf, "points"), view(spark, sf, "poses"), {"fx": 300, "fy": 300, "cx": 320, "cy": 240, "w": 640, "h": 480}).select("point_id", "images")
 
@@ -159,14 +153,14 @@ def exposure(spark, sf):
     return images(spark, sf).join(bias, "image_id", "left").select("image_id", "row", "col", r6(F.col("value") + F.coalesce("b", F.lit(0.0))).alias("exposed"))
 
 
-_SB = 'bias AS (SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS iy, p_partkey % 8 AS ix, 0 AS node_id, p_retailprice / 10000 AS v FROM part WHERE p_partkey < 64)'
+_SB = 'bias AS (SELECT (p_partkey // 8) % 8 AS iy, p_partkey % 8 AS ix, 0 AS node_id, avg(p_retailprice) / 10000 AS v FROM part GROUP BY 1, 2)'
 
 
 @query("sensor_bias", f'WITH {IM}, {_SB}, p AS (SELECT image_id * 64 + "row" * 8 + col AS point_id, image_id, 0 AS node_id, {_V}, (("row" + {d(0.3)}) / 7 * 8 - 0.5) AS c_y, ((col + {d(0.3)}) / 7 * 8 - 0.5) AS c_x FROM images), {lerp_sql({'y': 8, 'x': 8}, 'bias', 'p', 'point_id')} SELECT p.point_id, round({_V} + s, 6) + {d(0)} AS corrected FROM p JOIN sampled ON p.point_id = sampled.point_id')
 def sensor_bias(spark, sf):
     """A bias image looked up between pixel centres, clamped at the border, is added to all images."""
-    part = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey < 64")
-    bias = part.select(F.lit(0).alias("node_id"), F.floor(F.col("p_partkey") / 8).cast("int").alias("iy"), (F.col("p_partkey") % 8).cast("int").alias("ix"), (F.col("p_retailprice") / 10000).alias("value"))
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    bias = part.groupBy(F.lit(0).alias("node_id"), (F.floor(F.col("p_partkey") / 8) % 8).cast("int").alias("iy"), (F.col("p_partkey") % 8).cast("int").alias("ix")).agg((F.avg("p_retailprice") / 10000).alias("value"))
     i = images(spark, sf).withColumn("point_id", F.col("image_id") * 64 + F.col("row") * 8 + F.col("col")).withColumn("node_id", F.lit(0))
     at = {a: uv_to_pixel((F.col(c) + 0.3) / 7, 8, False) for a, c in (("y", "row"), ("x", "col"))}
     s = interp.sample_grid(i.drop("value"), bias, at, {"y": 8, "x": 8}, out="s")
@@ -229,16 +223,6 @@ def grid_gradient(spark, sf):
     return g.select("node_id", "iz", "ix", (F.round("gradient", 5) + F.lit(0.0)).alias("gradient"))
 
 
-@query("tensor_feature")
-def tensor_feature(spark, sf):
-    """Planes and lines of three axes multiplied and summed (tests hold it against numpy)."""
-    plane, line = grids(spark, sf, "plane"), grids(spark, sf, "line").where("ix < 8")
-    three = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("axis")
-    p, q = plane.select("*", three), line.select("*", three)
-    s = view(spark, sf, "points").selectExpr("point_id", "node_id", "x AS u", "y AS v", "z AS w")
-    return interp.tensor_feature(s, p, q, 8).select("point_id", r6(F.col("value")).alias("feature"))
-
-
 def _hash_sql(levels=2, base=4, growth=1.0, size=64):
     parts = []
     u = {"u": "((x + 1) / 2)", "v": "((y + 1) / 2)", "w": "((z + 1) / 2)"}
@@ -256,10 +240,10 @@ def _hash_sql(levels=2, base=4, growth=1.0, size=64):
     return " UNION ALL ".join(parts)
 
 
-@query("hash_encode", f'WITH {SQL["points"]}, {IM}, tab AS (SELECT "row" * 8 + col AS slot, {_V} AS v FROM images WHERE image_id = 1), c AS ({_hash_sql()}), r AS (SELECT c.point_id, level, sum(c.w * v) AS f FROM c JOIN tab ON c.slot = tab.slot GROUP BY 1, 2) SELECT r.point_id, level, round(CASE WHEN x BETWEEN -1 AND 1 AND y BETWEEN -1 AND 1 AND z BETWEEN -1 AND 1 THEN f ELSE 0 END, 6) + {d(0)} AS feature FROM r JOIN points ON r.point_id = points.point_id')
+@query("hash_encode", f'WITH {SQL["points"]}, {IM}, tab AS (SELECT "row" * 8 + col AS slot, avg({_V}) AS v FROM images GROUP BY 1), c AS ({_hash_sql()}), r AS (SELECT c.point_id, level, sum(c.w * v) AS f FROM c JOIN tab ON c.slot = tab.slot GROUP BY 1, 2) SELECT r.point_id, level, round(CASE WHEN x BETWEEN -1 AND 1 AND y BETWEEN -1 AND 1 AND z BETWEEN -1 AND 1 THEN f ELSE 0 END, 6) + {d(0)} AS feature FROM r JOIN points ON r.point_id = points.point_id')
 def hash_encode(spark, sf):
     p = view(spark, sf, "points").select("point_id", *[((F.col(a) + 1) / 2).alias(c) for a, c in zip("xyz", "uvw", strict=True)])
-    tab = images(spark, sf).where("image_id = 1").select((F.col("row") * 8 + F.col("col")).cast("long").alias("slot"), "value")
+    tab = images(spark, sf).groupBy((F.col("row") * 8 + F.col("col")).cast("long").alias("slot")).agg(F.avg("value").alias("value"))
     return interp.hash_encode(p, tab, 2, 4, 1.0, 64).select("point_id", "level", r6(F.col("feature")).alias("feature"))
 
 
@@ -307,17 +291,12 @@ def ssim(spark, sf):
     return metrics.ssim(i, "value", "b").select("image_id", r6(F.col("ssim")).alias("ssim"))
 
 
-@query("background", f'WITH {IM}, m AS (SELECT image_id, quantile_disc({_V}, 0.5) AS md FROM images WHERE "row" < 4 AND col < 4 AND image_id % 5 <> 0 GROUP BY 1), a AS (SELECT DISTINCT image_id FROM images) SELECT a.image_id, round(coalesce(md, (SELECT avg(md) FROM m)), 6) + {d(0)} AS background FROM a LEFT JOIN m ON a.image_id = m.image_id')
+@query("background", f'WITH {IM}, m AS (SELECT image_id, quantile_disc({_V}, 0.5) AS md FROM images WHERE "row" < 4 AND col < 4 GROUP BY 1), a AS (SELECT image_id FROM images UNION SELECT s_suppkey + 100000 FROM supplier) SELECT a.image_id, round(coalesce(md, (SELECT avg(md) FROM m)), 6) + {d(0)} AS background FROM a LEFT JOIN m ON a.image_id = m.image_id')
 def background(spark, sf):
+    """The median of every image's crop; the suppliers stand for images without pixels, which get the mean."""
     i = images(spark, sf)
-    return metrics.background(i.where("image_id % 5 <> 0"), 4, i.select("image_id").distinct()).select("image_id", r6(F.col("background")).alias("background"))
-
-
-@query("background_all", f'WITH {IM} SELECT image_id, round(quantile_disc({_V}, 0.5), 6) + {d(0)} AS background FROM images WHERE "row" < 4 AND col < 4 GROUP BY 1')
-def background_all(spark, sf):
-    """The median of every image's crop; all given images have one."""
-    i = images(spark, sf)
-    return metrics.background(i, 4, i.select("image_id").distinct()).select("image_id", r6(F.col("background")).alias("background"))
+    none = spark.read.parquet(f"{sf}/supplier.parquet").select((F.col("s_suppkey") + 100000).alias("image_id"))
+    return metrics.background(i, 4, i.select("image_id").union(none).distinct()).select("image_id", r6(F.col("background")).alias("background"))
 
 
 @query("curve_smoothness", f'WITH {IM}, k AS (SELECT image_id, "row" * 8 + col AS knot, {_V} AS v FROM images), w AS (SELECT image_id, v, lag(v) OVER o AS p, lead(v) OVER o AS n FROM k WINDOW o AS (PARTITION BY image_id ORDER BY knot)) SELECT image_id AS curve_id, round(avg(power(v - CASE WHEN p IS NULL THEN 0 WHEN n IS NULL THEN 1 ELSE (p + n) / 2 END, 2)), 6) AS smoothness FROM w GROUP BY 1')

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_fit, queries_images, queries_tree
+from . import queries_fit, queries_images, queries_tree, queries_volume
 
-QUERIES = {**queries_tree.QUERIES, **queries_images.QUERIES, **queries_fit.QUERIES}
-ORACLES = {**queries_tree.ORACLES, **queries_images.ORACLES, **queries_fit.ORACLES}
+_MODULES = (queries_tree, queries_images, queries_fit, queries_volume)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -165,10 +165,10 @@ def test_queries_read_whole_inputs(spark, sf_dir):
 
     orders, customers = [[r[0] for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(k).collect()] for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"))]
     near = {c * 10 + k for c in customers for k in range(-2, 3)}
-    assert sorted(r[0] for r in QUERIES["neighbor_anti_all"](spark, sf_dir).collect()) == sorted(o for o in orders if o not in near)
+    assert sorted(r[0] for r in QUERIES["neighbor_anti"](spark, sf_dir).collect()) == sorted(o for o in orders if o not in near)
     p, q = view(spark, sf_dir, "points").toPandas(), view(spark, sf_dir, "poses").toPandas()
     n = seen_by(p[list("xyz")].to_numpy(), q[list(camera.QUAT + camera.SHIFT)].to_numpy())
-    out = {r[0]: r[1] for r in QUERIES["visible_points_all"](spark, sf_dir).collect()}
+    out = {r[0]: r[1] for r in QUERIES["visible_points"](spark, sf_dir).collect()}
     differ = sum(out.get(k, 0) != m for k, m in zip(p["point_id"].tolist(), n.tolist(), strict=True))
     assert differ <= len(p) // 1000  # places on a half pixel round either way
 
