@@ -4,7 +4,8 @@ Each task keeps one lexicon of the distinct words it has met. New words are laid
 end to end and all merges are replayed over them together: an inverted index
 leads from a rank to the word positions where that merge applies, ranks are taken
 in order, and a merge updates only its two neighbours. Texts are then put
-together from the lexicon, so a word is merged once per task however often it occurs.
+together from the lexicon, so a word is merged once per worker however often it
+occurs, until the lexicon is full and starts anew.
 """
 
 from __future__ import annotations
@@ -113,14 +114,16 @@ class ByteBpe:
         new = list(pieces.difference(self.lexicon))
         if not new:
             return
-        gc.disable()  # the many small lists below hold no cycles
         known, find = self.known, self.words.findall
-        split = [find(p) for p in new]
-        words = list(set().union(*split).difference(known))
-        known.update(zip(words, replay([w.encode() for w in words], self.ranks), strict=True))
-        get = known.__getitem__
-        self.lexicon.update(zip(new, [b"".join(map(get, ws)) for ws in split], strict=True))
-        gc.enable()
+        gc.disable()  # the many small lists below hold no cycles
+        try:
+            split = [find(p) for p in new]
+            words = list(set().union(*split).difference(known))
+            known.update(zip(words, replay([w.encode() for w in words], self.ranks), strict=True))
+            get = known.__getitem__
+            self.lexicon.update(zip(new, [b"".join(map(get, ws)) for ws in split], strict=True))
+        finally:
+            gc.enable()
 
     def pieces(self, text: str) -> list[str]:
         """Parts of a text that the pattern never crosses: cut before a lone space between two other characters."""

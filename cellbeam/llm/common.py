@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,14 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Byte table that lower-cases A-Z only.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Text bytes that one numpy step works on; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Bound the bytes of an Arrow batch in this session: texts are long, and both sides hold a batch."""
-    for name, value in (("maxBytesPerBatch", size), ("maxRecordsPerBatch", 2000)):
-        key = f"spark.sql.execution.arrow.{name}"
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """Bound what a batch of long texts holds, for the rest of this session: bytes and rows of an Arrow batch, and
+    rows of a batch of the Parquet reader. Settings that are smaller already stay."""
+    for name, value in (("execution.arrow.maxBytesPerBatch", size), ("execution.arrow.maxRecordsPerBatch", 2000), ("parquet.columnarReaderBatchSize", 512)):
+        key = f"spark.sql.{name}"
         if int(spark.conf.get(key, str(value + 1))) > value or int(spark.conf.get(key, "0")) <= 0:
             spark.conf.set(key, str(value))
 
@@ -37,10 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which the driver and all executors see.
 
-    Only where that setting is absent (tests on one machine) is a temporary folder made and set.
+    Where that setting is absent, a temporary folder is made and set if all tasks run in this process; on a
+    cluster that is an error, as executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="cellbeam-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -66,9 +71,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def narrow(arr: pa.Array) -> pa.Array:
+    """Texts or bytes with 32-bit offsets, whatever the session sends."""
+    kind = {pa.large_string(): pa.string(), pa.string_view(): pa.string(), pa.large_binary(): pa.binary(), pa.binary_view(): pa.binary()}.get(arr.type)
+    return arr.cast(kind) if kind else arr
+
+
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES):
     """Cut a batch into row ranges of about ``limit`` bytes of ``column``; rows stay whole."""
-    arr = batch.column(batch.schema.get_field_index(column))
+    arr = narrow(batch.column(batch.schema.get_field_index(column)))
     ends = np.frombuffer(arr.buffers()[1], np.int32, len(arr) + 1, arr.offset * 4).astype(np.int64) if len(arr) else np.zeros(1, np.int64)
     at = 0
     while at < len(arr):
@@ -80,6 +91,7 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES):
 
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the n + 1 row bounds in them. A null row is empty."""
+    arr = narrow(arr)
     if arr.null_count:
         arr = arr.fill_null("" if pa.types.is_string(arr.type) else b"")
     n = len(arr)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import give_back, steps
 
 #: Bytes of a worker's lexicon, and what an entry takes beside its characters and ids.
-LEXICON, ENTRY = 96 << 20, 190
+LEXICON, ENTRY = 64 << 20, 190
 #: A character that stands between chunks; one token, and a chunk that holds it is encoded alone.
 MARK = "\x01"
 _TOKENIZERS: dict[tuple[str, bool], "WordTokenizer"] = {}

@@ -30,6 +30,8 @@ SPAN, DECAY = 6, 0.6
 FLOOR, POWER = 0.4, 3
 #: Least eigenvalue that the landmarks' own kernel matrix keeps.
 DEFINITE = 0.02
+#: Text bytes of a step: several arrays of words and subsequences stand beside them.
+STEP = 1 << 19
 #: Parts of the sample; the layer learns from each by a machine fitted on the others.
 FOLDS = 4
 #: Far words that a worker remembers (8 bytes each) before it starts anew.
@@ -301,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int
 
     def nearest(batches):
         for batch in batches:
-            for part in steps(batch, "__text", 1 << 20):
+            for part in steps(batch, "__text", STEP):
                 rows, _, values = sentence_rows(marks, units_of(*text_buffer(part.column(2))))
                 order = np.lexsort((-values.max(1), rows)) if len(rows) else rows
                 rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
@@ -335,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int
 
     def features(batches):
         for batch in batches:
-            for part in steps(batch, "__text", 1 << 20):
+            for part in steps(batch, "__text", STEP):
                 units, folds = units_of(*text_buffer(part.column(2))), part.column(3).to_numpy()
                 rows, _, values = sentence_rows(marks, units)
                 of = np.zeros((part.num_rows, 3))
@@ -359,7 +361,7 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "__text", 1 << 20):
+            for part in steps(batch, "__text", STEP):
                 s = model.score(*text_buffer(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
