@@ -21,7 +21,7 @@ from .common import span_hashes, text_buffer
 
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 #: Hex digits of a piece and of a paragraph or section in the fingerprint; one word end in CUT ends a piece.
-PIECE, BRANCH, CUT = 6, 12, 4
+PIECE, BRANCH, CUT = 8, 12, 4
 #: Most bytes of a piece.
 LONGEST = 80
 
@@ -34,6 +34,8 @@ def fingerprints(texts: list[str]) -> list[str]:
         wide = raw.astype(np.int64)
         chosen = np.zeros(len(raw), bool)
         chosen[2:] = (raw[2:] == 32) & ((wide[1:-1] * 7 + wide[:-2] * 13 >> 2) % CUT == 0)
+        for k in (0, 1):  # a cut there would depend on the text before
+            chosen[(bounds[:-1] + k)[bounds[:-1] + k < len(raw)]] = False
         ends = np.flatnonzero(chosen | (raw == 10)) + 1
     cuts = np.unique(np.concatenate([bounds, ends]))
     parts = np.maximum((np.diff(cuts) + LONGEST - 1) // LONGEST, 1) if len(cuts) > 1 else np.zeros(0, np.int64)
