@@ -27,7 +27,7 @@ BOILER = frozenset("aside button dialog embed footer form head header iframe inp
 RAW = frozenset("script style textarea title noscript iframe".split())
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe".split())
 #: Words that say where or how something stands; beside a boilerplate word they do not change a name.
-NEUTRAL_WORDS = frozenset("area bar bottom box block column container group holder inner item items left link links list main outer page panel primary right secondary section site slot small sticky text title top unit widget wrap wrapper".split())
+NEUTRAL_WORDS = frozenset("area bar block bottom box button buttons column container group holder inner item items left link links list main message outer page panel primary right secondary section site slot small sticky text title top unit widget wrap wrapper".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CONTAINERS = frozenset("ul ol dl table select".split())
 _ITEMS = frozenset(_CLOSES) | _CONTAINERS
