@@ -273,7 +273,7 @@ def apply_split(spark, sf):
 
 @query("structure_plan")
 def structure_plan(spark, sf):
-    """Exact split and merge under a budget of 96 nodes (checked against brute force in the tests)."""
+    """Exact split and merge under a budget of 40 nodes (checked against brute force in the tests)."""
     nodes = counted(spark, sf).withColumn("active", (F.col("depth") == 1)).withColumn("culled", F.lit(False)).withColumn("leaf", F.col("depth") == DEPTH)
     dens = view(spark, sf, "points").select(points.leaf_key(1).alias("node_id"), "value").groupBy("node_id").agg(F.avg("value").alias("error"), (F.count(F.lit(1)) / 1000).alias("max_density"))
     options = evolve.family_options(nodes.join(dens, "node_id", "left").fillna(0.0, ["error", "max_density"]))
