@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellbeam.llm import jaccard_join, packing, quality, suffix_dedup, toxicity
-from cellbeam.llm.common import shared_dir, small_batches, stash, table
+from cellbeam.llm.common import drop_stash, shared_dir, small_batches, stash, table
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -44,7 +44,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 200 bytes and more that stand elsewhere as well; characters cut in half go, rows stay."""
+    """Cuts passages of 200 bytes and more that stand elsewhere as well; characters cut in half go, rows stay.
+
+    A null text becomes empty; of repeated rows nothing is left if they are long enough.
+    """
 
     @F.pandas_udf("string")
     def readable(kept):
@@ -56,7 +59,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs every document that is left."""
+    """Packs every document that is left; a null or empty text is one piece of one token, repeated rows are packed again."""
     small_batches(spark)
     out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -69,7 +72,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), shared_dir(spark))
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        at = shared_dir(spark)
+        docs = stash(stage(spark, docs, sf_dir), at)
+        if last:
+            drop_stash(spark, last)
+        last = at
     return STAGES[-1][1](spark, docs, sf_dir)
