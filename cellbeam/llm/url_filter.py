@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stash
+from .common import drop_stash, shared_dir, stash
 
 #: The rules of the query.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -64,25 +64,26 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 8, damping: float = 0.5) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 8, damping: float = 0.5, keep=None) -> DataFrame:
     """``host, trust, distrust`` after ``rounds`` of personalised PageRank, in units of the seeds.
 
     ``seeds``: host, trust, distrust (0 for none; every host of the graph). Trust follows the edges, distrust
-    runs against them; each round is one join and one sum by host over both.
+    runs against them; each round is one join and one sum by host over both. ``keep`` writes a table and reads it
+    back, by default below the shared folder.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
     along = edges.join(out, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("weight") / F.col("total")).alias("t"), F.lit(0.0).alias("d"))
     against = edges.join(into, "dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("t"), (F.col("weight") / F.col("total")).alias("d"))
-    spark = edges.sparkSession
-    flow = stash(along.unionByName(against).groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), shared_dir(spark))
+    keep = keep or (lambda df: stash(df, shared_dir(df.sparkSession)))
+    flow = keep(along.unionByName(against).groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
     rank = seeds
     for k in range(rounds):
         moved = flow.join(rank, F.col("a") == F.col("host")).groupBy("b").agg(F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
         start = seeds.select("host", F.col("trust").alias("trust0"), F.col("distrust").alias("distrust0"))
         rank = start.join(moved, F.col("host") == F.col("b"), "left").select("host", *[((1 - damping) * F.col(f"{x}0") + damping * F.coalesce(F.col(x[0]), F.lit(0.0))).alias(x) for x in ("trust", "distrust")])
         if k % 4 == 3 and k + 1 < rounds:
-            rank = stash(rank, shared_dir(spark))
+            rank = keep(rank)
     return rank
 
 
@@ -95,6 +96,12 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, rounds: int = 8, damp
     allowed; a null html has no links; repeated rows are judged alike.
     """
     spark = pages.sparkSession
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.append(shared_dir(spark))
+        return stash(df, paths[-1])
+
     page = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     page = page.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdicts = F.lit(None).cast("string")
@@ -102,12 +109,14 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, rounds: int = 8, damp
         verdicts = F.when(F.col("rule").isin([r for r, v in rules.items() if v == kind]), F.lit(kind)).otherwise(verdicts)
     page = page.withColumn("ruled", verdicts)
     hosts = page.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("ruled") == "allow").cast("double").alias("trust"), F.count_if(F.col("ruled") == "block").cast("double").alias("distrust"))
-    hosts = stash(hosts, shared_dir(spark))
-    edges = stash(host_edges(pages, url_col, html_col), shared_dir(spark))
+    hosts = keep(hosts)
+    edges = keep(host_edges(pages, url_col, html_col))
     others = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).distinct().join(hosts, "host", "left_anti")
     seeds = hosts.select("host", "trust", "distrust").unionByName(others.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust")))
-    rank = propagate(stash(seeds, shared_dir(spark)), edges, rounds, damping)
+    rank = propagate(keep(seeds), edges, rounds, damping, keep)
     scored = rank.join(hosts.select("host", "pages"), "host").select("host", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"), "pages")
     scored = scored.withColumn("by_links", F.when(F.col("distrust") - F.col("trust") > threshold * F.col("pages"), F.lit("block")).otherwise(F.lit("allow")))
     scored = stash(scored, shared_dir(spark))
+    for path in paths:
+        drop_stash(spark, path)
     return page.join(scored, "host", "left").select(id_col, "host", "path", "rule", F.coalesce("ruled", "by_links", F.lit("allow")).alias("verdict"), "trust", "distrust")
