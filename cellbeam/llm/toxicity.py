@@ -35,7 +35,7 @@ STEP = 1 << 19
 #: Parts of the sample; the layer learns from each by a machine fitted on the others.
 FOLDS = 4
 #: Far words that a worker remembers (8 bytes each) before it starts anew.
-FAR = 1 << 20
+FAR = 1 << 19
 _CLASS = np.zeros(256, np.int64)  # 0: dropped; letters 1-26 without case; digits 27; other bytes 28-31
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
@@ -194,7 +194,7 @@ class Landmarks:
         place = np.full(n, -1, np.int64)
         place[ids[close]] = np.flatnonzero(close)
         new = keys[~known & (place[first] < 0)]
-        _FAR[name] = new if len(far) + len(new) > FAR else np.union1d(far, new)
+        _FAR[name] = new if len(far) + len(new) > FAR else np.insert(far, np.searchsorted(far, new), new)  # both sorted, none in common
         of_unit = place[first][back]
         active = np.flatnonzero(of_unit >= 0)
         return active, values[of_unit[active]]
