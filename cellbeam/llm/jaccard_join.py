@@ -317,14 +317,14 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - own, m - has) >= common) & (at <= n - common + reach) & (on <= m - common + reach)
 
     # first every class with the one of a shingle that has the least of its own: this joins groups of near copies
-    leader = entries.groupBy("shingle").agg(F.min(F.struct("own", "id", "n", "at")).alias("l"))
+    leader = keep(entries.groupBy("shingle").agg(F.min(F.struct("own", "id", "n", "at")).alias("l")))
     stars = entries.join(leader, "shingle").where(F.col("l.id") != F.col("id")).where(possible("l.{}", "{}"))
     stars = stars.select(F.least("l.id", "id").alias("a"), F.greatest("l.id", "id").alias("b")).distinct()
     first = keep(verified(keep(stars), sets, percent))
     group = keep(components(first))
     # then all pairs that are not in one group yet: what they have in common is counted by fragment and summed
     tagged = entries.join(group, entries["id"] == group["node"], "left").select("fragment", "shingle", "id", "n", "own", "at", F.coalesce("component", "id").alias("g"))
-    mixed = tagged.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
+    mixed = keep(tagged.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle"))
     tagged = keep(tagged.join(mixed, "shingle", "left_semi"))
     x, y = [tagged.select("fragment", "shingle", *[F.col(c).alias(c + s) for c in ("id", "n", "own", "at", "g")]) for s in ("x", "y")]
     met = x.join(y, ["fragment", "shingle"]).where("idx < idy and gx <> gy").where(possible("{}x", "{}y"))

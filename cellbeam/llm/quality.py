@@ -195,7 +195,8 @@ def document_stats(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, .
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bound: int = 20_000) -> Trees:
     """Trees from about ``bound`` labelled documents at most; only their statistics come to the driver."""
     sample = labelled_sample(docs, labels, label_col, bound)
-    rows = document_stats(sample, "__id", "__text", ("__label",)).orderBy("__id").toArrow()
+    rows = document_stats(sample, "__id", "__text", ("__label",)).toArrow()
+    rows = rows.sort_by([(k, "ascending") for k in rows.schema.names])
     counts = np.column_stack([rows[k].to_numpy() for k in COUNTS]) if rows.num_rows else np.zeros((0, len(COUNTS)), np.int64)
     return fit_trees(features(counts), rows["__label"].to_numpy().astype(float), list(FEATURES.values()))
 

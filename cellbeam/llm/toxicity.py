@@ -346,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", bound: int
                     of[here] = document_features(rows, values @ model.weights + model.bias, model.bias, part.num_rows)[here]
                 yield pa.RecordBatch.from_arrays([part.column(1), *[pa.array(of[:, i].copy()) for i in range(3)]], names=seen.names)
 
-    learned = sample.mapInArrow(features, seen).orderBy(*seen.names).toArrow()
+    learned = sample.mapInArrow(features, seen).toArrow().sort_by([(k, "ascending") for k in seen.names])
     layer = fit_logistic(np.column_stack([learned[k].to_numpy() for k in seen.names[1:]]), learned["label"].to_numpy().astype(float))
     drop_stash(spark, at)
     final = machine(np.ones(len(y), bool))
