@@ -113,14 +113,14 @@ _PLACE = f"CASE WHEN leaf IN (SELECT node_id FROM active) THEN leaf WHEN leaf IS
 _NEAR = {a: f"CAST(round(({a} - {a}0) / ({a}1 - {a}0) * {N - 1}) AS INT)" for a in "xyz"}
 
 
-@query("fill_inactive", f"WITH {_ACTIVE}, {_FULL}, k AS (SELECT b.node_id, {', '.join(f'{_NEAR[a]} AS i{a}' for a in 'zyx')}, avg(value) AS v FROM (SELECT *, {_PLACE} AS a FROM (SELECT *, {leaf_sql(DEPTH)} AS leaf FROM points)) p JOIN boxed b ON p.a = b.node_id GROUP BY 1, 2, 3, 4), cells AS (SELECT node_id, cell % {N} AS ix, (cell // {N}) % {N} AS iy, cell // {N * N} AS iz, {', '.join(f'{a}0 + {n} / {d(N - 1)} * ({a}1 - {a}0) AS {a}' for a, n in (('x', f'(cell % {N})'), ('y', f'((cell // {N}) % {N})'), ('z', f'(cell // {N * N})')))} FROM (SELECT *, unnest(range({N**3})) AS cell FROM boxed WHERE node_id NOT IN (SELECT node_id FROM active))), f AS (SELECT c.node_id, c.iz, c.iy, c.ix, b.node_id AS source, {', '.join(f'{_NEAR[a]} AS s{a}' for a in 'xyz')} FROM (SELECT *, {_PLACE} AS a FROM (SELECT *, {leaf_sql(DEPTH)} AS leaf FROM cells)) c JOIN boxed b ON c.a = b.node_id) SELECT f.node_id, CAST(f.iz AS INT) AS iz, CAST(f.iy AS INT) AS iy, CAST(f.ix AS INT) AS ix, round(v, 5) + {d(0)} AS v FROM f LEFT JOIN k ON f.source = k.node_id AND f.sx = k.ix AND f.sy = k.iy AND f.sz = k.iz")
+@query("fill_inactive", f"WITH {_ACTIVE}, {_FULL}, k AS (SELECT b.node_id, {', '.join(f'{_NEAR[a]} AS i{a}' for a in 'zyx')}, avg(value) / 7 AS v FROM (SELECT *, {_PLACE} AS a FROM (SELECT *, {leaf_sql(DEPTH)} AS leaf FROM points)) p JOIN boxed b ON p.a = b.node_id GROUP BY 1, 2, 3, 4), cells AS (SELECT node_id, cell % {N} AS ix, (cell // {N}) % {N} AS iy, cell // {N * N} AS iz, {', '.join(f'{a}0 + {n} / {d(N - 1)} * ({a}1 - {a}0) AS {a}' for a, n in (('x', f'(cell % {N})'), ('y', f'((cell // {N}) % {N})'), ('z', f'(cell // {N * N})')))} FROM (SELECT *, unnest(range({N**3})) AS cell FROM boxed WHERE node_id NOT IN (SELECT node_id FROM active))), f AS (SELECT c.node_id, c.iz, c.iy, c.ix, b.node_id AS source, {', '.join(f'{_NEAR[a]} AS s{a}' for a in 'xyz')} FROM (SELECT *, {_PLACE} AS a FROM (SELECT *, {leaf_sql(DEPTH)} AS leaf FROM cells)) c JOIN boxed b ON c.a = b.node_id) SELECT f.node_id, CAST(f.iz AS INT) AS iz, CAST(f.iy AS INT) AS iy, CAST(f.ix AS INT) AS ix, round(v, 5) + {d(0)} AS v FROM f LEFT JOIN k ON f.source = k.node_id AND f.sx = k.ix AND f.sy = k.iy AND f.sz = k.iz")
 def fill_inactive(spark, sf):
     """Grids of all inactive nodes from the active nodes' grids of the points' mean values."""
     every, active = tree.full_tree(spark, DEPTH), active_nodes(spark)
     p = points.locate(view(spark, sf, "points").drop("node_id"), active, DEPTH).where("active_node is not null")
     p = points.local_coordinates(p.withColumnRenamed("active_node", "node_id"), active)
     at = {a: F.round((F.col(f"l{a}") + 1) / 2 * (N - 1)).cast("int") for a in AXES}
-    known = p.groupBy("node_id", *[at[a].alias(f"i{a}") for a in "zyx"]).agg(F.avg("value").alias("value"))
+    known = p.groupBy("node_id", *[at[a].alias(f"i{a}") for a in "zyx"]).agg((F.avg("value") / 7).alias("value"))
     out = points.fill_inactive(every.join(active.select("node_id"), "node_id", "left_anti"), active, known, DEPTH, N)
     return out.select("node_id", "iz", "iy", "ix", (F.round("value", 5) + F.lit(0.0)).alias("v"))
 
