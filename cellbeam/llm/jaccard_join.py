@@ -28,7 +28,7 @@ from .components import components
 
 #: Shingles that one task of the first count holds about, and bytes of text that a shingle stands for about.
 FRAGMENT, SHINGLE_BYTES = 1 << 22, 6
-#: Document ids that are broadcast at most (8 MB); more are joined by a shuffle.
+#: Document ids that are broadcast at most (64 MB as a hash table); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Common shingles at the beginnings of two sets that a pair must show (where the limit asks for that many).
 COMMON = 3

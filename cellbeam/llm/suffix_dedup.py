@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import drop_stash, mix, shared_dir, span_hashes, stash, steps, text_buffer
 
-#: Document keys that are broadcast at most (8 MB); more are joined by a shuffle.
+#: Texts whose names are broadcast at most (64 MB as a hash table); more are joined by a shuffle.
 BROADCAST_KEYS = 1 << 20
 #: Suffixes that one fragment of the exchange holds about.
 FRAGMENT = 1 << 17
