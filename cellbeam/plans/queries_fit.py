@@ -195,14 +195,36 @@ def sampled_volume(spark, sf):
     return out.select("ix", "iy", "iz", F.round("value", 5).alias("v"), "node_id")
 
 
-@query("network_decode")
+def layer_sql(k: int, layer, source: str) -> str:
+    """Outputs of linear layer ``k`` over (vec_id, i, x): CTE l<k> with vec_id, i and x, its weights as a table."""
+    w, bias = layer
+    rows = ", ".join(f"({i}, {j}, {d(repr(float(w[i, j])))})" for i in range(w.shape[0]) for j in range(w.shape[1]))
+    return f"w{k}(i, j, w) AS (VALUES {rows}), l{k} AS (SELECT vec_id, j AS i, sum(x * w) + {d(float(bias[0]))} AS x FROM {source} s JOIN w{k} ON s.i = w{k}.i GROUP BY 1, 2)"
+
+
+_NET, _NET3 = fit.init_network([64, 16, 1], 7), fit.init_network([64, 16, 3], 11)
+_INPUT = "e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+
+
+@query("network_decode", f"WITH {_INPUT}, {layer_sql(0, _NET[0], 'e')}, h AS (SELECT vec_id, i, greatest(x, 0) AS x FROM l0), {layer_sql(1, _NET[1], 'h')} SELECT vec_id, round(x, 6) + {d(0)} AS density FROM l1")
 def network_decode(spark, sf):
-    """A small network over whole images, in Arrow batches (tests hold it against numpy)."""
+    """A small network over whole images, in Arrow batches."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return e.select("vec_id", r6(fit.decode(F.col("embedding"), fit.init_network([64, 16, 1], 7))).alias("density"))
+    return e.select("vec_id", r6(fit.decode(F.col("embedding"), _NET)).alias("density"))
+
+
+@query("network_channels", f"WITH {_INPUT}, {layer_sql(0, _NET3[0], 'e')}, h AS (SELECT vec_id, i, sin(x) AS x FROM l0), {layer_sql(1, _NET3[1], 'h')} SELECT vec_id, {', '.join(f'round(max(CASE WHEN i = {k} THEN 1 / (1 + exp(-x)) END), 6) + {d(0)} AS c{k}' for k in range(3))} FROM l1 GROUP BY 1")
+def network_channels(spark, sf):
+    """Three outputs of a network with a sine between layers and a sigmoid at the end."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    out = e.select("vec_id", fit.decode_channels(F.col("embedding"), _NET3, "sin", "sigmoid").alias("c"))
+    return out.select("vec_id", *[r6(F.col("c")[k]).alias(f"c{k}") for k in range(3)])
+
+
+_TURN = '2 * pi() * (a.u * "row" + b.u * col) / 8'
 
 
-@query("radial_spectrum")
+@query("radial_spectrum", f'WITH {IM}, k AS (SELECT unnest(range(8)) AS u), f AS (SELECT image_id, a.u AS u, b.u AS v, sum("value" * cos({_TURN})) AS re, sum("value" * sin({_TURN})) AS im FROM images CROSS JOIN k a CROSS JOIN k b GROUP BY 1, 2, 3), m AS (SELECT image_id, CAST(round(sqrt(power((u + 4) % 8 - 4, 2) + power((v + 4) % 8 - 4, 2))) AS INT) AS radius, sqrt(re * re + im * im) / 64 AS magnitude FROM f) SELECT image_id, radius, round(avg(magnitude), 6) + {d(0)} AS magnitude FROM m GROUP BY 1, 2')
 def radial_spectrum(spark, sf):
     return spectral.radial_spectrum(images(spark, sf)).select("image_id", "radius", r6(F.col("magnitude")).alias("magnitude"))
 

@@ -81,13 +81,31 @@ def render_grid(spark, sf):
     return out.select("ray_id", (F.round("integral", 4) + F.lit(0.0)).alias("integral"))
 
 
-@query("render_decoded")
+_NET = fit.init_network([2, 8, 1], 5)
+
+
+def network_sql(inputs: list[str], layers) -> str:
+    """First output of a small network with relu between its layers, written out."""
+    for k, (w, bias) in enumerate(layers):
+        out = [" + ".join([*[f"{x} * {d(repr(float(w[i, j])))}" for i, x in enumerate(inputs)], d(float(bias[j]))]) for j in range(w.shape[1])]
+        inputs = [f"greatest({x}, 0)" for x in out] if k + 1 < len(layers) else out
+    return inputs[0]
+
+
+def channel_sql(grid: str) -> str:
+    return f"(WITH {lerp_sql({'z': N, 'y': N, 'x': N}, grid, 'p', 'i')} SELECT * FROM sampled)"
+
+
+_DECODED = f"{_GRID}, sq AS (SELECT node_id, iz, iy, ix, v * v AS v FROM pg), p AS (SELECT s.i, s.node_id, {', '.join(f'{_LOCAL[a]} * {d((N - 1) / 2)} + {d((N - 1) / 2)} AS c_{a}' for a in 'xyz')} FROM s JOIN leaf ON s.node_id = leaf.node_id), dens AS (SELECT p.i, ln(1 + exp({network_sql(['coalesce(f0.s, 0)', 'coalesce(f1.s, 0)'], _NET)})) AS density FROM p LEFT JOIN {channel_sql('pg')} f0 ON p.i = f0.i LEFT JOIN {channel_sql('sq')} f1 ON p.i = f1.i WHERE p.node_id IN (SELECT node_id FROM pg))"
+
+
+@query("render_decoded", f"WITH {SQL['points']}, {_SAMPLES}, s AS (SELECT ray_id * 1000000 + node_id * 1000 + j AS i, ray_id, node_id, weight, x, y, z FROM samples), {_DECODED} SELECT rays.ray_id, round(coalesce(sum(weight * density), 0), 4) + {d(0)} AS integral FROM rays LEFT JOIN s ON rays.ray_id = s.ray_id LEFT JOIN dens ON s.i = dens.i GROUP BY 1")
 def render_decoded(spark, sf):
-    """As ``render_grid`` with a small network between look-up and activation (tests hold it against numpy)."""
-    r, net = view(spark, sf, "rays"), fit.init_network([2, 8, 1], 5)
+    """As ``render_grid`` with a second channel and a small network between look-up and activation."""
+    r = view(spark, sf, "rays")
     two = point_grid(spark, sf).select("node_id", "iz", "iy", "ix", F.col("value").alias("value0"), (F.col("value") * F.col("value")).alias("value1"))
-    out = volumes.render(r, rays.ray_samples(hits_of(spark, sf), DIAGONAL, 8), two, DEPTH, N, layers=net)
-    return out.select("ray_id", r6(F.col("integral")).alias("integral"))
+    out = volumes.render(r, rays.ray_samples(hits_of(spark, sf), DIAGONAL, 8), two, DEPTH, N, layers=_NET)
+    return out.select("ray_id", (F.round("integral", 4) + F.lit(0.0)).alias("integral"))
 
 
 _PAIR = f"cube2 AS (SELECT node_id, iz, iy, ix, v AS a, v * {d(0.9)} + {d(0.01)} * ix AS b FROM cube)"
@@ -224,14 +242,6 @@ def random_scene_batch(spark, sf):
     return batches.random_scene_batch(view(spark, sf, "pixels"), i, 0.1, 3).select("pixel_id", "scene_id", "image_id", "u", "v")
 
 
-@query("network_channels")
-def network_channels(spark, sf):
-    """Three outputs of a network with a sine between layers and a sigmoid at the end (tests hold it against numpy)."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    out = e.select("vec_id", fit.decode_channels(F.col("embedding"), fit.init_network([64, 16, 3], 11), "sin", "sigmoid").alias("c"))
-    return out.select("vec_id", *[r6(F.col("c")[k]).alias(f"c{k}") for k in range(3)])
-
-
 @query("laplacian_band", f'WITH {IM} SELECT image_id, "row", col, round({_V} - avg({_V}) OVER (PARTITION BY image_id, floor("row" / 2), floor(col / 2)), 6) + {d(0)} AS band FROM images')
 def laplacian_band(spark, sf):
     return interp.laplacian_band(images(spark, sf)).select("image_id", "row", "col", r6(F.col("band")).alias("band"))
