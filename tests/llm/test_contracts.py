@@ -411,3 +411,11 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Session())
+
+
+def test_buckets_are_folders(spark, tmp_path):
+    pieces = packing.pack(odd(spark, [(1, LONG), (2, "")]), WORDS)
+    packing.write_buckets(pieces, str(tmp_path / "packed"))
+    back = spark.read.parquet(str(tmp_path / "packed"))
+    assert {p.name for p in (tmp_path / "packed").glob("bucket=*")} == {f"bucket={r['bucket']}" for r in back.select("bucket").distinct().collect()}
+    assert back.agg(F.sum("length")).first()[0] == pieces.agg(F.sum("length")).first()[0]
