@@ -53,7 +53,10 @@ def finite(v: Column) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.raise_error(F.lit("value is not finite"))).otherwise(v)
 
 
-def pixel_to_uv(p: Column, size, aligned: bool = True) -> Column:
+def pixel_to_uv(p: Column, size, aligned: bool = True, check: bool = False) -> Column:
+    """Place in [0, 1] of a pixel; with ``check`` a pixel outside the image fails the job."""
+    if check:
+        p = F.when((p < 0) | (p >= real(size)), F.raise_error(F.lit("pixel outside the image"))).otherwise(p)
     return p / (real(size) - 1) if aligned else (p + 0.5) / real(size)
 
 

@@ -70,7 +70,7 @@ def masked(spark, sf):
 @query("uv_pixel", f"WITH {SQL['pixels']} SELECT pixel_id, {rnd('px / 639', 'u')}, {rnd(f'(py + {d(0.5)}) / 480', 'v')}, {rnd('(px / 639) * 639', 'back')} FROM pixels")
 def uv_pixel(spark, sf):
     p = view(spark, sf, "pixels")
-    u = pixel_to_uv(F.col("px"), 640)
+    u = pixel_to_uv(F.col("px"), 640, check=True)
     return p.select("pixel_id", r6(u).alias("u"), r6(pixel_to_uv(F.col("py"), 480, False)).alias("v"), r6(uv_to_pixel(u, 640)).alias("back"))
 
 

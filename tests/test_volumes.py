@@ -196,6 +196,18 @@ def test_spectra(spark):
     assert abs(spectral.spectrum_loss(s, t, 2.0, 1.5).first()["loss"] - want) < 1e-12
 
 
+def test_pixels_outside_fail(spark):
+    from pyspark.errors import PySparkException
+
+    from cellbeam.functions.columns import pixel_to_uv
+
+    p = spark.createDataFrame([(0.0,), (7.0,), (None,)], "p double")
+    assert [r[0] for r in p.select(pixel_to_uv(F.col("p"), 8, check=True)).collect()] == [0.0, 1.0, None]
+    for bad in (-1.0, 8.0):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(bad,)], "p double").select(pixel_to_uv(F.col("p"), 8, check=True)).collect()
+
+
 def test_losses(spark):
     df = spark.createDataFrame([(1.0, 0.5), (2.0, 2.5)], "p double, t double")
     assert abs(metrics.training_loss(df, "p", "t", mse=2.0, l1=1.0).first()["loss"] - (2 * 0.25 + 0.5)) < 1e-12
