@@ -28,8 +28,8 @@ from .common import steps
 
 #: Unicode White_Space, spelled out: Python's and Rust's ``\s`` differ in U+001C..U+001F.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Entries after which a worker's lexicon of words, or of pieces, starts anew.
-LEXICON = 700_000
+#: Bytes of a worker's lexicons of words and pieces, and what an entry takes beside its characters and ids.
+LEXICON, ENTRY = 160 << 20, 190
 _DOUBLE = re.compile(r"\s\s")
 _MODELS: dict[tuple[str, str], "ByteBpe"] = {}
 
@@ -108,6 +108,7 @@ class ByteBpe:
         self.words = regex.compile(pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]"))
         self.known: dict[str, bytes] = {}  # words, as the pattern cuts them
         self.lexicon: dict[str, bytes] = {}  # pieces
+        self.held = 0
 
     def learn(self, pieces: set[str]) -> None:
         """Add the pieces that the lexicon lacks, from its words and from a replay over the words it lacks."""
@@ -119,11 +120,14 @@ class ByteBpe:
         try:
             split = [find(p) for p in new]
             words = list(set().union(*split).difference(known))
-            known.update(zip(words, replay([w.encode() for w in words], self.ranks), strict=True))
+            ids = replay([w.encode() for w in words], self.ranks)
+            known.update(zip(words, ids, strict=True))
             get = known.__getitem__
-            self.lexicon.update(zip(new, [b"".join(map(get, ws)) for ws in split], strict=True))
+            whole = [b"".join(map(get, ws)) for ws in split]
+            self.lexicon.update(zip(new, whole, strict=True))
         finally:
             gc.enable()
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + sum(map(len, new)) + sum(map(len, whole)) + ENTRY * (len(words) + len(new))
 
     def pieces(self, text: str) -> list[str]:
         """Parts of a text that the pattern never crosses: cut before a lone space between two other characters."""
@@ -133,12 +137,13 @@ class ByteBpe:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.pieces(t) if t else [] for t in texts]
-        self.learn(set().union(*cut))
+        seen = set().union(*cut)
+        self.learn(seen)
         get = self.lexicon.__getitem__
         out = [b"".join(map(get, ps)) for ps in cut]
-        for kept in (self.lexicon, self.known):
-            if len(kept) > LEXICON:
-                kept.clear()
+        if self.held > LEXICON:  # what the last texts needed is needed most
+            self.lexicon, self.known = {p: get(p) for p in seen} if len(seen) * ENTRY < LEXICON // 2 else {}, {}
+            self.held = sum(len(p) + len(x) + ENTRY for p, x in self.lexicon.items())
         return out
 
 

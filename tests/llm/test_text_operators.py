@@ -58,6 +58,15 @@ def test_bpe_any_text(texts):
     assert [np.frombuffer(x, np.int32).tolist() for x in m.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_lexicon_is_bounded(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LEXICON", 60_000)
+    small, whole = byte_bpe.ByteBpe(BPE, public_tokenizers.PATTERN), byte_bpe.model(BPE, public_tokenizers.PATTERN)
+    for k in range(30):
+        text = " ".join(f"word{k}x{i}, common{i}" for i in range(40))
+        assert small.encode([text, None, ""]) == whole.encode([text, None, ""])
+        assert small.held <= 60_000
+
+
 def test_pack(spark):
     from tokenizers import Tokenizer
 
