@@ -9,6 +9,8 @@ batched together: nothing is padded.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +20,49 @@ from pyspark.sql import types as T
 
 from .common import give_back, steps
 
-#: Bytes of a worker's lexicon, and what an entry takes beside its characters and ids.
-LEXICON, ENTRY = 64 << 20, 190
-#: A character that stands between chunks; one token, and a chunk that holds it is encoded alone.
+#: Bytes of a task's lexicon of chunks and of a worker's lexicon of words, and what an entry takes beside its
+#: characters and ids.
+LEXICON, WORDS, ENTRY = 80 << 20, 64 << 20, 190
+#: A character that stands between words; one token, and what holds it is encoded alone.
 MARK = "\x01"
+#: What the pre-tokenizer makes of printable ASCII without quotes: runs of letters, single digits, runs of the rest.
+_ASCII = re.compile(r"[a-z]+|[0-9]|[^a-z0-9 ]+")
+#: ASCII signs that end a word of any script.
+_SIGNS = ".,;:!?)]}\"-"
+#: Latin letters end here; other scripts are left to the library whole.
+_LATIN = "\u0250"
+
+
+def _byte_letters() -> str:
+    """The letter that byte-level tokenizers write for each byte: itself if it is visible, else the next free one from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return "".join(chr(b) if b in shown else chr(next(free)) for b in range(256))
+
+
+_LETTERS = _byte_letters()
 _TOKENIZERS: dict[tuple[str, bool], "WordTokenizer"] = {}
 
 
+def words_in(chunk: str) -> list[str]:
+    """Parts of a space-free chunk that the tokenizer treats one by one, in lower case where that is plain ASCII.
+
+    Quotes (which may begin a contraction) and bars (of control strings) leave a chunk whole.
+    """
+    if "'" in chunk or "|" in chunk or not chunk.isprintable():
+        return [chunk]
+    if chunk.isascii():
+        return _ASCII.findall(chunk.lower())
+    head = chunk.rstrip(_SIGNS)
+    return [head, chunk[len(head) :]] if len(head) < len(chunk) and head[-1:].isalpha() else [chunk]
+
+
 class WordTokenizer:
     """A tokenizer whose pre-tokens never cross white space, with a lexicon of space-free chunks.
 
-    A control string in a text, such as ``<|endoftext|>``, gives its control id, as the library's plain call
-    does; with ``control_as_text`` it is text like any other.
+    New chunks are put together from their words, and only new words go to the library. A control string in a
+    text, such as ``<|endoftext|>``, gives its control id, as the library's plain call does; with
+    ``control_as_text`` it is text like any other.
     """
 
     def __init__(self, path: str, control_as_text: bool = False):
@@ -38,26 +71,55 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = control_as_text
-        self.lexicon: dict[str, bytes] = {}
-        self.held = 0
+        self.lexicon: dict[str, bytes] = {}  # chunks
+        self.words: dict[str, bytes] = {}
+        self.held = self.held_words = 0
         (self.mark_id,) = self.tok.encode(MARK, add_special_tokens=False).ids
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode new chunks, a thousand to a call with a mark between them."""
-        new = [c for c in chunks if MARK not in c]
-        groups = [new[i : i + 1000] for i in range(0, len(new), 1000)]
-        odd = [[c] for c in chunks if MARK in c]
-        for group in groups + odd:
+    def one_word(self, word: str) -> str | None:
+        """What the model sees of a word that is one pre-token for sure, or None."""
+        if word.isascii():
+            return word if word.isprintable() and "'" not in word and "|" not in word else None
+        if word.isalpha() and max(word) < _LATIN:
+            low = word.lower()  # these letters are composed already
+            if low.isalpha():
+                return low.encode().decode("latin-1").translate(_LETTERS)
+        return None
+
+    def learn_words(self, words: set[str]) -> None:
+        """Ids of new words: single pre-tokens by the model alone, a thousand others to a call with a mark between them."""
+        if self.held_words > WORDS:
+            self.words, self.held_words = {}, 0
+        others, model = [], self.tok.model
+        for w in words:
+            if w not in self.words:
+                seen = self.one_word(w)
+                if seen is None:
+                    others.append(w)
+                else:
+                    self.words[w] = ids = array("I", [t.id for t in model.tokenize(seen)]).tobytes()
+                    self.held_words += len(w) + len(ids) + ENTRY
+        plain = [w for w in others if MARK not in w]
+        for group in [plain[i : i + 1000] for i in range(0, len(plain), 1000)] + [[w] for w in others if MARK in w]:
             (e,) = self.tok.encode_batch_fast([f" {MARK} ".join(group)], add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
-            self.held += sum(map(len, group)) + 4 * len(ids) + ENTRY * len(group)
+            self.held_words += sum(map(len, group)) + 4 * len(ids) + ENTRY * len(group)
             if len(group) == 1:
-                self.lexicon[group[0]] = ids.tobytes()
+                self.words[group[0]] = ids.tobytes()
                 continue
             cuts = np.flatnonzero(ids == self.mark_id)
             begin, end = np.append(0, cuts + 1), np.append(cuts, len(ids))
             raw = ids.tobytes()
-            self.lexicon.update((c, raw[4 * a : 4 * b]) for c, a, b in zip(group, begin.tolist(), end.tolist(), strict=True))
+            self.words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(group, begin.tolist(), end.tolist(), strict=True))
+
+    def learn(self, chunks: set[str]) -> None:
+        new = list(chunks)
+        parts = [words_in(c) for c in new]
+        self.learn_words(set().union(*parts))
+        get = self.words.__getitem__
+        ids = [b"".join(map(get, p)) for p in parts]
+        self.lexicon.update(zip(new, ids, strict=True))
+        self.held += sum(map(len, new)) + sum(map(len, ids)) + ENTRY * len(new)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -72,7 +134,7 @@ class WordTokenizer:
         return out
 
     def forget(self) -> None:
-        """Empty the lexicon: its worker lives on."""
+        """Empty the lexicon of chunks: its worker lives on. That of words stays, within its bound."""
         self.lexicon, self.held = {}, 0
         give_back()
 

@@ -94,13 +94,24 @@ def test_pack_control_strings():
     assert 49407 in plain.encode(cases[1], add_special_tokens=False).ids and 49407 not in text.encode(cases[1], add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("aB9zé'’.,;:!?)]}\"-|<> \n\t\r\x0b\x1c\x85\u00a0\u0301ßΣσİ日½²_#")), st.characters(max_codepoint=0x2FFF)), max_size=30), min_size=1, max_size=4))
+def test_pack_any_text(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORDS)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.tokenizer(WORDS).encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack_lexicon_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "LEXICON", 20_000)
+    monkeypatch.setattr(packing, "WORDS", 30_000)
     own, fresh = packing.WordTokenizer(WORDS), packing.WordTokenizer(WORDS)
     for k in range(40):
         text = " ".join(f"word{k}x{i} common{i}" for i in range(50))
         assert own.encode([text]) == fresh.encode([text])
         assert own.held <= 20_000
+        assert own.held_words <= 60_000
         fresh.forget()
     assert fresh.held == 0 and not fresh.lexicon
 
