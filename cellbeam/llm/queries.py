@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, jaccard_join, licenses, merkle, packing, quality, suffix_dedup, toxicity, url_filter
+from . import byte_bpe, hard_negatives, html_text, jaccard_join, lattice_dedup, licenses, merkle, packing, quality, suffix_dedup, toxicity, url_filter, whitening
 from .common import table
 
 
@@ -65,6 +65,19 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -76,6 +89,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_lattice_dedup": op12_lattice_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 _OP8_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -89,5 +105,23 @@ r(node, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.b, r.root FROM r J
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) m ON d.doc_id = m.node
 """
+_OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.root AS component_id, v.vec_id = m.root AS kept FROM embeddings v LEFT JOIN n ON v.vec_id = n.a JOIN m ON v.vec_id = m.node
+"""
+_OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, p.score AS ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 5
+"""
 #: The other results hold hashes of models' or tokenizers' work; tests compare those with brute force.
-ORACLES: dict[str, str] = {"op8_jaccard_join": _OP8_SQL}
+ORACLES: dict[str, str] = {"op8_jaccard_join": _OP8_SQL, "op12_lattice_dedup": _OP12_SQL, "op13_hard_negatives": _OP13_SQL}

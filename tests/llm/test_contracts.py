@@ -31,6 +31,9 @@ COLUMNS = {
     "op8_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op9_html": "page_id bigint, url string, text string, n_chars bigint",
     "op10_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op11_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op12_lattice_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op13_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
 }
 
 
@@ -149,6 +152,15 @@ def test_jaccard_rows(results, sf_dir):
     assert sorted(want) == sorted(tuple(r[n] for n in names) for r in results["op8_jaccard_join"])
 
 
+@pytest.mark.parametrize("name", ["op12_lattice_dedup", "op13_hard_negatives"])
+def test_vector_rows(results, sf_dir, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    columns = COLUMNS[name].split()[::2]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
+    assert len(want) > 100 and sorted(tuple(r[c] for c in columns) for r in results[name]) == sorted(want)
+
+
 def test_html_rows(results):
     assert all(r["n_chars"] == len(r["text"]) for r in results["op9_html"])
 
