@@ -8,8 +8,9 @@ bound that follows from both sizes; those pairs are compared in full.
 
 Documents with equal sets are one class from the start, and a class takes part only if
 other classes hold enough of its shingles for any link at all. Classes that already
-hang together through a common partner are not paired again, so a large group of
-near copies costs its size, not its square, and no link between groups is lost.
+hang together through a common partner are not paired again, and entries of a shingle are
+matched by kind before documents are, so a large group of near copies, or many pages
+of one template, cost their number, not its square, and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,10 @@ FRAGMENT, SHINGLE_BYTES = 1 << 22, 6
 BROADCAST_IDS = 1 << 20
 #: Common shingles at the beginnings of two sets that a pair must show (where the limit asks for that many).
 COMMON = 3
+#: Classes that a group has at least so that its members are never paired with each other again, and the mark of none.
+CROWD, _NO_CROWD = 64, -(1 << 63)
+#: What decides by itself whether two entries of a shingle can meet.
+KIND = ("n", "own", "at", "crowd")
 _LOWER = np.frombuffer(LOWER, np.uint8)
 
 
@@ -279,6 +284,49 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "ga", "gb").mapInArrow(compare, linked)
 
 
+def least_common(n: Column, m: Column, percent: int) -> Column:
+    """How many shingles two linked sets of n and m have in common at least."""
+    return F.floor((percent * (n + m) + (99 + percent)) / (100 + percent)).cast("long")
+
+
+def possible(x: str, y: str, percent: int) -> Column:
+    """Whether the entries x and y of one shingle can be among the first COMMON that a linked pair has in common.
+
+    The lengths must allow a link, both sides must have enough shingles that other sets hold, and less must
+    stand before the entries than may be missing in the partner.
+    """
+    (n, own, at), (m, has, on) = ([F.col(p.format(c)) for c in ("n", "own", "at")] for p in (x, y))
+    common = least_common(n, m, percent)
+    reach = F.least(F.lit(COMMON), common) - 1
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - own, m - has) >= common) & (at <= n - common + reach) & (on <= m - common + reach)
+
+
+def kinds_that_meet(tagged: DataFrame, percent: int) -> DataFrame:
+    """Pairs of kinds of entries of one shingle that can belong to linked sets.
+
+    A kind is what ``possible`` looks at (size, own shingles, place) and the crowd, a large group that already hangs
+    together. However many documents share a passage, they are of few kinds, and where no two kinds fit, or all
+    stand in one crowd, not one pair of documents is looked at.
+    """
+    kinds = tagged.select("fragment", "shingle", *KIND).distinct()
+    x, y = [kinds.select("fragment", "shingle", F.struct(*KIND).alias("kind" + s), *[F.col(c).alias(c + s) for c in KIND]) for s in ("x", "y")]
+    apart = (F.col("crowdx") != F.col("crowdy")) | (F.col("crowdx") == _NO_CROWD)
+    met = x.join(y, ["fragment", "shingle"]).where("kindx <= kindy").where(apart & possible("{}x", "{}y", percent))
+    return met.select("fragment", "shingle", *[c + s for s in ("x", "y") for c in KIND])
+
+
+def meetings(tagged: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``fragment, a, b, na, nb``: a row for each entry that two documents of different groups share, a < b."""
+    x, y = [tagged.select("fragment", "shingle", F.col("id").alias("id" + s), F.col("g").alias("g" + s), *[F.col(c).alias(c + s) for c in KIND]) for s in ("x", "y")]
+    met = kinds.join(x, ["fragment", "shingle", *[c + "x" for c in KIND]]).join(y, ["fragment", "shingle", *[c + "y" for c in KIND]])
+    one = F.lit(True)
+    for c in KIND:
+        one = one & (F.col(c + "x") == F.col(c + "y"))
+    met = met.where(F.col("gx") != F.col("gy")).where(~one | (F.col("idx") < F.col("idy")))
+    first = F.col("idx") < F.col("idy")
+    return met.select("fragment", F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col (long), n_shingles, component_id`` of every document.
 
@@ -303,35 +351,23 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     able = classes.where(f"100 * shared >= {percent} * n_shingles").groupBy("id").agg(F.min(F.struct("k1", "k2", "n_shingles")).alias("c"))
     sets = keep(whole_sets(docs, keep(able.select("id", "c.*")), size, id_col, text_col))
     entries = keep(beginnings(sets, percent, keep))
-    need = lambda x, y: F.floor((percent * (x + y) + (99 + percent)) / (100 + percent)).cast("long")
-
-    def possible(x: str, y: str):
-        """Whether the entries x and y of one shingle can be among the first COMMON that a linked pair has in common.
-
-        The lengths must allow a link, both sides must have enough shingles that other sets hold, and less must
-        stand before the entries than may be missing in the partner.
-        """
-        (n, own, at), (m, has, on) = ([F.col(p.format(c)) for c in ("n", "own", "at")] for p in (x, y))
-        common = need(n, m)
-        reach = F.least(F.lit(COMMON), common) - 1
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - own, m - has) >= common) & (at <= n - common + reach) & (on <= m - common + reach)
-
     # first every class with the one of a shingle that has the least of its own: this joins groups of near copies
     leader = keep(entries.groupBy("shingle").agg(F.min(F.struct("own", "id", "n", "at")).alias("l")))
-    stars = entries.join(leader, "shingle").where(F.col("l.id") != F.col("id")).where(possible("l.{}", "{}"))
+    stars = entries.join(leader, "shingle").where(F.col("l.id") != F.col("id")).where(possible("l.{}", "{}", percent))
     stars = stars.select(F.least("l.id", "id").alias("a"), F.greatest("l.id", "id").alias("b")).distinct()
     first = keep(verified(keep(stars), sets, percent))
     group = keep(components(first))
     # then all pairs that are not in one group yet: what they have in common is counted by fragment and summed
-    tagged = entries.join(group, entries["id"] == group["node"], "left").select("fragment", "shingle", "id", "n", "own", "at", F.coalesce("component", "id").alias("g"))
+    known = group.join(group.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+    known = keep(known.select(F.col("node").alias("id"), "component", F.when(F.col("size") >= CROWD, F.col("component")).alias("crowd")))
+    tagged = entries.join(known, "id", "left").select("fragment", "shingle", "id", "n", "own", "at", F.coalesce("component", "id").alias("g"), F.coalesce("crowd", F.lit(_NO_CROWD)).alias("crowd"))
     mixed = keep(tagged.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle"))
     tagged = keep(tagged.join(mixed, "shingle", "left_semi"))
-    x, y = [tagged.select("fragment", "shingle", *[F.col(c).alias(c + s) for c in ("id", "n", "own", "at", "g")]) for s in ("x", "y")]
-    met = x.join(y, ["fragment", "shingle"]).where("idx < idy and gx <> gy").where(possible("{}x", "{}y"))
-    partial = met.groupBy("fragment", "idx", "idy").agg(F.count(F.lit(1)).alias("common"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    pairs = partial.groupBy("idx", "idy").agg(F.sum("common").alias("common"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    pairs = pairs.where(F.col("common") >= F.least(F.lit(COMMON), need(F.col("nx"), F.col("ny"))))
-    second = verified(keep(pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b"))), sets, percent)
+    met = meetings(tagged, keep(kinds_that_meet(tagged, percent)))
+    partial = met.groupBy("fragment", "a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = pairs.where(F.col("common") >= F.least(F.lit(COMMON), least_common(F.col("na"), F.col("nb"), percent)))
+    second = verified(keep(pairs.select("a", "b")), sets, percent)
     final = components(keep(first.unionByName(second)))
     least = classes.select("k1", "k2", "n_shingles", F.col("id").alias("least"))
     out = every.join(least, ["k1", "k2", "n_shingles"], "left").join(final, F.col("least") == final["node"], "left")
