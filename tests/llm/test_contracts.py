@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import corpus_pipeline
 import duckdb
@@ -311,6 +312,32 @@ def test_common_passage_makes_no_pairs(spark, monkeypatch):
     assert seen["pairs"] <= 20 and seen["sets"] <= 20
 
 
+def test_pages_of_one_template_make_no_pairs(spark, monkeypatch):
+    """Six in seven shingles stand on every page and nothing links: kinds are matched, not pages."""
+    seen = []
+    monkeypatch.setattr(jaccard_join, "meetings", lambda tagged, kinds, f=jaccard_join.meetings: seen.append((tagged.select("fragment", "shingle", *jaccard_join.KIND).distinct().groupBy("shingle").count().agg(F.max("count")).first()[0], f(tagged, kinds).count())) or f(tagged, kinds))
+    common = " ".join(f"same{k}" for k in range(106))
+    rows = [(i, f"{common} " + " ".join(f"own{i}x{k}" for k in range(16 + i % 3))) for i in range(1500)]
+    rows += [(2000 + i, f"{common} {' '.join(f'tail{k}' for k in range(20))} {i}") for i in range(80)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (2000 if i >= 2000 else i) for i, _ in rows)
+    kinds, pairs = seen[0]
+    assert (kinds or 0) <= 200 and pairs <= 1500
+
+
+def test_crowds_still_link(spark):
+    """Two large groups and single texts that link with members of both, but not through the texts that lead them."""
+    base = [f"w{k}" for k in range(100)]
+
+    def text(start, stop, tail):
+        return " ".join(base[start:stop] + tail)
+
+    rows = [(i, text(0, 100, [f"a{i}"])) for i in range(80)] + [(100 + i, text(9, 100, [f"b{i}", *[f"c{k}" for k in range(9)]])) for i in range(80)] + [(300, text(4, 100, [f"c{k}" for k in range(5)]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_groups([t for _, t in rows])
+    assert len({got[i] for i, _ in rows}) <= 3 and got == {i: rows[root][0] for (i, _), (_, root) in zip(rows, want, strict=True)}
+
+
 def test_nystrom_map():
     """Coordinates of the landmarks have the landmarks' kernel as inner products."""
     words = ["idiot", "idiots", "moron", "stupid", "loser", "trash", "worthless", "pathetic"]
@@ -390,9 +417,56 @@ PAGES = [
     (f"<article><p>a&nbsp;b \t c&#8212;d &nosuch; <b>e</b>f</p>{BODY}</article>", "a b c—d &nosuch; ef\n" + TEXT),
     (f"<article>{BODY}<div class='ad banner'>Buy</div><div class='cookie-notice'>We use</div><div class='comment-list'><p>me too</p></div></article>", TEXT),
     (f"<BODY><ARTICLE>{BODY}</ARTICLE></B></I></BODY>", TEXT),
+    (f"<body><form action=/x><div><a href=/>home</a></div><div>{BODY}</div><input name=q><button>go</button></form></body>", TEXT),
+    (f"<body><form id=aspnetForm><article>{BODY}</article><label>Mail</label></form></body>", TEXT),
+    (f"<body><article>{BODY}</article><form><p>Write to us</p><label>Mail</label><input></form></body>", TEXT),
+    (f"<body><h1>The title</h1><div>{BODY}</div><footer>(c)</footer></body>", "The title\n" + TEXT),
+    (f"<body><div><div><h1>The title</h1></div><div>{BODY}</div></div><div><a href=/a>more</a></div></body>", "The title\n" + TEXT),
+    (f"<body><nav><h2>Menu</h2></nav><h1>The title</h1><nav><a href=/>home</a></nav><main>{BODY}</main><h2>Elsewhere</h2></body>", "The title\n" + TEXT),
+    (f"<article><p class=share>{P[0]}</p><p id='notice'>{P[1]}</p><h2 class=header>Part two of it, on more topics</h2><p>{P[2]}</p></article>", "\n".join([P[0], P[1], "Part two of it, on more topics", P[2]])),
+    (f"<article>{BODY}<p class='share'><a href=/t>tweet</a> <a href=/m>mail</a></p><p class=ad>{P[0]}</p></article>", TEXT),
+    (f"<article>{BODY}<p class=social>Like</p></article>", TEXT),
+    (f'<article><a title="a > b">{P[0]}</a><p title=\'x>y\'>{P[1]}</p></article>', P[0] + "\n" + P[1]),
+    (f'<article>{BODY}<p title="never closed>{P[0]}</p></article>', TEXT + "\n" + P[0]),
+    (f"<article>{BODY}<p>1 < 2 and 3 > 2 <b", TEXT + "\n1 < 2 and 3 > 2 <b"),
+    (f"<article>{BODY}</article><!-- never closed <p>{P[0]}</p>", TEXT),
+    ("<article><p>" + "word " * 100_000 + "</p></article>", ("word " * 100_000).strip()),
 ]
 
 
+class Article(HTMLParser):
+    """The given pages' articles by the standard parser: their blocks are paragraphs and headings."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1"):
+            self.blocks.append([])
+        if tag == "br":
+            self.blocks[-1].append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("p", "h1"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1].append(data)
+
+
+def test_given_pages(results, spark, sf_dir):
+    got = {r["page_id"]: r["text"] for r in results["op9_html"]}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        parser = Article()
+        parser.feed(r["html"] or "")
+        parser.close()
+        assert got[r["page_id"]] == "\n".join(t for t in (" ".join("".join(b).split()) for b in parser.blocks) if t)
+
+
 @pytest.mark.parametrize("k", range(len(PAGES)))
 def test_pages(k):
     page, want = PAGES[k]
@@ -405,6 +479,10 @@ def test_hostile_inputs_take_linear_time():
     start = time.perf_counter()
     for page in ("<b>" * 60_000 + "<hr>x" * 60_000, "<i><div>" + "<b>" * 60_000 + "</i>x" * 60_000, "<ul><li>" * 40_000 + "x</li></ul>" * 40_000):
         html_text.extract_text(page)
+    for unit in ("<a ", '<b "', "<b \"'>'\"", '<b ="', "<!x ", "<form>x"):
+        for tail in ("", ">"):
+            html_text.extract_text("<p>" + unit * ((1 << 19) // len(unit)) + tail)
+    html_text.extract_text("<script>" + "</script " * 100_000)
     postfix, _ = licenses.parse_expression(" and ".join(f"(a{i} or b{i})" for i in range(4_000)))
     assert len(licenses.licences_of(postfix)) == 8_000 and licenses.evaluate(postfix, frozenset(f"b{i}" for i in range(4_000)))
     assert licenses.parse_expression("(" * 50_000 + "mit")[0] == []
