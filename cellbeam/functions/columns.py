@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -136,3 +137,17 @@ def loss_weight(p: Column, kind: str) -> Column:
     """'none', 'inverse' (1 / (p + 1e-3)^2) or 'square' ((p + 1e-3)^2)."""
     s = (p + 1e-3) * (p + 1e-3)
     return {"none": real(1), "inverse": 1 / s, "square": s}[kind]
+
+
+def keyed_uniform(seed: int, *keys: Column | int | str) -> Column:
+    """A number in [0, 1) that depends on the seed and the keys only, so it is the same in any partitioning and retry.
+
+    The first 52 bits of the MD5 of ``seed|key|..``, as any engine can give them.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[(k if isinstance(k, Column) else F.lit(k)).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def keyed_normal(seed: int, *keys: Column | int | str) -> Column:
+    """A standard normal number by key, from two uniform ones."""
+    return F.sqrt(-2.0 * F.log(1.0 - keyed_uniform(seed, *keys, "r"))) * F.cos(keyed_uniform(seed, *keys, "a") * (2.0 * math.pi))

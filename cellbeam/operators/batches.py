@@ -8,13 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import keyed_uniform
+
+
+def bisect(cuts: list[float], x: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most x, by halving: some fourteen look-ups among 10,000 cuts."""
+    if not cuts:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    known = F.array(*[F.lit(c) for c in cuts])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(known, at + s - 1) <= x, at + s).otherwise(at))
+
 
 def range_of(rows: DataFrame, key: str) -> Column:
-    """Number of the range of a numeric key that a row is in; as many ranges as shuffle partitions, about equal ones."""
+    """Number of the range of a numeric key that a row is in; as many ranges as shuffle partitions, about equal ones.
+
+    The cuts come from one pass that keeps a sketch a task. They are constants of the plan, so all its branches and
+    retries number alike, which a plain range exchange would not promise.
+    """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
-    cut = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(cut, lambda c: c <= F.col(key)))
+    return bisect(sorted(set(cuts)), F.col(key))
 
 
 def numbered(ids: DataFrame, key: str) -> DataFrame:
@@ -61,23 +75,29 @@ def concatenate(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def random_batch(pixels: DataFrame, images: int, share: float, seed: int) -> DataFrame:
-    """Pixels of about ``share`` of the rows, each moved to a random place in its image."""
-    return pixels.sample(False, share, seed).withColumn("image_id", F.floor(F.rand(seed) * images) + 1).withColumn("u", F.rand(seed + 1)).withColumn("v", F.rand(seed + 2))
+def random_batch(pixels: DataFrame, images: int, share: float, seed: int, key: str = "pixel_id") -> DataFrame:
+    """Pixels of about ``share`` of the rows, each moved to a random place in a random image.
+
+    What is drawn depends on the seed and the row's key only, not on how rows are dealt out.
+    """
+    k = F.col(key)
+    drawn = pixels.where(keyed_uniform(seed, "draw", k) < share)
+    return drawn.withColumn("image_id", F.floor(keyed_uniform(seed, "image", k) * images) + 1).withColumns({c: keyed_uniform(seed, c, k) for c in ("u", "v")})
 
 
-def random_scene_batch(pixels: DataFrame, images: DataFrame, share: float, seed: int) -> DataFrame:
+def random_scene_batch(pixels: DataFrame, images: DataFrame, share: float, seed: int, key: str = "pixel_id") -> DataFrame:
     """As ``random_batch`` for several scenes: one scene is drawn for the whole batch, then images of that scene.
 
-    ``images``: scene_id, image_id. The scene is drawn by the seed among the distinct ids; the images of one scene
-    are numbered, and every sampled pixel gets one of them.
+    ``images``: scene_id, image_id. The scene is the one with the least number by the seed; its images are numbered
+    by id, and every sampled pixel gets one of them.
     """
-    scene = images.select("scene_id").distinct().orderBy(F.xxhash64(F.lit(seed), "scene_id"), "scene_id").limit(1)
+    scene = images.select("scene_id").distinct().orderBy(keyed_uniform(seed, "scene", F.col("scene_id")), "scene_id").limit(1)
     here = numbered(images.join(F.broadcast(scene), "scene_id").select("scene_id", "image_id").distinct(), "image_id").select("scene_id", "image_id", "n", "total")
-    drawn = pixels.sample(False, share, seed).drop("image_id", "scene_id").withColumn("__at", F.rand(seed)).withColumn("u", F.rand(seed + 1)).withColumn("v", F.rand(seed + 2))
+    k = F.col(key)
+    drawn = pixels.where(keyed_uniform(seed, "draw", k) < share).drop("image_id", "scene_id").withColumns({c: keyed_uniform(seed, c, k) for c in ("u", "v")})
     size = here.agg(F.max("total").alias("__total"))
-    drawn = drawn.crossJoin(F.broadcast(size)).withColumn("n", F.floor(F.col("__at") * F.col("__total")))
-    return drawn.join(here.drop("total"), "n").drop("n", "__at", "__total")
+    drawn = drawn.crossJoin(F.broadcast(size)).withColumn("n", F.floor(keyed_uniform(seed, "image", k) * F.col("__total")))
+    return drawn.join(here.drop("total"), "n").drop("n", "__total")
 
 
 def row_batches(images: DataFrame, rows: int, height: int, width: int, image: str = "image_id") -> DataFrame:
@@ -94,9 +114,9 @@ def row_batches(images: DataFrame, rows: int, height: int, width: int, image: st
 
 
 def random_in_nodes(nodes: DataFrame, per_node: int, seed: int) -> DataFrame:
-    """``per_node`` random points inside every node."""
+    """``per_node`` random points inside every node, by the seed and the node's id."""
     x = nodes.select("*", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("k"))
-    return x.select("node_id", "k", *[(F.col(f"{a}0") + F.rand(seed + i) * (F.col(f"{a}1") - F.col(f"{a}0"))).alias(a) for i, a in enumerate("xyz")])
+    return x.select("node_id", "k", *[(F.col(f"{a}0") + keyed_uniform(seed, a, F.col("node_id"), F.col("k")) * (F.col(f"{a}1") - F.col(f"{a}0"))).alias(a) for a in "xyz"])
 
 
 def lattice(nodes: DataFrame, n: int) -> DataFrame:

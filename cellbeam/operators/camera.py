@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import normalise, rotate
+from ..functions.columns import keyed_normal, keyed_uniform, normalise, rotate
 
 QUAT, SHIFT = ("qx", "qy", "qz", "qw"), ("tx", "ty", "tz")
 #: Poses of a block about, and poses that are broadcast at most.
@@ -96,17 +96,20 @@ def pose_stats(poses: DataFrame) -> DataFrame:
     return poses.agg(F.avg(r).alias("mean_distance"), F.max(r).alias("max_radius"))
 
 
-def jitter(points: DataFrame, amount: float, seed: int, columns: tuple[str, ...] = ("tx", "ty", "tz")) -> DataFrame:
-    """Uniform noise of (rand - 0.5) * amount; nothing for amounts of 0 or less."""
+def jitter(points: DataFrame, amount: float, seed: int, columns: tuple[str, ...] = ("tx", "ty", "tz"), key: str = "image_id") -> DataFrame:
+    """Uniform noise of (rand - 0.5) * amount by the seed and the row's key; nothing for amounts of 0 or less."""
     if amount <= 0:
         return points
-    return points.withColumns({c: F.col(c) + (F.rand(seed + i) - 0.5) * amount for i, c in enumerate(columns)})
+    return points.withColumns({c: F.col(c) + (keyed_uniform(seed, c, F.col(key)) - 0.5) * amount for c in columns})
 
 
-def defocused(rays: DataFrame, width: int, spread: float, seed: int) -> DataFrame:
-    """Origins moved along a random unit direction by at most the ray's defocus (in pixels of the width)."""
-    g = [F.randn(seed + i).alias(f"g{a}") for i, a in enumerate("xyz")]
-    r = rays.select("*", *g, F.randn(seed + 9).alias("gs"))
+def defocused(rays: DataFrame, width: int, spread: float, seed: int, key: str = "ray_id") -> DataFrame:
+    """Origins moved along a random unit direction by at most the ray's defocus (in pixels of the width).
+
+    Directions and distances follow from the seed and the ray's key.
+    """
+    k = F.col(key)
+    r = rays.select("*", *[keyed_normal(seed, f"g{a}", k).alias(f"g{a}") for a in "xyz"], keyed_normal(seed, "gs", k).alias("gs"))
     n = F.sqrt(sum((F.col(f"g{a}") * F.col(f"g{a}") for a in "xyz"), F.lit(1e-20)))
     far = F.least(F.col("defocus") * 2.0 / width, F.col("gs") * (2.0 * spread / width))
     return r.select(*[(F.col(c) + F.col(f"g{c[1]}") / n * far).alias(c) if c in ("ox", "oy", "oz") else F.col(c) for c in rays.columns])

@@ -35,13 +35,19 @@ def gather_cells(grid: DataFrame, size: dict[str, int], grid_key: str = "node_id
     index = reduce(lambda p, a: p * size[a] + F.col(f"i{a}"), size, F.lit(0))
     total = reduce(lambda p, n: p * n, size.values(), 1)
     values = values or ["value"]
-    rows = grid.groupBy(grid_key).agg(F.array_sort(F.collect_list(F.struct(index.cast("int").alias("i"), *[F.col(v) for v in values]))).alias("__c"))
-
-    def dense(v: str) -> Column:
-        known = F.map_from_entries(F.transform("__c", lambda c: F.struct(c["i"], c[v])))
-        return F.when(F.size("__c") == total, F.transform("__c", lambda c: c[v])).otherwise(F.transform(F.sequence(F.lit(0), F.lit(total - 1)), lambda k: F.try_element_at(known, k)))
-
-    return rows.select(grid_key, *[dense(v).alias(f"__{v}") for v in values])
+    rows = grid.groupBy(grid_key).agg(F.array_sort(F.collect_list(F.struct(index.cast("int").alias("i"), *[F.col(v).alias(f"v{k}") for k, v in enumerate(values)]))).alias("__c"))
+    # each known cell stands behind the empty ones since the one before it, so an incomplete grid is filled in one pass
+    before = F.concat(F.array(F.lit(-1)), F.transform("__c", lambda c: c["i"]))
+    gaps = F.zip_with(F.slice(before, 1, F.size("__c")), "__c", lambda p, c: F.when(c["i"] - p > 1, c["i"] - p - 1).otherwise(0))
+    end = F.lit(total - 1) - F.element_at("__c", -1)["i"]
+
+    def dense(k: int) -> Column:
+        value = grid.schema[values[k]].dataType
+        none = F.lit(None).cast(value)
+        filled = F.flatten(F.zip_with(gaps, "__c", lambda g, c: F.concat(F.array_repeat(none, g), F.array(c[f"v{k}"]))))
+        return F.when(F.size("__c") == total, F.transform("__c", lambda c: c[f"v{k}"])).otherwise(F.concat(filled, F.array_repeat(none, end)))
+
+    return rows.select(grid_key, *[dense(k).alias(f"__{v}") for k, v in enumerate(values)])
 
 
 def place(df: DataFrame, coords: dict[str, Column], size: dict[str, int], tag: str = "") -> DataFrame:

@@ -36,15 +36,21 @@ def ancestors(node_id: Column, depth: int, fan: int = 8) -> Column:
 def locate(points: DataFrame, active: DataFrame, depth: int, key: str = "point_id", **kw) -> DataFrame:
     """Adds ``active_node``, the active node that holds each point (NULL if none; the deepest of several).
 
-    The ancestors of a point's leaf are looked up level by level. Node tables are broadcast where they are few
-    enough, so points stay where they are.
+    The ancestors of a point's leaf are looked up level by level in a broadcast table, so points stay where they
+    are. Beyond ``BROADCAST_NODES`` nodes, the distinct leaves of the points are explained once by a join of
+    their ancestors with the nodes, and points get their leaf's answer by a second one.
     """
     ids = active.select("node_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
-    out = points.withColumn("__up", ancestors(leaf_key(depth, **kw), depth, 4 if kw.get("quad") else 8))
-    for k in range(depth + 1):
-        out = out.withColumn(f"__a{k}", F.col("__up")[k]).join(ids.withColumnRenamed("node_id", f"__n{k}"), F.col(f"__a{k}") == F.col(f"__n{k}"), "left")
-    return out.select(*points.columns, F.coalesce(*[F.col(f"__n{k}") for k in range(depth + 1)]).alias("active_node"))
+    up = ancestors(leaf_key(depth, **kw), depth, 4 if kw.get("quad") else 8)
+    if ids.count() <= BROADCAST_NODES:
+        out = points.withColumn("__up", up)
+        for k in range(depth + 1):
+            out = out.withColumn(f"__a{k}", F.col("__up")[k]).join(F.broadcast(ids.withColumnRenamed("node_id", f"__n{k}")), F.col(f"__a{k}") == F.col(f"__n{k}"), "left")
+        return out.select(*points.columns, F.coalesce(*[F.col(f"__n{k}") for k in range(depth + 1)]).alias("active_node"))
+    placed = points.withColumn("__up", up).withColumn("__leaf", F.col("__up")[0])
+    leaves = placed.where("__leaf is not null").groupBy("__leaf").agg(F.first("__up").alias("__up")).select(F.col("__leaf").alias("__of"), F.explode("__up").alias("node_id"))
+    found = leaves.join(ids, "node_id").groupBy("__of").agg(F.max("node_id").alias("active_node"))
+    return placed.join(found, F.col("__leaf") == F.col("__of"), "left").select(*points.columns, "active_node")
 
 
 def local_coordinates(points: DataFrame, nodes: DataFrame) -> DataFrame:

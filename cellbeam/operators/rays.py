@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,19 +48,26 @@ def ray_box_hits(rays: DataFrame, lo, hi, min_length: float = 1e-5) -> DataFrame
     return boxed.select(*RAY, F.lit(0).cast("long").alias("node_id"), tmin.alias("tmin"), tmax.alias("tmax"), hit.alias("hit")).where("hit").where(F.col("tmax") - F.col("tmin") >= min_length).drop("hit")
 
 
-def ray_samples(hits: DataFrame, diagonal: float, per_diagonal: int = 32) -> DataFrame:
-    """``ray_id, node_id, j, t, weight, x, y, z``: midpoints of ceil(length / diagonal * n) parts of each interval.
+def ray_samples(hits: DataFrame, diagonal: float | Column, per_diagonal: int = 32, jitter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``ray_id, node_id, j, t, weight, x, y, z``: one sample in each of ceil(length / diagonal * n) parts of each interval.
 
-    Weights are half intervals clamped to the ends, so they sum to the length. All of a part's neighbours are
+    Samples stand in the middle of their parts, or where ``jitter`` puts the j-th, from 0 to 1. Weights are half
+    intervals to the neighbours clamped to the ends, so they sum to the length. All of a part's neighbours are
     known by arithmetic: no window, no shuffle.
     """
     n = F.ceil((F.col("tmax") - F.col("tmin")) / diagonal * per_diagonal).cast("long")
     part = hits.withColumn("n", F.greatest(n, F.lit(1).cast("long"))).withColumn("step", (F.col("tmax") - F.col("tmin")) / F.col("n"))
     s = part.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    t = F.col("tmin") + (F.col("j") + 0.5) * F.col("step")
-    left = F.when(F.col("j") == 0, F.col("tmin")).otherwise(t - F.col("step") / 2)
-    right = F.when(F.col("j") == F.col("n") - 1, F.col("tmax")).otherwise(t + F.col("step") / 2)
-    return s.select("ray_id", "node_id", "j", t.alias("t"), (right - left).alias("weight"), *[(F.col(f"o{a}") + F.col(f"d{a}") * t).alias(a) for a in "xyz"])
+    j, step = F.col("j"), F.col("step")
+    if jitter is None:
+        s = s.withColumn("t", F.col("tmin") + (j + 0.5) * step)
+        before, behind = F.col("t") - step / 2, F.col("t") + step / 2
+    else:
+        s = s.withColumns({name: F.col("tmin") + (k + jitter(k)) * step for name, k in (("t", j), ("__before", j - 1), ("__behind", j + 1))})
+        before, behind = (F.col("__before") + F.col("t")) / 2, (F.col("__behind") + F.col("t")) / 2
+    left = F.when(j == 0, F.col("tmin")).otherwise(before)
+    right = F.when(j == F.col("n") - 1, F.col("tmax")).otherwise(behind)
+    return s.select("ray_id", "node_id", "j", "t", (right - left).alias("weight"), *[(F.col(f"o{a}") + F.col(f"d{a}") * F.col("t")).alias(a) for a in "xyz"])
 
 
 def sample_offsets(hits: DataFrame, diagonal: float, per_diagonal: int = 32) -> DataFrame:

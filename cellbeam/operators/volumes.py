@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import AXES, activation, delinearize
+from .active import local_in
 from .fit import decode
 from .interp import gather_cells, interpolate, place
-from .points import leaf_key
+from .points import leaf_key, locate
 from .rays import integrate
 from .tree import boxes, level_start
 
@@ -20,18 +21,26 @@ def lattice_cells(spark: SparkSession, size: tuple[int, int, int], last_fastest:
     return spark.range(size[0] * size[1] * size[2]).select(F.col("id").alias("i"), *[x.cast("int").alias(f"c{a}") for a, x in zip(AXES, c, strict=True)])
 
 
-def uniform_volume(spark: SparkSession, size: tuple[int, int, int], depth: int, last_fastest: bool = False) -> DataFrame:
-    """``i, cx, cy, cz, x, y, z, node_id``: a lattice over [-1, 1] per axis, ends included, and the leaf of each point."""
+def uniform_volume(spark: SparkSession, size: tuple[int, int, int], depth: int, last_fastest: bool = False, active: DataFrame | None = None) -> DataFrame:
+    """``i, cx, cy, cz, x, y, z, node_id``: a lattice over [-1, 1] per axis, ends included, and the leaf of each point.
+
+    With ``active`` (node_id) it is the active node that holds the point, of any level down to ``depth``, or NULL.
+    """
     g = lattice_cells(spark, size, last_fastest)
     at = [(F.col(f"c{a}") / (n - 1) * 2 - 1).alias(a) for a, n in zip(AXES, size, strict=True)]
-    return g.select("*", *at).withColumn("node_id", leaf_key(depth))
+    return in_node(g.select("*", *at), depth, active)
+
 
+def in_node(points: DataFrame, depth: int, active: DataFrame | None = None) -> DataFrame:
+    """Adds ``node_id``: the leaf of x, y, z, or the active node there."""
+    return points.withColumn("node_id", leaf_key(depth)) if active is None else locate(points, active, depth).withColumnRenamed("active_node", "node_id")
 
-def uniform_slice(spark: SparkSession, size: tuple[int, int, int], lo: tuple[float, ...], step: tuple[float, ...], depth: int | None = None, last_fastest: bool = False) -> DataFrame:
-    """``i, cx, cy, cz, x, y, z`` at lo + step * cell; with ``depth`` also the leaf of each point, NULL outside."""
+
+def uniform_slice(spark: SparkSession, size: tuple[int, int, int], lo: tuple[float, ...], step: tuple[float, ...], depth: int | None = None, last_fastest: bool = False, active: DataFrame | None = None) -> DataFrame:
+    """``i, cx, cy, cz, x, y, z`` at lo + step * cell; with ``depth`` also the leaf (or active node) of each point, NULL outside."""
     g = lattice_cells(spark, size, last_fastest)
     g = g.select("*", *[(F.lit(float(a0)) + F.lit(float(s)) * F.col(f"c{a}")).alias(a) for a, a0, s in zip(AXES, lo, step, strict=True)])
-    return g if depth is None else g.withColumn("node_id", leaf_key(depth))
+    return g if depth is None else in_node(g, depth, active)
 
 
 def local_of(depth: int, node: str = "node_id") -> dict[str, Column]:
@@ -40,16 +49,26 @@ def local_of(depth: int, node: str = "node_id") -> dict[str, Column]:
     return {a: (F.col(a) - box[2 * k]) / (box[2 * k + 1] - box[2 * k]) * 2 - 1 for k, a in enumerate(AXES)}
 
 
-def sample_volume(samples: DataFrame, grid: DataFrame, depth: int, size: int, layers: list[tuple[np.ndarray, np.ndarray]] | None = None, kind: str = "softplus", out: str = "density") -> DataFrame:
+def node_places(depth: int, size: int, mixed: bool = False) -> tuple[dict[str, Column], dict[str, int]]:
+    """Positions in cell units inside ``node_id``, ends of the node on the outer cells, and the cells per axis.
+
+    ``mixed``: nodes stand on any level down to ``depth``, else all on that level.
+    """
+    local = local_in("node_id", depth) if mixed else local_of(depth)
+    return {a: (c + 1.0) * ((size - 1) / 2.0) for a, c in reversed(local.items())}, {a: size for a in reversed(AXES)}
+
+
+def sample_volume(samples: DataFrame, grid: DataFrame, depth: int, size: int, layers: list[tuple[np.ndarray, np.ndarray]] | None = None, kind: str = "softplus", out: str = "density", mixed: bool = False) -> DataFrame:
     """Adds the density at each sample (x, y, z in node_id): node grid, decoder, activation, mask.
 
+    Nodes stand on the level ``depth``, or with ``mixed`` on any level down to it.
+
     ``grid``: node_id, iz, iy, ix and value, or one column per channel (``value0``, ``value1``...) for a decoder
     with as many inputs. Samples outside all nodes, or in a node without a grid, get 0. The grids travel once per
     node as arrays; samples are neither exploded nor summed again.
     """
     channels = sorted(c for c in grid.columns if c.startswith("value"))
-    where = {a: (c + 1.0) * ((size - 1) / 2.0) for a, c in reversed(local_of(depth).items())}
-    cells = {a: size for a in where}
+    where, cells = node_places(depth, size, mixed)
     nodes = gather_cells(grid, cells, "node_id", channels)
     j = place(samples, where, cells).join(nodes, "node_id", "left")
     features = [interpolate(f"__{c}", where, cells) for c in channels]

@@ -8,7 +8,7 @@ from ..functions.columns import loss_weight, r6
 from ..operators import batches, evolve, fit, metrics, points, rays, spectral, tree
 from .queries_images import IM, grids, rot_sql
 from .queries_tree import _SAMPLES, DEPTH, hits_of, rnd, samples_of
-from .scenes import SQL, d, images, leaf_sql, tree_sql, view
+from .scenes import SQL, d, images, leaf_sql, tree_sql, uniform_sql, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -229,16 +229,17 @@ def radial_spectrum(spark, sf):
     return spectral.radial_spectrum(images(spark, sf)).select("image_id", "radius", r6(F.col("magnitude")).alias("magnitude"))
 
 
-@query("random_batch")
+@query("random_batch", f"WITH {SQL['pixels']} SELECT pixel_id, CAST(floor({uniform_sql(3, "'image'", 'pixel_id')} * 10) AS BIGINT) + 1 AS image_id, {uniform_sql(3, "'u'", 'pixel_id')} AS u, {uniform_sql(3, "'v'", 'pixel_id')} AS v FROM pixels WHERE {uniform_sql(3, "'draw'", 'pixel_id')} < 0.1")
 def random_batch(spark, sf):
-    """A sampling operator: about a tenth of the pixels by a seed."""
+    """A sampling operator: about a tenth of the pixels by a seed and their ids."""
     return batches.random_batch(view(spark, sf, "pixels"), 10, 0.1, 3).select("pixel_id", "image_id", "u", "v")
 
 
-@query("random_in_nodes")
+@query("random_in_nodes", f"WITH {SQL['points']}, {tree_sql('leaf', DEPTH)}, used AS (SELECT DISTINCT {leaf_sql(DEPTH)} AS node_id FROM points), g AS (SELECT leaf.*, unnest(range(1, 17)) AS k FROM leaf JOIN used ON leaf.node_id = used.node_id) SELECT node_id, CAST(k AS INT) AS k, {', '.join(rnd(f'{a}0 + {uniform_sql(5, repr(a), 'node_id', 'k')} * ({a}1 - {a}0)', a) for a in 'xyz')} FROM g")
 def random_in_nodes(spark, sf):
     used = view(spark, sf, "points").select(points.leaf_key(DEPTH).alias("node_id")).distinct()
-    return batches.random_in_nodes(tree.full_tree(spark, DEPTH).join(used, "node_id"), 16, 5)
+    out = batches.random_in_nodes(tree.full_tree(spark, DEPTH).join(used, "node_id"), 16, 5)
+    return out.select("node_id", "k", *[r6(F.col(a)).alias(a) for a in "xyz"])
 
 
 @query("explicit_grid", f"WITH {SQL['points']}, {IM}, {_LINE} SELECT point_id, ix, round(v * {d(2)} + {d(0.5)}, 6) AS feature FROM points JOIN line ON points.node_id = line.node_id")

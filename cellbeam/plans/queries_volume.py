@@ -8,7 +8,7 @@ from ..functions.columns import AXES, r6
 from ..operators import batches, camera, fit, interp, metrics, points, rays, tree, volumes
 from .queries_images import _CUBE, IM, _hash_sql, cells, grids, lerp_sql
 from .queries_tree import _ACTIVE, _SAMPLES, DEPTH, DIAGONAL, active_nodes, hits_of, rnd
-from .scenes import SQL, d, images, leaf_sql, tree_sql, view
+from .scenes import SQL, d, images, leaf_sql, tree_sql, uniform_sql, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,12 +40,12 @@ _LEAF = tree_sql("leaf", DEPTH)
 _GRID = f"pg AS (SELECT q.leaf AS node_id, {', '.join(f'least(CAST(floor(({_LOCAL[a]} + 1) / 2 * {N}) AS INT), {N - 1}) AS i{a}' for a in 'zyx')}, avg(value) / 100 AS v FROM (SELECT *, {leaf_sql(DEPTH)} AS leaf FROM points) q JOIN leaf ON q.leaf = leaf.node_id GROUP BY 1, 2, 3, 4)"
 
 
-def density_sql(samples: str, key: str) -> str:
+def density_sql(samples: str, key: str, grid: str | None = None) -> str:
     """CTEs p.. sampled and known for the samples (key, node_id, x, y, z) of a CTE; ``dens`` has key and density."""
     at = ", ".join(f"{_LOCAL[a]} * {d((N - 1) / 2)} + {d((N - 1) / 2)} AS c_{a}" for a in "xyz")
     p = f"p AS (SELECT s.{key}, s.node_id, {at} FROM {samples} s JOIN leaf ON s.node_id = leaf.node_id)"
     dens = f"dens AS (SELECT p.{key}, ln(1 + exp(coalesce(s, 0))) AS density FROM p LEFT JOIN sampled ON p.{key} = sampled.{key} WHERE p.node_id IN (SELECT node_id FROM pg))"
-    return f"{_GRID}, {p}, {lerp_sql({'z': N, 'y': N, 'x': N}, 'pg', 'p', key)}, {dens}"
+    return f"{grid or _GRID}, {p}, {lerp_sql({'z': N, 'y': N, 'x': N}, 'pg', 'p', key)}, {dens}"
 
 
 _VOX = f"CAST(cx AS INT) AS ix, CAST(cy AS INT) AS iy, CAST(cz AS INT) AS iz, round(coalesce(density, 0), 5) + {d(0)} AS density, s.node_id, s.node_id IS NOT NULL AS valid FROM s LEFT JOIN dens ON s.i = dens.i"
@@ -235,7 +235,11 @@ def row_blocks(spark, sf):
     return out.select("batch", "image_id", "row_start", "row_end", "row", "col", r6(F.col("u")).alias("u"), r6(F.col("v")).alias("v"))
 
 
-@query("random_scene_batch")
+_SCENE = f"here AS (SELECT s_nationkey AS scene_id, s_suppkey AS image_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS n, count(*) OVER () AS total FROM supplier WHERE s_nationkey = (SELECT s_nationkey FROM supplier GROUP BY 1 ORDER BY {uniform_sql(3, repr('scene'), 's_nationkey')}, 1 LIMIT 1))"
+_DRAW = {c: uniform_sql(3, repr(c), "pixel_id") for c in ("draw", "image", "u", "v")}
+
+
+@query("random_scene_batch", f"WITH {SQL['pixels']}, {_SCENE} SELECT pixel_id, scene_id, here.image_id, {_DRAW['u']} AS u, {_DRAW['v']} AS v FROM pixels JOIN here ON CAST(floor({_DRAW['image']} * total) AS BIGINT) = n WHERE {_DRAW['draw']} < 0.1")
 def random_scene_batch(spark, sf):
     """A sampling operator: a tenth of the pixels, in images of one drawn scene (a nation's poses)."""
     i = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("scene_id"), F.col("s_suppkey").alias("image_id"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_fit, queries_images, queries_tree, queries_volume
+from . import queries_active, queries_fit, queries_images, queries_tree, queries_volume
 
-_MODULES = (queries_tree, queries_images, queries_fit, queries_volume)
+_MODULES = (queries_tree, queries_images, queries_fit, queries_volume, queries_active)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

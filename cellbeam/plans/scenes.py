@@ -76,3 +76,8 @@ def leaf_sql(depth: int, x: str = "x", y: str = "y", z: str = "z") -> str:
     bits = " + ".join(f"((({c} >> {b}) & 1) * {1 << (3 * b + i)})" for b in range(depth) for i, c in enumerate(cells))
     inside = " AND ".join(f"{c} BETWEEN -1 AND 1" for c in (x, y, z))
     return f"CASE WHEN {inside} THEN {start} + {bits} END"
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    """``keyed_uniform`` for DuckDB; keys are SQL."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13) AS BIGINT) / {d(float(1 << 52))})"

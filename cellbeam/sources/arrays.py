@@ -134,23 +134,6 @@ def npy_files(cells: DataFrame, keys: str = "name") -> DataFrame:
     return cells.groupBy(keys).applyInPandas(run, "name string, content binary")
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """A checkpoint: one Parquet table per name (poses, cameras, tone curves, grids, nodes, metrics)."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def read_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    """Those tables of a checkpoint that exist."""
-    out = {}
-    jvm = spark.sparkContext._jvm
-    for name in names:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            out[name] = spark.read.parquet(f"{path}/{name}")
-    return out
-
-
 def append_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

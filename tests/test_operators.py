@@ -230,5 +230,24 @@ def test_array_files(spark, tmp_path):
     import io
 
     assert np.array_equal(np.load(io.BytesIO(back)), a)
-    arrays.write_tables({"poses": rows}, str(tmp_path / "cp"))
-    assert set(arrays.read_tables(spark, str(tmp_path / "cp"), ["poses", "gone"])) == {"poses"}
+
+
+def test_checkpoints_are_whole_or_not_there(spark, tmp_path):
+    at = str(tmp_path / "cp")
+    assert tables.read_checkpoint(spark, at) == {}
+    rows = spark.createDataFrame([(1, 0.5), (2, None)], "image_id long, tx double")
+    tables.write_checkpoint({"poses": rows, "none": rows.where("false")}, at)
+    held = tables.read_checkpoint(spark, at, ["poses", "none", "gone"])
+    assert set(held) == {"poses", "none"} and sorted(held["poses"].collect()) == sorted(rows.collect()) and held["none"].count() == 0
+    # the next version is made from this one, and one that fails on the way changes nothing
+    tables.write_checkpoint({"poses": held["poses"].withColumn("tx", F.lit(9.0))}, at)
+    broken = rows.withColumn("tx", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        tables.write_checkpoint({"poses": rows, "tone": broken}, at)
+    assert {r["tx"] for r in tables.read_checkpoint(spark, at)["poses"].collect()} == {9.0}
+    for k in range(3):
+        tables.write_checkpoint({"poses": rows.withColumn("tx", F.lit(float(k)))}, at)
+    assert len(tables.versions(spark, at)) == 2 and len(list((tmp_path / "cp").iterdir())) == 2
+    assert {r["tx"] for r in tables.read_checkpoint(spark, at)["poses"].collect()} == {2.0}
+    again = tables.settled(rows)
+    assert sorted(again.collect()) == sorted(rows.collect()) and again.schema == rows.schema
