@@ -37,6 +37,23 @@ def activation(x: Column, kind: str, beta: float = 1.0) -> Column:
     return kinds[kind]()
 
 
+def activation_slope(x: Column, kind: str, beta: float = 1.0) -> Column:
+    """Derivative of ``activation``; at a kink that of the right side, but 0 for relu and abs at 0."""
+    kinds = {
+        "relu": lambda: F.when(x > 0, real(1)).otherwise(0.0),
+        "abs": lambda: F.signum(x),
+        "softplus": lambda: F.when(x * beta > 20, real(1)).otherwise(1 / (1 + F.exp(-x * beta))),
+        "id": lambda: real(1),
+        "none": lambda: real(1),
+        "sigmoid": lambda: 1 / (1 + F.exp(-x)) * (1 - 1 / (1 + F.exp(-x))),
+        "leaky_relu": lambda: F.when(x < 0, real(0.01)).otherwise(1.0),
+        "sin": lambda: F.cos(x * beta) * beta,
+    }
+    if kind not in kinds:
+        raise ValueError(f"unknown activation {kind!r}")
+    return kinds[kind]()
+
+
 def xray_log(raw: Column, low: float, high: float, factor: float = 1.0, log_space: bool = False, base10: bool = False) -> Column:
     """Line integral from a transmission value, scaled so that ``low`` maps to ``factor``."""
     if log_space:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import keyed_normal, keyed_uniform, normalise, rotate
+from ..sources.tables import settled
+from .tree import morton_of
 
 QUAT, SHIFT = ("qx", "qy", "qz", "qw"), ("tx", "ty", "tz")
-#: Poses of a block about, and poses that are broadcast at most.
-POSES, BROADCAST_POSES = 1_000, 10_000
+#: What a cell must lie inside or outside an image's side, in pixels times depth, to be decided as a whole.
+MARGIN = 1e-6
 
 
 def with_pose(points: DataFrame, poses: DataFrame, image: str = "image_id") -> DataFrame:
@@ -45,6 +50,20 @@ def apply_tangent(poses: DataFrame, tangents: DataFrame, image: str = "image_id"
     return j.select(*[dict(zip(QUAT, product, strict=True)).get(c, F.col(c)).alias(c) for c in poses.columns])
 
 
+def rotation_gradient(points: DataFrame, poses: DataFrame, gradient: tuple[str, str, str] = ("gx", "gy", "gz"), image: str = "image_id") -> DataFrame:
+    """``image, rx, ry, rz``: gradient of each pose's rotation, as a rotation vector on the left, as ``apply_tangent`` takes it.
+
+    ``points``: image, x, y, z before the turn and the gradient of each turned point. A small turn r moves the turned
+    point p by r x p, so the gradient is the sum of p x g. That is linear in the products of p's and g's entries:
+    their nine sums are made first, by image and before the shuffle, and only those sums are turned. No point meets
+    a pose, however many share an image.
+    """
+    m = {(a, b): F.sum(F.col(a) * F.col(g)).alias(f"{a}{b}") for a in "xyz" for b, g in zip("xyz", gradient, strict=True)}
+    j = with_pose(points.groupBy(image).agg(*m.values()), poses, image)
+    turned = {b: dict(zip("xyz", rotate(tuple(F.col(c) for c in QUAT), tuple(F.col(f"{a}{b}") for a in "xyz")), strict=True)) for b in "xyz"}
+    return j.select(image, *[(turned[c][b] - turned[b][c]).alias(f"r{a}") for a, b, c in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))])
+
+
 def unproject(pixels: DataFrame, cameras: DataFrame, depth: float = 1.0) -> DataFrame:
     """Camera-space x, y, z of pixels at a depth; shear is not used."""
     j = pixels.join(cameras.select("camera_id", "fx", "fy", "cx", "cy"), "camera_id")
@@ -67,22 +86,84 @@ def orthographic_rays(pixels: DataFrame, poses: DataFrame, key: str = "pixel_id"
     return p.select(F.col(key).alias("ray_id"), *[(o + F.col(s) - 2.0**0.5 * dd).alias(f"o{a}") for o, s, dd, a in zip(origin, SHIFT, direction, "xyz", strict=True)], *[t.alias(f"d{a}") for t, a in zip(direction, "xyz", strict=True)])
 
 
-def visible(points: DataFrame, poses: DataFrame, camera: dict[str, float], key: str = "point_id") -> DataFrame:
-    """Points that project into the image of any pose (no shear, no test of what lies behind the camera).
+def _planes(pose: np.ndarray, camera: dict[str, float]) -> np.ndarray:
+    """(5, 4): the depth and the image's four sides as linear functions n . p + d of the place.
 
-    Every point meets every pose: poses travel in blocks, and points stay where they are while the blocks are
-    few enough to be broadcast.
+    The sides are times the depth, and half a pixel out, so that in front of the camera a point is seen where all
+    four are positive, and behind it where all are negative.
+    """
+    v, w, shift = -pose[:3], pose[3], pose[4:]
+    unit = np.eye(3)
+    twice = 2 * np.cross(v, unit)
+    turn = (unit + w * twice + np.cross(v, twice)).T
+    x, y, z = np.concatenate([turn, -(turn @ shift)[:, None]], 1)
+    return np.stack([z, camera["fx"] * x + (camera["cx"] + 0.5) * z, -camera["fx"] * x + (camera["w"] - 0.5 - camera["cx"]) * z, camera["fy"] * y + (camera["cy"] + 0.5) * z, -camera["fy"] * y + (camera["h"] - 0.5 - camera["cy"]) * z])
+
+
+def _states(planes: np.ndarray, middle: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """1 for boxes wholly inside the image, -1 for those wholly outside, 0 undecided: a linear function's bounds over
+    a box are those at its middle, more or less the sum of its slopes times the half sides."""
+    value = middle @ planes[:, :3].T + planes[:, 3]
+    reach = np.abs(planes[:, :3]) @ (half * (1 + 1e-9)) + MARGIN
+    side = np.where(value[:, 0] > reach[0], 1, np.where(value[:, 0] < -reach[0], -1, 0))[:, None]
+    inside, outside = (side * value[:, 1:] > reach[1:]).all(1), (side * value[:, 1:] < -reach[1:]).any(1)
+    return np.where(side[:, 0] == 0, 0, np.where(outside, -1, np.where(inside, 1, 0)))
+
+
+def visible(points: DataFrame, poses: DataFrame, camera: dict[str, float], key: str = "point_id", depth: int = 4) -> DataFrame:
+    """``key, images``: points that project into the image of any pose, with the number of poses that see them.
+
+    There is no shear and no test of what lies behind the camera; a point at depth 0 is not seen. The box around
+    all points is halved ``depth`` times per axis. Every pose goes down that tree of at most 8 ** depth used cells:
+    a cell that lies wholly inside a pose's image is counted for all its points, one wholly outside is dropped,
+    others are cut into their eighths. Only the points of the cells that stay undecided at the bottom are projected.
+    Bounds are exact for boxes, with a margin above rounding. Points with a null coordinate are never seen.
     """
+    ends = points.agg(*[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if ends["lox"] is None or ends["loy"] is None or ends["loz"] is None:
+        return points.where("false").select(key, F.lit(0).cast("long").alias("images"))
+    lo = np.array([ends[f"lo{a}"] for a in "xyz"])
+    wide = np.array([max(ends[f"hi{a}"] - ends[f"lo{a}"], 1e-12) for a in "xyz"])
+    n = 1 << depth
+    cell = {a: F.greatest(F.least(F.floor((F.col(a) - float(lo[k])) / float(wide[k]) * n), F.lit(n - 1)), F.lit(0)).cast("long") for k, a in enumerate("xyz")}
+    placed = points.where("x is not null and y is not null and z is not null").select(key, "x", "y", "z", *[c.alias(f"__c{a}") for a, c in cell.items()])
+    placed = placed.select(key, "x", "y", "z", morton_of({a: F.col(f"__c{a}") for a in "xyz"}, depth).alias("leaf"))
+    used = np.sort(np.array([r["leaf"] for r in placed.select("leaf").distinct().collect()], np.int64))
+    levels = [np.unique(used >> (3 * (depth - k))) for k in range(depth + 1)]
+    columns = ("level", "m", "state", *QUAT, *SHIFT)
+    schema = T.StructType([T.StructField(c, T.DoubleType() if c in QUAT + SHIFT else T.LongType()) for c in columns])
+
+    def cull(batches):
+        cells = []
+        for k, m in enumerate(levels):
+            place = np.stack([sum(((m >> (3 * b + i)) & 1) << b for b in range(k)) + np.zeros(len(m), np.int64) for i in range(3)], 1)
+            cells.append((m, lo + (place + 0.5) * wide / (1 << k), wide / (2 << k)))
+        for batch in batches:
+            for pose in np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1) if batch.num_rows else []:
+                planes, open_, rows = _planes(pose, camera), None, []
+                for k, (m, middle, half) in enumerate(cells):
+                    at = np.arange(len(m)) if open_ is None else np.flatnonzero(np.isin(m >> 3, open_))
+                    state = _states(planes, middle[at], half)
+                    rows += [(k, x, 1) for x in m[at[state == 1]].tolist()]
+                    open_ = m[at[state == 0]]
+                rows += [(depth, x, 0) for x in open_.tolist()]
+                if rows:
+                    flat = np.array(rows, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[:, i]) for i in range(3)] + [pa.array(np.full(len(flat), x)) for x in pose], names=list(columns))
+
+    marks = settled(poses.select(*[F.col(c).cast("double") for c in QUAT + SHIFT]).na.drop().mapInArrow(cull, schema))
+    whole = marks.where("state = 1").groupBy("level", "m").agg(F.count(F.lit(1)).alias("n"))
+    leaf = placed.select("leaf").distinct()
+    up = leaf.select("leaf", F.explode(F.array(*[F.struct(F.lit(j).cast("long").alias("level"), F.shiftright("leaf", 3 * (depth - j)).alias("m")) for j in range(depth + 1)])).alias("u")).select("leaf", "u.*")
+    counted = up.join(whole, ["level", "m"]).groupBy("leaf").agg(F.sum("n").alias("images"))
+    certain = placed.join(F.broadcast(counted), "leaf").select(key, "images")
     q = tuple(F.col(c) * (-1.0 if c != "qw" else 1.0) for c in QUAT)
     x, y, z = rotate(q, tuple(F.col(a) - F.col(s) for a, s in zip("xyz", SHIFT, strict=True)))
-    u, v = F.round(F.try_divide(x, z) * camera["fx"] + camera["cx"]), F.round(F.try_divide(y, z) * camera["fy"] + camera["cy"])
-    seen = (u >= 0) & (u < camera["w"]) & (v >= 0) & (v < camera["h"])  # nothing is seen at depth 0
-    pose = poses.select("image_id", F.struct(*QUAT, *SHIFT).alias("pose"))
-    n = pose.count()
-    blocks = pose.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(n // POSES + 1)).alias("block")).agg(F.collect_list("pose").alias("poses")).select("poses")
-    blocks = F.broadcast(blocks) if n <= BROADCAST_POSES else blocks
-    spread = points.crossJoin(blocks).select(*points.columns, F.explode("poses").alias("pose")).select(*points.columns, "pose.*")
-    return spread.groupBy(key).agg(F.count_if(seen).alias("images")).where("images > 0")
+    open_ = placed.join(marks.where("state = 0").select(F.col("m").alias("leaf"), *QUAT, *SHIFT), "leaf").select(key, x.alias("a"), y.alias("b"), z.alias("c"))
+    u, v = F.round(F.try_divide("a", "c") * camera["fx"] + camera["cx"]), F.round(F.try_divide("b", "c") * camera["fy"] + camera["cy"])
+    seen = (u >= 0) & (u < camera["w"]) & (v >= 0) & (v < camera["h"])
+    tested = open_.groupBy(key).agg(F.count_if(seen).alias("images"))
+    return certain.unionByName(tested).groupBy(key).agg(F.sum("images").alias("images")).where("images > 0")
 
 
 def defocus_radius(columns: DataFrame, angle: float, max_angle: float, max_blur: float, width: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +79,87 @@ def decode_channels(features: Column, layers: list[tuple[np.ndarray, np.ndarray]
     return run(features)
 
 
+#: Derivatives of ACTIVATIONS; relu and abs have 0 at 0.
+SLOPES = {
+    "relu": lambda x: (x > 0).astype(float),
+    "abs": np.sign,
+    "softplus": lambda x: 1 / (1 + np.exp(-x)),
+    "id": np.ones_like,
+    "none": np.ones_like,
+    "sigmoid": lambda x: 1 / (1 + np.exp(-x)) * (1 - 1 / (1 + np.exp(-x))),
+    "leaky_relu": lambda x: np.where(x < 0, 0.01, 1.0),
+    "sin": np.cos,
+}
+
+
+def back_propagate(x: np.ndarray, target: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], kind: str = "relu", last: str = "id") -> tuple[float, np.ndarray]:
+    """Sum of squared errors of a batch and its gradient, all weights and biases end to end."""
+    kinds = [kind] * (len(layers) - 1) + [last]
+    held, h = [], x
+    for (w, b), k in zip(layers, kinds, strict=True):
+        raw = h @ w + b
+        held.append((h, raw))
+        h = ACTIVATIONS[k](raw)
+    gap = h - target.reshape(h.shape)
+    push, parts = 2 * gap, []
+    for (w, _), k, (into, raw) in zip(reversed(layers), reversed(kinds), reversed(held), strict=True):
+        push = push * SLOPES[k](raw)
+        parts += [push.sum(0), (into.T @ push).ravel()]
+        push = push @ w.T
+    return float((gap * gap).sum()), np.concatenate(parts[::-1])
+
+
+def network_gradient(rows: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], features: str = "features", target: str = "target", kind: str = "relu", last: str = "id") -> DataFrame:
+    """``part, value``: mean squared error (part -1) and its gradient by every weight and bias, numbered end to end.
+
+    Each task adds up its Arrow batches and sends one number per weight; the rest is a sum by number. Rows with
+    a null feature list or target take no part; without rows there is no result.
+    """
+    schema = "part long, value double, n long"
+
+    def run(batches):
+        total, n = 0.0, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float)
+                y = np.array(batch.column(1).to_pylist(), float)
+                loss, g = back_propagate(x, y, layers, kind, last)
+                total, n = total + np.append(loss, g), n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total) - 1)), pa.array(total), pa.array(np.full(len(total), n))], names=["part", "value", "n"])
+
+    used = rows.where(F.col(features).isNotNull() & F.col(target).isNotNull()).select(features, target)
+    sums = used.mapInArrow(run, schema).groupBy("part").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    return sums.select("part", (F.col("value") / F.col("n")).alias("value"))
+
+
+def unflatten(flat: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weights and biases of a network's shape from their numbers end to end."""
+    out, at = [], 0
+    for w, b in layers:
+        out.append((flat[at : at + w.size].reshape(w.shape), flat[at + w.size : at + w.size + b.size]))
+        at += w.size + b.size
+    return out
+
+
+def fit_network(rows: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], steps: int, rate: float = 1e-2, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8, **kw) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[float]]:
+    """A network after some Adam steps over all rows, and the loss before each step.
+
+    A step is one pass over the rows; the driver holds weights and moments, whose size is the network's.
+    """
+    flat = np.concatenate([x for w, b in layers for x in (w.ravel(), b)])
+    m, v, losses = np.zeros_like(flat), np.zeros_like(flat), []
+    for step in range(1, steps + 1):
+        got = network_gradient(rows, unflatten(flat, layers), **kw).orderBy("part").collect()
+        if not got:
+            break
+        losses.append(got[0]["value"])
+        g = np.array([r["value"] for r in got[1:]])
+        m, v = b1 * m + (1 - b1) * g, b2 * v + (1 - b2) * g * g
+        flat = flat - rate * (m / (1 - b1**step)) / (np.sqrt(v / (1 - b2**step)) + eps)
+    return unflatten(flat, layers), losses
+
+
 def remove_along(g: tuple[Column, ...], d: tuple[Column, ...]) -> tuple[Column, ...]:
     """A gradient without its component along a unit direction."""
     dot = g[0] * d[0] + g[1] * d[1] + g[2] * d[2]

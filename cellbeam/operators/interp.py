@@ -71,6 +71,34 @@ def interpolate(cells: str, coords: dict[str, Column], size: dict[str, int], tag
     return out
 
 
+def slope(cells: str, coords: dict[str, Column], size: dict[str, int], axis: str, tag: str = "") -> Column:
+    """Derivative of ``interpolate`` along an axis, per cell: the gap of the two cells there, mixed along the others.
+
+    On a cell the side behind it counts, on the last one the side before it; beyond the ends it is 0.
+    """
+    if size[axis] < 2:
+        return F.lit(0.0)
+    parts = []
+    for a in coords:
+        q, lo = F.col(f"__q{tag}_{a}"), F.col(f"__l{tag}_{a}")
+        if a == axis:
+            lo = F.least(lo, F.lit(size[a] - 2))
+        parts.append((a, lo, F.least(lo + 1, F.lit(size[a] - 1)), q - lo))
+    out = None
+    for bits in product((0, 1), repeat=len(parts)):
+        index = reduce(lambda p, x: p * size[x[0][0]] + x[0][1 + x[1]], zip(parts, bits, strict=True), F.lit(0))
+        weight = reduce(lambda p, x: p * ((1.0 if x[1] else -1.0) if x[0][0] == axis else x[0][3] if x[1] else 1.0 - x[0][3]), zip(parts, bits, strict=True), F.lit(1.0))
+        term = weight * F.coalesce(F.get(cells, index), F.lit(0.0))
+        out = term if out is None else out + term
+    return F.when(coords[axis].between(0.0, float(size[axis] - 1)), out).otherwise(0.0)
+
+
+def grid_slopes(points: DataFrame, grid: DataFrame, coords: dict[str, Column], size: dict[str, int], key: str = "point_id", grid_key: str = "node_id") -> DataFrame:
+    """``key`` and ``d<axis>``: derivatives of ``sample_grid`` by its coordinates, in cell units."""
+    j = place(points, coords, size).join(gather_cells(grid, size, grid_key), grid_key)
+    return j.select(key, *[slope("__value", coords, size, a).alias(f"d{a}") for a in coords])
+
+
 def sample_grid(points: DataFrame, grid: DataFrame, coords: dict[str, Column], size: dict[str, int], key: str = "point_id", grid_key: str = "node_id", out: str = "value") -> DataFrame:
     """Linear interpolation in 1, 2 or 3 dimensions: ``key`` and the interpolated value.
 
@@ -99,10 +127,11 @@ def line_gradient(points: DataFrame, grid: DataFrame, coord: Column, size: int,
 SMALL_TABLE = 1 << 16
 
 
-def hash_corners(levels: int, base: int, growth: float, size: int, coords: tuple[str, ...]) -> list[list[tuple[Column, Column]]]:
+def hash_corners(levels: int, base: int, growth: float, size: int, coords: tuple[str, ...], along: str | None = None) -> list[list[tuple[Column, Column]]]:
     """By level: slot and weight of each corner around a position in [0, 1]; outside all weights are 0.
 
-    A level whose lattice fits the table is indexed densely, others by XOR of coordinate and prime.
+    A level whose lattice fits the table is indexed densely, others by XOR of coordinate and prime. With ``along``
+    weights are their derivatives by that coordinate.
     """
     #: The primes of the hash.
     primes = (1, 2654435761, 805459861)
@@ -118,18 +147,20 @@ def hash_corners(levels: int, base: int, growth: float, size: int, coords: tuple
         for bits in product((0, 1), repeat=len(coords)):
             at = tuple(cells[c] + b for c, b in zip(coords, bits, strict=True))
             index = F.pmod(reduce(lambda p, q: p + q, [a * res**k for k, a in enumerate(at)]), F.lit(size)) if dense else hash_corner(at, primes[: len(coords)], size)
-            weight = reduce(lambda p, q: p * q, [fracs[c] if b else 1.0 - fracs[c] for c, b in zip(coords, bits, strict=True)])
+            weight = reduce(lambda p, q: p * q, [F.lit(scale if b else -scale) if c == along else fracs[c] if b else 1.0 - fracs[c] for c, b in zip(coords, bits, strict=True)])
             corners_here.append((index.cast("long"), F.when(inside, weight).otherwise(0.0)))
         out.append(corners_here)
     return out
 
 
-def hash_encode(points: DataFrame, table: DataFrame, levels: int, base: int, growth: float, size: int, key: str = "point_id", coords: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
+def hash_encode(points: DataFrame, table: DataFrame, levels: int, base: int, growth: float, size: int, key: str = "point_id", coords: tuple[str, ...] = ("u", "v", "w"), along: str | None = None) -> DataFrame:
     """Multi-resolution hash encoding: ``key, level, feature``; outside [0, 1] the feature is 0.
 
+    With ``along`` the feature's derivative by that coordinate instead.
+
     ``table``: slot, value; a missing slot counts as 0. Small tables are looked up in place, large ones by a join.
     """
-    at = hash_corners(levels, base, growth, size, coords)
+    at = hash_corners(levels, base, growth, size, coords, along)
     if size <= SMALL_TABLE:
         every = points.sparkSession.range(size).select(F.col("id").alias("slot"), F.lit(0.0).alias("value")).unionByName(table.select("slot", "value"))
         full = every.groupBy(F.lit(0).alias("__t"), F.col("slot").alias("islot")).agg(F.sum("value").alias("value"))

@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import AXES, activation, delinearize
+from ..functions.columns import AXES, activation, activation_slope, delinearize
 from .active import local_in
 from .fit import decode
-from .interp import gather_cells, interpolate, place
+from .interp import gather_cells, grid_gradient, interpolate, place
 from .points import leaf_key, locate
 from .rays import integrate
 from .tree import boxes, level_start
@@ -83,6 +83,25 @@ def render(rays: DataFrame, samples: DataFrame, grid: DataFrame, depth: int, siz
     return integrate(rays, sample_volume(samples, grid, depth, size, out="value", **kw))
 
 
+def residuals(rendered: DataFrame, targets: DataFrame, target: str = "target") -> DataFrame:
+    """``ray_id, residual``: derivative of the rays' mean squared error by each ray's integral."""
+    n = targets.count()
+    return rendered.join(targets.select("ray_id", target), "ray_id").select("ray_id", ((F.col("integral") - F.col(target)) * (2.0 / max(n, 1))).alias("residual"))
+
+
+def render_gradient(rays: DataFrame, samples: DataFrame, grid: DataFrame, depth: int, size: int, kind: str = "softplus", mixed: bool = False) -> DataFrame:
+    """``node_id, iz, iy, ix, gradient``: the reverse pass of ``render``, from ``rays`` (ray_id, residual) to the grids' cells.
+
+    A sample hands its ray's residual on to the cells around it, times its weight, the activation's slope there and
+    the cell's share. Shares of a cell are summed before the only shuffle that grows with the samples. Samples in
+    nodes without a grid have none; a cell that its grid lacks counts as 0 and gets a gradient all the same.
+    """
+    where, cells = node_places(depth, size, mixed)
+    j = place(samples.join(rays.select("ray_id", "residual"), "ray_id"), where, cells).join(gather_cells(grid, cells), "node_id")
+    pushed = j.withColumn("__push", F.col("residual") * F.col("weight") * activation_slope(interpolate("__value", where, cells), kind))
+    return grid_gradient(pushed, "__push", {a: F.col(f"__q_{a}") for a in where}, cells)
+
+
 def voxels(sampled: DataFrame, value: str = "density") -> DataFrame:
     """Voxel table ``ix, iy, iz, value, node_id, valid`` of a sampled lattice: 0 and not valid outside all nodes."""
     inside = F.col("node_id").isNotNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import loss_weight, r6
-from ..operators import batches, evolve, fit, metrics, points, rays, spectral, tree
+from ..operators import batches, camera, evolve, fit, metrics, points, rays, spectral, tree
 from .queries_images import IM, grids, rot_sql
 from .queries_tree import _SAMPLES, DEPTH, hits_of, rnd, samples_of
 from .scenes import SQL, d, images, leaf_sql, tree_sql, uniform_sql, view
@@ -153,17 +153,34 @@ def gradient_correction(spark, sf):
     return view(spark, sf, "rays").select("ray_id", *[r6(x).alias(f"g{a}") for x, a in zip(g, "xyz", strict=True)])
 
 
-_RI = rot_sql("sx", "sy", "sz", True)
+_TURNED = rot_sql("x", "y", "z")
+_TORQUE = f"t AS (SELECT p.image_id, {', '.join(f'{r} AS t{a}' for a, r in zip('xyz', _TURNED, strict=True))}, gx, gy, gz FROM (SELECT point_id % 10 + 1 AS image_id, x, y, z, value / {d(100)} AS gx, x * {d(0.3)} AS gy, y - z AS gz FROM points) p JOIN poses ON p.image_id = poses.image_id), r AS (SELECT image_id, sum(ty * gz - tz * gy) AS rx, sum(tz * gx - tx * gz) AS ry, sum(tx * gy - ty * gx) AS rz FROM t GROUP BY 1)"
 
 
-@query("rotation_gradient", f"WITH {SQL['points']}, {SQL['poses']}, s AS (SELECT point_id % 10 + 1 AS image_id, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz FROM points GROUP BY 1) SELECT s.image_id, {', '.join(rnd(r, f'g{a}', 4) for r, a in zip(_RI, 'xyz', strict=True))} FROM s JOIN poses ON s.image_id = poses.image_id")
+def pose_pull(spark, sf):
+    """Gradients of the points' places after the turn of their image's pose, summed on the rotation group."""
+    p = view(spark, sf, "points").select((F.col("point_id") % 10 + 1).alias("image_id"), "x", "y", "z", (F.col("value") / 100).alias("gx"), (F.col("x") * 0.3).alias("gy"), (F.col("y") - F.col("z")).alias("gz"))
+    return camera.rotation_gradient(p, view(spark, sf, "poses"))
+
+
+@query("rotation_gradient", f"WITH {SQL['points']}, {SQL['poses']}, {_TORQUE} SELECT image_id, {', '.join(rnd(f'r{a}', f'g{a}', 4) for a in 'xyz')} FROM r")
 def rotation_gradient(spark, sf):
-    """Gradients of rotated points, summed per image and turned back: the sum is linear, so it is made first."""
-    from ..operators import camera
+    """The gradient of each pose's rotation: the turned points' moments of their gradients."""
+    return pose_pull(spark, sf).select("image_id", *[(F.round(f"r{a}", 4) + F.lit(0.0)).alias(f"g{a}") for a in "xyz"])
+
+
+_STEP = [f"(r.r{a} * {d(-0.0001)})" for a in "xyz"]
+_STEPN = "sqrt(" + " + ".join(f"{t} * {t}" for t in _STEP) + ")"
+_HALF = [f"({t} * CASE WHEN {_STEPN} < 1e-8 THEN 0.5 ELSE sin({_STEPN} / 2) / {_STEPN} END)" for t in _STEP] + [f"cos({_STEPN} / 2)"]
+_MUL = [f"{_HALF[3]} * qx + {_HALF[0]} * qw + {_HALF[1]} * qz - {_HALF[2]} * qy", f"{_HALF[3]} * qy - {_HALF[0]} * qz + {_HALF[1]} * qw + {_HALF[2]} * qx", f"{_HALF[3]} * qz + {_HALF[0]} * qy - {_HALF[1]} * qx + {_HALF[2]} * qw", f"{_HALF[3]} * qw - {_HALF[0]} * qx - {_HALF[1]} * qy - {_HALF[2]} * qz"]
+
 
-    s = view(spark, sf, "points").groupBy((F.col("point_id") % 10 + 1).alias("image_id")).agg(*[F.sum(a).alias(a) for a in "xyz"])
-    out = camera.rotate_points(s, view(spark, sf, "poses"), inverse=True)
-    return out.select("image_id", *[(F.round(a, 4) + F.lit(0.0)).alias(f"g{a}") for a in "xyz"])
+@query("pose_step", f"WITH {SQL['points']}, {SQL['poses']}, {_TORQUE} SELECT poses.image_id, {', '.join(rnd(m, b) for m, b in zip(_MUL, camera.QUAT, strict=True))} FROM poses JOIN r ON poses.image_id = r.image_id")
+def pose_step(spark, sf):
+    """The poses that have points, one gradient step further on the rotation group."""
+    g = pose_pull(spark, sf).select("image_id", *[(F.col(f"r{a}") * -0.0001).alias(f"r{a}") for a in "xyz"])
+    moved = camera.apply_tangent(view(spark, sf, "poses"), g).join(g, "image_id", "left_semi")
+    return moved.select("image_id", *[r6(F.col(c)).alias(c) for c in camera.QUAT])
 
 
 @query("moment_update", f'WITH {IM} SELECT image_id, "row", col, round({_V} * {d(0.75)} + {d(0.25)} * ("row" + col) / 14, 6) + {d(0)} AS blended FROM images')
@@ -221,6 +238,18 @@ def network_channels(spark, sf):
     return out.select("vec_id", *[r6(F.col("c")[k]).alias(f"c{k}") for k in range(3)])
 
 
+_W, _B = _NET[0]
+_V1, _C1 = _NET[1]
+_WEIGHTS = ", ".join(f"({j}, {d(repr(float(_V1[j, 0])))})" for j in range(16))
+
+
+@query("network_gradient", f"WITH {_INPUT}, {layer_sql(0, _NET[0], 'e')}, h AS (SELECT vec_id, i, greatest(x, 0) AS x, CASE WHEN x > 0 THEN 1 ELSE 0 END AS on_ FROM l0), {layer_sql(1, _NET[1], 'h')}, g AS (SELECT l1.vec_id, 2 * (x - label / {d(10)}) / (SELECT count(*) FROM embeddings) AS g, power(x - label / {d(10)}, 2) / (SELECT count(*) FROM embeddings) AS loss FROM l1 JOIN embeddings ON l1.vec_id = embeddings.vec_id), v(j, w) AS (VALUES {_WEIGHTS}), into_ AS (SELECT h.vec_id, h.i AS j, g * w * on_ AS g FROM h JOIN g ON h.vec_id = g.vec_id JOIN v ON h.i = v.j), out_ AS (SELECT -1 AS part, sum(loss) AS v FROM g UNION ALL SELECT e.i * 16 + j, sum(x * g) FROM e JOIN into_ ON e.vec_id = into_.vec_id GROUP BY 1 UNION ALL SELECT 1024 + j, sum(g) FROM into_ GROUP BY 1 UNION ALL SELECT 1040 + h.i, sum(h.x * g) FROM h JOIN g ON h.vec_id = g.vec_id GROUP BY 1 UNION ALL SELECT 1056, sum(g) FROM g) SELECT CAST(part AS BIGINT) AS part, round(v, 6) + {d(0)} AS v FROM out_")
+def network_gradient(spark, sf):
+    """Loss and gradient of a network of 64, 16 and 1 over all images, whose target is their label."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding", (F.col("label") / 10.0).alias("target"))
+    return fit.network_gradient(e, _NET, "embedding").select("part", r6(F.col("value")).alias("v"))
+
+
 _TURN = '2 * pi() * (a.u * "row" + b.u * col) / 8'
 
 

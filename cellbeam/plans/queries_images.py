@@ -223,7 +223,7 @@ def grid_gradient(spark, sf):
     return g.select("node_id", "iz", "ix", (F.round("gradient", 5) + F.lit(0.0)).alias("gradient"))
 
 
-def _hash_sql(levels=2, base=4, growth=1.0, size=64):
+def _hash_sql(levels=2, base=4, growth=1.0, size=64, along=None):
     parts = []
     u = {"u": "((x + 1) / 2)", "v": "((y + 1) / 2)", "w": "((z + 1) / 2)"}
     for level in range(levels):
@@ -231,7 +231,7 @@ def _hash_sql(levels=2, base=4, growth=1.0, size=64):
         res = math.ceil(scale) + 1
         for bits in range(8):
             at = {c: f"(CAST(floor({e} * {scale}) AS BIGINT) + {bits >> k & 1})" for k, (c, e) in enumerate(u.items())}
-            w = " * ".join(f"({e} * {scale} - floor({e} * {scale}))" if bits >> k & 1 else f"(1 - ({e} * {scale} - floor({e} * {scale})))" for k, (c, e) in enumerate(u.items()))
+            w = " * ".join(f"({scale if bits >> k & 1 else -scale})" if c == along else f"({e} * {scale} - floor({e} * {scale}))" if bits >> k & 1 else f"(1 - ({e} * {scale} - floor({e} * {scale})))" for k, (c, e) in enumerate(u.items()))
             if res**3 <= size:
                 slot = f"({at['u']} + {at['v']} * {res} + {at['w']} * {res * res}) % {size}"
             else:
@@ -312,5 +312,6 @@ def l2_loss(spark, sf):
 
 @query("row_batches", f'WITH {IM} SELECT image_id, CAST(floor("row" / 2) AS BIGINT) AS block, count(*) AS pixels, round(sum({_V}), 5) + {d(0)} AS total FROM images GROUP BY 1, 2')
 def row_batches(spark, sf):
-    b = images(spark, sf).groupBy("image_id", F.floor(F.col("row") / 2).alias("block")).agg(F.count(F.lit(1)).alias("pixels"), (F.round(F.sum("value"), 5) + F.lit(0.0)).alias("total"))
+    blocks = batches.row_batches(images(spark, sf), 2, 8, 8)
+    b = blocks.groupBy("image_id", (F.col("row_start") / 2).cast("long").alias("block")).agg(F.count(F.lit(1)).alias("pixels"), (F.round(F.sum("value"), 5) + F.lit(0.0)).alias("total"))
     return b.select("image_id", "block", "pixels", "total")

@@ -81,6 +81,40 @@ def render_grid(spark, sf):
     return out.select("ray_id", (F.round("integral", 4) + F.lit(0.0)).alias("integral"))
 
 
+_BACK = f"d1 AS (SELECT rays.ray_id, rays.target, coalesce(sum(weight * density), 0) AS integral FROM rays LEFT JOIN s ON rays.ray_id = s.ray_id LEFT JOIN dens ON s.i = dens.i GROUP BY 1, 2), res AS (SELECT ray_id, 2 * (integral - target) / (SELECT count(*) FROM rays) AS residual FROM d1), g AS (SELECT c.node_id, c.iz, c.iy, c.ix, sum(residual * weight / (1 + exp(-coalesce(m.s, 0))) * c.w) AS gradient FROM corners c JOIN s ON c.i = s.i JOIN res ON s.ray_id = res.ray_id LEFT JOIN sampled m ON c.i = m.i WHERE c.node_id IN (SELECT node_id FROM pg) GROUP BY 1, 2, 3, 4)"
+
+
+@query("render_gradient", f"WITH {SQL['points']}, {_SAMPLES}, s AS (SELECT ray_id * 1000000 + node_id * 1000 + j AS i, ray_id, node_id, weight, x, y, z FROM samples), {density_sql('s', 'i')}, {_BACK} SELECT node_id, CAST(iz AS INT) AS iz, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(gradient, 6) + {d(0)} AS gradient FROM g")
+def render_gradient(spark, sf):
+    """From the rays' errors back to the cells of all nodes' grids."""
+    r, s, grid = view(spark, sf, "rays"), rays.ray_samples(hits_of(spark, sf), DIAGONAL, 8), point_grid(spark, sf)
+    back = volumes.residuals(volumes.render(r, s, grid, DEPTH, N), r)
+    return volumes.render_gradient(back, s, grid, DEPTH, N).select("node_id", "iz", "iy", "ix", r6(F.col("gradient")).alias("gradient"))
+
+
+def slope_sql(axis: str) -> str:
+    """Slope of a cube's look-up along an axis: the gap of two look-ups, on the cells before and behind."""
+    at = {a: f"{a} * {d(1.5)} + {d(1.5)}" for a in "zyx"}
+    ends = [", ".join(f"least(floor(least(greatest({e}, 0), 3)), 2) + {k} AS c_{a}" if a == axis else f"{e} AS c_{a}" for a, e in at.items()) for k in (0, 1)]
+    side = [f"(WITH q AS (SELECT point_id, node_id, {x} FROM points), {lerp_sql({'z': 4, 'y': 4, 'x': 4}, 'cube', 'q', 'point_id')} SELECT * FROM sampled)" for x in ends]
+    return f"SELECT a.point_id, '{axis}' AS axis, b.s - a.s AS slope FROM {side[0]} a JOIN {side[1]} b ON a.point_id = b.point_id"
+
+
+@query("grid_slopes", f"WITH {SQL['points']}, {IM}, {_CUBE}, u AS ({' UNION ALL '.join(slope_sql(a) for a in 'zyx')}) SELECT u.point_id, {', '.join(f'round(max(CASE WHEN axis = {chr(39)}{a}{chr(39)} THEN CASE WHEN {a} * {d(1.5)} + {d(1.5)} BETWEEN 0 AND 3 THEN slope ELSE 0 END END), 6) + {d(0)} AS d{a}' for a in 'zyx')} FROM u JOIN points ON u.point_id = points.point_id GROUP BY 1")
+def grid_slopes(spark, sf):
+    """Derivatives of a three-dimensional look-up by the place."""
+    out = interp.grid_slopes(view(spark, sf, "points").drop("value"), grids(spark, sf, "cube"), cells(4, "z", "y", "x"), {"z": 4, "y": 4, "x": 4})
+    return out.select("point_id", *[r6(F.col(f"d{a}")).alias(f"d{a}") for a in "zyx"])
+
+
+@query("hash_slopes", f"WITH {SQL['points']}, {IM}, tab AS (SELECT {chr(34)}row{chr(34)} * 8 + col AS slot, avg({_V}) AS v FROM images GROUP BY 1), c AS ({_hash_sql(along='v')}), r AS (SELECT c.point_id, level, sum(c.w * v) AS f FROM c JOIN tab ON c.slot = tab.slot GROUP BY 1, 2) SELECT r.point_id, level, round(CASE WHEN x BETWEEN -1 AND 1 AND y BETWEEN -1 AND 1 AND z BETWEEN -1 AND 1 THEN f ELSE 0 END, 6) + {d(0)} AS slope FROM r JOIN points ON r.point_id = points.point_id")
+def hash_slopes(spark, sf):
+    """Derivatives of the hash encoding by the second coordinate."""
+    p = view(spark, sf, "points").select("point_id", *[((F.col(a) + 1) / 2).alias(c) for a, c in zip("xyz", "uvw", strict=True)])
+    tab = images(spark, sf).groupBy((F.col("row") * 8 + F.col("col")).cast("long").alias("slot")).agg(F.avg("value").alias("value"))
+    return interp.hash_encode(p, tab, 2, 4, 1.0, 64, along="v").select("point_id", "level", r6(F.col("feature")).alias("slope"))
+
+
 _NET = fit.init_network([2, 8, 1], 5)
 
 
