@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellbeam.functions.columns import activation, finite
 from cellbeam.operators import camera, evolve, fit, interp, metrics, points, rays, spectral, tree
-from cellbeam.sources import arrays, scene
+from cellbeam.sources import arrays, scene, tables
 
 RAYS = "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double"
 

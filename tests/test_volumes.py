@@ -139,7 +139,7 @@ def test_poses_turn(spark):
 
 
 def test_noise_stays_in_bounds(spark):
-    p = spark.range(200).select(F.lit(1.0).alias("tx"), F.lit(2.0).alias("ty"), F.lit(3.0).alias("tz"))
+    p = spark.range(200).select(F.col("id").alias("image_id"), F.lit(1.0).alias("tx"), F.lit(2.0).alias("ty"), F.lit(3.0).alias("tz"))
     r = camera.jitter(p, 0.2, 3).agg(*[F.max(F.abs(F.col(c) - v)).alias(c) for c, v in (("tx", 1.0), ("ty", 2.0), ("tz", 3.0))], F.stddev("tx").alias("s")).first()
     assert all(0 < r[c] <= 0.1 for c in ("tx", "ty", "tz")) and r["s"] > 0.01 and camera.jitter(p, 0.0, 3) is p
     ray = spark.range(200).select(F.col("id").alias("ray_id"), *[F.lit(0.5).alias(f"o{a}") for a in AXES], F.lit(4.0).alias("defocus"))
