@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import AXES
-from .points import BROADCAST_NODES, ancestors
+from ..functions.columns import AXES, in_roi
+from .points import BROADCAST_NODES, ancestors, locate
 from .rays import RAY, ray_samples
 from .tree import cell_of, level_start, morton_of
 
@@ -101,3 +101,36 @@ def ray_active_hits(rays: DataFrame, active: DataFrame, depth: int, quad: bool =
 def ray_active_samples(hits: DataFrame, depth: int, per_diagonal: int = 32, jitter=None, **kw) -> DataFrame:
     """``ray_samples`` of hits on nodes of several levels: each node's own diagonal decides how many samples it gets."""
     return ray_samples(hits, node_diagonal(F.col("node_id"), depth, **kw), per_diagonal, jitter)
+
+
+def active_faces(nodes: DataFrame, depth: int, size: int, eps: float, axes: tuple[str, ...] = AXES, quad: bool = False, y: tuple[float, float] = (-1.0, 1.0), roi: tuple | None = None) -> DataFrame:
+    """Two rows, one per node, for each place on a face of an active node behind which another active node stands.
+
+    ``owner, axis, front, k, x, y, z, side, node_id``: every face across ``axes`` carries a lattice of ``size`` times
+    ``size`` places, edges included; ``side`` 0 is the owner, 1 the node that holds the place moved ``eps`` outward,
+    of any level. With ``roi`` (lower and upper ends) both must touch that region. Nodes are bounded by the node
+    budget, so places are too; they are looked up where they are.
+    """
+    kw = {"quad": quad, "y": y}
+    box = node_box(F.col("owner"), depth, **kw)
+    own = nodes.select(F.col("node_id").alias("owner"))
+    # exploded from an array of one, so that each box is made once and not anew in all that follows
+    own = own.select("owner", F.explode(F.array(F.struct(*[c.alias(n) for n, c in box.items()]))).alias("b")).select("owner", "b.*")
+    if roi:
+        own = own.where(in_roi(*roi))
+    places = None
+    for a in axes:
+        b, c = AXES[(AXES.index(a) + 1) % 3], AXES[(AXES.index(a) + 2) % 3]
+        for front in (0, 1):
+            k = F.col("k")
+            share = {b: (k % size) / (size - 1), c: F.floor(k / size) / (size - 1)}
+            at = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
+            spot = {n: F.col(f"{n}{front}") if n == a else F.col(f"{n}0") + share[n] * (F.col(f"{n}1") - F.col(f"{n}0")) for n in AXES}
+            at = at.select("owner", F.lit(a).alias("axis"), F.lit(front).alias("front"), "k", *[s.alias(n) for n, s in spot.items()])
+            at = at.select("*", *[(F.col(n) + (eps * (1 if front else -1) if n == a else 0.0)).alias(f"m{n}") for n in AXES])
+            places = at if places is None else places.unionByName(at)
+    found = locate(places, nodes.select("node_id"), depth, point=("mx", "my", "mz"), **kw).where("active_node <> owner")
+    if roi:
+        near = own.select(F.col("owner").alias("active_node"))
+        found = found.join(F.broadcast(near) if near.count() <= BROADCAST_NODES else near, "active_node", "left_semi")
+    return found.select("owner", "axis", "front", "k", *AXES, F.posexplode(F.array("owner", "active_node")).alias("side", "node_id"))

@@ -6,25 +6,33 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import in_roi
 
-def family_options(nodes: DataFrame, fan: int = 8, split_factor: float = 0.75, merge_factor: float = 1.1) -> DataFrame:
+
+def family_options(nodes: DataFrame, fan: int = 8, split_factor: float = 0.75, merge_factor: float = 1.1, saved: bool = False, roi: tuple | None = None) -> DataFrame:
     """One row per active node: its family, costs and values of keeping, splitting and merging.
 
     ``nodes``: node_id, parent_id, leaf, active, culled, error, max_density. Merging needs a family that is wholly
-    active or culled; a leaf cannot split, a root cannot merge.
+    active or culled; a leaf cannot split, a root cannot merge. A split is expected to lower the error by
+    ``split_factor``; with ``saved``, where the first child has an error from an earlier time, the sum of all
+    children's errors times densities counts instead. With ``roi`` (lower and upper ends, boxes x0..z1 in ``nodes``)
+    only nodes that touch the region may split.
     """
-    family = nodes.where("parent_id is not null").groupBy("parent_id").agg(F.min((F.col("active") | F.col("culled")).cast("int")).alias("whole"), F.count_if("active").alias("siblings"), F.sum(F.when(F.col("active"), F.col("error"))).alias("err"), F.max(F.when(F.col("active"), F.col("max_density"))).alias("dens"))
-    kids = nodes.groupBy(F.col("parent_id").alias("p")).agg(F.count_if("culled").alias("culled_kids"))
+    family = nodes.where("parent_id is not null").groupBy("parent_id").agg(F.min((F.col("active") | F.col("culled")).cast("int")).alias("whole"), F.count_if("active").alias("siblings"), F.sum(F.when(F.col("active"), F.greatest("error", F.lit(0.0)))).alias("err"), F.max(F.when(F.col("active"), F.col("max_density"))).alias("dens"))
+    kids = nodes.groupBy(F.col("parent_id").alias("p")).agg(F.count_if("culled").alias("culled_kids"), F.sum(F.col("error") * F.col("max_density")).alias("kids_value"), F.min_by("error", "node_id").alias("first_error"))
     a = nodes.where("active").join(family, "parent_id", "left").join(kids, F.col("node_id") == F.col("p"), "left")
     none = F.col("error") * F.col("max_density")
-    return a.select("node_id", "parent_id", none.alias("none_value"), F.when(~F.col("leaf"), split_factor * none).alias("split_value"), (fan - F.coalesce("culled_kids", F.lit(0))).alias("split_cost"), F.when(F.col("whole") == 1, merge_factor * F.col("err") / F.col("siblings") * F.col("dens") * F.col("siblings")).alias("merge_value"))
+    split = F.when(F.col("first_error") > 0, F.col("kids_value")).otherwise(split_factor * none) if saved else split_factor * none
+    may = ~F.col("leaf") & (in_roi(*roi) if roi else F.lit(True))
+    return a.select("node_id", "parent_id", none.alias("none_value"), F.when(may, split).alias("split_value"), (fan - F.coalesce("culled_kids", F.lit(0))).alias("split_cost"), F.when(F.col("whole") == 1, merge_factor * F.col("err") / F.col("siblings") * F.col("dens") * F.col("siblings")).alias("merge_value"))
 
 
 def plan(options: DataFrame, budget: int) -> list[tuple[int, str]]:
     """(node_id, action) of least total value within the budget: an exact multiple-choice knapsack by family.
 
-    The number of active nodes is bounded by the budget of the tree (a few thousand), so the options fit the
-    driver; a larger table is refused.
+    Every family keeps one active node at least, so a plan can only exist for as many families as the budget, a few
+    thousand by design, has nodes. The options of eight times that number fit the driver; a larger table cannot
+    have a plan and is refused.
     """
     rows = options.limit(budget * 8 + 1).collect()
     if len(rows) > budget * 8:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_corner
+from .windows import over_tiles
 
 
 def corners(coords: dict[str, Column], size: dict[str, int]) -> Column:
@@ -186,11 +188,24 @@ def hash_gradient(points: DataFrame, residual: str, levels: int, base: int, grow
 
 
 def convolve(images: DataFrame, kernel: list[list[float]], image: str = "image_id") -> DataFrame:
-    """Depthwise 2-D convolution (zero border): every pixel is sent to the pixels it adds to; one shuffle."""
-    h, w = len(kernel), len(kernel[0])
-    sent = [F.struct((F.col("row") - (i - h // 2)).alias("row"), (F.col("col") - (j - w // 2)).alias("col"), (F.col("value") * float(kernel[i][j])).alias("v")) for i in range(h) for j in range(w) if kernel[i][j]]
-    sums = images.select(image, F.explode(F.array(*sent)).alias("s")).groupBy(image, F.col("s.row").alias("row"), F.col("s.col").alias("col")).agg(F.sum("s.v").alias("value"))
-    return sums.join(images.select(image, "row", "col"), [image, "row", "col"], "left_semi")
+    """Depthwise 2-D convolution, ``image, row, col, value`` of all pixels; beyond the border and where pixels are missing is 0.
+
+    Images are cut into tiles with a margin of half the kernel: about one row a pixel is shuffled.
+    """
+    k = np.array(kernel, float)
+    h, w = k.shape
+    reach = max(h, w) // 2
+
+    def work(known, arrays, inner, origin):
+        x = np.pad(arrays[0], reach)
+        out = np.zeros(known.shape)
+        for i, j in zip(*np.nonzero(k), strict=True):
+            di, dj = int(i) - h // 2 + reach, int(j) - w // 2 + reach
+            out += k[i, j] * x[di : di + known.shape[0], dj : dj + known.shape[1]]
+        r, c = np.nonzero(known[inner])
+        return (r + inner[0].start + origin[0]).astype(np.int32), (c + inner[1].start + origin[1]).astype(np.int32), out[inner][r, c]
+
+    return over_tiles(images, image, ("row", "col"), ("value",), reach, work, "row int, col int, value double")
 
 
 def halve(images: DataFrame, image: str = "image_id") -> DataFrame:

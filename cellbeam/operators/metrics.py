@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import loss_weight
+from .windows import box_sum, over_tiles
 
 
 def node_loss(samples: DataFrame, ray_loss: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -97,17 +98,23 @@ def edge_map(images: DataFrame, image: str = "image_id") -> DataFrame:
 
 
 def ssim(images: DataFrame, a: str, b: str, reach: int = 1, c1: float = 1e-4, c2: float = 9e-4, image: str = "image_id", axes: tuple[str, ...] = ("row", "col")) -> DataFrame:
-    """Mean structural similarity over square (or, with three ``axes``, cubic) windows clipped at the border.
+    """Mean structural similarity over square (or, with three ``axes``, cubic) windows around all cells.
 
-    Each cell goes to the windows it is in; the sums of a window are partly made before the shuffle.
+    A window takes the cells that there are: fewer at the border and beside missing ones. Images are cut into tiles
+    with a margin, so about one row a cell is shuffled, and windows are running sums. A null ends no job: its
+    cell counts as missing.
     """
-    offs = product(range(-reach, reach + 1), repeat=len(axes))
-    to = F.explode(F.array(*[F.struct(*[(F.col(x) + i).alias(x) for x, i in zip(axes, o, strict=True)]) for o in offs])).alias("at")
-    w = images.select(image, F.col(a).alias("a"), F.col(b).alias("b"), to).groupBy(image, *[F.col(f"at.{x}").alias(x) for x in axes])
-    m = w.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.avg(F.col("a") * F.col("a")).alias("aa"), F.avg(F.col("b") * F.col("b")).alias("bb"), F.avg(F.col("a") * F.col("b")).alias("ab")).join(images.select(image, *axes), [image, *axes], "left_semi")
-    ma, mb = F.col("ma"), F.col("mb")
-    s = ((2 * ma * mb + c1) * (2 * (F.col("ab") - ma * mb) + c2)) / ((ma * ma + mb * mb + c1) * (F.col("aa") - ma * ma + F.col("bb") - mb * mb + c2))
-    return m.groupBy(image).agg(F.avg(s).alias("ssim"))
+
+    def score(known, arrays, inner, origin):
+        x, y = arrays
+        n, *sums = [box_sum(v, reach)[inner] for v in (known.astype(float), x, y, x * x, y * y, x * y)]
+        own = known[inner]
+        ma, mb, aa, bb, ab = [(v / np.maximum(n, 1))[own] for v in sums]
+        s = ((2 * ma * mb + c1) * (2 * (ab - ma * mb) + c2)) / ((ma * ma + mb * mb + c1) * (aa - ma * ma + bb - mb * mb + c2))
+        return np.array([s.sum()]), np.array([len(s)])
+
+    tiles = over_tiles(images, image, axes, (a, b), reach, score, "s double, n long")
+    return tiles.groupBy(image).agg((F.sum("s") / F.sum("n")).alias("ssim")).where("ssim is not null")
 
 
 def smoothness(curve: DataFrame, top: float, key: str = "curve_id") -> DataFrame:

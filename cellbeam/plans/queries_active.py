@@ -141,3 +141,36 @@ def node_loss_active(spark, sf):
     loss = r.join(path, "ray_id").select("ray_id", F.pow(F.col("path") - F.col("target"), 2).alias("loss"))
     out = metrics.node_loss(s, loss, nodes)
     return out.select("node_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("loss", "weight")])
+
+
+#: Places on a face per axis, and how far behind it the other node is looked for.
+FACE, EPS = 3, 0.001
+
+
+def face_sql(a: str, front: int) -> str:
+    b, c = AXES[(AXES.index(a) + 1) % 3], AXES[(AXES.index(a) + 2) % 3]
+    part = {b: f"(k % {FACE}) / {d(FACE - 1)}", c: f"(k // {FACE}) / {d(FACE - 1)}"}
+    spot = {n: f"{n}{front}" if n == a else f"{n}0 + {part[n]} * ({n}1 - {n}0)" for n in AXES}
+    moved = ", ".join(f"{s} {'+' if front else '-'} {d(EPS)} AS {n}" if n == a else f"{s} AS {n}" for n, s in spot.items())
+    return f"SELECT owner, '{a}' AS axis, {front} AS front, k, {', '.join(f'{s} AS f{n}' for n, s in spot.items())}, {moved} FROM (SELECT node_id AS owner, {', '.join(f'{n}{e}' for n in AXES for e in (0, 1))}, unnest(range({FACE * FACE})) AS k FROM leaf)"
+
+
+_FACES = f"f AS ({' UNION ALL '.join(face_sql(a, front) for a in AXES for front in (0, 1))}), met AS (SELECT * FROM {located('f')} WHERE node_id IS NOT NULL AND node_id <> owner)"
+_SPOT = ", ".join(f"round(f{a}, 6) + {d(0)} AS {a}" for a in AXES)
+
+
+@query("face_pairs", f"WITH {_TREE}, {_FACES} SELECT owner, axis, front, CAST(k AS INT) AS k, {_SPOT}, 0 AS side, owner AS node_id FROM met UNION ALL SELECT owner, axis, front, CAST(k AS INT) AS k, {_SPOT}, 1 AS side, node_id FROM met")
+def face_pairs(spark, sf):
+    """Places on the faces of the active nodes with the nodes on both sides, across levels."""
+    out = active.active_faces(mixed_active(spark, sf), DEEP, FACE, EPS)
+    return out.select("owner", "axis", "front", "k", *[r6(F.col(a)).alias(a) for a in AXES], "side", "node_id")
+
+
+_TOUCHES = lambda t: " AND ".join("(" + " OR ".join(f"({c} > -0.5 AND {c} < 0.5)" for c in (f"{t}.{a}0", f"{t}.{a}1", f"({t}.{a}0 + {t}.{a}1)")) + ")" for a in AXES)
+
+
+@query("face_pairs_roi", f"WITH {_TREE}, {_FACES} SELECT owner, axis, count(*) * 2 AS n FROM met JOIN leaf o ON owner = o.node_id JOIN leaf p ON met.node_id = p.node_id WHERE {_TOUCHES('o')} AND {_TOUCHES('p')} GROUP BY 1, 2")
+def face_pairs_roi(spark, sf):
+    """How many rows the faces of each node give where both nodes touch a region."""
+    out = active.active_faces(mixed_active(spark, sf), DEEP, FACE, EPS, roi=((-0.5,) * 3, (0.5,) * 3))
+    return out.groupBy("owner", "axis").agg(F.count(F.lit(1)).alias("n"))
