@@ -308,3 +308,78 @@ def test_visible_is_every_point_against_every_pose(spark, depth):
     poses = spark.createDataFrame([(k, *map(float, (*q[k], *t[k]))) for k in range(25)], "image_id long, qx double, qy double, qz double, qw double, tx double, ty double, tz double")
     assert {r["point_id"]: r["images"] for r in camera.visible(frame, poses, cam, depth=depth).collect()} == want and len(want) > 100
     assert camera.visible(frame.where("false"), poses, cam).count() == 0 and camera.visible(frame, poses.where("false"), cam).count() == 0
+
+
+# ---- faces, windows, plans
+
+
+def test_faces_meet_nodes_of_other_levels(spark):
+    rng = np.random.default_rng(13)
+    ids = random_tree(rng, 3, share=0.6)
+    nodes = spark.createDataFrame([(i,) for i in ids], "node_id long")
+    boxes = {i: box(i, 3) for i in ids}
+    n, eps = 3, 1e-3
+    want = set()
+    for i, b in boxes.items():
+        for a in range(3):
+            for front in (0, 1):
+                for k in range(n * n):
+                    p = [0.0] * 3
+                    p[a] = b[a][front]
+                    for axis, share in (((a + 1) % 3, k % n / 2), ((a + 2) % 3, k // n / 2)):
+                        p[axis] = b[axis][0] + share * (b[axis][1] - b[axis][0])
+                    p[a] += eps if front else -eps
+                    # on shared sides the lower box holds the place, at -1 the first one
+                    inside = [j for j, c in boxes.items() if all((lo < x <= hi) or (x == lo == -1.0) for x, (lo, hi) in zip(p, c, strict=True))]
+                    if inside and inside[0] != i:
+                        want.add((i, AXES[a], front, k, inside[0]))
+    out = active.active_faces(nodes, 3, n, eps).collect()
+    sides = {}
+    for r in out:
+        sides.setdefault((r["owner"], r["axis"], r["front"], r["k"]), {})[r["side"]] = r["node_id"]
+    assert {(*k, v[1]) for k, v in sides.items()} == want and all(v[0] == k[0] for k, v in sides.items()) and len(out) == 2 * len(want) > 1000
+    level = lambda i: sum(i >= tree.level_start(k) for k in (1, 2, 3))
+    assert len({(level(i), level(j)) for i, _, _, _, j in want}) > 3
+
+
+@pytest.mark.parametrize("tile", [4, 128])
+def test_windows_over_tiles(spark, monkeypatch, tile):
+    """Sparse images of several sizes; tiles smaller than the images and larger."""
+    from cellbeam.operators import metrics, windows
+
+    monkeypatch.setitem(windows.TILE, 2, tile)
+    rng = np.random.default_rng(14)
+    rows, seen = [], {}
+    for i, (h, w) in enumerate([(1, 1), (7, 11), (13, 3)]):
+        for r in range(h):
+            for c in range(w):
+                if rng.random() < 0.9 or (h, w) == (1, 1):
+                    seen[i, r, c] = (float(rng.random()), float(rng.random()))
+                    rows.append((f"im{i}", r, c, *seen[i, r, c]))
+    frame = spark.createDataFrame([*rows, ("im1", None, 2, 1.0, 1.0), ("im9", 0, 0, None, 1.0)], "image_id string, row int, col int, value double, b double")
+    kernel = [[0.5, 0.0, -1.0, 2.0, 0.0], [1.0, -4.0, 1.0, 0.0, 3.0], [0.0, 0.0, 0.25, 0.0, 1.0]]
+    want = {(f"im{i}", r, c): sum(kernel[u][v] * seen.get((i, r + u - 1, c + v - 2), (0, 0))[0] for u in range(3) for v in range(5)) for i, r, c in seen}
+    got = {(x["image_id"], x["row"], x["col"]): x["value"] for x in interp.convolve(frame.drop("b").where("value is not null"), kernel).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+    for reach in (1, 3):
+        scores = {}
+        for i, r, c in seen:
+            near = np.array([v for (j, y, x), v in seen.items() if j == i and abs(y - r) <= reach and abs(x - c) <= reach])
+            (ma, mb), (aa, bb), ab = near.mean(0), (near**2).mean(0), (near[:, 0] * near[:, 1]).mean()
+            scores.setdefault(f"im{i}", []).append(((2 * ma * mb + 1e-4) * (2 * (ab - ma * mb) + 9e-4)) / ((ma * ma + mb * mb + 1e-4) * (aa - ma * ma + bb - mb * mb + 9e-4)))
+        out = {x["image_id"]: x["ssim"] for x in metrics.ssim(frame, "value", "b", reach).collect()}
+        assert out.keys() == scores.keys() and all(np.isclose(out[k], np.mean(v)) for k, v in scores.items())
+
+
+def test_saved_errors_and_region_in_plans(spark):
+    from cellbeam.operators import evolve
+
+    nodes = tree.full_tree(spark, 2).withColumn("active", F.col("depth") == 1).withColumn("culled", F.col("node_id") == 9).withColumn("leaf", F.col("depth") == 2)
+    nodes = nodes.withColumn("error", F.when(F.col("depth") == 1, 2.0).when(F.col("parent_id") == 1, 0.1 * F.col("node_id")).otherwise(0.0)).withColumn("max_density", F.when(F.col("depth") == 2, 0.5).otherwise(3.0))
+    rows = {r["node_id"]: r for r in evolve.family_options(nodes, saved=True).collect()}
+    assert np.isclose(rows[1]["split_value"], sum(0.05 * i for i in range(9, 17))) and rows[1]["split_cost"] == 7
+    assert all(np.isclose(rows[i]["split_value"], 0.75 * 6) and rows[i]["split_cost"] == 8 for i in range(2, 9))
+    assert all(np.isclose(r["split_value"], 0.75 * 6) for r in evolve.family_options(nodes).collect())
+    some = {r["node_id"]: r["split_value"] for r in evolve.family_options(nodes, roi=((-1.2, -1.2, -1.2), (-0.1, -0.1, -0.1))).collect()}
+    # lower + upper counts as a node's middle, so the first node touches the region and the last does not
+    assert some[8] is None and some[1] is not None
