@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.columns import activation, finite, pixel_to_uv, r6, uv_to_pixel, xray_inverse, xray_log
-from ..operators import camera, interp, metrics
+from ..operators import batches, camera, interp, metrics
 from .queries_tree import rnd
 from .scenes import SQL, d, images, view
 
