@@ -37,10 +37,10 @@ def mixed_nodes(spark, sf):
     up = counts.select("c", F.explode(points.ancestors(F.col("leaf"), DEEP)).alias("node_id")).groupBy("node_id").agg(F.sum("c").alias("n"))
     nodes = tree.full_tree(spark, DEEP).join(up, "node_id", "left").fillna(0, ["n"])
     total = up.where("node_id = 0").select(F.col("n").alias("total"))
-    nodes = settled(nodes.crossJoin(F.broadcast(total)).withColumn("culled", (F.col("depth") == DEEP) & (F.col("n") == 0)).withColumn("active", F.col("depth") == 1))
+    nodes = settled(nodes.crossJoin(F.broadcast(total)).withColumn("culled", (F.col("depth") == DEEP) & (F.col("n") == 0)).withColumn("active", F.col("depth") == 1).coalesce(1))
     for level, share in ((1, 8), (2, 64)):
         plan = nodes.where("active").select("node_id", F.when((F.col("n") * share > F.col("total")) & (F.col("depth") == level), "split").otherwise("none").alias("action"))
-        nodes = settled(tree.apply_plan(nodes, plan))
+        nodes = settled(tree.apply_plan(nodes, plan).coalesce(1))
     return nodes
 
 
