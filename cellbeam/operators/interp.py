@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_corner
+from ..sources.tables import settled
 from .windows import over_tiles
 
 
@@ -220,6 +221,21 @@ def laplacian_band(images: DataFrame, image: str = "image_id") -> DataFrame:
     return images.withColumn("band", F.col("value") - F.avg("value").over(block))
 
 
+def laplacian_pyramid(images: DataFrame, levels: int, image: str = "image_id") -> DataFrame:
+    """``image, level, row, col, value``: bands of ``levels`` levels from the finest on, then the last level's means.
+
+    Each level has a quarter of the pixels of the one before; it is written once and read by its band and by the next
+    level. A pixel is the sum of the bands of all levels and of the mean, at its row and column halved as often.
+    """
+    now = images.select(image, "row", "col", "value")
+    out = []
+    for k in range(levels):
+        out.append(laplacian_band(now, image).select(image, F.lit(k).alias("level"), "row", "col", F.col("band").alias("value")))
+        now = settled(halve(now, image))
+    out.append(now.select(image, F.lit(levels).alias("level"), "row", "col", "value"))
+    return reduce(DataFrame.unionByName, out)
+
+
 #: Per axis: the two coordinates of its plane and the coordinate of its line.
 PLANES = (("v", "w", "u"), ("u", "w", "v"), ("u", "v", "w"))
 

@@ -285,6 +285,16 @@ def laplacian_band(spark, sf):
     return interp.laplacian_band(images(spark, sf)).select("image_id", "row", "col", r6(F.col("band")).alias("band"))
 
 
+_LEVEL = {k: f"p{k} AS (SELECT image_id, CAST({chr(34)}row{chr(34)} // 2 AS INT) AS {chr(34)}row{chr(34)}, CAST(col // 2 AS INT) AS col, avg({_V}) AS {_V} FROM {'images' if k == 1 else f'p{k - 1}'} GROUP BY 1, 2, 3)" for k in (1, 2, 3)}
+_BAND = " UNION ALL ".join(f"SELECT a.image_id, {k - 1} AS level, a.{chr(34)}row{chr(34)}, a.col, round(a.{_V} - b.{_V}, 6) + {d(0)} AS v FROM {'images' if k == 1 else f'p{k - 1}'} a JOIN p{k} b ON a.image_id = b.image_id AND a.{chr(34)}row{chr(34)} // 2 = b.{chr(34)}row{chr(34)} AND a.col // 2 = b.col" for k in (1, 2, 3))
+
+
+@query("laplacian_pyramid", f"WITH {IM}, {', '.join(_LEVEL.values())} {_BAND} UNION ALL SELECT image_id, 3, {chr(34)}row{chr(34)}, col, round({_V}, 6) + {d(0)} FROM p3")
+def laplacian_pyramid(spark, sf):
+    """A chain of three levels and the means that are left."""
+    return interp.laplacian_pyramid(images(spark, sf), 3).select("image_id", "level", "row", "col", r6(F.col("value")).alias("v"))
+
+
 @query("regulariser", f'WITH {IM}, s AS (SELECT image_id, {_V} AS v, lead({_V}) OVER (PARTITION BY image_id, "row" ORDER BY col) - {_V} AS dx, lead({_V}) OVER (PARTITION BY image_id, col ORDER BY "row") - {_V} AS dy FROM images), m AS (SELECT image_id, avg(abs(dx)) + avg(abs(dy)) AS tv, avg(v * v) AS l2 FROM s GROUP BY 1) SELECT round({d(0.1)} * avg(tv) + {d(0.5)} * avg(l2), 6) AS loss FROM m')
 def regulariser(spark, sf):
     """Weighted sum of the defined terms: total variation and squared values."""

@@ -383,3 +383,12 @@ def test_saved_errors_and_region_in_plans(spark):
     some = {r["node_id"]: r["split_value"] for r in evolve.family_options(nodes, roi=((-1.2, -1.2, -1.2), (-0.1, -0.1, -0.1))).collect()}
     # lower + upper counts as a node's middle, so the first node touches the region and the last does not
     assert some[8] is None and some[1] is not None
+
+
+def test_a_pyramid_adds_up(spark):
+    rng = np.random.default_rng(15)
+    rows = [(i, r, c, float(rng.normal())) for i, (h, w) in enumerate([(8, 8), (5, 7), (1, 3)]) for r in range(h) for c in range(w)]
+    frame = spark.createDataFrame(rows, "image_id long, row int, col int, value double")
+    got = {(r["image_id"], r["level"], r["row"], r["col"]): r["value"] for r in interp.laplacian_pyramid(frame, 3).collect()}
+    assert all(np.isclose(v, sum(got[i, k, r >> k, c >> k] for k in range(4))) for i, r, c, v in rows)
+    assert {k[1] for k in got} == {0, 1, 2, 3} and sum(k[1] == 3 for k in got) == 3
