@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.batches import bisect
 from .common import span_hashes, text_buffer
 
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -157,14 +158,15 @@ def with_next(df: DataFrame, use, schema: T.StructType, id_col: str = "doc_id",
     src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("__key"), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(src.select("__key").stat.approxQuantile("__key", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    cut_array = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    src = src.withColumn("__range", F.size(F.filter(cut_array, lambda c: c <= F.col("__key"))))
+    src = src.withColumn("__range", bisect([int(c) for c in cuts], F.col("__key")))
     firsts = sorted((r[0], r[1]) for r in src.groupBy("__range").agg(F.min("__key")).collect())
     before = {firsts[i][0]: (firsts[i - 1][0], firsts[i][1]) for i in range(len(firsts))}
     own = F.struct(F.col("__range").alias("to"), F.lit(0).alias("copy"))
     if before:
-        pairs = F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("to"), F.lit(v[1]).alias("key")))])
-        there = F.element_at(pairs, F.col("__range"))
+        # by range number: where its first row goes as well, and that row's id
+        none = F.lit(None).cast("struct<to:int,key:bigint>")
+        sent = [F.struct(F.lit(before[k][0]).alias("to"), F.lit(before[k][1]).cast("long").alias("key")) if k in before else none for k in range(len(cuts) + 1)]
+        there = F.get(F.array(*sent), F.col("__range"))
         own = F.when(F.col("__key") == there["key"], F.array(own, F.struct(there["to"].alias("to"), F.lit(1).alias("copy")))).otherwise(F.array(own))
     else:
         own = F.array(own)
