@@ -28,7 +28,7 @@ from .vectors import matrices, rotation
 #: projections of unit vectors to eight numbers of expected length one.
 TABLES, POINTS, PROBES, WIDTH = 3, 2, 6, 1.13
 #: Vectors of one cell that one task compares with each other or with as many others, and pairs a step.
-BLOCK, PAIRS = 1024, 1 << 18
+BLOCK, PAIRS = 1536, 1 << 18
 #: Vectors of a group from which it is compared as a product of matrices.
 LARGE = 128
 _SEED = 812

@@ -128,7 +128,7 @@ def test_nearest_e8():
     assert (far <= 1 + 1e-9).all() and (far[:, None] <= (((x - point)[:, None] - lattice_dedup.ROOTS) ** 2).sum(2) + 1e-9).all()
 
 
-@pytest.mark.parametrize("block", [1024, 16])
+@pytest.mark.parametrize("block", [1536, 16])
 def test_lattice_dedup(spark, monkeypatch, block):
     """Groups of exact and near copies, a chain, vectors of two lengths; crowded cells in many blocks or in one."""
     monkeypatch.setattr(lattice_dedup, "BLOCK", block)
