@@ -271,10 +271,37 @@ def apply_split(spark, sf):
     return tree.apply_plan(nodes, plan).select("node_id", "active")
 
 
+#: Nodes that the plans below may use.
+PLAN_BUDGET = 90
+_PLAN = f"""leaves AS (SELECT node_id, parent_id AS family, round(coalesce(e.error, 0), 6) AS error, coalesce(e.n, 0) / {d(1000)} AS dens FROM counted LEFT JOIN (SELECT {leaf_sql(DEPTH)} AS at, avg(value) AS error, count(*) AS n FROM points GROUP BY 1) e ON node_id = e.at WHERE depth = {DEPTH})"""
+
+
+def plan_options(spark, sf):
+    """Options of the leaves of the counted tree, which stands on a full one a level deeper."""
+    deeper = tree.full_tree(spark, DEPTH + 1).select("node_id", "parent_id", (F.col("depth") == DEPTH).alias("active"), F.lit(False).alias("culled"), (F.col("depth") > DEPTH).alias("leaf"))
+    dens = view(spark, sf, "points").select(points.leaf_key(DEPTH).alias("node_id"), "value").groupBy("node_id").agg(F.round(F.avg("value"), 6).alias("error"), (F.count(F.lit(1)) / 1000).alias("max_density"))
+    return evolve.family_options(deeper.join(dens, "node_id", "left").fillna(0.0, ["error", "max_density"]))
+
+
 @query("structure_plan")
 def structure_plan(spark, sf):
-    """Exact split and merge under a budget of 40 nodes (checked against brute force in the tests)."""
-    nodes = counted(spark, sf).withColumn("active", (F.col("depth") == 1)).withColumn("culled", F.lit(False)).withColumn("leaf", F.col("depth") == DEPTH)
-    dens = view(spark, sf, "points").select(points.leaf_key(1).alias("node_id"), "value").groupBy("node_id").agg(F.avg("value").alias("error"), (F.count(F.lit(1)) / 1000).alias("max_density"))
-    options = evolve.family_options(nodes.join(dens, "node_id", "left").fillna(0.0, ["error", "max_density"]))
-    return spark.createDataFrame(evolve.plan(options, 40), "node_id long, action string")
+    """Exact split and merge of the tree's leaves under a budget of nodes (held against brute force in the tests)."""
+    return evolve.plan(plan_options(spark, sf), PLAN_BUDGET, block=4, fan_in=4)
+
+
+@query("plan_value", f"""WITH RECURSIVE {_NODES}, {_PLAN},
+  gains AS (SELECT family, error * dens AS keep, row_number() OVER (PARTITION BY family ORDER BY error * dens DESC, node_id) AS k FROM leaves),
+  ways AS (SELECT family, 8 + 7 * k AS cost, sum(keep) OVER (PARTITION BY family) - 0.25::DOUBLE * sum(keep) OVER (PARTITION BY family ORDER BY k) AS value FROM gains
+    UNION ALL SELECT family, 8, sum(keep) FROM gains GROUP BY 1
+    UNION ALL SELECT family, 1, 1.1::DOUBLE * sum(greatest(error, 0)) * max(dens) FROM leaves GROUP BY 1),
+  families AS (SELECT dense_rank() OVER (ORDER BY family) AS k, cost, value FROM ways),
+  r(k, cost, value) AS (SELECT 0::BIGINT, 0::BIGINT, 0::DOUBLE UNION ALL SELECT n.k, r.cost + n.cost, min(r.value + n.value) FROM r JOIN families AS n ON n.k = r.k + 1 WHERE r.cost + n.cost <= {PLAN_BUDGET} GROUP BY 1, 2)
+  SELECT round(min(value), 6) + {d(0)} AS value, (SELECT count(*) FROM leaves) AS nodes, true AS fits FROM r WHERE k = (SELECT max(k) FROM families)""")
+def plan_value(spark, sf):
+    options = plan_options(spark, sf)
+    done = evolve.plan(options, PLAN_BUDGET, block=4, fan_in=4).join(options, "node_id")
+    cost = F.when(F.col("action") == "split", F.col("split_cost")).when(F.col("action") == "none", 1).otherwise(0)
+    value = F.when(F.col("action") == "split", F.col("split_value")).when(F.col("action") == "none", F.col("none_value")).otherwise(0.0)
+    merged = F.max(F.when(F.col("action") == "merge", F.col("merge_value")))
+    family = done.groupBy("parent_id").agg((F.sum(value) + F.coalesce(merged, F.lit(0.0))).alias("value"), (F.sum(cost) + F.when(merged.isNull(), 0).otherwise(1)).alias("cost"), F.count(F.lit(1)).alias("n"))
+    return family.agg(r6(F.sum("value")).alias("value"), F.sum("n").alias("nodes"), (F.sum("cost") <= PLAN_BUDGET).alias("fits"))

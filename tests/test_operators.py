@@ -98,12 +98,82 @@ def test_plan_is_exact(spark):
         for r in data:
             r["merge_value"] = data[r["node_id"] // 2 * 2]["merge_value"]
         df = spark.createDataFrame(data, df.schema)
-        acts = dict(evolve.plan(df, budget))
+        acts = dict(map(tuple, evolve.plan(df, budget).collect()))
         value = sum(data[n]["none_value"] if a == "none" else data[n]["split_value"] for n, a in acts.items() if a != "merge")
         value += sum(data[p * 2]["merge_value"] for p in (0, 1) if acts[p * 2] == "merge")
         assert abs(value - brute([data[:2], data[2:]], budget)) < 1e-9
 
 
+def least_value(families, budget):
+    """Plain knapsack: least value for at most ``budget`` nodes."""
+    best = {0: 0.0}
+    for f in families:
+        inner = {0: 0.0}
+        for r in f:
+            ways = [(c, v) for c, v in ((1, r["none_value"]), (r["split_cost"], r["split_value"])) if v is not None]
+            step = {}
+            for cost, value in inner.items():
+                for c, v in ways:
+                    step[cost + c] = min(step.get(cost + c, np.inf), value + v)
+            inner = step
+        if f[0]["merge_value"] is not None:
+            inner[1] = min(inner.get(1, np.inf), f[0]["merge_value"])
+        step = {}
+        for cost, value in best.items():
+            for c, v in inner.items():
+                if cost + c <= budget:
+                    step[cost + c] = min(step.get(cost + c, np.inf), value + v)
+        best = step
+    return min(best.values(), default=None)
+
+
+def plan_cost(families, acts):
+    cost = value = 0
+    for f in families:
+        if "merge" in {acts[r["node_id"]] for r in f}:
+            assert {acts[r["node_id"]] for r in f} == {"merge"}
+            cost, value = cost + 1, value + f[0]["merge_value"]
+            continue
+        for r in f:
+            way = acts[r["node_id"]]
+            cost, value = cost + (1 if way == "none" else r["split_cost"]), value + r[f"{way}_value"]
+    return cost, value
+
+
+PLAN_COLUMNS = "node_id long, parent_id long, none_value double, split_value double, split_cost long, merge_value double"
+
+
+@pytest.mark.parametrize("budget,block,fan_in", [(70, 64, 16), (150, 4, 3), (290, 3, 2), (5000, 7, 16)])
+def test_plans_of_many_blocks_are_exact(spark, budget, block, fan_in):
+    rng = np.random.default_rng(budget)
+    families = []
+    for k in range(60):
+        merge = float(rng.random() * 3) if k % 5 else None
+        size = 1 if merge is None else int(rng.integers(1, 9))
+        f = [{"node_id": 8 * k + i, "parent_id": k if k % 10 else None, "none_value": float(rng.random()) if i % 7 != 6 else None, "split_value": float(rng.random() * 0.7) if i % 3 or i == 6 else None, "split_cost": int(rng.integers(1, 9)), "merge_value": merge} for i in range(size)]
+        families.append(f)
+    df = spark.createDataFrame([tuple(r.values()) for f in families for r in f], PLAN_COLUMNS).repartition(5)
+    acts = dict(map(tuple, evolve.plan(df, budget, block, fan_in).collect()))
+    assert set(acts) == {r["node_id"] for f in families for r in f}
+    cost, value = plan_cost(families, acts)
+    assert cost <= budget and np.isclose(value, least_value(families, budget), rtol=1e-12)
+
+
+def test_plans_at_the_edges(spark):
+    empty = spark.createDataFrame([], PLAN_COLUMNS)
+    assert evolve.plan(empty, 5).collect() == []
+    three = spark.createDataFrame([(k, None, 1.0, None, 8, None) for k in range(3)], PLAN_COLUMNS)
+    assert {r["action"] for r in evolve.plan(three, 3).collect()} == {"none"}
+    nothing = spark.createDataFrame([(1, None, None, None, 8, None)], PLAN_COLUMNS)
+    for df, budget in ((three, 2), (nothing, 100)):
+        with pytest.raises(ValueError, match="no plan"):
+            evolve.plan(df, budget)
+    # what may not stay or split is merged, ties stay apart, and NaN counts as null
+    nan = float("nan")
+    odd = spark.createDataFrame([(1, 7, None, None, 8, 2.0), (2, 7, 1.0, nan, 8, 2.0), (3, 9, 1.0, 1.0, 1, 1.0)], PLAN_COLUMNS)
+    assert dict(map(tuple, evolve.plan(odd, 9).collect())) == {1: "merge", 2: "merge", 3: "none"}
+
+
 def test_interpolation_and_gradients(spark):
     rng = np.random.default_rng(2)
     g = rng.random((3, 4))
