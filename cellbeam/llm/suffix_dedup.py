@@ -29,8 +29,8 @@ BROADCAST_KEYS = 1 << 20
 FRAGMENT = 1 << 17
 #: Occurrences above which a gram is dealt out by more than its own bytes.
 HOT = 1 << 11
-#: What names a text: a hash and its number of bytes.
-NAME = ["key", "size"]
+#: What names a text: two hashes, one of them of its SHA-256 digest, and its number of bytes.
+NAME = ["key", "twin", "size"]
 _POS = np.uint64(30)
 
 
@@ -41,6 +41,8 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tupl
     rows = np.flatnonzero(np.diff(bounds) >= length)
     if not len(rows):
         return none
+    if len(raw) > 1 << 30:
+        raise ValueError("a text of over 1 GiB cannot be searched for repeats")
     wide = length - gram + 1
     at = np.arange(len(raw) - gram + 1)
     hashes = span_hashes(raw, at, at + gram)
@@ -201,14 +203,14 @@ _HEAD = np.dtype([("gram", "<i8"), ("mark", "<i8"), ("shared", "<i4"), ("rest",
 
 
 def _find(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``gram, key, size, at, lo, hi`` of all anchors; ``docs``: key, size, text."""
-    schema = T.StructType([*[T.StructField(x, T.LongType()) for x in ("gram", "key")], *[T.StructField(x, T.IntegerType()) for x in ("size", "at", "lo", "hi")]])
+    """``gram``, the text's name, ``at, lo, hi`` of all anchors; ``docs``: the name, then text."""
+    schema = T.StructType([*[T.StructField(x, T.LongType()) for x in ("gram", "key", "twin")], *[T.StructField(x, T.IntegerType()) for x in ("size", "at", "lo", "hi")]])
 
     def run(batches):
         for batch in batches:
             for part in steps(batch, "text"):
-                row, at, hashes, lo, hi = anchors(*text_buffer(part.column(2)), length, gram)
-                named = [part.column(i).take(pa.array(row)) for i in (0, 1)]
+                row, at, hashes, lo, hi = anchors(*text_buffer(part.column(3)), length, gram)
+                named = [part.column(i).take(pa.array(row)) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *named, *[pa.array(x.astype(np.int32)) for x in (at, lo, hi)]], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -232,18 +234,18 @@ def _halves(raw, row, p, g, lo, hi, hot, length: int, gram: int):
 def _contexts(found: DataFrame, length: int, gram: int, fragments: int) -> DataFrame:
     """Sorted front-coded runs and the occurrences they stand for, by fragment of the gram's hash.
 
-    ``found``: key, size, text, marks (array of gram, at, lo, hi, hot). Rows with a ``run`` hold one run; rows
-    with a ``mark`` say that the suffix ``mark`` of ``gram`` stands at ``at`` of the text that key and size name.
+    ``found``: the text's name, text, marks (array of gram, at, lo, hi, hot). Rows with a ``run`` hold one run; rows
+    with a ``mark`` say that the suffix ``mark`` of ``gram`` stands at ``at`` of the named text.
     """
-    schema = T.StructType([T.StructField("fragment", T.IntegerType()), T.StructField("run", T.BinaryType()), *[T.StructField(x, T.LongType()) for x in ("gram", "mark", "key")], *[T.StructField(x, T.IntegerType()) for x in ("size", "at")]])
+    schema = T.StructType([T.StructField("fragment", T.IntegerType()), T.StructField("run", T.BinaryType()), *[T.StructField(x, T.LongType()) for x in ("gram", "mark", "key", "twin")], *[T.StructField(x, T.IntegerType()) for x in ("size", "at")]])
     width = (1 << 64) // fragments + 1
 
     def run(batches):
         for batch in batches:
             for part in steps(batch, "text"):
-                raw, bounds = text_buffer(part.column(2))
+                raw, bounds = text_buffer(part.column(3))
                 data = raw.tobytes()
-                marks = part.column(3)
+                marks = part.column(4)
                 counts = marks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 row = np.repeat(np.arange(len(counts)), counts)
                 flat = marks.flatten()
@@ -251,7 +253,7 @@ def _contexts(found: DataFrame, length: int, gram: int, fragments: int) -> DataF
                 row, p, g, lo, hi = _halves(raw, row, bounds[row] + at, g, lo, hi, hot, length, gram)
                 at = (p - bounds[row]).astype(np.int32)
                 mark = span_hashes(raw, p - hi, p + length - lo).view(np.int64) ^ (lo.astype(np.int64) << 8) ^ hi
-                named = [part.column(i).take(pa.array(row)) for i in (0, 1)]
+                named = [part.column(i).take(pa.array(row)) for i in range(3)]
                 none = pa.nulls(len(row), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(row), pa.int32()), none, pa.array(g), pa.array(mark), *named, pa.array(at)], names=schema.names)
                 both = np.empty(len(g), [("g", "<i8"), ("m", "<i8")])
@@ -272,7 +274,7 @@ def _contexts(found: DataFrame, length: int, gram: int, fragments: int) -> DataF
                         head[name] = values
                     blocks[f] = len(head).to_bytes(8, "little") + head.tobytes() + b"".join(rest) + b"".join(left)
                 n = len(blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary()), *[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.int32())] * 2], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary()), *[pa.nulls(n, pa.int64())] * 4, *[pa.nulls(n, pa.int32())] * 2], names=schema.names)
 
     return found.mapInArrow(run, schema)
 
@@ -360,7 +362,7 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str
         return stash(x, paths[-1])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"), text.alias("text"), F.col(id_col).alias("__id"))
+    docs = df.select(F.xxhash64(text).alias("key"), F.xxhash64(F.sha2(text.cast("binary"), 256)).alias("twin"), F.octet_length(text).alias("size"), text.alias("text"), F.col(id_col).alias("__id"))
     long = docs.where(F.col("size") >= length).select(*NAME, "text")
     copies = keep(long.groupBy(*NAME).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*NAME))
     again, single = _split(long, copies)
