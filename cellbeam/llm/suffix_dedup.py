@@ -340,10 +340,9 @@ def _verdicts(runs: DataFrame, length: int, gram: int, fragments: int) -> DataFr
     return runs.repartition(min(parts, fragments), "fragment").sortWithinPartitions("fragment").mapInArrow(run, schema)
 
 
-def _split(docs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts that are among ``names`` and the others. Names are broadcast only if they are few enough."""
-    known = F.broadcast(names) if names.count() <= BROADCAST_KEYS else names
-    return docs.join(known, NAME, "left_semi"), docs.join(known, NAME, "left_anti")
+def _named(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """A join by name; ``names`` are broadcast only if they are few enough."""
+    return docs.join(F.broadcast(names) if names.count() <= BROADCAST_KEYS else names, NAME, how)
 
 
 def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,10 +362,15 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.xxhash64(text).alias("key"), F.xxhash64(F.sha2(text.cast("binary"), 256)).alias("twin"), F.octet_length(text).alias("size"), text.alias("text"), F.col(id_col).alias("__id"))
-    long = docs.where(F.col("size") >= length).select(*NAME, "text")
-    copies = keep(long.groupBy(*NAME).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*NAME))
-    again, single = _split(long, copies)
-    texts = single.unionByName(again.groupBy(*NAME).agg(F.first("text").alias("text")))
+    long = docs.where(F.col("size") >= length).select(*NAME, "text", "__id")
+    # of equal texts the one with the least id is read, and where that id is null or comes twice, any
+    rows = long.groupBy(*NAME, "__id").agg(F.count(F.lit(1)).alias("n")).groupBy(*NAME)
+    counts = rows.agg(F.sum("n").alias("all"), F.min("__id").alias("first"), F.min_by("n", "__id").alias("often"))
+    copies = keep(counts.where("all > 1").select(*NAME, F.when(F.col("often") == 1, F.col("first")).alias("first"), F.lit(True).alias("copy")))
+    texts = _named(long, copies, "left").where(F.col("copy").isNull() | (F.col("__id") == F.col("first"))).select(*NAME, "text")
+    unclear = copies.where("first is null").select(*NAME)
+    if not unclear.isEmpty():
+        texts = texts.unionByName(_named(long, unclear, "left_semi").groupBy(*NAME).agg(F.first("text").alias("text")))
     every = keep(_find(texts, length, gram))
     # written, so that the join below is one of two plain exchanges, whose hot grams Spark can split
     common = keep(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -375,7 +379,7 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str
     total = some.agg(F.sum("n")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fragments = max(parts, total // FRAGMENT + 1)
-    within, _ = _split(texts, some.select(*NAME))
+    within = _named(texts, some.select(*NAME), "left_semi")
     contexts = keep(_contexts(within.join(some, NAME).select(*NAME, "text", "marks"), length, gram, fragments))
     drop_stash(spark, paths[1])
     verdicts = _verdicts(contexts.where("run is not null").select("fragment", "run"), length, gram, fragments)
@@ -410,12 +414,12 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 51, id_col: str
                     spans.append([{"start": s, "end": e} for s, e in runs_here])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(gone, pa.int64()), pa.array(spans, arrow_runs), pa.array(kept, pa.binary())], names=schema.names)
 
-    copied, once = _split(docs, copies)
-    covered, clean = _split(once, cover.select(*NAME))
     kind = cover.schema["marks"].dataType
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).cast(kind)
-    marked = covered.join(cover, NAME), copied.withColumn("marks", whole), clean.withColumn("marks", F.lit(None).cast(kind))
-    first, *others = [x.select("__id", "text", "marks") for x in marked]
-    for x in others:
-        first = first.unionByName(x)
-    return first.mapInArrow(cut, schema)
+    flagged = _named(docs, copies.select(*NAME, "copy"), "left")
+    flagged = _named(flagged, cover.select(*NAME, F.lit(True).alias("covered")), "left")
+    part = F.col("copy").isNull() & F.col("covered").isNotNull()
+    # only texts of which a part goes are shuffled, to meet their marks
+    marked = flagged.where(part).join(cover, NAME).select("__id", "text", "marks")
+    others = flagged.where(~part).select("__id", "text", F.when(F.col("copy"), whole).alias("marks"))
+    return others.unionByName(marked).mapInArrow(cut, schema)
