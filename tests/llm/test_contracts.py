@@ -275,6 +275,17 @@ def test_many_identical_rows(spark):
     assert took < 40
 
 
+def test_copies_without_an_id_of_their_own(spark):
+    """Copies under null ids, one id twice, several ids, and one id with unlike texts: as brute force."""
+    long = "".join(f"{k * k} " for k in range(100))
+    rows = [(1, long + "one"), (None, long), (None, long), (7, long), (7, long), (7, "x " + long), (8, long[:260])]
+    rows += [(None, "y" * 300 + "z" * 90), (None, "y" * 300 + "z" * 90), (9, "w" * 150 + "v" * 150), (9, "w" * 150 + "v" * 150), (10, None), (None, None), (11, "z" * 199)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = [(str(r["doc_id"]), bytes(r["kept"]), r["n_removed"]) for r in out]
+    want = [(str(i), *b) for (i, _), b in zip(rows, brute_repeats([t or "" for _, t in rows], 200))]
+    assert sorted(got) == sorted(want)
+
+
 def test_hot_gram_with_different_surroundings(spark, monkeypatch):
     """A line in many texts, some of which share more of what stands around it: dealt by halves, equal to brute force."""
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
