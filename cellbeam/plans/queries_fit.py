@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import loss_weight, r6
 from ..operators import batches, camera, evolve, fit, metrics, points, rays, spectral, tree
+from ..sources.tables import settled
 from .queries_images import IM, grids, rot_sql
 from .queries_tree import _SAMPLES, DEPTH, hits_of, rnd, samples_of
 from .scenes import SQL, d, images, leaf_sql, tree_sql, uniform_sql, view
@@ -70,8 +71,9 @@ def loss_weights(spark, sf):
 
 @query("cell_density", f"WITH {_SAMPLES}, c AS (SELECT node_id, 1e-4 + sum(weight * target * target) AS density FROM samples JOIN (SELECT ray_id, target FROM rays) USING (ray_id) GROUP BY 1), e AS (SELECT min(density) AS mn, max(density) AS mx FROM c) SELECT node_id, round(density, 5) AS density, round(mn / density * 0.5, 5) AS tv, round(density / mx * 0.5, 5) AS nlm, round((density - mn) / (mx - mn) * 0.9 + 0.1, 5) AS scaled FROM c, e")
 def cell_density(spark, sf):
-    t = view(spark, sf, "rays").select("ray_id", "target")
-    c = samples_of(spark, sf).join(t, "ray_id").groupBy("node_id").agg((F.sum(F.col("weight") * F.col("target") * F.col("target")) + 1e-4).alias("density"))
+    """Hits carry their ray's target, and a ray's sample weights in a node sum to its length there: no ray is joined or shuffled."""
+    s = rays.ray_node_hits(view(spark, sf, "rays"), DEPTH, carry=("target",)).withColumn("weight", F.col("tmax") - F.col("tmin"))
+    c = settled(s.groupBy("node_id").agg((F.sum(F.col("weight") * F.col("target") * F.col("target")) + 1e-4).alias("density")))
     m = metrics.weight_maps(c, 0.5, 0.1, 1.0)
     return c.join(m, "node_id").select("node_id", *[F.round(x, 5).alias(x) for x in ("density", "tv", "nlm", "scaled")])
 
