@@ -6,9 +6,11 @@ from functools import reduce
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import hash_corner
 from ..sources.tables import settled
@@ -113,9 +115,55 @@ def sample_grid(points: DataFrame, grid: DataFrame, coords: dict[str, Column], s
 
 
 def grid_gradient(points: DataFrame, residual: str, coords: dict[str, Column], size: dict[str, int], grid_key: str = "node_id") -> DataFrame:
-    """Scatter-add of weight * residual to the cells: the gradient of an interpolated grid."""
-    at = points.select(grid_key, residual, F.explode(corners(coords, size)).alias("c")).select(grid_key, residual, "c.*")
-    return at.groupBy(grid_key, *[f"i{a}" for a in coords]).agg(F.sum(F.col("w") * F.col(residual)).alias("gradient"))
+    """Scatter-add of weight * residual to the cells: the gradient of an interpolated grid.
+
+    A batch of points is summed by cell inside its task, so there is no row per corner; what is shuffled is one row a
+    batch and touched cell at most, summed again by Spark before the shuffle.
+    """
+    shape = [size[a] for a in coords]
+    names = [f"i{a}" for a in coords]
+    schema = T.StructType([T.StructField(grid_key, points.schema[grid_key].dataType), *[T.StructField(c, T.IntegerType()) for c in names], T.StructField("g", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def scatter(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = batch.column(0).dictionary_encode()
+            code = kinds.indices.fill_null(len(kinds.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            push = batch.column(1).to_numpy(zero_copy_only=False)
+            sure = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            push = np.where(sure, push, 0.0)
+            parts = []
+            for k, n in enumerate(shape):
+                at = batch.column(2 + k).fill_null(0.0).to_numpy(zero_copy_only=False)
+                at = np.clip(np.where(np.isnan(at), n - 1.0, at), 0.0, n - 1.0)
+                lo = np.floor(at).astype(np.int64)
+                parts.append((lo, np.minimum(lo + 1, n - 1), at - lo))
+            cells = int(np.prod(shape))
+            total = (len(kinds.dictionary) + 1) * cells
+            found = [], [], []
+            for bits in product((0, 1), repeat=len(shape)):
+                where, weight = code, push
+                for (lo, up, share), b, n in zip(parts, bits, shape, strict=True):
+                    where = where * n + (up if b else lo)
+                    weight = weight * (share if b else 1.0 - share)
+                for held, x in zip(found, (where, weight, sure), strict=True):
+                    held.append(x)
+            where, weight, known = (np.concatenate(x) for x in found)
+            if total <= 4 * len(where):
+                seen = np.flatnonzero(np.bincount(where, minlength=total))
+                g, c = np.bincount(where, weight, total)[seen], np.bincount(where, known, total)[seen]
+            else:  # many grids in one batch
+                seen, at = np.unique(where, return_inverse=True)
+                g, c = np.bincount(at, weight, len(seen)), np.bincount(at, known, len(seen))
+            own = pa.array(seen // cells)
+            keys = pa.concat_arrays([kinds.dictionary, pa.nulls(1, kinds.dictionary.type)]).take(own)
+            axes = np.unravel_index(seen % cells, shape)
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(x.astype(np.int32)) for x in axes], pa.array(g), pa.array(c.astype(np.int64))], names=schema.names)
+
+    rows = points.select(grid_key, F.col(residual).cast("double").alias("__r"), *[c.cast("double").alias(f"__c{k}") for k, c in enumerate(coords.values())])
+    sums = rows.mapInArrow(scatter, schema).groupBy(grid_key, *names).agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+    return sums.select(grid_key, *names, F.when(F.col("n") > 0, F.col("g")).alias("gradient"))
 
 
 def line_gradient(points: DataFrame, grid: DataFrame, coord: Column, size: int, key: str = "point_id", grid_key: str = "node_id") -> DataFrame:
@@ -198,13 +246,13 @@ def convolve(images: DataFrame, kernel: list[list[float]], image: str = "image_i
     reach = max(h, w) // 2
 
     def work(known, arrays, inner, origin):
-        x = np.pad(arrays[0], reach)
+        x = np.pad(arrays[0], ((0, 0), (reach, reach), (reach, reach)))
         out = np.zeros(known.shape)
         for i, j in zip(*np.nonzero(k), strict=True):
             di, dj = int(i) - h // 2 + reach, int(j) - w // 2 + reach
-            out += k[i, j] * x[di : di + known.shape[0], dj : dj + known.shape[1]]
-        r, c = np.nonzero(known[inner])
-        return (r + inner[0].start + origin[0]).astype(np.int32), (c + inner[1].start + origin[1]).astype(np.int32), out[inner][r, c]
+            out += k[i, j] * x[:, di : di + known.shape[1], dj : dj + known.shape[2]]
+        t, r, c = np.nonzero(known[inner])
+        return t, (r + inner[1].start + origin[t, 0]).astype(np.int32), (c + inner[2].start + origin[t, 1]).astype(np.int32), out[inner][t, r, c]
 
     return over_tiles(images, image, ("row", "col"), ("value",), reach, work, "row int, col int, value double")
 

@@ -107,11 +107,12 @@ def ssim(images: DataFrame, a: str, b: str, reach: int = 1, c1: float = 1e-4, c2
 
     def score(known, arrays, inner, origin):
         x, y = arrays
-        n, *sums = [box_sum(v, reach)[inner] for v in (known.astype(float), x, y, x * x, y * y, x * y)]
+        n, *sums = [box_sum(v, reach, 1)[inner] for v in (known.astype(float), x, y, x * x, y * y, x * y)]
         own = known[inner]
         ma, mb, aa, bb, ab = [(v / np.maximum(n, 1))[own] for v in sums]
         s = ((2 * ma * mb + c1) * (2 * (ab - ma * mb) + c2)) / ((ma * ma + mb * mb + c1) * (aa - ma * ma + bb - mb * mb + c2))
-        return np.array([s.sum()]), np.array([len(s)])
+        tile = np.nonzero(own)[0]
+        return np.arange(len(own)), np.bincount(tile, s, len(own)).astype(float), np.bincount(tile, minlength=len(own))
 
     tiles = over_tiles(images, image, axes, (a, b), reach, score, "s double, n long")
     return tiles.groupBy(image).agg((F.sum("s") / F.sum("n")).alias("ssim")).where("ssim is not null")

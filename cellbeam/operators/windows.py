@@ -12,16 +12,20 @@ from pyspark.sql import types as T
 
 #: Cells of a tile by axis, for images and for volumes.
 TILE = {1: 4096, 2: 128, 3: 32}
+#: Cells of the tiles that are worked on together, margins included.
+STACK = 1 << 20
 
 
 def over_tiles(cells: DataFrame, key: str, axes: tuple[str, ...], values: tuple[str, ...], reach: int, work: Callable, fields: str, tile: int | None = None) -> DataFrame:
-    """``work(known, arrays, inner)`` on every tile of every image, as rows of ``key`` and ``fields``.
+    """``work(known, arrays, inner, origin)`` on every tile of every image, as rows of ``key`` and ``fields``.
 
     A tile is a box of ``tile`` cells an axis with a margin of ``reach`` on all sides; a cell is sent to each tile
     whose box or margin holds it: few more rows than cells, where windows would send one per window cell. A tile
-    bounds what a task holds, whatever the size of an image. ``known``: which cells there are; ``arrays``: their
-    values, 0 elsewhere (a null value makes its cell missing); ``inner``: the tile without its margin, as slices.
-    ``work`` gives columns of equal length; ``origin`` is the place of the first cell, margin included.
+    bounds what a task holds, whatever the size of an image. Tiles of one shape are worked on together, ``STACK``
+    cells at a time, so that many small images cost no step each: the first axis of all arrays is the tile.
+    ``known``: which cells there are; ``arrays``: their values, 0 elsewhere (a null value makes its cell missing);
+    ``inner``: the tiles without their margins, as slices; ``origin``: the place of each tile's first cell, margin
+    included. ``work`` gives columns of equal length, first the number of the tile that a row belongs to.
     """
     tile = tile or TILE[len(axes)]
     home = [F.floor(F.col(a) / tile).cast("long") for a in axes]
@@ -46,29 +50,44 @@ def over_tiles(cells: DataFrame, key: str, axes: tuple[str, ...], values: tuple[
             yield from several(pa.Table.from_batches(held).combine_chunks())
 
     def several(table):
-        cuts = [*_groups(table, tiles), table.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi > lo:
-                yield one(table.slice(lo, hi - lo))
-
-    def one(rows):
-        box = [rows.column(t)[0].as_py() for t in tiles]
-        origin = [b * tile - reach for b in box]
-        place = [rows.column(f"__a{i}").to_numpy() - o for i, o in enumerate(origin)]
+        starts = np.array(_groups(table, tiles))
+        if not table.num_rows:
+            return
+        many = np.diff(np.append(starts, table.num_rows))
+        tile_of = np.repeat(np.arange(len(starts)), many)
+        keys = table.column("__key").combine_chunks()
+        keys = keys.take(pa.array(starts))
+        origin = np.stack([table.column(t).to_numpy()[starts] * tile - reach for t in tiles], 1)
+        place = np.stack([table.column(f"__a{i}").to_numpy() for i in range(len(axes))], 1) - origin[tile_of]
         # an image smaller than its tile takes no more room than its cells and the margin
-        shape = [min(tile + 2 * reach, int(p.max()) + 1 + reach) for p in place]
-        known = np.zeros(shape, bool)
-        known[tuple(place)] = True
+        shapes = np.minimum(tile + 2 * reach, np.maximum.reduceat(place, starts, 0) + 1 + reach)
+        kinds, kind = np.unique(shapes, axis=0, return_inverse=True)
+        kind = kind.reshape(-1)
+        # a tile that holds nothing but margin has no window of its own, as beside the first cells of every image
+        full = np.logical_or.reduceat(((place >= reach) & (place < reach + tile)).all(1), starts)
+        held = [table.column(f"__v{i}").to_numpy() for i in range(len(values))]
+        for k, shape in enumerate(kinds.tolist()):
+            same = np.flatnonzero((kind == k) & full)
+            step = max(1, STACK // int(np.prod(shape)))
+            for lo in range(0, len(same), step):
+                yield stack(same[lo : lo + step], shape, starts, many, place, held, keys, origin)
+
+    def stack(own, shape, starts, many, place, held, keys, origin):
+        """One batch of rows from tiles of one shape."""
+        count = many[own]
+        which = np.repeat(np.arange(len(own)), count)
+        rows = np.repeat(starts[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        at = (which, *place[rows].T)
+        known = np.zeros((len(own), *shape), bool)
+        known[at] = True
         arrays = []
-        for i in range(len(values)):
-            a = np.zeros(shape)
-            a[tuple(place)] = rows.column(f"__v{i}").to_numpy()
+        for v in held:
+            a = np.zeros(known.shape)
+            a[at] = v[rows]
             arrays.append(a)
-        inner = tuple(slice(reach, min(reach + tile, n)) for n in shape)
-        out = work(known, arrays, inner, origin)
-        n = len(out[0])
-        keys = pa.array([rows.column("__key")[0].as_py()] * n, rows.schema.field("__key").type)
-        return pa.RecordBatch.from_arrays([keys, *[pa.array(c) for c in out]], names=[f.name for f in schema.fields])
+        inner = (slice(None), *[slice(reach, min(reach + tile, n)) for n in shape])
+        which, *out = work(known, arrays, inner, origin[own])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(own[which])), *[pa.array(c) for c in out]], names=[f.name for f in schema.fields])
 
     ordered = at.repartition("__key", *tiles).sortWithinPartitions("__key", *tiles)
     return ordered.mapInArrow(run, schema)
@@ -87,9 +106,9 @@ def _groups(table: pa.Table, tiles: list[str]) -> list[int]:
     return [0, *(np.flatnonzero(new) + 1).tolist()] if n else [0]
 
 
-def box_sum(a: np.ndarray, reach: int) -> np.ndarray:
-    """Sums over windows of ``reach`` cells to all sides, clipped at the array's ends: running sums, axis by axis."""
-    for axis in range(a.ndim):
+def box_sum(a: np.ndarray, reach: int, first: int = 0) -> np.ndarray:
+    """Sums over windows of ``reach`` cells to all sides, clipped at the array's ends: running sums, axis by axis from ``first`` on."""
+    for axis in range(first, a.ndim):
         n = a.shape[axis]
         total = np.concatenate([np.zeros_like(a.take([0], axis)), np.cumsum(a, axis)], axis)
         i = np.arange(n)

@@ -16,3 +16,17 @@ def test_poses_go_down_a_tree_of_points():
         p = p[np.argsort(p[:, 0], kind="stable")]
         want = sum((camera._in_image(np.broadcast_to(q, (len(p), 7)), p, cam).astype(int) for q in poses), np.zeros(len(p), int))
         assert (camera.seen_by(p, poses, cam) == want).all()
+
+
+def test_windows_work_on_many_images_at_once(spark, monkeypatch):
+    """Small images share a step, and a step is bounded by STACK cells."""
+    frame = spark.range(300).select(F.col("id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i")).select("image_id", (F.col("i") % 4).alias("col"), F.floor(F.col("i") / 4).cast("int").alias("row"), F.lit(1.0).alias("value"))
+
+    def work(known, arrays, inner, origin):
+        assert known.ndim == 3 and len(origin) == len(known)
+        return np.arange(len(known)), np.full(len(known), len(known))
+
+    for stack, most in ((1 << 20, 300), (72 * 7, 7)):
+        monkeypatch.setattr(windows, "STACK", stack)
+        got = windows.over_tiles(frame.coalesce(1), "image_id", ("row", "col"), ("value",), 2, work, "together long").collect()
+        assert len(got) == 300 and 1 < max(r["together"] for r in got) <= most
