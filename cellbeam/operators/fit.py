@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,13 +56,20 @@ def apply_network(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], ki
     return x
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A batch of arrays of one length as a matrix; a null entry is undefined."""
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    if len(flat) != len(column) * width:
+        raise ValueError(f"the network takes {width} inputs in each row")
+    return flat.reshape(-1, width)
+
+
 def decode(features: Column, layers: list[tuple[np.ndarray, np.ndarray]], kind: str = "relu", last: str = "id") -> Column:
     """First output of a network over an array column, batch by batch."""
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        h = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, len(layers[0][0])))
-        return pd.Series(apply_network(h, layers, kind, last)[:, 0])
+    @F.arrow_udf("double")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array(apply_network(_matrix(x, len(layers[0][0])), layers, kind, last)[:, 0])
 
     return run(features)
 
@@ -71,10 +77,10 @@ def decode(features: Column, layers: list[tuple[np.ndarray, np.ndarray]], kind:
 def decode_channels(features: Column, layers: list[tuple[np.ndarray, np.ndarray]], kind: str = "relu", last: str = "id") -> Column:
     """All outputs of a network over an array column, as an array."""
 
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        h = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, len(layers[0][0])))
-        return pd.Series(list(apply_network(h, layers, kind, last)))
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array) -> pa.Array:
+        y = apply_network(_matrix(x, len(layers[0][0])), layers, kind, last)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
 
     return run(features)
 
