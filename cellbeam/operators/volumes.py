@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from math import prod
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import AXES, activation, activation_slope, delinearize
+from ..sources.tables import settled
 from .active import local_in
 from .fit import decode
 from .interp import gather_cells, grid_gradient, interpolate, place
@@ -15,6 +18,16 @@ from .rays import integrate
 from .tree import boxes, level_start
 
 
+#: Cells of node grids, all channels together, up to which the grids are sent to the samples: 32 MB of doubles.
+BROADCAST_CELLS = 1 << 22
+
+
+def node_arrays(grid: DataFrame, cells: dict[str, int], channels: list[str] | None = None) -> DataFrame:
+    """``gather_cells`` of all nodes, written once; broadcast up to ``BROADCAST_CELLS``, so that samples are not shuffled."""
+    nodes = settled(gather_cells(grid, cells, "node_id", channels))
+    return F.broadcast(nodes) if nodes.count() * prod(cells.values()) * len(channels or [1]) <= BROADCAST_CELLS else nodes
+
+
 def lattice_cells(spark: SparkSession, size: tuple[int, int, int], last_fastest: bool = False) -> DataFrame:
     """``i, cx, cy, cz``: all cells of a lattice; the first axis runs fastest unless told otherwise."""
     c = delinearize(F.col("id"), size, last_fastest)
@@ -65,11 +78,12 @@ def sample_volume(samples: DataFrame, grid: DataFrame, depth: int, size: int, la
 
     ``grid``: node_id, iz, iy, ix and value, or one column per channel (``value0``, ``value1``...) for a decoder
     with as many inputs. Samples outside all nodes, or in a node without a grid, get 0. The grids travel once per
-    node as arrays; samples are neither exploded nor summed again.
+    node as arrays; samples are neither exploded nor summed again, and shuffled only where the grids are too large
+    to be broadcast.
     """
     channels = sorted(c for c in grid.columns if c.startswith("value"))
     where, cells = node_places(depth, size, mixed)
-    nodes = gather_cells(grid, cells, "node_id", channels)
+    nodes = node_arrays(grid, cells, channels)
     j = place(samples, where, cells).join(nodes, "node_id", "left")
     features = [interpolate(f"__{c}", where, cells) for c in channels]
     raw = decode(F.array(*[F.coalesce(f, F.lit(0.0)) for f in features]), layers) if layers else features[0]
@@ -86,7 +100,7 @@ def render(rays: DataFrame, samples: DataFrame, grid: DataFrame, depth: int, siz
 def residuals(rendered: DataFrame, targets: DataFrame, target: str = "target") -> DataFrame:
     """``ray_id, residual``: derivative of the rays' mean squared error by each ray's integral."""
     n = targets.count()
-    return rendered.join(targets.select("ray_id", target), "ray_id").select("ray_id", ((F.col("integral") - F.col(target)) * (2.0 / max(n, 1))).alias("residual"))
+    return rendered.join(targets.select("ray_id", target).hint("merge"), "ray_id").select("ray_id", ((F.col("integral") - F.col(target)) * (2.0 / max(n, 1))).alias("residual"))
 
 
 def render_gradient(rays: DataFrame, samples: DataFrame, grid: DataFrame, depth: int, size: int, kind: str = "softplus", mixed: bool = False) -> DataFrame:
@@ -95,9 +109,11 @@ def render_gradient(rays: DataFrame, samples: DataFrame, grid: DataFrame, depth:
     A sample hands its ray's residual on to the cells around it, times its weight, the activation's slope there and
     the cell's share. Shares of a cell are summed before the only shuffle that grows with the samples. Samples in
     nodes without a grid have none; a cell that its grid lacks counts as 0 and gets a gradient all the same.
+    Samples that carry their ray's ``residual`` already (see ``ray_samples``) are not joined with ``rays``.
     """
     where, cells = node_places(depth, size, mixed)
-    j = place(samples.join(rays.select("ray_id", "residual"), "ray_id"), where, cells).join(gather_cells(grid, cells), "node_id")
+    known = samples if "residual" in samples.columns else samples.join(rays.select("ray_id", "residual"), "ray_id")
+    j = place(known, where, cells).join(node_arrays(grid, cells), "node_id")
     pushed = j.withColumn("__push", F.col("residual") * F.col("weight") * activation_slope(interpolate("__value", where, cells), kind))
     return grid_gradient(pushed, "__push", {a: F.col(f"__q_{a}") for a in where}, cells)
 

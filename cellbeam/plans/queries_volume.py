@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import AXES, r6
 from ..operators import batches, camera, fit, interp, metrics, points, rays, tree, volumes
+from ..sources.tables import settled
 from .queries_images import _CUBE, IM, _hash_sql, cells, grids, lerp_sql
 from .queries_tree import _ACTIVE, _SAMPLES, DEPTH, DIAGONAL, active_nodes, hits_of, rnd
 from .scenes import SQL, d, images, leaf_sql, tree_sql, uniform_sql, view
@@ -87,8 +88,11 @@ _BACK = f"d1 AS (SELECT rays.ray_id, rays.target, coalesce(sum(weight * density)
 @query("render_gradient", f"WITH {SQL['points']}, {_SAMPLES}, s AS (SELECT ray_id * 1000000 + node_id * 1000 + j AS i, ray_id, node_id, weight, x, y, z FROM samples), {density_sql('s', 'i')}, {_BACK} SELECT node_id, CAST(iz AS INT) AS iz, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(gradient, 6) + {d(0)} AS gradient FROM g")
 def render_gradient(spark, sf):
     """From the rays' errors back to the cells of all nodes' grids."""
-    r, s, grid = view(spark, sf, "rays"), rays.ray_samples(hits_of(spark, sf), DIAGONAL, 8), point_grid(spark, sf)
+    r, s, grid = view(spark, sf, "rays"), rays.ray_samples(hits_of(spark, sf), DIAGONAL, 8), settled(point_grid(spark, sf))
     back = volumes.residuals(volumes.render(r, s, grid, DEPTH, N), r)
+    # residuals go down the rays a second time, one row a ray, so that no sample is joined with its ray
+    hits = rays.ray_node_hits(r.join(back.hint("merge"), "ray_id"), DEPTH, carry=("residual",))
+    s = rays.ray_samples(hits, DIAGONAL, 8, carry=("residual",))
     return volumes.render_gradient(back, s, grid, DEPTH, N).select("node_id", "iz", "iy", "ix", r6(F.col("gradient")).alias("gradient"))
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cellbeam.operators import camera, interp, rays, volumes, windows
+from cellbeam.operators import camera, rays, volumes, windows
 
 
 def test_poses_go_down_a_tree_of_points():
@@ -30,3 +30,23 @@ def test_windows_work_on_many_images_at_once(spark, monkeypatch):
         monkeypatch.setattr(windows, "STACK", stack)
         got = windows.over_tiles(frame.coalesce(1), "image_id", ("row", "col"), ("value",), 2, work, "together long").collect()
         assert len(got) == 300 and 1 < max(r["together"] for r in got) <= most
+
+
+def test_samples_are_not_shuffled_to_small_grids(spark):
+    """Grids are broadcast by their own size, whatever Spark guesses from the files behind them."""
+    grid = spark.range(64).selectExpr("0L as node_id", "cast(id div 16 as int) as iz", "cast(id div 4 % 4 as int) as iy", "cast(id % 4 as int) as ix", "1.0D as value")
+    samples = spark.range(5).selectExpr("id as ray_id", "0L as node_id", "0D as x", "0D as y", "0D as z", "1D as weight")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = volumes.sample_volume(samples, grid, 0, 4)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and out.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hits_and_samples_carry_columns(spark):
+    r = spark.createDataFrame([(1, -1.5, 0.1, 0.1, 1.0, 0.0, 0.0, 7.5)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double, residual double")
+    s = rays.ray_samples(rays.ray_node_hits(r, 1, carry=("residual",)), 1.0, 4, carry=("residual",))
+    assert s.count() > 4 and {x["residual"] for x in s.collect()} == {7.5}
