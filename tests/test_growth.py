@@ -34,12 +34,12 @@ def test_windows_work_on_many_images_at_once(spark, monkeypatch):
 
 def test_samples_are_not_shuffled_to_small_grids(spark):
     """Grids are broadcast by their own size, whatever Spark guesses from the files behind them."""
-    grid = spark.range(64).selectExpr("0L as node_id", "cast(id div 16 as int) as iz", "cast(id div 4 % 4 as int) as iy", "cast(id % 4 as int) as ix", "1.0D as value")
-    samples = spark.range(5).selectExpr("id as ray_id", "0L as node_id", "0D as x", "0D as y", "0D as z", "1D as weight")
+    grid = spark.range(128).selectExpr("1 + id div 64 as node_id", "cast(id % 64 div 16 as int) as iz", "cast(id div 4 % 4 as int) as iy", "cast(id % 4 as int) as ix", "1.0D as value")
+    samples = spark.range(5).selectExpr("id as ray_id", "1 + id % 2 as node_id", "0D as x", "0D as y", "0D as z", "1D as weight")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = volumes.sample_volume(samples, grid, 0, 4)
+        out = volumes.sample_volume(samples, grid, 1, 4)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and out.count() == 5
     finally:
