@@ -1,17 +1,22 @@
 """Near duplicates among embeddings by lattice hashing.
 
 Random projections of the unit vectors, eight numbers at a time, are decoded to points of the lattice E8; a table's
-cell is made of a few such points. A vector stands in its own cell and looks into those neighbouring cells that lie
-nearest, in several tables. Vectors that meet are compared by cosine in doubles.
-
-A pair is counted in the first table where it meets and there in one cell only, which both rows' cells decide, so
-counts of links are summed without any list of pairs. A cell sends each vector's count and a spanning forest of the
-links it has found: both are bounded by its vectors. Equal vectors are one class from the start, and a crowded cell
-is cut into blocks that meet pairwise in tasks of their own.
+cell is made of a few such points. A vector stands in its own cell and in those neighbouring cells that lie nearest,
+in several tables. Into a cell it sends a name and a sketch of 96 signs only, and the cell answers with a spanning
+forest of the pairs whose sketches are near: candidates. Vectors themselves travel to the component of candidates
+that they are in, once; there all are compared by cosine in doubles. So most vectors, which have no candidate, never
+travel, and the others do not travel to every cell.
+
+Counts of links and spanning forests leave a component, no pairs. Equal vectors are one class from the start. Of a
+component beyond a block the core, whose vectors lie within half the limit's angle of the common direction and so
+all link, is counted without comparison; the others are cut into blocks that meet all blocks in tasks of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from functools import lru_cache
 from itertools import combinations, product
 
 import numpy as np
@@ -22,15 +27,19 @@ from pyspark.sql import types as T
 
 from .common import drop_stash, mix, shared_dir, stash
 from .components import components
-from .vectors import matrices, rotation
+from .vectors import matrices, rotation, sum_arrays
 
-#: Tables, E8 points a cell is made of, neighbouring cells that a vector looks into, and the lattice's scale for
+#: Tables, E8 points a cell is made of, neighbouring cells that a vector stands in, and the lattice's scale for
 #: projections of unit vectors to eight numbers of expected length one.
-TABLES, POINTS, PROBES, WIDTH = 3, 2, 6, 1.13
-#: Vectors of one cell that one task compares with each other or with as many others, and pairs a step.
-BLOCK, PAIRS = 1536, 1 << 18
-#: Vectors of a group from which it is compared as a product of matrices.
+TABLES, POINTS, PROBES, WIDTH = 3, 2, 5, 0.72
+#: Signs of a sketch, and by how many deviations more of them than expected may differ in a candidate at the limit.
+SIGNS, SURE = 96, 4.2
+#: Vectors of a component that one task compares with each other or with as many others, and pairs a step.
+BLOCK, PAIRS = 4096, 1 << 18
+#: Vectors of a group from which it is compared as a product of matrices, or sketches against all others.
 LARGE = 128
+#: Rows up to which a table is broadcast.
+BROADCAST_ROWS = 1 << 19
 _SEED = 812
 
 
@@ -42,6 +51,7 @@ def _roots() -> np.ndarray:
 
 
 ROOTS = _roots()
+turned = lru_cache(maxsize=32)(rotation)
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -68,7 +78,7 @@ def cells(unit: np.ndarray, tables: int = TABLES, points: int = POINTS, probes:
     names = np.random.default_rng(_SEED).integers(1, 2**63, 8 * points, dtype=np.uint64) | np.uint64(1)
     out = np.empty((n, tables, 1 + probes), np.uint32)
     for t in range(tables):
-        y = unit @ rotation(wide, _SEED + t)[:, : 8 * points]
+        y = unit @ turned(wide, _SEED + t)[:, : 8 * points]
         cost, hashed = np.zeros((n, 1)), np.zeros((n, 1), np.uint64)
         for p in range(points):
             z = y[:, 8 * p : 8 * p + 8]
@@ -95,22 +105,103 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 
 def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows of cell names of one table meet: one of them looks into the other's own cell, or stands there."""
-    return (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+    """Whether rows of cell names of one table meet: they share a cell."""
+    return (a[:, :, None] == b[:, None, :]).any((1, 2))
+
+
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """(rows, SIGNS / 32) words of the signs of random projections."""
+    d = unit.shape[1]
+    planes = np.concatenate([turned(d, _SEED + 1000 + k) for k in range(-(-SIGNS // d))], 1)[:, :SIGNS]
+    return np.packbits(unit @ planes > 0, axis=1).view(np.uint32)
+
 
+def most_signs(limit: float) -> int:
+    """Differing signs up to which a pair is a candidate for a cosine of at least ``limit``."""
+    share = math.acos(max(-1.0, min(1.0, limit))) / math.pi
+    return math.floor(SIGNS * share + SURE * math.sqrt(SIGNS * share * (1 - share)))
 
-def counts_here(table: np.ndarray, a: np.ndarray, b: np.ndarray, own_b: np.ndarray, a_first: np.ndarray) -> np.ndarray:
-    """Which pairs of an owner ``a`` of a cell and another vector ``b`` in it count there.
 
-    Pairs that meet in an earlier table count there. If b's own cell sees both as well, the pair counts in the cell
-    of the one that comes first.
+def differing(a: np.ndarray, b: np.ndarray, high_a: np.ndarray, high_b: np.ndarray) -> np.ndarray:
+    """How many signs differ, from the 64 and the 32 of each side."""
+    return np.bitwise_count(a ^ b) + np.bitwise_count(high_a ^ high_b)
+
+
+def near_labels(low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """A label for each of a crowded cell's sketches: equal where sketches reach each other over near ones.
+
+    Sketches with one label are not compared, so a group of near copies costs its size, not the square.
     """
-    ok = np.ones(len(table), bool)
-    for t in range(int(table.max(initial=0))):
-        ok &= (table <= t) | ~met(a[:, t], b[:, t])
-    at = np.arange(len(table))
-    seen = (a[at, table] == b[at, table, :1]).any(1)
-    return ok & (own_b | ~seen | a_first)
+    n = len(low)
+    label, open_ = np.arange(n), np.arange(n)
+    while len(open_):
+        count = np.bincount(label[open_], minlength=n)
+        top = int(count.argmax())
+        if count[top] > 1:
+            same = label[open_] == top
+            take, others = open_[same], open_[~same]
+            take = take[: max(256, PAIRS * 8 // max(len(others), 1))]
+        else:
+            take, others = open_[:256], open_
+        reached, by = [], []
+        for at in range(0, len(others), 8192):
+            to = others[at : at + 8192]
+            for lo in range(0, len(take), 256):
+                some = take[lo : lo + 256]
+                p, q = np.nonzero(differing(low[some, None], low[to], high[some, None], high[to]) <= most)
+                reached.append(label[to[q]])
+                by.append(label[some[p]])
+        if reached:
+            p, q = np.concatenate(by), np.concatenate(reached)
+            some = p != q
+            if some.any():
+                names, at = np.unique(np.concatenate([p[some], q[some]]), return_inverse=True)
+                half = len(at) // 2
+                new = np.arange(n)
+                new[names] = names[forest(len(names), at[:half], at[half:])]
+                label = new[label]
+        shut = np.zeros(n, bool)
+        shut[take] = True
+        open_ = open_[~shut[open_]]
+    return label
+
+
+def candidates(cell: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forests (a, b) of the near sketches of whole cells; rows are sorted by cell and ``c``."""
+    fresh = np.append(True, (cell[1:] != cell[:-1]) | (c[1:] != c[:-1])) if len(c) else np.zeros(0, bool)
+    cell, c, low, high = cell[fresh], c[fresh], low[fresh], high[fresh]
+    n = len(c)
+    heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if n else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], n)
+    size = ends - heads
+    start, end = np.repeat(heads, size), np.repeat(ends, size)
+    ps, qs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p, q in pairs_of(start, end, (end - start > 1) & (end - start <= LARGE)):
+        near = differing(low[p], low[q], high[p], high[q]) <= most
+        ps.append(p[near])
+        qs.append(q[near])
+    label = forest(n, np.concatenate(ps), np.concatenate(qs))
+    for k in np.flatnonzero(size > LARGE).tolist():
+        at = slice(int(heads[k]), int(ends[k]))
+        label[at] = heads[k] + near_labels(low[at], high[at], most)
+    linked = np.flatnonzero(label != np.arange(n))
+    return c[label[linked]], c[linked]
+
+
+class Seen:
+    """Which names came before, as far as a small table remembers: most repeats of common names are found."""
+
+    def __init__(self, bits: int = 16):
+        self.names, self.bits = np.zeros(1 << bits, np.int64), np.uint64(64 - bits)
+
+    def fresh(self, names: np.ndarray) -> np.ndarray:
+        """Positions of the names that are not known to repeat."""
+        _, first = np.unique(names, return_index=True)
+        at = np.sort(first)
+        slot = (mix(names[at].view(np.uint64)) >> self.bits).astype(np.int64)
+        new = self.names[slot] != names[at]
+        self.names[slot] = names[at]
+        return at[new | (names[at] == 0)]
 
 
 def forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -155,61 +246,70 @@ def close_pairs(x: np.ndarray, start: np.ndarray, end: np.ndarray, own: np.ndarr
             yield p[p < q] + at, q[p < q] + at
 
 
-def links_of(rows: pa.Table, limit: float, tables: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class, links, a, b) of whole groups of a cell's blocks: sums of links and a spanning forest over least ids."""
-    cell, i, j, size, block, c, least, weight = (rows.column(k).to_numpy() for k in ("cell", "i", "j", "size", "block", "c", "least", "weight"))
-    own = rows.column("own").to_numpy(zero_copy_only=False)
-    n = len(cell)
-    new = np.append(True, (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (size[1:] != size[:-1]))
-    heads = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    start, end = heads[group], np.append(heads[1:], n)[group]
-    names = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint32).reshape(n, tables, 1 + probes)
+def links_of(rows: pa.Table, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, links, a, b) of whole groups of a component's blocks: sums of links and a spanning forest over least ids."""
+    comp, i, j, size, block, c, least, weight = (rows.column(k).to_numpy() for k in ("comp", "i", "j", "size", "block", "c", "least", "weight"))
+    own = block == i
+    n = len(comp)
+    heads = np.flatnonzero(np.append(True, (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (size[1:] != size[:-1])))
+    ends = np.append(heads[1:], n)
+    start, end = np.repeat(heads, ends - heads), np.repeat(ends, ends - heads)
     raw = rows.column("x").to_pylist()
-    table = cell >> 32
-    links, ps, qs = np.zeros(n, np.int64), [], []
+    links, label = np.zeros(n, np.int64), np.arange(n)
     for width in np.unique(size).tolist():
         at = np.flatnonzero(size == width)
         place = np.full(n + 1, -1)
         place[at] = np.arange(len(at))
-        x = unit_rows(np.frombuffer(b"".join(raw[k] for k in at), float).reshape(len(at), -1))
+        x = unit_rows(vectors_of([raw[k] for k in at], width))
         for p, q in close_pairs(x, place[start[at]], place[end[at] - 1] + 1, own[at], limit):
-            p, q = at[p], at[q]
-            for lo in range(0, len(p), PAIRS):
-                a, b = p[lo : lo + PAIRS], q[lo : lo + PAIRS]
-                ok = (i[a] == j[a]) | (block[a] != block[b])
-                a, b = a[ok], b[ok]
-                ok = counts_here(table[a], names[a], names[b], own[b], c[a] < c[b])
-                a, b = a[ok], b[ok]
+            a, b = at[p], at[q]
+            ok = (i[a] == j[a]) | (block[a] != block[b])
+            a, b = a[ok], b[ok]
+            if len(a):
+                # weighted sums of longs: exact below 2^53
                 links += (np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)).astype(np.int64)
-                low = forest(n, a, b)
-                some = np.flatnonzero(low != np.arange(n))
-                ps.append(low[some])
-                qs.append(some)
-    some = np.flatnonzero(links)
-    p, q = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (ps, qs))
-    low = forest(n, p, q)
-    linked = np.flatnonzero(low != np.arange(n))
-    return c[some], links[some], least[low[linked]], least[linked]
+                label = label[forest(n, label[a], label[b])]
+    some, linked = np.flatnonzero(links), np.flatnonzero(label != np.arange(n))
+    return c[some], links[some], least[label[linked]], least[linked]
+
+
+def vectors_of(raw: list[bytes], size: int) -> np.ndarray:
+    """Vectors of ``size`` entries from their bytes, as ``bytes_of`` gives them."""
+    out = np.empty((len(raw), size))
+    short = np.array([len(b) == 4 * size for b in raw], bool)
+    for kind, at in ((np.float32, np.flatnonzero(short)), (np.float64, np.flatnonzero(~short))):
+        out[at] = np.frombuffer(b"".join(raw[k] for k in at), kind).reshape(len(at), size)
+    return out
+
+
+def bytes_of(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes: of four-byte numbers if these hold all entries exactly, else of eight-byte ones."""
+    with np.errstate(over="ignore", under="ignore"):
+        short = x.astype(np.float32)
+    exact = (short == x).all(1)
+    return [(s if e else row).tobytes() for s, row, e in zip(short, x, exact.tolist(), strict=True)]
 
 
 def whole_groups(batches, columns: tuple[str, ...], rows: int = 8192):
     """Tables of about ``rows`` rows that end where a group of equal ``columns`` ends; the input is sorted by them."""
     held: list[pa.RecordBatch] = []
+    least, count = rows, 0
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
+        count += batch.num_rows
+        if count < least:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         keys = [table.column(c).to_numpy() for c in columns]
         new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         if len(new):
             yield table.slice(0, int(new[-1]))
-            held = table.slice(int(new[-1])).to_batches()
-        else:
-            held = table.to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
+            table = table.slice(int(new[-1]))
+        held, count = table.to_batches(), table.num_rows
+        # a group larger than a step is put together a few times only
+        least = max(rows, 2 * count)
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def similar_vectors(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, points: int = POINTS, probes: int = PROBES) -> DataFrame:
@@ -227,80 +327,188 @@ def similar_vectors(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_
         paths.append(shared_dir(spark))
         return stash(df, paths[-1])
 
-    read = T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.BinaryType())])
-
-    def usable(batches):
-        for batch in batches:
-            held: list[bytes | None] = [None] * batch.num_rows
-            for rows, x in matrices(batch.column(1)):
-                some = (x != 0).any(1) if x.shape[1] else np.zeros(len(x), bool)
-                for row, one in zip(rows[some].tolist(), x[some] + 0.0, strict=True):
-                    held[row] = one.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=read.names)
+    def small(df: DataFrame) -> DataFrame:
+        """A kept table, broadcast where it has few rows."""
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    named = keep(source.mapInArrow(usable, read).withColumn("name", F.when(F.col("id").isNotNull(), F.unhex(F.sha2("x", 256)))))
-    once = named.where("name is not null").groupBy("name", "id").agg(F.first("x").alias("x")).groupBy("name").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("x").alias("x"))
-    classes = keep(once.withColumn("c", F.monotonically_increasing_id()))
-
-    def hashed(batch) -> np.ndarray:
-        """Cell names of a batch's classes, all lengths of vectors."""
-        raw = batch.column(batch.schema.get_field_index("x")).to_pylist()
-        out = np.zeros((len(raw), tables, 1 + probes), np.uint32)
-        long = np.array([len(b) for b in raw])
-        for size in np.unique(long).tolist():
-            at = np.flatnonzero(long == size)
-            x = np.frombuffer(b"".join(raw[i] for i in at), float).reshape(len(at), -1)
-            out[at] = cells(unit_rows(x), tables, points, probes) ^ np.uint32(size // 8)
-        return out
-
-    entry = T.StructType([T.StructField("cell", T.LongType()), T.StructField("c", T.LongType()), T.StructField("own", T.BooleanType())])
+
+    def usable(batch):
+        """(rows, matrix, names, checks, bytes) of a batch's vectors that can link, by length."""
+        known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        for rows, x in matrices(batch.column(1)):
+            some = (x != 0).any(1) & known[rows] if x.shape[1] else np.zeros(len(x), bool)
+            if some.any():
+                x = x[some] + 0.0
+                raw = bytes_of(x)
+                names = np.frombuffer(b"".join(hashlib.sha256(b).digest()[:16] for b in raw), np.int64).reshape(-1, 2)
+                yield rows[some], x, names[:, 0], names[:, 1], raw
+
+    name = T.StructType([T.StructField(k, T.LongType()) for k in ("id", "c", "sum")])
+
+    def call(batches):
+        for batch in batches:
+            c, check, none = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
+            for rows, _, names, checks, _ in usable(batch):
+                c[rows], check[rows], none[rows] = names, checks, False
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, mask=none), pa.array(check, mask=none)], names=name.names)
+
+    # vectors are named by 64 bits of their hash, another 64 show two that share a name
+    named = keep(source.mapInArrow(call, name))
+    once = named.where("c is not null").groupBy("c", "id").agg(F.min("sum").alias("lo"), F.max("sum").alias("hi")).groupBy("c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    copies = keep(once.where("weight > 1 or lo <> hi"))
+    if not copies.where("lo <> hi").isEmpty():
+        raise ValueError("two vectors have one name of 64 bits")
+    copies = small(copies.select("c", "least", "weight"))
+
+    entry = T.StructType([T.StructField(k, T.LongType()) for k in ("key", "c", "low")])
+    most = most_signs(limit)
 
     def enter(batches):
+        seen = Seen()
         for batch in batches:
-            got = hashed(batch)
-            c = batch.column(batch.schema.get_field_index("c"))
-            for t in range(tables):
-                for k in range(1 + probes):
-                    new = np.flatnonzero(~(got[:, t, k : k + 1] == got[:, t, :k]).any(1))
-                    cell = (np.int64(t) << 32) | got[new, t, k].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), c.take(pa.array(new)), pa.array(np.full(len(new), k == 0))], names=entry.names)
-
-    entries = keep(classes.select("c", "x").mapInArrow(enter, entry))
-    # cells in which nobody can meet go before any vector travels
-    live = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("long")).alias("owners")).where("n > 1 and owners > 0").select("cell", "n")
-    signed = T.StructType([*[T.StructField(c, T.LongType()) for c in ("c", "least", "weight")], T.StructField("x", T.BinaryType()), T.StructField("cells", T.BinaryType())])
-
-    def sign(batches):
+            for _, x, names, _, _ in usable(batch):
+                at = seen.fresh(names)
+                if not len(at):
+                    continue
+                unit, c = unit_rows(x[at]), names[at]
+                got = (cells(unit, tables, points, probes) ^ np.uint32(x.shape[1])).astype(np.int64)
+                sketch = sketches(unit)
+                low = np.ascontiguousarray(sketch[:, :2]).view(np.int64)[:, 0]
+                for t in range(tables):
+                    for k in range(1 + probes):
+                        new = np.flatnonzero(~(got[:, t, k : k + 1] == got[:, t, :k]).any(1))
+                        # the cell's name, then the last signs; cells of two tables with one name are compared together
+                        key = ((got[new, t, k] ^ (t * 0x9E3779B1 & 0xFFFFFFFF)) << 32) | sketch[new, 2].astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c[new]), pa.array(low[new])], names=entry.names)
+
+    edge = T.StructType([T.StructField(k, T.LongType()) for k in ("a", "b")])
+
+    def pair(batches):
+        def parted():
+            for batch in batches:
+                key = batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(key >> 32), *batch.columns], names=["cell", *entry.names])
+
+        for rows in whole_groups(parted(), ("cell",)):
+            cell, key, c, low = (rows.column(k).to_numpy() for k in ("cell", "key", "c", "low"))
+            a, b = candidates(cell, c, low.view(np.uint64), (key & 0xFFFFFFFF).astype(np.uint32), most)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=edge.names)
+
+    entries = source.mapInArrow(enter, entry).repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "c")
+    near = components(entries.mapInArrow(pair, edge))
+    sizes = near.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("m"))
+    held = keep(near.select(F.col("node").alias("c"), F.col("component").alias("comp")).join(sizes, "comp").join(copies, "c", "left"))
+
+    member = T.StructType([T.StructField("id", T.LongType()), T.StructField("c", T.LongType()), T.StructField("size", T.LongType()), T.StructField("x", T.BinaryType())])
+
+    def carry(batches):
+        seen = Seen()
         for batch in batches:
-            got = [r.tobytes() for r in hashed(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=signed.names)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for rows, x, names, _, raw in usable(batch):
+                own = ids[rows].astype(np.int64)
+                at = seen.fresh((mix(own.view(np.uint64)) ^ names.view(np.uint64)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(names[at]), pa.array(np.full(len(at), x.shape[1])), pa.array([raw[k] for k in at.tolist()], pa.binary())], names=member.names)
 
-    blocks = F.expr(f"(n + {BLOCK - 1}) div {BLOCK}")
-    placed = entries.join(live, "cell").withColumn("block", F.pmod(F.xxhash64("c"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    placed = placed.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "c")
-    ready = placed.join(classes.select("c", "least", "weight", "x").mapInArrow(sign, signed), "c")
-    meeting = ready.select("cell", "i", "j", "block", "own", "c", "least", "weight", F.octet_length("x").alias("size"), "x", "cells").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "size", F.desc("own"))
-    found = T.StructType([T.StructField(c, T.LongType()) for c in ("c", "links", "a", "b")])
+    carried = source.mapInArrow(carry, member).join(small(held), "c").where("least is null or least = id")
+    picked = keep(carried.select("comp", "m", "size", "c", F.col("id").alias("least"), F.coalesce("weight", F.lit(1).cast("long")).alias("weight"), "x"))
+
+    found = T.StructType([T.StructField(k, T.LongType()) for k in ("c", "links", "a", "b")])
 
     def compare(batches):
-        for rows in whole_groups(batches, ("cell", "i", "j")):
-            c, links, a, b = links_of(rows, limit, tables, probes)
+        for rows in whole_groups(batches, ("comp", "i", "j")):
+            c, links, a, b = links_of(rows, limit)
             blank = pa.nulls(len(c), pa.int64()), pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(links), blank[0], blank[0]], names=found.names)
             yield pa.RecordBatch.from_arrays([blank[1], blank[1], pa.array(a), pa.array(b)], names=found.names)
 
-    links = keep(meeting.mapInArrow(compare, found))
+    # a row may repeat with its id; the task that it went to twice drops it
+    zero = F.lit(0).cast("long")
+    meeting = picked.where(F.col("m") <= BLOCK).select("comp", zero.alias("i"), zero.alias("j"), zero.alias("block"), "c", "least", "weight", "size", "x")
+    cored = None
+    if not picked.where(F.col("m") > BLOCK).isEmpty():
+        marked = keep(_marked(picked.where(F.col("m") > BLOCK), limit))
+        crowd = F.broadcast(keep(marked.select("key", "core", "c", "least", "weight").distinct().groupBy("key").agg(
+            F.sum((~F.col("core")).cast("long")).alias("n_rest"), F.sum(F.col("core").cast("long")).alias("n_core"),
+            F.sum(F.when(F.col("core"), F.col("weight"))).alias("heavy"), F.min(F.when(F.col("core"), F.col("least"))).alias("first"))))
+        inner = marked.join(crowd, "key")
+        cored = inner.where("core").select("c", (F.col("heavy") - F.col("weight")).alias("links"), F.col("first").alias("a"), F.col("least").alias("b")).distinct()
+        rest, cores = F.expr(f"(n_rest + {BLOCK - 1}) div {BLOCK}"), F.expr(f"(n_core + {4 * BLOCK - 1}) div {4 * BLOCK}")
+        dealt = F.xxhash64("c")
+        placed = inner.select("*", rest.alias("rest"), cores.alias("cores")).where("rest > 0")
+        placed = placed.withColumn("block", F.when(F.col("core"), F.col("rest") + F.pmod(dealt, F.col("cores"))).otherwise(F.pmod(dealt, F.col("rest"))))
+        placed = placed.withColumn("other", F.explode(F.sequence(zero, F.when(F.col("core"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("cores") - 1))))
+        meeting = meeting.unionByName(placed.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "least", "weight", "size", "x"))
+    order = ("comp", "i", "j", "size", "block", "c")
+    links = meeting.repartition("comp", "i", "j").sortWithinPartitions(*order).mapInArrow(_distinct, meeting.schema).mapInArrow(compare, found)
+    links = keep(links if cored is None else links.unionByName(cored))
+
     # an id with several vectors ties their classes together
-    several = named.where("name is not null").groupBy("id").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("id")
-    tied = named.join(several, "id").join(classes.select("name", "least"), "name").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    groups = components(links.where("a is not null").select("a", "b").unionByName(tied))
+    several = keep(named.where("c is not null").groupBy("id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("id"))
+    tied = keep(named.where("c is not null").join(small(several), "id").select("c", "id").distinct().join(copies, "c", "left").select("c", "id", F.coalesce("least", "id").alias("least"), F.coalesce("weight", F.lit(1)).alias("weight")))
+    groups = components(links.where("a is not null").select("a", "b").unionByName(tied.select(F.col("least").alias("a"), F.col("id").alias("b"))))
     counts = links.where("c is not null").groupBy("c").agg(F.sum("links").alias("links"))
-    judged = classes.select("name", "least", "weight", "c").join(counts, "c", "left").join(groups, F.col("least") == F.col("node"), "left")
-    judged = judged.select("name", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "least").alias("component"))
-    linked = named.select("id", "name").where("name is not null").join(judged, "name").select("id", "links", "component")
-    alone = named.where("name is null").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
-    out = stash(linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")), shared_dir(spark))
+    members = picked.select("c", "least", "weight").unionByName(copies).unionByName(tied.select("c", "least", "weight")).groupBy("c").agg(F.min("least").alias("least"), F.max("weight").alias("weight"))
+    judged = members.join(counts, "c", "left").join(groups, F.col("least") == F.col("node"), "left")
+    judged = keep(judged.select("c", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "least").alias("component")))
+    linked = named.select("id", "c").join(small(judged), "c", "left").select("id", F.coalesce("links", zero).alias("links"), F.coalesce("component", "id").alias("component"))
+    out = stash(linked.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")), shared_dir(spark))
     for path in paths:
         drop_stash(spark, path)
     return out
+
+
+def _distinct(batches):
+    """Rows of which the row before is not the same class in the same group; the input is sorted by both."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("comp", "i", "j", "c")], 1)
+        new = np.append(True, (keys[1:] != keys[:-1]).any(1))
+        new[0] = before is None or (keys[0] != before).any()
+        before = keys[-1]
+        yield batch.filter(pa.array(new)) if not new.all() else batch
+
+
+def _marked(rows: DataFrame, limit: float) -> DataFrame:
+    """``rows`` with ``key`` of the component and the vectors' length, and ``core``: within half the limit's angle of
+    the mean direction, so that any two of a core link."""
+    keyed = rows.withColumn("key", F.xxhash64("comp", "size"))
+    part = T.StructType([T.StructField("key", T.LongType()), T.StructField("task", T.LongType()), T.StructField("value", T.ArrayType(T.DoubleType()))])
+
+    def add(batches):
+        from pyspark import TaskContext
+
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            key, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            raw = batch.column(2).to_pylist()
+            for k in np.unique(key).tolist():
+                at = np.flatnonzero(key == k)
+                total[k] = total.get(k, 0.0) + unit_rows(vectors_of([raw[j] for j in at], int(size[at[0]]))).sum(0)
+        task = TaskContext.get().partitionId()
+        for k, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([task]), pa.array([v.tolist()], pa.list_(pa.float64()))], names=part.names)
+
+    centres = sum_arrays(keyed.select("key", "size", "x").mapInArrow(add, part))
+    fields = list(keyed.schema.fields)
+    out = T.StructType([*fields, T.StructField("core", T.BooleanType())])
+    # in a core angles to the centre sum to less than the limit's, by more than rounding
+    inside = math.cos(math.acos(max(-1.0, min(1.0, limit))) / 2) + 1e-9
+
+    def mark(batches):
+        for batch in batches:
+            column = {k: batch.column(batch.schema.get_field_index(k)) for k in ("key", "size", "x", "total")}
+            key, size, raw, total = column["key"].to_numpy(), column["size"].to_numpy(), column["x"].to_pylist(), column["total"]
+            core = np.zeros(len(key), bool)
+            for k in np.unique(key).tolist():
+                at = np.flatnonzero(key == k)
+                centre = np.array(total[int(at[0])].as_py())
+                long = np.linalg.norm(centre)
+                if long > 0:
+                    core[at] = unit_rows(vectors_of([raw[j] for j in at], int(size[at[0]]))) @ (centre / long) >= inside
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in fields), pa.array(core)], names=out.names)
+
+    return keyed.join(F.broadcast(centres), "key").select(*keyed.columns, "total").mapInArrow(mark, out)

@@ -176,6 +176,46 @@ def test_lattice_dedup_of_odd_rows(spark):
     assert lattice_dedup.similar_vectors(frame(spark, [])).count() == 0
 
 
+def test_only_vectors_with_candidates_travel(spark, monkeypatch):
+    """Vectors without a candidate are never written. A tight group beyond a block is counted by its core."""
+    rng = np.random.default_rng(11)
+    tight = noisy(rng, 90, 24, 0.15)
+    x = np.concatenate([rng.normal(size=(400, 24)), tight, tight[:1], tight[:1]]).astype(np.float32)
+    rows = [(int(i), x[k].tolist()) for k, i in enumerate(rng.permutation(len(x)))]
+    kept, plain = [], lattice_dedup.stash
+
+    def stash(df, path):
+        out = plain(df, path)
+        kept.append(out.count() if "x" in df.columns else 0)
+        return out
+
+    monkeypatch.setattr(lattice_dedup, "stash", stash)
+    monkeypatch.setattr(lattice_dedup, "BLOCK", 16)
+    got = {r["vec_id"]: r for r in lattice_dedup.similar_vectors(frame(spark, [(i, v, 0) for i, v in rows])).collect()}
+    links, reach = brute_links(rows)
+    assert len(got) == len(rows) and 92 * 91 <= sum(links.values())
+    assert all(got[i]["n_links"] == links.get((i, tuple(v)), 0) and got[i]["component_id"] == min(reach[i]) for i, v in rows)
+    assert 90 <= max(kept) < 140 and sum(kept) < 300
+
+
+def test_candidates_of_crowded_cells(monkeypatch):
+    """Forests of near sketches in cells above and below ``LARGE``, with repeated rows, against all pairs."""
+    rng = np.random.default_rng(12)
+    most = lattice_dedup.most_signs(0.95)
+    assert 15 < most < 30
+    unit = lattice_dedup.unit_rows(np.concatenate([rng.normal(size=(300, 16)), noisy(rng, 200, 16, 0.4), noisy(rng, 200, 16, 1.2)]))
+    sketch = lattice_dedup.sketches(unit)
+    low, high, cell, c = np.ascontiguousarray(sketch[:, :2]).view(np.uint64)[:, 0], sketch[:, 2], rng.integers(0, 3, len(unit)), np.arange(len(unit))
+    for large in (4, 1 << 20):
+        monkeypatch.setattr(lattice_dedup, "LARGE", large)
+        twice = np.repeat(np.lexsort((c, cell)), 2)
+        a, b = lattice_dedup.candidates(cell[twice], c[twice], low[twice], high[twice], most)
+        near = (np.bitwise_count(low[:, None] ^ low) + np.bitwise_count(high[:, None] ^ high) <= most) & (cell[:, None] == cell)
+        assert (lattice_dedup.forest(len(c), a, b) == lattice_dedup.forest(len(c), *np.nonzero(near))).all() and len(a) < len(c)
+    seen = lattice_dedup.Seen(4)
+    assert seen.fresh(np.array([5, 5, 6, 5])).tolist() == [0, 2] and 6 not in np.array([5, 6, 7])[seen.fresh(np.array([5, 6, 7]))] and len(seen.fresh(np.zeros(1, np.int64))) == 1
+
+
 # ---- hard negatives
 
 
