@@ -40,6 +40,8 @@ BLOCK, PAIRS = 4096, 1 << 18
 LARGE = 128
 #: Rows up to which a table is broadcast.
 BROADCAST_ROWS = 1 << 19
+#: Bits of the table that tells most vectors without a candidate where the list of candidates is too long to broadcast.
+KNOWN_BITS = 1 << 26
 _SEED = 812
 
 
@@ -400,6 +402,7 @@ def similar_vectors(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_
     sizes = near.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("m"))
     held = keep(near.select(F.col("node").alias("c"), F.col("component").alias("comp")).join(sizes, "comp").join(copies, "c", "left"))
 
+    known = None if held.count() <= BROADCAST_ROWS else spark.sparkContext.broadcast(_bits_of(held))
     member = T.StructType([T.StructField("id", T.LongType()), T.StructField("c", T.LongType()), T.StructField("size", T.LongType()), T.StructField("x", T.BinaryType())])
 
     def carry(batches):
@@ -409,6 +412,9 @@ def similar_vectors(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_
             for rows, x, names, _, raw in usable(batch):
                 own = ids[rows].astype(np.int64)
                 at = seen.fresh((mix(own.view(np.uint64)) ^ names.view(np.uint64)).view(np.int64))
+                if known is not None:
+                    bit = names[at] % KNOWN_BITS
+                    at = at[known.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1]
                 yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(names[at]), pa.array(np.full(len(at), x.shape[1])), pa.array([raw[k] for k in at.tolist()], pa.binary())], names=member.names)
 
     carried = source.mapInArrow(carry, member).join(small(held), "c").where("least is null or least = id")
@@ -459,6 +465,16 @@ def similar_vectors(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_
     return out
 
 
+def _bits_of(names: DataFrame) -> np.ndarray:
+    """One bit for each remainder of ``c`` by KNOWN_BITS, 8 MB however many names there are."""
+    bit = F.pmod("c", F.lit(KNOWN_BITS)) + 1
+    parts = names.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(KNOWN_BITS // 8, np.uint8)
+    for r in parts:
+        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _distinct(batches):
     """Rows of which the row before is not the same class in the same group; the input is sorted by both."""
     before = None

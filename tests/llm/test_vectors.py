@@ -176,7 +176,8 @@ def test_lattice_dedup_of_odd_rows(spark):
     assert lattice_dedup.similar_vectors(frame(spark, [])).count() == 0
 
 
-def test_only_vectors_with_candidates_travel(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [1 << 19, 10])
+def test_only_vectors_with_candidates_travel(spark, monkeypatch, broadcast):
     """Vectors without a candidate are never written. A tight group beyond a block is counted by its core."""
     rng = np.random.default_rng(11)
     tight = noisy(rng, 90, 24, 0.15)
@@ -190,6 +191,7 @@ def test_only_vectors_with_candidates_travel(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(lattice_dedup, "stash", stash)
+    monkeypatch.setattr(lattice_dedup, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(lattice_dedup, "BLOCK", 16)
     got = {r["vec_id"]: r for r in lattice_dedup.similar_vectors(frame(spark, [(i, v, 0) for i, v in rows])).collect()}
     links, reach = brute_links(rows)
